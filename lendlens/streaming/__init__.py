@@ -1,0 +1,8 @@
+"""Streaming.
+
+The study is a bounded batch analysis: it has no stream source, no
+watermark, no windowed or stateful aggregation.  Nothing is built here.
+The per-row operators in :mod:`lendlens.operators.recode` are plain column
+expressions and therefore apply unchanged to a streaming DataFrame; the
+reports (which need the whole table) are batch-only by design.
+"""
