@@ -1,8 +1,9 @@
 """Query catalog: one callable ``(spark, sf_dir) -> DataFrame`` per operator id.
 
-Every query reads the driver tables (through ``loans``) so its work grows
-with the data; none runs on made-up input.  Floating results that come
-from aggregates are rounded so Spark and the SQL oracle hash alike.
+Every query reads the driver tables (through the derived ``loans`` table),
+so its work grows with the data; none runs on made-up input.  Floating
+results of aggregates are rounded to 6 decimals so Spark and the SQL oracle
+hash alike.
 """
 
 from __future__ import annotations
@@ -12,24 +13,237 @@ from pyspark.sql import functions as F
 
 from . import study as S
 from ..operators import profile as A
+from ..operators import rankstats as RK
+from ..operators import recode as R
 
 T = S.TARGET
 
+# The columns each report looks at (the study's own lists,
+# restricted to those the derived table carries).
+STRING_AUDIT_DESCRIPTIONS = {
+    "addr_state": "State of residence given by the applicant.",
+    "purpose": "Declared use of the loan.",
+    "initial_list_status": "Initial listing status of the loan (whole or fractional).",
+    "sub_grade": "Detailed risk grade assigned by the lender.",
+    "home_ownership": "Home ownership status (own, mortgage, rent, other).",
+    "verification_status": "Whether the income was verified.",
+}
+CONCENTRATION_COLUMNS = ["emp_length", "policy_code", "initial_list_status", "inq_last_6mths",
+                         "earliest_cr_line", "addr_state", "grade", "purpose", "title_grouped",
+                         "pymnt_plan", "issue_d", "verification_status", "home_ownership", "sub_grade"]
+CARDINALITY_COLUMNS = ["id", "emp_title", "title"]
+RANKED_NUMERIC = S.RANKING_FEATURES + ["inq_last_6mths", "annual_inc", "revol_util",
+                                       "credit_age_months", "emp_length_int"]
+SCORECARD_CUTOFF = 12.0
 
-def s3_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.loans(spark, sf_dir)
+
+def _lt(spark, sf_dir):
+    return S.loans_with_target(spark, sf_dir)
 
 
-def s3_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cleaned(spark, sf_dir):
+    return S.cleaned_loans(spark, sf_dir)
+
+
+def _curated(spark, sf_dir):
     return S.curated_loans(spark, sf_dir)
 
 
-def a12_default_rate_by_sub_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.level_default_rate(S.curated_loans(spark, sf_dir), "sub_grade", T)
+def _reduced(spark, sf_dir):
+    """Cleaned table after the cardinality and low-variance drops."""
+    return R.drop_present(_cleaned(spark, sf_dir), R.HIGH_CARDINALITY_COLUMNS + R.LOW_VARIANCE_COLUMNS)
 
 
-QUERIES = {
-    "s3_loans": s3_loans,
-    "s3_curated": s3_curated,
-    "a12_default_rate_by_sub_grade": a12_default_rate_by_sub_grade,
-}
+# --- sources ---------------------------------------------------------------
+def s3_loans(spark, sf_dir):
+    return S.loans(spark, sf_dir)
+
+
+def s3_curated(spark, sf_dir):
+    return _curated(spark, sf_dir)
+
+
+def s5_preview(spark, sf_dir):
+    cols = ["id", "int_rate", "annual_inc", "revol_util", "inq_last_6mths"]
+    return _lt(spark, sf_dir).select(*cols).orderBy("id").limit(12)
+
+
+# --- P: projections / filters ---------------------------------------------
+def p1_create_target(spark, sf_dir):
+    return R.create_target(S.loans(spark, sf_dir)).select("id", "loan_status", T)
+
+
+def p2_drop_policy_columns(spark, sf_dir):
+    return R.drop_present(_lt(spark, sf_dir),
+                          R.LEAKAGE_COLUMNS + R.HIGH_CARDINALITY_COLUMNS + R.LOW_VARIANCE_COLUMNS)
+
+
+def p3_drop_sparse(spark, sf_dir):
+    return R.drop_sparse(_lt(spark, sf_dir), 50.0)
+
+
+def p4_select_features(spark, sf_dir):
+    return R.select_features(_cleaned(spark, sf_dir), S.FINAL_FEATURES, T)
+
+
+def p5_title_grouped(spark, sf_dir):
+    return _lt(spark, sf_dir).select("id", R.group_text("title").alias("title_grouped"))
+
+
+def p6_list_status_codes(spark, sf_dir):
+    return _lt(spark, sf_dir).select("id", R.normalize_code("initial_list_status").alias("initial_list_status"))
+
+
+def p7_keep_present(spark, sf_dir):
+    df = _lt(spark, sf_dir).withColumn("initial_list_status", R.normalize_code("initial_list_status"))
+    return R.keep_present(df, "initial_list_status").select("id", "initial_list_status")
+
+
+def p8_emp_length_years(spark, sf_dir):
+    return _lt(spark, sf_dir).select("id", R.map_values("emp_length", R.EMP_LENGTH_YEARS).alias("emp_length_int"))
+
+
+def p9_home_ownership_levels(spark, sf_dir):
+    return _lt(spark, sf_dir).select("id", R.keep_levels("home_ownership", R.HOME_OWNERSHIP_LEVELS)
+                                     .alias("home_ownership"))
+
+
+def p10_verification_labels(spark, sf_dir):
+    labels = {"Verified": "Income verified", "Source Verified": "Source verified",
+              "Not Verified": "Not verified"}
+    return _lt(spark, sf_dir).select("id", R.map_values("verification_status", labels).alias("verification_label"))
+
+
+def p11_cast_double(spark, sf_dir):
+    return R.cast_to_double(_lt(spark, sf_dir).select("id", "inq_last_6mths", "emp_length"),
+                            ["inq_last_6mths", "emp_length"])
+
+
+def p12_numeric_text(spark, sf_dir):
+    return R.fix_numeric_types(_lt(spark, sf_dir).select("id", "annual_inc", "revol_util"),
+                               ["annual_inc", "revol_util"])
+
+
+def p13_coerce_int(spark, sf_dir):
+    return _lt(spark, sf_dir).select("id", R.coerce_int("inq_last_6mths").alias("inq_last_6mths"))
+
+
+def p14_credit_age_months(spark, sf_dir):
+    return _lt(spark, sf_dir).select(
+        "id", R.months_between_text("issue_d", "earliest_cr_line").alias("credit_age_months"))
+
+
+def p15_range_nulling(spark, sf_dir):
+    return _lt(spark, sf_dir).select(
+        "id", R.null_outside("dti", *S.DTI_RANGE).alias("dti"),
+        R.null_outside("tot_hi_cred_lim", None, S.CREDIT_LIMIT_MAX).alias("tot_hi_cred_lim"))
+
+
+def p16_dropna(spark, sf_dir):
+    return _curated(spark, sf_dir).dropna(subset=S.NUMERIC_FEATURES).select("id", T)
+
+
+def p17_fillna_zero(spark, sf_dir):
+    cols = ["dti", "avg_cur_bal", "bc_open_to_buy", "inq_last_6mths"]
+    return _curated(spark, sf_dir).select("id", *cols).fillna(0, subset=cols)
+
+
+def p18_class_filter(spark, sf_dir):
+    return R.keep_class(_curated(spark, sf_dir), T, 1).select("id", "int_rate")
+
+
+def p19_level_share(spark, sf_dir):
+    df = _curated(spark, sf_dir)
+    counts = df.groupBy("purpose").agg(F.count(F.lit(1)).alias("n"))
+    return R.with_share(counts, df).withColumn("pct", F.round("pct", 6))
+
+
+# --- A: aggregations -------------------------------------------------------
+def a1_class_distribution(spark, sf_dir):
+    return A.class_distribution(_lt(spark, sf_dir), T)
+
+
+def a2_null_report(spark, sf_dir):
+    return A.null_report(_lt(spark, sf_dir))
+
+
+def a3_string_missing(spark, sf_dir):
+    return A.string_missing_report(_lt(spark, sf_dir))
+
+
+def a4_numeric_missing(spark, sf_dir):
+    return A.numeric_missing_report(_cleaned(spark, sf_dir), exclude=(T,))
+
+
+def a5_type_summary(spark, sf_dir):
+    return A.type_summary(_lt(spark, sf_dir))
+
+
+def a6_cardinality(spark, sf_dir):
+    return A.cardinality(_lt(spark, sf_dir), CARDINALITY_COLUMNS)
+
+
+def a7_top_emp_title(spark, sf_dir):
+    return A.top_levels(_lt(spark, sf_dir), "emp_title", 20)
+
+
+def a7_top_inq_last_6mths(spark, sf_dir):
+    return A.top_levels(_lt(spark, sf_dir), "inq_last_6mths", 20)
+
+
+def a7_top_initial_list_status(spark, sf_dir):
+    return A.top_levels(_lt(spark, sf_dir), "initial_list_status", 5)
+
+
+def a7_top_emp_length(spark, sf_dir):
+    return A.top_levels(_lt(spark, sf_dir), "emp_length", 12)
+
+
+def a7_home_ownership_levels(spark, sf_dir):
+    return A.top_levels(_cleaned(spark, sf_dir), "home_ownership")
+
+
+def a8_modal_concentration(spark, sf_dir):
+    df = _lt(spark, sf_dir).withColumn("title_grouped", R.group_text("title"))
+    return A.modal_concentration(df, CONCENTRATION_COLUMNS)
+
+
+def a9_categorical_audit(spark, sf_dir):
+    return A.categorical_audit(_reduced(spark, sf_dir), STRING_AUDIT_DESCRIPTIONS)
+
+
+def a10_crosstab_grade_sub_grade(spark, sf_dir):
+    return A.crosstab_long(_lt(spark, sf_dir), "grade", "sub_grade")
+
+
+def a10_crosstab_verification_wide(spark, sf_dir):
+    return A.crosstab_wide(_curated(spark, sf_dir), "verification_status", T, [0, 1])
+
+
+def a11_row_percent_verification(spark, sf_dir):
+    return A.row_percent(A.crosstab_long(_curated(spark, sf_dir), "verification_status", T),
+                         "verification_status")
+
+
+def a12_default_rate_by_sub_grade(spark, sf_dir):
+    return A.level_default_rate(_curated(spark, sf_dir), "sub_grade", T)
+
+
+def a15_confusion_scorecard(spark, sf_dir):
+    df = _curated(spark, sf_dir).withColumn(
+        "prediction", (F.col("int_rate") >= SCORECARD_CUTOFF).cast("double"))
+    return A.confusion(df, T, "prediction")
+
+
+def a16_class_weights(spark, sf_dir):
+    return A.class_weights(_curated(spark, sf_dir), T)
+
+
+# --- T: rank statistics ----------------------------------------------------
+def t9_numeric_ranking(spark, sf_dir):
+    top = RK.numeric_ranking(_cleaned(spark, sf_dir), RANKED_NUMERIC, T, top=20)
+    return A.numbered(top, [F.abs("kendall_tau").desc(), F.col("variable")], "rank")
+
+
+QUERIES = {name: fn for name, fn in dict(globals()).items()
+           if callable(fn) and name[:1] in "spat" and name[1:2].isdigit()}

@@ -2,12 +2,180 @@
 
 from __future__ import annotations
 
-from .oracle_base import with_curated, with_loans
+from .oracle_base import with_cleaned, with_curated, with_loans
+from .sqlgen import SEPARATION, numeric_vc, per_column, q, unpivot
+
+LT_COLUMNS = ["id", "addr_state", "grade", "sub_grade", "int_rate", "fico_range_low", "fico_range_high",
+              "dti", "tot_hi_cred_lim", "avg_cur_bal", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m",
+              "acc_open_past_24mths", "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl",
+              "num_rev_tl_bal_gt_0", "inq_last_6mths", "initial_list_status", "emp_length", "home_ownership",
+              "verification_status", "purpose", "title", "emp_title", "annual_inc", "revol_util", "issue_d",
+              "earliest_cr_line", "mths_since_last_record", "pymnt_plan", "policy_code", "recoveries", "default"]
+LT_STRINGS = ["addr_state", "grade", "sub_grade", "inq_last_6mths", "initial_list_status", "emp_length",
+              "home_ownership", "verification_status", "purpose", "title", "emp_title", "annual_inc",
+              "revol_util", "issue_d", "earliest_cr_line", "pymnt_plan"]
+CLEANED_NUMERIC = ["id", "int_rate", "fico_range_low", "fico_range_high", "dti", "tot_hi_cred_lim",
+                   "avg_cur_bal", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "acc_open_past_24mths",
+                   "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0",
+                   "inq_last_6mths", "annual_inc", "revol_util", "mths_since_last_record", "policy_code",
+                   "credit_age_months", "emp_length_int"]
+CLEANED_DOUBLES = {"int_rate", "fico_range_low", "fico_range_high", "dti", "tot_hi_cred_lim", "avg_cur_bal",
+                   "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "acc_open_past_24mths",
+                   "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0",
+                   "annual_inc", "revol_util", "mths_since_last_record"}
+FEATURES = ["addr_state", "sub_grade", "purpose", "home_ownership", "verification_status",
+            "initial_list_status", "int_rate", "fico_range_high", "dti", "acc_open_past_24mths", "avg_cur_bal",
+            "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "percent_bc_gt_75", "total_bc_limit",
+            "num_actv_rev_tl", "inq_last_6mths"]
+NUMERIC_FEATURES = FEATURES[6:]
+CONCENTRATION = ["emp_length", "policy_code", "initial_list_status", "inq_last_6mths", "earliest_cr_line",
+                 "addr_state", "grade", "purpose", "title_grouped", "pymnt_plan", "issue_d",
+                 "verification_status", "home_ownership", "sub_grade"]
+AUDIT = {
+    "addr_state": "State of residence given by the applicant.",
+    "purpose": "Declared use of the loan.",
+    "initial_list_status": "Initial listing status of the loan (whole or fractional).",
+    "sub_grade": "Detailed risk grade assigned by the lender.",
+    "home_ownership": "Home ownership status (own, mortgage, rent, other).",
+    "verification_status": "Whether the income was verified.",
+}
+RANKED = ["int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths", "avg_cur_bal",
+          "tot_hi_cred_lim", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "percent_bc_gt_75",
+          "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0", "inq_last_6mths", "annual_inc",
+          "revol_util", "credit_age_months", "emp_length_int"]
+
+TITLE_CASE = ("CASE WHEN lower(title) LIKE '%debt consolidation%' THEN 'Debt Consolidation' "
+              "WHEN lower(title) LIKE '%credit card%' THEN 'Credit Card Refinancing' ELSE 'Other' END")
+
+
+def _top(col: str, k: int | None, table: str = "lt") -> str:
+    lim = f" LIMIT {k}" if k else ""
+    return (f"SELECT {col}, COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM {table}) * 100, 6) AS pct "
+            f"FROM {table} GROUP BY {col} ORDER BY n DESC, {col} ASC NULLS FIRST{lim}")
+
+
+def _missing(table: str, cols: list[str], pred: str, keep_zero: bool) -> str:
+    body = per_column(cols, "SELECT '{name}' AS variable, COUNT_IF(" + pred + ") AS n_missing, "
+                      "COUNT(*) AS n_all FROM " + table)
+    where = "" if keep_zero else " WHERE n_missing > 0"
+    return (f"SELECT variable, n_missing, ROUND(n_missing / n_all * 100, 6) AS pct_missing "
+            f"FROM ({body}){where}")
+
 
 SQL = {
     "s3_loans": with_loans("SELECT * FROM loans"),
     "s3_curated": with_curated("SELECT * FROM curated"),
+    "s5_preview": with_cleaned(
+        "SELECT id, int_rate, annual_inc, revol_util, inq_last_6mths FROM lt ORDER BY id LIMIT 12"),
+
+    "p1_create_target": with_loans("""
+SELECT id, loan_status, CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS "default"
+FROM loans WHERE loan_status IN ('Fully Paid', 'Charged Off')"""),
+    "p2_drop_policy_columns": with_cleaned(
+        "SELECT * EXCLUDE (recoveries, id, emp_title, pymnt_plan, policy_code, grade) FROM lt"),
+    "p3_drop_sparse": with_cleaned("SELECT * EXCLUDE (mths_since_last_record) FROM lt"),
+    "p4_select_features": with_cleaned(f"SELECT {', '.join(FEATURES)}, \"default\" FROM cleaned"),
+    "p5_title_grouped": with_cleaned(f"SELECT id, {TITLE_CASE} AS title_grouped FROM lt"),
+    "p6_list_status_codes": with_cleaned("""
+SELECT id, CASE lower(trim(initial_list_status)) WHEN 'w' THEN 'Whole' WHEN 'f' THEN 'Fractional' END
+  AS initial_list_status FROM lt"""),
+    "p7_keep_present": with_cleaned("SELECT id, initial_list_status FROM cleaned"),
+    "p8_emp_length_years": with_cleaned("""
+SELECT id, CASE emp_length WHEN '10+ years' THEN 10 WHEN '9 years' THEN 9 WHEN '8 years' THEN 8
+  WHEN '7 years' THEN 7 WHEN '6 years' THEN 6 WHEN '5 years' THEN 5 WHEN '4 years' THEN 4
+  WHEN '3 years' THEN 3 WHEN '2 years' THEN 2 WHEN '1 year' THEN 1 WHEN '< 1 year' THEN 0 END
+  AS emp_length_int FROM lt"""),
+    "p9_home_ownership_levels": with_cleaned("""
+SELECT id, CASE WHEN home_ownership IN ('MORTGAGE', 'RENT', 'OWN') THEN home_ownership ELSE 'OTHER' END
+  AS home_ownership FROM lt"""),
+    "p10_verification_labels": with_cleaned("""
+SELECT id, CASE verification_status WHEN 'Verified' THEN 'Income verified'
+  WHEN 'Source Verified' THEN 'Source verified' WHEN 'Not Verified' THEN 'Not verified' END
+  AS verification_label FROM lt"""),
+    "p11_cast_double": with_cleaned("""
+SELECT id, TRY_CAST(inq_last_6mths AS DOUBLE) AS inq_last_6mths, TRY_CAST(emp_length AS DOUBLE) AS emp_length
+FROM lt"""),
+    "p12_numeric_text": with_cleaned("""
+SELECT id, TRY_CAST(regexp_replace(trim(annual_inc), '[%$, ]', '', 'g') AS DOUBLE) AS annual_inc,
+  TRY_CAST(regexp_replace(trim(revol_util), '[%$, ]', '', 'g') AS DOUBLE) AS revol_util FROM lt"""),
+    "p13_coerce_int": with_cleaned("SELECT id, TRY_CAST(inq_last_6mths AS INTEGER) AS inq_last_6mths FROM lt"),
+    "p14_credit_age_months": with_cleaned("""
+SELECT id, CAST(datediff('month', try_strptime(earliest_cr_line, '%b-%Y'), try_strptime(issue_d, '%b-%Y'))
+  AS INTEGER) AS credit_age_months FROM lt"""),
+    "p15_range_nulling": with_cleaned("""
+SELECT id, CASE WHEN dti < 0 OR dti > 100 THEN NULL ELSE dti END AS dti,
+  CASE WHEN tot_hi_cred_lim > 4000000 THEN NULL ELSE tot_hi_cred_lim END AS tot_hi_cred_lim FROM lt"""),
+    "p16_dropna": with_curated("SELECT id, \"default\" FROM curated WHERE "
+                               + " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC_FEATURES)),
+    "p17_fillna_zero": with_curated("""
+SELECT id, COALESCE(dti, 0) AS dti, COALESCE(avg_cur_bal, 0) AS avg_cur_bal,
+  COALESCE(bc_open_to_buy, 0) AS bc_open_to_buy, COALESCE(inq_last_6mths, 0) AS inq_last_6mths FROM curated"""),
+    "p18_class_filter": with_curated("SELECT id, int_rate FROM curated WHERE \"default\" = 1"),
+    "p19_level_share": with_curated(
+        "SELECT purpose, COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM curated) * 100, 6) AS pct "
+        "FROM curated GROUP BY purpose"),
+
+    "a1_class_distribution": with_cleaned(
+        "SELECT \"default\", COUNT(*) AS n, ROUND(COUNT(*) / (SELECT COUNT(*) FROM lt) * 100, 6) AS pct "
+        "FROM lt GROUP BY \"default\""),
+    "a2_null_report": with_cleaned(_missing("lt", LT_COLUMNS, "{c} IS NULL", True)),
+    "a3_string_missing": with_cleaned(
+        _missing("lt", LT_STRINGS, "{c} IS NULL OR {c} = '' OR {c} = 'NaN'", False)),
+    "a4_numeric_missing": with_cleaned(
+        _missing("cleaned", [c for c in CLEANED_NUMERIC if c not in CLEANED_DOUBLES], "{c} IS NULL", False)
+        + " UNION ALL "
+        + _missing("cleaned", [c for c in CLEANED_NUMERIC if c in CLEANED_DOUBLES],
+                   "{c} IS NULL OR isnan({c})", False)),
+    "a6_cardinality": with_cleaned(
+        "SELECT variable, n_distinct, ROUND(n_distinct / n_all * 100, 6) AS cr_pct FROM ("
+        + per_column(["id", "emp_title", "title"],
+                     "SELECT '{name}' AS variable, COUNT(DISTINCT {c}) AS n_distinct, COUNT(*) AS n_all FROM lt")
+        + ")"),
+    "a7_top_emp_title": with_cleaned(_top("emp_title", 20)),
+    "a7_top_inq_last_6mths": with_cleaned(_top("inq_last_6mths", 20)),
+    "a7_top_initial_list_status": with_cleaned(_top("initial_list_status", 5)),
+    "a7_top_emp_length": with_cleaned(_top("emp_length", 12)),
+    "a7_home_ownership_levels": with_cleaned(_top("home_ownership", None, "cleaned")),
+    "a8_modal_concentration": with_cleaned(f""", p AS (SELECT *, {TITLE_CASE} AS title_grouped FROM lt
+), u AS ({unpivot('p', CONCENTRATION, 'VARCHAR')}
+), vc AS (SELECT variable, value, COUNT(*) AS n FROM u GROUP BY variable, value
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY n DESC, value ASC NULLS FIRST) AS rn,
+         COUNT(value) OVER (PARTITION BY variable) AS n_classes, SUM(n) OVER (PARTITION BY variable) AS n_rows
+  FROM vc)
+SELECT variable, n_classes, value AS dominant_class, n AS max_count, ROUND(n / n_rows * 100, 6) AS max_pct
+FROM ranked WHERE rn = 1"""),
+    "a9_categorical_audit": with_cleaned(
+        "SELECT * FROM ("
+        + per_column(list(AUDIT), "SELECT '{name}' AS variable, "
+                     "CAST(COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_levels, "
+                     "ROUND(COUNT_IF({c} IS NULL OR {c} = '') / COUNT(*) * 100, 6) AS null_pct FROM cleaned")
+        + ") a JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in AUDIT.items())
+        + ") d(variable, description) USING (variable)"),
+    "a10_crosstab_grade_sub_grade": with_cleaned(
+        "SELECT grade, sub_grade, COUNT(*) AS n FROM lt GROUP BY grade, sub_grade"),
+    "a10_crosstab_verification_wide": with_curated(
+        "SELECT verification_status, COUNT_IF(\"default\" = 0) AS n_0, COUNT_IF(\"default\" = 1) AS n_1 "
+        "FROM curated GROUP BY verification_status"),
+    "a11_row_percent_verification": with_curated("""
+SELECT verification_status, "default", COUNT(*) AS n,
+  ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY verification_status) * 100, 6) AS row_pct
+FROM curated GROUP BY verification_status, "default\""""),
     "a12_default_rate_by_sub_grade": with_curated("""
 SELECT sub_grade, COUNT(*) AS n, ROUND(AVG(CAST("default" AS DOUBLE)), 6) AS default_rate
 FROM curated GROUP BY sub_grade"""),
+    "a15_confusion_scorecard": with_curated("""
+, p AS (SELECT "default" AS y, CASE WHEN int_rate >= 12.0 THEN 1 ELSE 0 END AS pr FROM curated)
+SELECT COUNT_IF(y = 0 AND pr = 0) AS tn, COUNT_IF(y = 0 AND pr = 1) AS fp,
+       COUNT_IF(y = 1 AND pr = 0) AS fn, COUNT_IF(y = 1 AND pr = 1) AS tp FROM p"""),
+    "a16_class_weights": with_curated("""
+SELECT "default", COUNT(*) AS n,
+  ROUND(CAST((SELECT COUNT(*) FROM curated) AS DOUBLE) / (COUNT(*) * 2.0), 6) AS weight
+FROM curated GROUP BY "default\""""),
+
+    "t9_numeric_ranking": with_cleaned(numeric_vc("cleaned", RANKED) + SEPARATION + """
+, r AS (SELECT variable, ROUND(rho, 6) AS spearman_rho, ROUND(tau, 6) AS kendall_tau, ROUND(ks, 6) AS ks_stat
+        FROM sep)
+SELECT *, ROW_NUMBER() OVER (ORDER BY ABS(kendall_tau) DESC, variable) AS rank
+FROM r ORDER BY ABS(kendall_tau) DESC, variable LIMIT 20"""),
 }

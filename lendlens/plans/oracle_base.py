@@ -65,29 +65,53 @@ FROM lg
 )"""
 
 # Target derivation + the study's cleaning steps, as the oracle writes them.
-CURATED = LOANS + """, lt AS (
-  SELECT *, CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS "default"
+CLEANED = LOANS + """, lt AS (
+  SELECT * EXCLUDE (loan_status), CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS "default"
   FROM loans WHERE loan_status IN ('Fully Paid', 'Charged Off')
-), curated AS (
-  SELECT addr_state, sub_grade, purpose,
-    CASE WHEN home_ownership IN ('MORTGAGE', 'RENT', 'OWN') THEN home_ownership ELSE 'OTHER' END AS home_ownership,
-    verification_status,
-    CASE WHEN lower(trim(initial_list_status)) = 'w' THEN 'Whole'
-         WHEN lower(trim(initial_list_status)) = 'f' THEN 'Fractional' END AS initial_list_status,
-    int_rate, fico_range_high,
+), cleaned AS (
+  SELECT id, addr_state, grade, sub_grade, int_rate, fico_range_low, fico_range_high,
     CASE WHEN dti < 0 OR dti > 100 THEN NULL ELSE dti END AS dti,
-    acc_open_past_24mths, avg_cur_bal, bc_open_to_buy, mort_acc, num_tl_op_past_12m,
-    percent_bc_gt_75, total_bc_limit, num_actv_rev_tl,
+    CASE WHEN tot_hi_cred_lim > 4000000 THEN NULL ELSE tot_hi_cred_lim END AS tot_hi_cred_lim,
+    avg_cur_bal, bc_open_to_buy, mort_acc, num_tl_op_past_12m, acc_open_past_24mths,
+    percent_bc_gt_75, total_bc_limit, num_actv_rev_tl, num_rev_tl_bal_gt_0,
     TRY_CAST(inq_last_6mths AS INTEGER) AS inq_last_6mths,
-    "default", id
+    CASE lower(trim(initial_list_status)) WHEN 'w' THEN 'Whole' WHEN 'f' THEN 'Fractional' END
+      AS initial_list_status,
+    CASE WHEN home_ownership IN ('MORTGAGE', 'RENT', 'OWN') THEN home_ownership ELSE 'OTHER' END
+      AS home_ownership,
+    verification_status, purpose, emp_title,
+    TRY_CAST(regexp_replace(trim(annual_inc), '[%$, ]', '', 'g') AS DOUBLE) AS annual_inc,
+    TRY_CAST(regexp_replace(trim(revol_util), '[%$, ]', '', 'g') AS DOUBLE) AS revol_util,
+    mths_since_last_record, pymnt_plan, policy_code, "default",
+    CASE WHEN lower(title) LIKE '%debt consolidation%' THEN 'Debt Consolidation'
+         WHEN lower(title) LIKE '%credit card%' THEN 'Credit Card Refinancing' ELSE 'Other' END
+      AS title_grouped,
+    CAST(datediff('month', try_strptime(earliest_cr_line, '%b-%Y'), try_strptime(issue_d, '%b-%Y'))
+         AS INTEGER) AS credit_age_months,
+    CASE emp_length WHEN '10+ years' THEN 10 WHEN '9 years' THEN 9 WHEN '8 years' THEN 8
+         WHEN '7 years' THEN 7 WHEN '6 years' THEN 6 WHEN '5 years' THEN 5 WHEN '4 years' THEN 4
+         WHEN '3 years' THEN 3 WHEN '2 years' THEN 2 WHEN '1 year' THEN 1 WHEN '< 1 year' THEN 0
+    END AS emp_length_int
   FROM lt
   WHERE lower(trim(initial_list_status)) IN ('w', 'f')
 )"""
 
+CURATED = CLEANED + """, curated AS (
+  SELECT addr_state, sub_grade, purpose, home_ownership, verification_status, initial_list_status,
+    int_rate, fico_range_high, dti, acc_open_past_24mths, avg_cur_bal, bc_open_to_buy, mort_acc,
+    num_tl_op_past_12m, percent_bc_gt_75, total_bc_limit, num_actv_rev_tl, inq_last_6mths,
+    "default", id
+  FROM cleaned
+)"""
+
 
 def with_loans(select_sql: str) -> str:
     return "WITH " + LOANS + "\n" + select_sql
 
 
+def with_cleaned(select_sql: str) -> str:
+    return "WITH " + CLEANED + "\n" + select_sql
+
+
 def with_curated(select_sql: str) -> str:
     return "WITH " + CURATED + "\n" + select_sql
