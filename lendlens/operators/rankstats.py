@@ -243,17 +243,17 @@ def ks_normal(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS) ->
     """
     vc = value_counts(df, cols)
     mom = vc.groupBy("variable").agg(
-        F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+        F.sum("n").alias("n_obs"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
     sd = (vc.join(F.broadcast(mom), "variable")
             .groupBy("variable")
             .agg(F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2)
-                        / (F.first("N") - 1)).alias("sd"), F.first("mean").alias("mean"),
-                 F.first("N").alias("N")))
+                        / (F.first("n_obs") - 1)).alias("sd"), F.first("mean").alias("mean"),
+                 F.first("n_obs").alias("n_obs")))
     cum = cum_counts(vc, ["variable"], ["n"], buckets=buckets).join(F.broadcast(sd), "variable")
     phi = special.norm_cdf((F.col("value") - F.col("mean")) / F.col("sd"))
-    N = F.col("N").cast("double")
-    d = F.greatest(F.col("cn") / N - phi, phi - (F.col("cn") - F.col("n")) / N)
-    return cum.groupBy("variable").agg(F.first("N").alias("N"), F.max(d).alias("ks_normal"))
+    total = F.col("n_obs").cast("double")
+    d = F.greatest(F.col("cn") / total - phi, phi - (F.col("cn") - F.col("n")) / total)
+    return cum.groupBy("variable").agg(F.first("n_obs").alias("N"), F.max(d).alias("ks_normal"))
 
 
 def ks_one_sample_pvalue(d: float, n: float) -> float:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import study as S
+from ..operators import association as AS
+from ..operators import distribution as D
 from ..operators import profile as A
 from ..operators import rankstats as RK
 from ..operators import recode as R
@@ -35,6 +37,14 @@ CARDINALITY_COLUMNS = ["id", "emp_title", "title"]
 RANKED_NUMERIC = S.RANKING_FEATURES + ["inq_last_6mths", "annual_inc", "revol_util",
                                        "credit_age_months", "emp_length_int"]
 SCORECARD_CUTOFF = 12.0
+HAMPEL_COLUMNS = ["int_rate", "dti", "avg_cur_bal", "tot_hi_cred_lim", "total_bc_limit"]
+BOX_COLUMNS = ["int_rate", "dti", "fico_range_high", "avg_cur_bal"]
+SHAPE_COLUMNS = ["int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths",
+                 "avg_cur_bal", "tot_hi_cred_lim", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m",
+                 "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0",
+                 "inq_last_6mths"]
+PATTERN_COLUMNS = ["dti", "avg_cur_bal", "bc_open_to_buy", "emp_length", "title", "home_ownership",
+                   "mths_since_last_record"]
 
 
 def _lt(spark, sf_dir):
@@ -242,8 +252,103 @@ def a16_class_weights(spark, sf_dir):
 # --- T: rank statistics ----------------------------------------------------
 def t9_numeric_ranking(spark, sf_dir):
     top = RK.numeric_ranking(_cleaned(spark, sf_dir), RANKED_NUMERIC, T, top=20)
-    return A.numbered(top, [F.abs("kendall_tau").desc(), F.col("variable")], "rank")
+    return (A.numbered(top, [F.abs("kendall_tau").desc(), F.col("variable")], "rank")
+             .withColumn("rank", F.col("rank").cast("long")))
+
+
+def t1_chi_square(spark, sf_dir):
+    return AS.chi_square_table(_curated(spark, sf_dir), S.CATEGORICAL_FEATURES, T)
+
+
+def t1b_chi_square_null_level(spark, sf_dir):
+    return AS.chi_square_table(_lt(spark, sf_dir), None, T, nulls="level")
+
+
+def t3_pair_grade_sub_grade(spark, sf_dir):
+    return AS.pair_association(_lt(spark, sf_dir), "grade", "sub_grade")
+
+
+def t3_pair_purpose_title(spark, sf_dir):
+    df = _lt(spark, sf_dir).withColumn("title_grouped", R.group_text("title"))
+    return AS.pair_association(df, "purpose", "title_grouped")
+
+
+def t17_categorical_report(spark, sf_dir):
+    return AS.categorical_association(_curated(spark, sf_dir), T, S.CATEGORICAL_FEATURES)
+
+
+def a14_numeric_audit(spark, sf_dir):
+    return D.numeric_audit(_curated(spark, sf_dir), S.NUMERIC_FEATURES)
+
+
+def o1_outliers_dti(spark, sf_dir):
+    return D.robust_outliers(_lt(spark, sf_dir), "dti", 3.5, 10)
+
+
+def o1_outliers_int_rate(spark, sf_dir):
+    return D.robust_outliers(_lt(spark, sf_dir), "int_rate", 3.5, 10)
+
+
+def o2_hampel_bands(spark, sf_dir):
+    return D.hampel_bands(_lt(spark, sf_dir), HAMPEL_COLUMNS)
+
+
+def t16_contrast_stats(spark, sf_dir):
+    return D.contrast_stats(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T).drop("z_mwu")
+
+
+def t16_robust_contrast(spark, sf_dir):
+    return D.robust_contrast(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)
+
+
+def t14_mann_whitney(spark, sf_dir):
+    return RK.mann_whitney(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T).drop("p_value")
+
+
+def h2_box_stats(spark, sf_dir):
+    return D.box_stats(_curated(spark, sf_dir), BOX_COLUMNS, T)
+
+
+def t7_shape(spark, sf_dir):
+    return D.shape(_cleaned(spark, sf_dir), SHAPE_COLUMNS)
+
+
+def t10_ks_normal(spark, sf_dir):
+    ks = RK.ks_normal(_cleaned(spark, sf_dir), SHAPE_COLUMNS)
+    return ks.select("variable", "N", F.round("ks_normal", 6).alias("ks_normal"))
+
+
+def t12_normality_report(spark, sf_dir):
+    return D.normality_report(_cleaned(spark, sf_dir), SHAPE_COLUMNS)
+
+
+def h1_histogram_int_rate(spark, sf_dir):
+    return D.histogram(_curated(spark, sf_dir), "int_rate", 30)
+
+
+def h3_missing_patterns(spark, sf_dir):
+    return D.missing_patterns(_lt(spark, sf_dir), PATTERN_COLUMNS)
+
+
+def h4_ols_fico(spark, sf_dir):
+    return D.ols_line(_cleaned(spark, sf_dir), "fico_range_high", "fico_range_low")
+
+
+def h4_ols_balances(spark, sf_dir):
+    return D.ols_line(_cleaned(spark, sf_dir), "avg_cur_bal", "tot_hi_cred_lim")
+
+
+def h4_binned_scatter(spark, sf_dir):
+    return D.binned_scatter(_cleaned(spark, sf_dir), "fico_range_low", "int_rate", 20.0, 1.0)
+
+
+def t18_roc_int_rate(spark, sf_dir):
+    return RK.roc_curve(_curated(spark, sf_dir), "int_rate", T)
+
+
+def e3_auc_int_rate(spark, sf_dir):
+    return RK.auc(_curated(spark, sf_dir), "int_rate", T)
 
 
 QUERIES = {name: fn for name, fn in dict(globals()).items()
-           if callable(fn) and name[:1] in "spat" and name[1:2].isdigit()}
+           if callable(fn) and name[:1] in "spatoheflmrxuw" and name[1:2].isdigit()}

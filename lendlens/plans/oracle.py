@@ -179,3 +179,199 @@ FROM curated GROUP BY "default\""""),
 SELECT *, ROW_NUMBER() OVER (ORDER BY ABS(kendall_tau) DESC, variable) AS rank
 FROM r ORDER BY ABS(kendall_tau) DESC, variable LIMIT 20"""),
 }
+
+
+# ---------------------------------------------------------------------------
+# association, distribution, rank statistics
+# ---------------------------------------------------------------------------
+
+CATS = FEATURES[:6]
+HAMPEL = ["int_rate", "dti", "avg_cur_bal", "tot_hi_cred_lim", "total_bc_limit"]
+BOX = ["int_rate", "dti", "fico_range_high", "avg_cur_bal"]
+SHAPE = ["int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths", "avg_cur_bal",
+         "tot_hi_cred_lim", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "percent_bc_gt_75",
+         "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0", "inq_last_6mths"]
+PATTERN = ["dti", "avg_cur_bal", "bc_open_to_buy", "emp_length", "title", "home_ownership",
+           "mths_since_last_record"]
+HAMPEL_HALF = repr(3.0 * 1.4826)
+
+
+def _chi_square(table: str, cols: list[str], drop_nulls: bool, min_levels: int) -> str:
+    where = "WHERE value IS NOT NULL" if drop_nulls else ""
+    return f""", u AS ({unpivot(table, cols, 'VARCHAR', '"default" AS y')}
+), tc AS (SELECT variable, value, COUNT(*) AS n, SUM(y) AS n1 FROM u {where} GROUP BY variable, value
+), tot AS (SELECT variable, SUM(n) AS tn, SUM(n1) AS tn1, COUNT(*) AS lv FROM tc GROUP BY variable
+), cells AS (
+  SELECT tc.*, tn, tn1, lv,
+    (CASE WHEN tn1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN tn > tn1 THEN 1 ELSE 0 END) AS nc,
+    n * tn1 / tn AS e1, n * (tn - tn1) / tn AS e0
+  FROM tc JOIN tot USING (variable) WHERE lv >= {min_levels}
+), terms AS (
+  SELECT variable, tn, lv, nc,
+    CASE WHEN e1 > 0 THEN POWER(CASE WHEN lv = 2 AND nc = 2 THEN GREATEST(ABS(n1 - e1) - 0.5, 0)
+                                     ELSE ABS(n1 - e1) END, 2) / e1 ELSE 0 END
+    + CASE WHEN e0 > 0 THEN POWER(CASE WHEN lv = 2 AND nc = 2 THEN GREATEST(ABS(n - n1 - e0) - 0.5, 0)
+                                       ELSE ABS(n - n1 - e0) END, 2) / e0 ELSE 0 END AS t
+  FROM cells
+), s AS (SELECT variable, ANY_VALUE(tn) AS tn, ANY_VALUE(lv) AS lv, ANY_VALUE(nc) AS nc, SUM(t) AS chi2
+         FROM terms GROUP BY variable)
+SELECT variable, CAST(tn AS BIGINT) AS n, CAST(lv AS BIGINT) AS n_levels, CAST((lv - 1) * (nc - 1) AS BIGINT) AS dof,
+  ROUND(chi2, 6) AS chi2,
+  ROUND(CASE WHEN LEAST(lv, nc) > 1 THEN SQRT(chi2 / (tn * (LEAST(lv, nc) - 1))) ELSE 0 END, 6) AS cramers_v
+FROM s"""
+
+
+def _pair(table_sql: str, a: str, b: str) -> str:
+    return f""", pr AS (SELECT {a} AS a, {b} AS b FROM {table_sql} WHERE {a} IS NOT NULL AND {b} IS NOT NULL
+), cells AS (SELECT a, b, COUNT(*) AS o FROM pr GROUP BY a, b
+), ra AS (SELECT a, SUM(o) AS ra FROM cells GROUP BY a
+), cb AS (SELECT b, SUM(o) AS cb, COUNT(*) AS a_per_b FROM cells GROUP BY b
+), ag AS (
+  SELECT SUM(CAST(o AS DOUBLE) * o / (ra * cb)) AS q, SUM(o) AS n, COUNT(DISTINCT a) AS r, COUNT(DISTINCT b) AS c,
+         MAX(a_per_b) = 1 AS nested
+  FROM cells JOIN ra USING (a) JOIN cb USING (b)
+), v AS (SELECT *, n * (q - 1) AS chi2,
+         CASE WHEN LEAST(r, c) > 1 THEN SQRT(n * (q - 1) / (n * (LEAST(r, c) - 1))) ELSE 0 END AS cv FROM ag)
+SELECT '{a} x {b}' AS variable, CAST(n AS BIGINT) AS n, ROUND(chi2, 6) AS chi2,
+  CAST((r - 1) * (c - 1) AS BIGINT) AS dof, ROUND(cv, 6) AS cramers_v, nested,
+  CASE WHEN cv >= 0.86 THEN 'redundant' ELSE 'distinct' END AS conclusion
+FROM v"""
+
+
+def _outliers(col: str) -> str:
+    return f""", x AS (SELECT {col} AS v FROM lt WHERE {col} IS NOT NULL AND NOT isnan({col})
+), m AS (SELECT quantile_cont(v, 0.5) AS med FROM x
+), d AS (SELECT quantile_cont(ABS(v - med), 0.5) AS mad FROM x, m
+), s AS (SELECT v, ROUND(0.6745 * (v - med) / mad, 6) AS mz FROM x, m, d WHERE mad > 0)
+SELECT v AS {col}, mz AS modified_z, COUNT(*) AS frequency FROM s WHERE ABS(mz) > 3.5
+GROUP BY v, mz ORDER BY ABS(mz) DESC, v LIMIT 10"""
+
+
+def _erfc_sql(x: str) -> str:
+    t = f"(1.0 / (1.0 + 0.5 * ABS({x})))"
+    coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
+            0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    poly = repr(coef[-1])
+    for c in reversed(coef[:-1]):
+        poly = f"({poly} * {t} + {c!r})"
+    ans = f"({t} * EXP(-ABS({x}) * ABS({x}) + {poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
+
+
+SQL.update({
+    "t1_chi_square": with_curated(_chi_square("curated", CATS, True, 2)),
+    "t1b_chi_square_null_level": with_cleaned(_chi_square("lt", LT_STRINGS, False, 1)),
+    "t3_pair_grade_sub_grade": with_cleaned(_pair("lt", "grade", "sub_grade")),
+    "t3_pair_purpose_title": with_cleaned(_pair(f"(SELECT purpose, {TITLE_CASE} AS title_grouped FROM lt)",
+                                                "purpose", "title_grouped")),
+    "a14_numeric_audit": with_curated(per_column(NUMERIC_FEATURES, """SELECT '{name}' AS variable,
+  ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS sd, ROUND(MIN({c}), 6) AS min, ROUND(MAX({c}), 6) AS max,
+  ROUND(quantile_cont({c}, 0.25), 6) AS q1, ROUND(quantile_cont({c}, 0.5), 6) AS median,
+  ROUND(quantile_cont({c}, 0.75), 6) AS q3,
+  ROUND(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr,
+  ROUND(COUNT_IF({c} IS NULL) / COUNT(*) * 100, 6) AS null_pct FROM curated""")),
+    "o1_outliers_dti": with_cleaned(_outliers("dti")),
+    "o1_outliers_int_rate": with_cleaned(_outliers("int_rate")),
+    "o2_hampel_bands": with_cleaned(per_column(HAMPEL, """SELECT '{name}' AS variable, ROUND(med, 6) AS median,
+  ROUND(mad, 6) AS mad, ROUND(med - """ + HAMPEL_HALF + """ * mad, 6) AS lower,
+  ROUND(med + """ + HAMPEL_HALF + """ * mad, 6) AS upper
+FROM (SELECT med, quantile_cont(ABS(x - med), 0.5) AS mad
+      FROM (SELECT {c} AS x FROM lt WHERE {c} IS NOT NULL AND NOT isnan({c})),
+           (SELECT quantile_cont({c}, 0.5) AS med FROM lt WHERE NOT isnan({c})) GROUP BY med)""")),
+    "t16_contrast_stats": with_curated(numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + """
+, cv AS (SELECT variable, y AS cls, value FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+), cq AS (SELECT variable, cls, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+                 quantile_cont(value, 0.75) AS q3 FROM cv GROUP BY variable, cls
+), z AS (SELECT cv.variable, cv.cls, ABS(value - med) AS z FROM cv JOIN cq USING (variable, cls)
+), per AS (SELECT variable, cls, COUNT(*) AS nc, SUM(z) AS sz, SUM(z * z) AS szz FROM z GROUP BY variable, cls
+), gr AS (SELECT variable, SUM(nc) AS bn, SUM(sz) / SUM(nc) AS zbar, COUNT(*) AS k FROM per GROUP BY variable
+), bf AS (SELECT variable,
+    (ANY_VALUE(bn) - ANY_VALUE(k)) * SUM(nc * POWER(sz / nc - zbar, 2))
+      / ((ANY_VALUE(k) - 1) * SUM(szz - sz * sz / nc)) AS bf_f,
+    ANY_VALUE(k) - 1 AS bf_df1, ANY_VALUE(bn) - ANY_VALUE(k) AS bf_df2
+  FROM per JOIN gr USING (variable) GROUP BY variable
+), w AS (SELECT variable,
+    MAX(CASE WHEN cls = 0 THEN med END) AS med0, MAX(CASE WHEN cls = 0 THEN q3 - q1 END) AS iqr0,
+    MAX(CASE WHEN cls = 1 THEN med END) AS med1, MAX(CASE WHEN cls = 1 THEN q3 - q1 END) AS iqr1
+  FROM cq GROUP BY variable)
+SELECT variable, CAST(big_n0 AS BIGINT) AS n0, CAST(big_n1 AS BIGINT) AS n1,
+  ROUND(med0, 6) AS median_0, ROUND(iqr0, 6) AS iqr_0, ROUND(med1, 6) AS median_1, ROUND(iqr1, 6) AS iqr_1,
+  ROUND(bf_f, 6) AS bf_f, CAST(bf_df1 AS BIGINT) AS bf_df1, CAST(bf_df2 AS BIGINT) AS bf_df2,
+  ROUND(u0, 6) AS u_stat,
+  ROUND(ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n), 6)
+    AS rosenthal_r
+FROM sep JOIN bf USING (variable) JOIN w USING (variable) WHERE big_n1 >= 2 AND big_n0 >= 2"""),
+    "t14_mann_whitney": with_curated(numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + """
+SELECT variable, CAST(big_n AS BIGINT) AS "N", CAST(big_n1 AS BIGINT) AS "N1", ROUND(u0, 6) AS u_stat,
+  ROUND(u1 / (big_n1 * big_n0), 6) AS auc,
+  ROUND((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0), 6) AS z,
+  ROUND(ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n), 6)
+    AS rosenthal_r
+FROM sep"""),
+    "h2_box_stats": with_curated(f""", u AS ({unpivot('curated', BOX, 'DOUBLE', '"default" AS y')}
+), cv AS (SELECT variable, y, value FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+), cq AS (SELECT variable, y, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+                 quantile_cont(value, 0.75) AS q3 FROM cv GROUP BY variable, y)
+SELECT variable, y AS "default", ROUND(ANY_VALUE(q1), 6) AS q1, ROUND(ANY_VALUE(med), 6) AS median,
+  ROUND(ANY_VALUE(q3), 6) AS q3,
+  ROUND(MIN(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), 6) AS whisker_lo,
+  ROUND(MAX(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 6) AS whisker_hi,
+  COUNT_IF(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outside
+FROM cv JOIN cq USING (variable, y) GROUP BY variable, y"""),
+    "t7_shape": with_cleaned(f""", u AS ({unpivot('cleaned', SHAPE, 'DOUBLE')}
+), x AS (SELECT * FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+), m AS (SELECT variable, COUNT(*) AS n, AVG(value) AS mu FROM x GROUP BY variable
+), c AS (SELECT variable, ANY_VALUE(n) AS n, AVG(POWER(value - mu, 2)) AS m2, AVG(POWER(value - mu, 3)) AS m3,
+                AVG(POWER(value - mu, 4)) AS m4 FROM x JOIN m USING (variable) GROUP BY variable
+), k AS (SELECT variable, n, m3 / POWER(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku FROM c)
+SELECT variable, n, ROUND(sk, 6) AS skewness, ROUND(ku, 6) AS kurtosis,
+  ROUND(n / 6.0 * (sk * sk + ku * ku / 4), 3) AS jarque_bera,
+  ROUND(EXP(-(n / 6.0 * (sk * sk + ku * ku / 4)) / 2), 6) AS jb_p
+FROM k"""),
+    "t10_ks_normal": with_cleaned(f""", u AS ({unpivot('cleaned', SHAPE, 'DOUBLE')}
+), x AS (SELECT * FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+), vc AS (SELECT variable, value, COUNT(*) AS n FROM x GROUP BY variable, value
+), mo AS (SELECT variable, COUNT(*) AS bn, AVG(value) AS mu, STDDEV_SAMP(value) AS sd FROM x GROUP BY variable
+), cum AS (SELECT vc.*, bn, mu, sd,
+    SUM(n) OVER (PARTITION BY variable ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
+  FROM vc JOIN mo USING (variable)
+), ph AS (SELECT *, -((value - mu) / sd) / SQRT(2.0) AS xx FROM cum
+), ph2 AS (SELECT *, 0.5 * {_erfc_sql('xx')} AS phi FROM ph)
+SELECT variable, bn AS "N", ROUND(MAX(GREATEST(cn / bn - phi, phi - (cn - n) / bn)), 6) AS ks_normal
+FROM ph2 GROUP BY variable, bn"""),
+    "h1_histogram_int_rate": with_curated(""", x AS (SELECT int_rate AS v FROM curated WHERE int_rate IS NOT NULL
+), mo AS (SELECT COUNT(*) AS bn, AVG(v) AS mu, STDDEV_SAMP(v) AS sd, MIN(v) AS mn, MAX(v) AS mx FROM x
+), b AS (SELECT LEAST(CAST(FLOOR((v - mn) / ((mx - mn) / 30)) AS INTEGER) + 1, 30) AS bin, bn, mu, sd, mn, mx
+         FROM x, mo
+), h AS (SELECT bin, COUNT(*) AS n, ANY_VALUE(bn) AS bn, ANY_VALUE(mu) AS mu, ANY_VALUE(sd) AS sd,
+                ANY_VALUE(mn) AS mn, ANY_VALUE(mx) AS mx FROM b GROUP BY bin)
+SELECT bin, ROUND(mn + (bin - 1) * ((mx - mn) / 30), 6) AS bin_lo,
+  ROUND(mn + (bin - 1) * ((mx - mn) / 30) + (mx - mn) / 30, 6) AS bin_hi, n,
+  ROUND(n / (bn * ((mx - mn) / 30)), 6) AS density,
+  ROUND(EXP(-0.5 * POWER((mn + (bin - 1) * ((mx - mn) / 30) + ((mx - mn) / 30) / 2 - mu) / sd, 2))
+        / (sd * SQRT(2 * PI())), 6) AS normal_density
+FROM h"""),
+    "h3_missing_patterns": with_cleaned(
+        "SELECT CONCAT(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in PATTERN)
+        + ") AS pattern, COUNT(*) AS n FROM lt GROUP BY pattern"),
+    "h4_ols_fico": with_cleaned("""
+SELECT ROUND(regr_slope(fico_range_high, fico_range_low), 6) AS slope,
+  ROUND(regr_intercept(fico_range_high, fico_range_low), 6) AS intercept,
+  ROUND(corr(fico_range_low, fico_range_high), 6) AS pearson_r,
+  CAST(regr_count(fico_range_high, fico_range_low) AS BIGINT) AS n FROM cleaned"""),
+    "h4_ols_balances": with_cleaned("""
+SELECT ROUND(regr_slope(avg_cur_bal, tot_hi_cred_lim), 6) AS slope,
+  ROUND(regr_intercept(avg_cur_bal, tot_hi_cred_lim), 6) AS intercept,
+  ROUND(corr(tot_hi_cred_lim, avg_cur_bal), 6) AS pearson_r,
+  CAST(regr_count(avg_cur_bal, tot_hi_cred_lim) AS BIGINT) AS n FROM cleaned"""),
+    "h4_binned_scatter": with_cleaned("""
+SELECT FLOOR(fico_range_low / 20.0) * 20.0 AS fico_range_low_bin, FLOOR(int_rate / 1.0) * 1.0 AS int_rate_bin,
+  COUNT(*) AS n FROM cleaned WHERE fico_range_low IS NOT NULL AND int_rate IS NOT NULL
+GROUP BY fico_range_low_bin, int_rate_bin"""),
+    "t18_roc_int_rate": with_curated(numeric_vc("curated", ["int_rate"]) + """
+SELECT value AS threshold, ROUND(((tn - tn1) - (cn - cn1) + (n - n1)) / (tn - tn1), 6) AS fpr,
+  ROUND((tn1 - cn1 + n1) / tn1, 6) AS tpr FROM cum"""),
+    "e3_auc_int_rate": with_curated(numeric_vc("curated", ["int_rate"]) + SEPARATION + """
+SELECT ROUND(u1 / (big_n1 * big_n0), 6) AS auc, CAST(big_n AS BIGINT) AS "N", CAST(big_n1 AS BIGINT) AS "N1"
+FROM sep"""),
+})
