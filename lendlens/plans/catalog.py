@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from . import study as S
 from ..operators import association as AS
+from ..operators import correlation as CO
+from ..operators import features as FE
+from ..operators import models as M
+from ..operators import sampling as SA
 from ..operators import distribution as D
 from ..operators import profile as A
 from ..operators import rankstats as RK
@@ -350,5 +354,149 @@ def e3_auc_int_rate(spark, sf_dir):
     return RK.auc(_curated(spark, sf_dir), "int_rate", T)
 
 
+# --- correlation -----------------------------------------------------------
+def t5_spearman_matrix(spark, sf_dir):
+    return CO.spearman_matrix(_cleaned(spark, sf_dir), S.RANKING_FEATURES)
+
+
+def t6_prune_correlated(spark, sf_dir):
+    return CO.prune_correlated(_cleaned(spark, sf_dir), S.RANKING_FEATURES, T, 0.85)
+
+
+# --- sampling and splits -----------------------------------------------------
+def r1_sample_fraction(spark, sf_dir):
+    return SA.sample_fraction(_lt(spark, sf_dir), 0.005, 42, key="id").select("id", T)
+
+
+def r2_sample_size(spark, sf_dir):
+    return SA.sample_size(_lt(spark, sf_dir), 500, 42, key="id").select("id", "int_rate")
+
+
+def r3_stratified_split(spark, sf_dir):
+    return SA.stratified_split(_curated(spark, sf_dir), T, 0.8, 42).select("id", T, "split")
+
+
+def r3_exact_split(spark, sf_dir):
+    return SA.stratified_split(_curated(spark, sf_dir), T, 0.8, 42, exact=True).select("id", T, "split")
+
+
+def r4_folds(spark, sf_dir):
+    return SA.assign_folds(_curated(spark, sf_dir), 5, 42).select("id", T, "fold")
+
+
+def u1_class_wise_union(spark, sf_dir):
+    return SA.class_wise_union(_curated(spark, sf_dir), T, train_frac=0.8, seed=42).select("id", T, "split")
+
+
+def a13_split_audit(spark, sf_dir):
+    return SA.split_audit(SA.stratified_split(_curated(spark, sf_dir), T, 0.8, 42), T)
+
+
+# --- features ---------------------------------------------------------------
+def _train_test(spark, sf_dir):
+    return SA.split_frames(_curated(spark, sf_dir), target=T, train_frac=0.8, seed=42)
+
+
+def f1_ordinal_index(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    out = FE.ordinal_index(train, _curated(spark, sf_dir), "sub_grade")
+    return out.select("id", "sub_grade", "sub_grade_idx")
+
+
+def f1b_ordinal_unseen_minus_one(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    train = train.filter(F.col("sub_grade") != "A1")
+    out = FE.ordinal_index(train, _curated(spark, sf_dir), "sub_grade", unseen_as_minus_one=True)
+    return out.select("id", "sub_grade", "sub_grade_idx")
+
+
+def f2_nominal_index(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    model = FE.nominal_indexer(["purpose", "addr_state"]).fit(train)
+    return model.transform(_curated(spark, sf_dir)).select("id", "purpose_idx", "addr_state_idx")
+
+
+def f3_one_hot(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    cols = ["home_ownership", "verification_status"]
+    idx = FE.nominal_indexer(cols).fit(train)
+    ohe = FE.one_hot(cols).fit(idx.transform(train))
+    out = ohe.transform(idx.transform(_curated(spark, sf_dir)))
+    return out.select("id", *[F.col(f"{c}_ohe").cast("string").alias(f"{c}_ohe") for c in cols])
+
+
+def f5_feature_pipeline(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    numeric = S.NUMERIC_FEATURES
+    model = FE.encoding_pipeline(numeric).fit(M.prepare(train, numeric))
+    out = model.transform(M.prepare(test, numeric))
+    return out.select("id", T, F.col("features").cast("string").alias("features"))
+
+
+def f6_median_impute(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    cols = ["dti", "avg_cur_bal", "bc_open_to_buy", "inq_last_6mths"]
+    med = FE.fit_medians(train, cols)
+    return FE.impute(_curated(spark, sf_dir).select("id", *cols), med).select(
+        "id", *[F.round(c, 6).alias(c) for c in cols])
+
+
+# --- models and evaluation -----------------------------------------------------
+MODEL_NUMERIC = S.NUMERIC_FEATURES
+FINAL_FOREST = {"num_trees": 100, "max_depth": 15, "max_bins": 64, "seed": 42}
+
+
+def _scorecard(spark, sf_dir):
+    df = _curated(spark, sf_dir)
+    return df.withColumn("prediction", (F.col("int_rate") >= SCORECARD_CUTOFF).cast("int"))
+
+
+def m1_random_forest_scores(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    model, _ = M.fit(train, MODEL_NUMERIC, T, **FINAL_FOREST)
+    return M.score(model, test, MODEL_NUMERIC).withColumn("p_default", F.round("p_default", 6))
+
+
+def m3_grid_search(spark, sf_dir):
+    train, _ = _train_test(spark, sf_dir)
+    folded = SA.assign_folds(train, 5, 42)
+    return M.grid_search(folded, MODEL_NUMERIC, trees=(10, 50, 100), depths=(5, 10, 15), k=5)
+
+
+def a18_grid_best(spark, sf_dir):
+    return M.best_config(m3_grid_search(spark, sf_dir))
+
+
+def e1_metrics_scorecard(spark, sf_dir):
+    return M.metrics_from_confusion(A.confusion(_scorecard(spark, sf_dir), T, "prediction"))
+
+
+def e2_weighted_metrics_scorecard(spark, sf_dir):
+    return M.weighted_metrics(A.confusion(_scorecard(spark, sf_dir), T, "prediction"))
+
+
+def e3_model_evaluation(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    model, _ = M.fit(train, MODEL_NUMERIC, T, **FINAL_FOREST)
+    return M.evaluate(M.score(model, test, MODEL_NUMERIC), T)
+
+
+def e4_run_comparison(spark, sf_dir):
+    df = _curated(spark, sf_dir)
+    runs = {}
+    for run, pred in (("rate_cutoff", F.col("int_rate") >= SCORECARD_CUTOFF),
+                      ("fico_cutoff", F.col("fico_range_high") <= 700)):
+        cm = A.confusion(df.withColumn("prediction", pred.cast("int")), T, "prediction")
+        m = M.metrics_from_confusion(cm)
+        cols = ["accuracy", "precision", "recall", "f1_score"]
+        runs[run] = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
+                                                 for c in cols])).alias("m")).select("m.*")
+    return M.compare_runs(runs)
+
+
+def e5_case_selection(spark, sf_dir):
+    return M.pick_cases(_scorecard(spark, sf_dir), "id", T)
+
+
 QUERIES = {name: fn for name, fn in dict(globals()).items()
            if callable(fn) and name[:1] in "spatoheflmrxuw" and name[1:2].isdigit()}

@@ -375,3 +375,125 @@ SELECT value AS threshold, ROUND(((tn - tn1) - (cn - cn1) + (n - n1)) / (tn - tn
 SELECT ROUND(u1 / (big_n1 * big_n0), 6) AS auc, CAST(big_n AS BIGINT) AS "N", CAST(big_n1 AS BIGINT) AS "N1"
 FROM sep"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# sampling, features, evaluation, correlation
+# ---------------------------------------------------------------------------
+
+def _u(seed) -> str:
+    return (f"(CAST(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '|{seed}'), 1, 15)) AS BIGINT) AS DOUBLE)"
+            f" / CAST(1152921504606846976 AS DOUBLE))")
+
+
+def _h(seed) -> str:
+    return f"CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '|{seed}'), 1, 15)) AS BIGINT)"
+
+
+SPLIT = f"CASE WHEN {_u(42)} < 0.8 THEN 'train' ELSE 'test' END"
+TRAIN = f"(SELECT * FROM curated WHERE {_u(42)} < 0.8)"
+
+
+def _ordinal(train: str) -> str:
+    return f""", lab AS (
+  SELECT sub_grade, CAST(ROW_NUMBER() OVER (ORDER BY sub_grade) - 1 AS DOUBLE) AS idx
+  FROM (SELECT DISTINCT sub_grade FROM {train} WHERE sub_grade IS NOT NULL)
+), nl AS (SELECT CAST(COUNT(*) AS DOUBLE) AS c FROM lab)"""
+
+
+def _freq_index(col: str) -> str:
+    return f"""lab_{col} AS (
+  SELECT {col}, CAST(ROW_NUMBER() OVER (ORDER BY cnt DESC, {col} ASC) - 1 AS DOUBLE) AS idx
+  FROM (SELECT {col}, COUNT(*) AS cnt FROM {TRAIN} WHERE {col} IS NOT NULL GROUP BY {col}))"""
+
+
+def _confusion_metrics(pred: str) -> str:
+    return f"""(SELECT tn, fp, fn, tp,
+    ROUND(CASE WHEN n > 0 THEN (tp + tn) / n ELSE 0 END, 6) AS accuracy,
+    ROUND(pr, 6) AS precision, ROUND(re, 6) AS recall,
+    ROUND(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1_score
+  FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re, tn + fp + fn + tp AS n
+        FROM (SELECT COUNT_IF(y = 0 AND pr = 0) AS tn, COUNT_IF(y = 0 AND pr = 1) AS fp,
+                     COUNT_IF(y = 1 AND pr = 0) AS fn, COUNT_IF(y = 1 AND pr = 1) AS tp
+              FROM (SELECT "default" AS y, CASE WHEN {pred} THEN 1 ELSE 0 END AS pr FROM curated))))"""
+
+
+def _spearman_ctes(cols: list[str]) -> str:
+    fill = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}" for c in cols)
+    ranks = ", ".join(f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+                      for c in cols)
+    pairs = "\n  UNION ALL ".join(f"SELECT '{a}' AS var_a, '{b}' AS var_b, ROUND(corr({a}, {b}), 6) AS rho FROM rk"
+                                  for i, a in enumerate(cols) for b in cols[i + 1:])
+    return f""", fz AS (SELECT {fill} FROM cleaned
+), rk AS (SELECT {ranks} FROM fz
+), sp AS ({pairs})"""
+
+
+RANKING14 = ["int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths", "avg_cur_bal",
+             "tot_hi_cred_lim", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "percent_bc_gt_75",
+             "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0"]
+IMPUTED = ["dti", "avg_cur_bal", "bc_open_to_buy", "inq_last_6mths"]
+
+SQL.update({
+    "r1_sample_fraction": with_cleaned(f"SELECT id, \"default\" FROM lt WHERE {_u(42)} < 0.005"),
+    "r2_sample_size": with_cleaned(f"SELECT id, int_rate FROM lt ORDER BY {_u(42)} LIMIT 500"),
+    "r3_stratified_split": with_curated(f"SELECT id, \"default\", {SPLIT} AS split FROM curated"),
+    "r3_exact_split": with_curated(f"""
+SELECT id, "default", CASE WHEN rn <= ROUND(cnt * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT id, "default", ROW_NUMBER() OVER (PARTITION BY "default" ORDER BY {_h(42)}) AS rn,
+             COUNT(*) OVER (PARTITION BY "default") AS cnt FROM curated)"""),
+    "r4_folds": with_curated(f"SELECT id, \"default\", CAST(FLOOR({_u('42|fold')} * 5) AS INTEGER) AS fold FROM curated"),
+    "u1_class_wise_union": with_curated(f"SELECT id, \"default\", {SPLIT} AS split FROM curated"),
+    "a13_split_audit": with_curated(f"""
+SELECT COALESCE(split, 'all') AS split, COUNT(*) AS n, ROUND(AVG(CAST("default" AS DOUBLE)), 6) AS default_rate
+FROM (SELECT *, {SPLIT} AS split FROM curated) GROUP BY ROLLUP (split)"""),
+    "f1_ordinal_index": with_curated(_ordinal(TRAIN) + """
+SELECT id, sub_grade, COALESCE(idx, (SELECT c FROM nl)) AS sub_grade_idx FROM curated LEFT JOIN lab USING (sub_grade)"""),
+    "f1b_ordinal_unseen_minus_one": with_curated(
+        _ordinal(f"(SELECT * FROM {TRAIN} WHERE sub_grade <> 'A1')") + """
+SELECT id, sub_grade, COALESCE(idx, -1.0) AS sub_grade_idx FROM curated LEFT JOIN lab USING (sub_grade)"""),
+    "f2_nominal_index": with_curated(f""", {_freq_index('purpose')}, {_freq_index('addr_state')},
+nlp AS (SELECT CAST(COUNT(*) AS DOUBLE) AS c FROM lab_purpose),
+nla AS (SELECT CAST(COUNT(*) AS DOUBLE) AS c FROM lab_addr_state)
+SELECT id, COALESCE(lab_purpose.idx, (SELECT c FROM nlp)) AS purpose_idx,
+  COALESCE(lab_addr_state.idx, (SELECT c FROM nla)) AS addr_state_idx
+FROM curated LEFT JOIN lab_purpose USING (purpose) LEFT JOIN lab_addr_state USING (addr_state)"""),
+    "f6_median_impute": with_curated(
+        ", med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in IMPUTED) + f" FROM {TRAIN})\n"
+        "SELECT id, " + ", ".join(f"ROUND(COALESCE(CAST({c} AS DOUBLE), m_{c}), 6) AS {c}" for c in IMPUTED)
+        + " FROM curated, med"),
+    "e1_metrics_scorecard": with_curated("SELECT * FROM " + _confusion_metrics("int_rate >= 12.0")),
+    "e2_weighted_metrics_scorecard": with_curated("""
+, c AS (SELECT COUNT_IF(y = 0 AND pr = 0) AS tn, COUNT_IF(y = 0 AND pr = 1) AS fp,
+               COUNT_IF(y = 1 AND pr = 0) AS fn, COUNT_IF(y = 1 AND pr = 1) AS tp
+        FROM (SELECT "default" AS y, CASE WHEN int_rate >= 12.0 THEN 1 ELSE 0 END AS pr FROM curated)
+), p AS (SELECT *, tn + fp + fn + tp AS n, tn + fp AS s0, fn + tp AS s1,
+    CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0 END AS p0, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p1,
+    CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS r0, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r1
+  FROM c
+), f AS (SELECT *, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0 END AS f0,
+                   CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END AS f1 FROM p)
+SELECT ROUND((tp + tn) / n, 6) AS accuracy, ROUND((s0 * p0 + s1 * p1) / n, 6) AS weighted_precision,
+  ROUND((s0 * r0 + s1 * r1) / n, 6) AS weighted_recall, ROUND((s0 * f0 + s1 * f1) / n, 6) AS weighted_f1 FROM f"""),
+    "e4_run_comparison": with_curated(f"""
+, a AS (SELECT * FROM {_confusion_metrics('int_rate >= 12.0')}),
+b AS (SELECT * FROM {_confusion_metrics('fico_range_high <= 700')})
+SELECT 'accuracy' AS metric, a.accuracy AS rate_cutoff, b.accuracy AS fico_cutoff FROM a, b
+UNION ALL SELECT 'precision', a.precision, b.precision FROM a, b
+UNION ALL SELECT 'recall', a.recall, b.recall FROM a, b
+UNION ALL SELECT 'f1_score', a.f1_score, b.f1_score FROM a, b"""),
+    "e5_case_selection": with_curated("""
+SELECT case_type, MIN(id) AS id FROM (
+  SELECT id, CASE WHEN "default" = 1 AND pr = 0 THEN 'false_negative'
+                  WHEN "default" = 0 AND pr = 0 THEN 'true_negative' END AS case_type
+  FROM (SELECT *, CASE WHEN int_rate >= 12.0 THEN 1 ELSE 0 END AS pr FROM curated))
+WHERE case_type IS NOT NULL GROUP BY case_type"""),
+    "t5_spearman_matrix": with_cleaned(_spearman_ctes(RANKING14) + "\nSELECT * FROM sp"),
+    "t6_prune_correlated": with_cleaned(_spearman_ctes(RANKING14) + numeric_vc("cleaned", RANKING14) + SEPARATION
+                                        + """
+, k AS (SELECT variable, ROUND(ks, 6) AS ks FROM sep)
+SELECT var_a, var_b, rho, ka.ks AS ks_a, kb.ks AS ks_b,
+  CASE WHEN ka.ks < kb.ks THEN var_a ELSE var_b END AS "drop"
+FROM sp JOIN k ka ON ka.variable = var_a JOIN k kb ON kb.variable = var_b WHERE ABS(rho) > 0.85"""),
+})
