@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import study as S
 from ..operators import association as AS
 from ..operators import correlation as CO
+from ..operators import explain as X
 from ..operators import features as FE
 from ..operators import models as M
 from ..operators import sampling as SA
@@ -21,6 +22,7 @@ from ..operators import distribution as D
 from ..operators import profile as A
 from ..operators import rankstats as RK
 from ..operators import recode as R
+from ..sources import files as FS
 
 T = S.TARGET
 
@@ -79,7 +81,21 @@ def s3_curated(spark, sf_dir):
 
 def s5_preview(spark, sf_dir):
     cols = ["id", "int_rate", "annual_inc", "revol_util", "inq_last_6mths"]
-    return _lt(spark, sf_dir).select(*cols).orderBy("id").limit(12)
+    return FS.preview(_lt(spark, sf_dir), cols, 12, "id")
+
+
+def s2_csv_roundtrip(spark, sf_dir):
+    """Raw loans written as gzip CSV by the executors, read back with the
+    explicit schema (no inference)."""
+    raw = S.loans(spark, sf_dir)
+    path = FS.write_csv(raw, FS.scratch_path(spark, "loans-csv"))
+    return FS.read_csv(spark, path, raw.schema, partitions=spark.sparkContext.defaultParallelism)
+
+
+def s4_curated_sink(spark, sf_dir):
+    path = FS.write_curated(_curated(spark, sf_dir), FS.scratch_path(spark, "curated"),
+                            S.FINAL_FEATURES, T, extra=["id"])
+    return spark.read.parquet(path)
 
 
 # --- P: projections / filters ---------------------------------------------
@@ -451,20 +467,50 @@ def _scorecard(spark, sf_dir):
     return df.withColumn("prediction", (F.col("int_rate") >= SCORECARD_CUTOFF).cast("int"))
 
 
+_FITTED: dict = {}
+
+
+def _memo(spark, sf_dir, name, build):
+    """Per-session memo of fitted models and grid results (small objects),
+    so queries that share a fit do not repeat it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
+def _forest(spark, sf_dir):
+    def build():
+        train, _ = _train_test(spark, sf_dir)
+        return M.fit(train, MODEL_NUMERIC, T, **FINAL_FOREST)[0]
+    return _memo(spark, sf_dir, "forest", build)
+
+
+def _grid(spark, sf_dir):
+    def build():
+        train, _ = _train_test(spark, sf_dir)
+        folded = SA.assign_folds(train, 5, 42)
+        rows = M.grid_search(folded, MODEL_NUMERIC, trees=(10, 50, 100), depths=(5, 10, 15), k=5).collect()
+        return [tuple(r) for r in rows]
+    rows = _memo(spark, sf_dir, "grid", build)
+    return spark.createDataFrame(rows, "max_depth int, n_estimators int, f1_score double")
+
+
 def m1_random_forest_scores(spark, sf_dir):
-    train, test = _train_test(spark, sf_dir)
-    model, _ = M.fit(train, MODEL_NUMERIC, T, **FINAL_FOREST)
-    return M.score(model, test, MODEL_NUMERIC).withColumn("p_default", F.round("p_default", 6))
+    _, test = _train_test(spark, sf_dir)
+    return M.score(_forest(spark, sf_dir), test, MODEL_NUMERIC).withColumn("p_default", F.round("p_default", 6))
 
 
 def m3_grid_search(spark, sf_dir):
-    train, _ = _train_test(spark, sf_dir)
-    folded = SA.assign_folds(train, 5, 42)
-    return M.grid_search(folded, MODEL_NUMERIC, trees=(10, 50, 100), depths=(5, 10, 15), k=5)
+    return _grid(spark, sf_dir)
+
+
+def a18_grid_pivot(spark, sf_dir):
+    return M.grid_pivot(_grid(spark, sf_dir))
 
 
 def a18_grid_best(spark, sf_dir):
-    return M.best_config(m3_grid_search(spark, sf_dir))
+    return M.best_config(_grid(spark, sf_dir))
 
 
 def e1_metrics_scorecard(spark, sf_dir):
@@ -476,9 +522,24 @@ def e2_weighted_metrics_scorecard(spark, sf_dir):
 
 
 def e3_model_evaluation(spark, sf_dir):
+    _, test = _train_test(spark, sf_dir)
+    return M.evaluate(M.score(_forest(spark, sf_dir), test, MODEL_NUMERIC), T)
+
+
+def e5_model_cases(spark, sf_dir):
+    _, test = _train_test(spark, sf_dir)
+    return M.pick_cases(M.score(_forest(spark, sf_dir), test, MODEL_NUMERIC), "id", T)
+
+
+def x1_explain_cases(spark, sf_dir):
+    """LIME-style weights for the first false negative and true negative of
+    the forest on the test split (the study's two explained cases)."""
     train, test = _train_test(spark, sf_dir)
-    model, _ = M.fit(train, MODEL_NUMERIC, T, **FINAL_FOREST)
-    return M.evaluate(M.score(model, test, MODEL_NUMERIC), T)
+    model = _forest(spark, sf_dir)
+    picked = e5_model_cases(spark, sf_dir).select("id")
+    cases = M.prepare(test, MODEL_NUMERIC).join(F.broadcast(picked), "id")
+    out = X.explain(model, M.prepare(train, MODEL_NUMERIC), cases, MODEL_NUMERIC, "id", n_samples=5000, top=8)
+    return out.withColumn("weight", F.round("weight", 6)).withColumn("intercept", F.round("intercept", 6))
 
 
 def e4_run_comparison(spark, sf_dir):

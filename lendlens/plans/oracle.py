@@ -65,6 +65,8 @@ def _missing(table: str, cols: list[str], pred: str, keep_zero: bool) -> str:
 SQL = {
     "s3_loans": with_loans("SELECT * FROM loans"),
     "s3_curated": with_curated("SELECT * FROM curated"),
+    "s2_csv_roundtrip": with_loans("SELECT * FROM loans"),
+    "s4_curated_sink": with_curated("SELECT * FROM curated"),
     "s5_preview": with_cleaned(
         "SELECT id, int_rate, annual_inc, revol_util, inq_last_6mths FROM lt ORDER BY id LIMIT 12"),
 

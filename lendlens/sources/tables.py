@@ -26,8 +26,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be a shared file system (HDFS, object store);
-    we only fall back to setting one when the session has none (tests).
+    On a cluster the session names a shared file system folder and we use
+    it as is.  Only when the setting is unset (local tests) do we set one
+    ourselves, under the SQL warehouse folder, which is shared storage
+    whenever the warehouse is.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -35,10 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if sc_dir.isDefined():
         return sc_dir.get()
-    raise RuntimeError(
-        "spark.checkpoint.dir is not set; set it to a shared folder before "
-        "materialising intermediate tables"
-    )
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    chosen = warehouse.rstrip("/") + "/_lendlens_checkpoints"
+    spark.sparkContext.setCheckpointDir(chosen)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
