@@ -63,7 +63,8 @@ def norm_cdf(z: Column) -> Column:
 
 
 def norm_ppf(p: Column) -> Column:
-    """Standard normal quantile as a JVM expression, for 0 < p < 1."""
+    """Standard normal quantile as a JVM expression, for 0 < p < 1
+    (rational approximation plus one Halley refinement step)."""
     q = p - F.lit(0.5)
     r = q * q
     central = (_horner(r, list(reversed(_PPF_A))) * q) / (_horner(r, list(reversed(_PPF_B))) * r + F.lit(1.0))
@@ -71,9 +72,13 @@ def norm_ppf(p: Column) -> Column:
     lower = _horner(ql, list(reversed(_PPF_C))) / (_horner(ql, list(reversed(_PPF_D))) * ql + F.lit(1.0))
     qu = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
     upper = -_horner(qu, list(reversed(_PPF_C))) / (_horner(qu, list(reversed(_PPF_D))) * qu + F.lit(1.0))
-    return (F.when(p < _PPF_LOW, lower)
-            .when(p > 1 - _PPF_LOW, upper)
-            .otherwise(central))
+    x = (F.when(p < _PPF_LOW, lower)
+         .when(p > 1 - _PPF_LOW, upper)
+         .otherwise(central))
+    # one Halley step against the CDF sharpens the far tails
+    e = norm_cdf(x) - p
+    u = e * F.lit(math.sqrt(2 * math.pi)) * F.exp(x * x / 2)
+    return x - u / (F.lit(1.0) + x * u / 2)
 
 
 # --------------------------------------------------------------------------

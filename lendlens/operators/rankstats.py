@@ -82,12 +82,15 @@ def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1
     key totals ``tot_<w>``."""
     keys = list(keys)
     weights = list(weights)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = vc.groupBy(*keys).agg(
-        F.percentile_approx(order, probs, max(10000, 20 * buckets)).alias("__cuts"))
-    vcb = (vc.join(F.broadcast(cuts), keys)
-             .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order))))
-             .drop("__cuts"))
+    if buckets <= 1:
+        vcb = vc.withColumn("__b", F.lit(0))
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = vc.groupBy(*keys).agg(
+            F.percentile_approx(order, probs, max(10000, 20 * buckets)).alias("__cuts"))
+        vcb = (vc.join(F.broadcast(cuts), keys)
+                 .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order))))
+                 .drop("__cuts"))
     btot = vcb.groupBy(*keys, "__b").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weights])
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)

@@ -342,6 +342,27 @@ def t12_normality_report(spark, sf_dir):
     return D.normality_report(_cleaned(spark, sf_dir), SHAPE_COLUMNS)
 
 
+def t11_shapiro_francia(spark, sf_dir):
+    return D.shapiro_francia(_cleaned(spark, sf_dir), SHAPE_COLUMNS).drop("sf_z")
+
+
+def t12_normality_full(spark, sf_dir):
+    return D.normality_report_full(_cleaned(spark, sf_dir), SHAPE_COLUMNS)
+
+
+def t4_holm_mann_whitney(spark, sf_dir):
+    """Holm over the Mann–Whitney p-values of the numeric features, with the
+    significance stars, p text and effect band (T4, P20, P21)."""
+    from ..functions import labels, special
+    st = RK.separation_stats(RK.separation_sums(RK.value_counts(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)))
+    p = F.least(F.lit(1.0), 2 * (1 - special.norm_cdf(F.abs("z_mwu"))))
+    out = AS.holm(st.select("variable", "rosenthal_r", p.alias("p_value")))
+    return out.select("variable", F.round("p_value", 6).alias("p_value"), F.round("p_holm", 6).alias("p_holm"),
+                      labels.stars("p_holm").alias("significance"), labels.p_text("p_holm").alias("p_text"),
+                      F.round("rosenthal_r", 6).alias("rosenthal_r"),
+                      labels.effect_band("rosenthal_r").alias("effect"))
+
+
 def h1_histogram_int_rate(spark, sf_dir):
     return D.histogram(_curated(spark, sf_dir), "int_rate", 30)
 

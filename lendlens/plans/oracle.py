@@ -499,3 +499,28 @@ SELECT var_a, var_b, rho, ka.ks AS ks_a, kb.ks AS ks_b,
   CASE WHEN ka.ks < kb.ks THEN var_a ELSE var_b END AS "drop"
 FROM sp JOIN k ka ON ka.variable = var_a JOIN k kb ON kb.variable = var_b WHERE ABS(rho) > 0.85"""),
 })
+
+
+def _phi_sql(z: str) -> str:
+    return f"(0.5 * {_erfc_sql('(-(' + z + ') / SQRT(2.0))')})"
+
+
+SQL.update({
+    "t4_holm_mann_whitney": with_curated(numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + f"""
+, zz AS (SELECT variable, u0, u1, big_n, big_n0, big_n1, tie3,
+    ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n) AS r,
+    (GREATEST(u0, u1) - big_n0 * big_n1 / 2.0 - 0.5)
+      / SQRT(big_n0 * big_n1 / 12.0 * ((big_n + 1) - tie3 / (big_n * (big_n - 1)))) AS z
+  FROM sep
+), pv AS (SELECT variable, r, LEAST(1.0, 2 * (1 - {_phi_sql('ABS(z)')})) AS p FROM zz
+), ho AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p, variable) AS i, COUNT(*) OVER () AS m FROM pv
+), adj AS (SELECT *, LEAST(1.0, MAX((m - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+                 AS ph FROM ho)
+SELECT variable, ROUND(p, 6) AS p_value, ROUND(ph, 6) AS p_holm,
+  CASE WHEN ph < 0.001 THEN '***' WHEN ph < 0.01 THEN '**' WHEN ph < 0.05 THEN '*' ELSE 'ns' END AS significance,
+  CASE WHEN ph < 0.001 THEN '< 0.001***' WHEN ph < 0.01 THEN printf('%.4f', ph) || '**'
+       WHEN ph < 0.05 THEN printf('%.4f', ph) || '*' ELSE printf('%.4f', ph) || ' (ns)' END AS p_text,
+  ROUND(r, 6) AS rosenthal_r,
+  CASE WHEN r < 0.1 THEN 'Negligible' WHEN r < 0.3 THEN 'Small' WHEN r < 0.5 THEN 'Medium' ELSE 'Large' END AS effect
+FROM adj"""),
+})
