@@ -62,9 +62,7 @@ def norm_cdf(z: Column) -> Column:
     return F.lit(0.5) * erfc(-z / F.lit(math.sqrt(2.0)))
 
 
-def norm_ppf(p: Column) -> Column:
-    """Standard normal quantile as a JVM expression, for 0 < p < 1
-    (rational approximation plus one Halley refinement step)."""
+def _norm_ppf_raw(p: Column) -> Column:
     q = p - F.lit(0.5)
     r = q * q
     central = (_horner(r, list(reversed(_PPF_A))) * q) / (_horner(r, list(reversed(_PPF_B))) * r + F.lit(1.0))
@@ -72,13 +70,30 @@ def norm_ppf(p: Column) -> Column:
     lower = _horner(ql, list(reversed(_PPF_C))) / (_horner(ql, list(reversed(_PPF_D))) * ql + F.lit(1.0))
     qu = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
     upper = -_horner(qu, list(reversed(_PPF_C))) / (_horner(qu, list(reversed(_PPF_D))) * qu + F.lit(1.0))
-    x = (F.when(p < _PPF_LOW, lower)
-         .when(p > 1 - _PPF_LOW, upper)
-         .otherwise(central))
-    # one Halley step against the CDF sharpens the far tails
-    e = norm_cdf(x) - p
-    u = e * F.lit(math.sqrt(2 * math.pi)) * F.exp(x * x / 2)
-    return x - u / (F.lit(1.0) + x * u / 2)
+    return (F.when(p < _PPF_LOW, lower)
+            .when(p > 1 - _PPF_LOW, upper)
+            .otherwise(central))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda over a
+    one-element array), so a large sub-expression is not copied into every
+    place it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def norm_ppf(p: Column) -> Column:
+    """Standard normal quantile as a JVM expression, for 0 < p < 1
+    (rational approximation plus one Halley refinement step)."""
+    def refine(x: Column) -> Column:
+        e = norm_cdf(x) - p
+        return _let(e * F.lit(math.sqrt(2 * math.pi)) * F.exp(x * x / 2),
+                    lambda u: x - u / (F.lit(1.0) + x * u / 2))
+    return _let(_norm_ppf_raw(p), refine)
+
+
+def norm_pdf(z: Column) -> Column:
+    return F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
 
 
 # --------------------------------------------------------------------------

@@ -303,17 +303,26 @@ def shapiro_francia(df: DataFrame, cols: list[str], buckets: int = RK.DEFAULT_BU
     vc = RK.value_counts(df, cols)
     cum = RK.cum_counts(vc, ["variable"], ["n"], buckets=buckets)
     tot = F.col("tot_n").cast("double")
-    n, cn, v = F.col("n").cast("double"), F.col("cn").cast("double"), F.col("value")
+    n, cn = F.col("n").cast("double"), F.col("cn").cast("double")
     denom = tot + 0.25
     a = cn - n + 1
-    m1 = special.norm_ppf((a - 0.375) / denom)
-    p1, p2 = (a - 0.875) / denom, (cn + 0.125) / denom
-    z1, z2 = special.norm_ppf(p1), special.norm_ppf(p2)
-    s1 = F.when(n == 1, m1).otherwise(denom * (_phi(z1) - _phi(z2)))
-    s2 = F.when(n == 1, m1 * m1).otherwise(denom * ((p2 - z2 * _phi(z2)) - (p1 - z1 * _phi(z1))))
-    g = cum.groupBy("variable").agg(
-        F.first("tot_n").alias("n_obs"), F.sum(n * v).alias("sx"), F.sum(n * v * v).alias("sxx"),
-        F.sum(s1).alias("sm"), F.sum(s2).alias("smm"), F.sum(v * s1).alias("sxm"))
+    # staged projections: each normal score is computed once per row
+    st = cum.select("variable", "tot_n", "value", n.alias("nn"), denom.alias("den"),
+                    ((a - 0.375) / denom).alias("pm"), ((a - 0.875) / denom).alias("p1"),
+                    ((cn + 0.125) / denom).alias("p2"))
+    st = st.select("*", special.norm_ppf(F.col("pm")).alias("m1"), special.norm_ppf(F.col("p1")).alias("z1"),
+                   special.norm_ppf(F.col("p2")).alias("z2"))
+    st = st.select("*", _phi(F.col("z1")).alias("f1"), _phi(F.col("z2")).alias("f2"))
+    nn, den, m1 = F.col("nn"), F.col("den"), F.col("m1")
+    s1 = F.when(nn == 1, m1).otherwise(den * (F.col("f1") - F.col("f2")))
+    s2 = F.when(nn == 1, m1 * m1).otherwise(
+        den * ((F.col("p2") - F.col("z2") * F.col("f2")) - (F.col("p1") - F.col("z1") * F.col("f1"))))
+    st = st.select("variable", "tot_n", "value", "nn", s1.alias("s1"), s2.alias("s2"))
+    v = F.col("value")
+    g = st.groupBy("variable").agg(
+        F.first("tot_n").alias("n_obs"), F.sum(F.col("nn") * v).alias("sx"),
+        F.sum(F.col("nn") * v * v).alias("sxx"),
+        F.sum("s1").alias("sm"), F.sum("s2").alias("smm"), F.sum(v * F.col("s1")).alias("sxm"))
     N = F.col("n_obs").cast("double")
     cov = F.col("sxm") - F.col("sx") * F.col("sm") / N
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / N

@@ -208,15 +208,17 @@ def confusion_long(df: DataFrame, label: str = "default", prediction: str = "pre
 
 
 # A16 / F7 ------------------------------------------------------------------
-def class_weights(df: DataFrame, target: str = "default") -> DataFrame:
-    """Balancing weight N / (2 * n_c) per class."""
+def class_weights(df: DataFrame, target: str = "default", rounded: bool = True) -> DataFrame:
+    """Balancing weight N / (2 * n_c) per class (rounded for reports)."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("weight", _round(row_count(df).cast("double") / (F.col("n") * 2.0)))
+    w = row_count(df).cast("double") / (F.col("n") * 2.0)
+    return counts.withColumn("weight", _round(w) if rounded else w)
 
 
 def with_class_weights(df: DataFrame, target: str = "default", out: str = "weight") -> DataFrame:
-    """Attach the class weight to every row (broadcast of one row per class)."""
-    w = class_weights(df, target).select(target, F.col("weight").alias(out))
+    """Attach the exact class weight to every row (broadcast of one row per
+    class)."""
+    w = class_weights(df, target, rounded=False).select(target, F.col("weight").alias(out))
     return df.join(F.broadcast(w), target, "left")
 
 

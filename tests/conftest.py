@@ -17,6 +17,7 @@ def spark():
     s = (SparkSession.builder.master("local[8]")
          .appName("lendlens-tests")
          .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
