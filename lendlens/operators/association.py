@@ -32,8 +32,11 @@ def target_counts(df: DataFrame, cols: list[str], target: str = "default", nulls
     m = melt(df, cols, ids=[target], cast="string")
     if nulls == "drop":
         m = m.filter(F.col("value").isNotNull())
-    return m.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"),
-                                             F.sum(F.col(target).cast("long")).alias("n1"))
+    tc = m.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"),
+                                           F.sum(F.col(target).cast("long")).alias("n1"))
+    # read twice (margins and cells): write once to the shared checkpoint folder
+    from ..sources.tables import materialize
+    return materialize(tc, "level-target-counts")
 
 
 def chi_square_vs_target(tc: DataFrame, min_levels: int = 2) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql.types import DoubleType
 from ..functions import labels, special
 from . import rankstats as RK
 from .association import holm
-from .profile import melt, row_count
 
 ROUND = 6
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -51,17 +50,20 @@ def moments(vc: DataFrame, keys=("variable",)) -> DataFrame:
 def numeric_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     """Mean, sd, min, max, exact quartiles, IQR and missing share per
     column; one scan, everything else from the value counts."""
-    vc = RK.value_counts(df, cols)
+    vc_all = RK.value_counts(df, cols, keep_missing=True)
+    vc = vc_all.filter(F.col("value").isNotNull())
+    missing = vc_all.groupBy("variable").agg(
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
+        F.sum("n").alias("n_all"))
     mom = moments(vc)
     q = RK.quantiles(vc, ["variable"], QUARTILES)
-    total = row_count(df)
-    out = mom.join(F.broadcast(q), "variable")
+    out = mom.join(F.broadcast(q), "variable").join(F.broadcast(missing), "variable")
     return out.select(
         "variable", _r(F.col("mean")).alias("mean"), _r(F.col("sd")).alias("sd"),
         _r(F.col("min")).alias("min"), _r(F.col("max")).alias("max"),
         _r(F.col("q1")).alias("q1"), _r(F.col("median")).alias("median"), _r(F.col("q3")).alias("q3"),
         _r(F.col("q3") - F.col("q1")).alias("iqr"),
-        _r((total - F.col("n_obs")) / total * 100).alias("null_pct"))
+        _r(F.col("n_missing") / F.col("n_all") * 100).alias("null_pct"))
 
 
 # ---------------------------------------------------------------------------
@@ -75,6 +77,7 @@ def median_mad(vc: DataFrame, keys=("variable",)) -> DataFrame:
     dev = (vc.join(F.broadcast(med), keys)
              .select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"), "n")
              .groupBy(*keys, "value").agg(F.sum("n").alias("n")))
+    dev = RK._materialize(dev, "abs-deviations")
     mad = RK.quantiles(dev, keys, {"mad": 0.5})
     return med.join(F.broadcast(mad), keys)
 
@@ -207,10 +210,25 @@ def box_stats(df: DataFrame, cols: list[str], target: str = "default") -> DataFr
 
 def shape(df: DataFrame, cols: list[str]) -> DataFrame:
     """T7 + T8: population skewness, excess kurtosis and Jarque–Bera with
-    its chi-square(2) p-value exp(-JB/2), per column (one grouped job)."""
-    m = melt(df, cols, cast="double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    g = m.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.skewness("value").alias("skew"),
-                                  F.kurtosis("value").alias("kurt"))
+    its chi-square(2) p-value exp(-JB/2), per column."""
+    return shape_vc(RK.value_counts(df, cols))
+
+
+def shape_vc(vc: DataFrame) -> DataFrame:
+    """T7 + T8 from value counts: central moments by a second pass over the
+    (small) counts joined with the per-variable mean."""
+    mom = vc.groupBy("variable").agg(F.sum("n").alias("n_obs"),
+                                     (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mu"))
+    d = vc.join(F.broadcast(mom), "variable").select(
+        "variable", "n", "n_obs", (F.col("value") - F.col("mu")).alias("dv"))
+    dv, n = F.col("dv"), F.col("n")
+    c = d.groupBy("variable").agg(F.first("n_obs").alias("n"),
+                                  (F.sum(n * dv * dv) / F.first("n_obs")).alias("m2"),
+                                  (F.sum(n * dv * dv * dv) / F.first("n_obs")).alias("m3"),
+                                  (F.sum(n * dv * dv * dv * dv) / F.first("n_obs")).alias("m4"))
+    sk = F.try_divide(F.col("m3"), F.pow("m2", 1.5))
+    ku = F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")) - 3
+    g = c.select("variable", "n", sk.alias("skew"), ku.alias("kurt"))
     jb = F.col("n") / 6 * (F.col("skew") ** 2 + F.col("kurt") ** 2 / 4)
     return g.select("variable", "n", _r(F.col("skew")).alias("skewness"), _r(F.col("kurt")).alias("kurtosis"),
                     F.round(jb, 3).alias("jarque_bera"), _r(F.exp(-jb / 2)).alias("jb_p"))
@@ -223,12 +241,14 @@ def _ks_p_udf(d, n):
                       for a, b in zip(d, n)])
 
 
-def normality_report(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
+def normality_report(df: DataFrame, cols: list[str], alpha: float = 0.05, vc: DataFrame | None = None) -> DataFrame:
     """Skewness, kurtosis, Jarque–Bera, K-S against the normal and a
     verdict (normal iff every p > alpha), sorted by skewness.  Missing values
-    are dropped per variable, not row-wise across all variables."""
-    sh = shape(df, cols)
-    ks = RK.ks_normal(df, cols).select("variable", "ks_normal", F.col("N").alias("n_ks"))
+    are dropped per variable, not row-wise across all variables.  One value
+    count table feeds every test."""
+    vc = vc if vc is not None else RK.value_counts(df, cols)
+    sh = shape_vc(vc)
+    ks = RK.ks_normal_vc(vc).select("variable", "ks_normal", F.col("N").alias("n_ks"))
     out = sh.join(F.broadcast(ks), "variable")
     out = out.withColumn("ks_p", _ks_p_udf(F.col("ks_normal"), F.col("n_ks").cast("double")))
     normal = (F.col("jb_p") > alpha) & (F.col("ks_p") > alpha)
@@ -289,6 +309,11 @@ def _phi(z: Column) -> Column:
 
 
 def shapiro_francia(df: DataFrame, cols: list[str], buckets: int = RK.DEFAULT_BUCKETS) -> DataFrame:
+    """T11 on a table; see :func:`shapiro_francia_vc`."""
+    return shapiro_francia_vc(RK.value_counts(df, cols), buckets)
+
+
+def shapiro_francia_vc(vc: DataFrame, buckets: int = RK.DEFAULT_BUCKETS) -> DataFrame:
     """T11 (re-aimed): Shapiro–Francia W' = corr(x_(i), m_i)^2 with normal
     scores m_i = Phi^-1((i - 3/8) / (N + 1/4)), on the full column.
 
@@ -300,7 +325,6 @@ def shapiro_francia(df: DataFrame, cols: list[str], buckets: int = RK.DEFAULT_BU
     rule), so a value held by a third of the rows is still one row.  The
     p-value uses Royston's (1993) normal approximation of ln(1 - W').
     """
-    vc = RK.value_counts(df, cols)
     cum = RK.cum_counts(vc, ["variable"], ["n"], buckets=buckets)
     tot = F.col("tot_n").cast("double")
     n, cn = F.col("n").cast("double"), F.col("cn").cast("double")
@@ -339,8 +363,9 @@ def shapiro_francia(df: DataFrame, cols: list[str], buckets: int = RK.DEFAULT_BU
 def normality_report_full(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
     """T12 with all three tests: Jarque–Bera, K-S against the normal and
     Shapiro–Francia; normal iff every p > alpha; sorted by skewness."""
-    base = normality_report(df, cols, alpha).drop("normal")
-    sf = shapiro_francia(df, cols).withColumn("sf_p", special.norm_sf_udf(F.col("sf_z"))).drop("sf_z", "n_obs")
+    vc = RK.value_counts(df, cols)
+    base = normality_report(df, cols, alpha, vc=vc).drop("normal")
+    sf = shapiro_francia_vc(vc).withColumn("sf_p", special.norm_sf_udf(F.col("sf_z"))).drop("sf_z", "n_obs")
     out = base.join(F.broadcast(sf), "variable")
     normal = (F.col("jb_p") > alpha) & (F.col("ks_p") > alpha) & (F.col("sf_p") > alpha)
     return out.withColumn("normal", labels.yes_no(normal)).orderBy(F.col("skewness").desc(), "variable")

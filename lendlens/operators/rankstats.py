@@ -45,18 +45,34 @@ def _r(c: Column) -> Column:
 # value counts and running counts
 # ---------------------------------------------------------------------------
 
-def value_counts(df: DataFrame, cols: list[str], target: str | None = None) -> DataFrame:
+def value_counts(df: DataFrame, cols: list[str], target: str | None = None,
+                 materialize: bool = True, keep_missing: bool = False) -> DataFrame:
     """``(variable, value, n[, n1])`` over non-missing values of numeric ``cols``.
 
-    ``n1`` is the number of rows with ``target == 1`` (binary target).
+    ``n1`` is the number of rows with ``target == 1`` (binary target).  The
+    table is the reduced form every rank statistic starts from and is read
+    by several branches of a report (cut points, bucket totals, running
+    counts, moments...).  With ``materialize`` it is written once to the
+    shared checkpoint folder and read back, so the source is scanned once
+    per report and the lineage is cut (an executor loss re-reads the
+    table, it does not re-run the joins and scans above it).
     """
     ids = [target] if target else []
     m = melt(df, cols, ids=ids, cast="double")
-    m = m.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    if keep_missing:   # NULL and NaN become one NULL level (missing count)
+        m = m.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    else:
+        m = m.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     aggs = [F.count(F.lit(1)).alias("n")]
     if target:
         aggs.append(F.sum(F.col(target).cast("long")).alias("n1"))
-    return m.groupBy("variable", "value").agg(*aggs)
+    vc = m.groupBy("variable", "value").agg(*aggs)
+    return _materialize(vc, "value-counts") if materialize else vc
+
+
+def _materialize(df: DataFrame, name: str) -> DataFrame:
+    from ..sources.tables import materialize
+    return materialize(df, name)
 
 
 def by_class(vc: DataFrame, cls: str = "cls") -> DataFrame:
@@ -238,13 +254,13 @@ def auc(df: DataFrame, score: str, label: str = "default", buckets: int = DEFAUL
 
 
 def ks_normal(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """K-S distance of the standardised column (sd with n-1) to N(0,1).
+    """K-S distance of the standardised column (sd with n-1) to N(0,1)."""
+    return ks_normal_vc(value_counts(df, cols), buckets)
 
-    The ECDF jumps at each distinct value from (cn - n)/N to cn/N; Phi is
-    evaluated in the JVM, per distinct value, so this is one pass over the
-    value counts.
-    """
-    vc = value_counts(df, cols)
+
+def ks_normal_vc(vc: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """T10 from value counts.  The ECDF jumps at each distinct value from
+    (cn - n)/N to cn/N; Phi is evaluated in the JVM once per distinct value."""
     mom = vc.groupBy("variable").agg(
         F.sum("n").alias("n_obs"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
     sd = (vc.join(F.broadcast(mom), "variable")
@@ -253,7 +269,9 @@ def ks_normal(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS) ->
                         / (F.first("n_obs") - 1)).alias("sd"), F.first("mean").alias("mean"),
                  F.first("n_obs").alias("n_obs")))
     cum = cum_counts(vc, ["variable"], ["n"], buckets=buckets).join(F.broadcast(sd), "variable")
-    phi = special.norm_cdf((F.col("value") - F.col("mean")) / F.col("sd"))
+    cum = cum.select("variable", "n", "cn", "n_obs",
+                     special.norm_cdf((F.col("value") - F.col("mean")) / F.col("sd")).alias("phi"))
+    phi = F.col("phi")
     total = F.col("n_obs").cast("double")
     d = F.greatest(F.col("cn") / total - phi, phi - (F.col("cn") - F.col("n")) / total)
     return cum.groupBy("variable").agg(F.first("n_obs").alias("N"), F.max(d).alias("ks_normal"))
