@@ -7,27 +7,65 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from . import rankstats as RK
 
 
-def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True,
-                    lower_only: bool = True) -> DataFrame:
+def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True,
+                    method: str = "ranks", broadcast_rows: int = 2_000_000) -> DataFrame:
     """T5: Spearman rho of every pair, long form ``(var_a, var_b, rho)``.
 
-    MLlib ranks each column with a distributed sort (average ranks for ties)
-    and runs Pearson on the ranks.  Missing values become 0 first, as in the
-    study (P17) -- this shifts ranks; ``fill_zero=False`` drops incomplete
-    rows instead.  Only the k x k matrix (k = number of columns) reaches the
-    driver.
+    Missing values become 0 first, as in the study (P17) -- this shifts
+    ranks; ``fill_zero=False`` drops incomplete rows instead.
+
+    ``method='ranks'`` (default): average ranks per distinct value come from
+    the value counts and running counts (no global sort); each column is
+    joined to its rank table -- broadcast when the column has at most
+    ``broadcast_rows`` distinct values (the count is known from the value
+    counts, so the broadcast size is checked), otherwise a shuffle join on
+    that column -- and one aggregate computes all k(k-1)/2 Pearson
+    correlations of the ranks.  ``method='mllib'`` uses MLlib's
+    ``Correlation.corr`` (distributed sort plus a regroup by row).
     """
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     data = data.fillna(0.0) if fill_zero else data.dropna()
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(data).select("__v")
-    mat = Correlation.corr(vec, "__v", "spearman").first()[0].toArray()
-    rows = [(cols[i], cols[j], float(round(mat[i, j], 6)))
-            for i in range(len(cols)) for j in range(len(cols))
-            if (i < j if lower_only else True)]
-    return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, rho double")
+    if method == "mllib":
+        vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(data).select("__v")
+        mat = Correlation.corr(vec, "__v", "spearman").first()[0].toArray()
+        rows = [(cols[i], cols[j], float(round(mat[i, j], 6)))
+                for i in range(len(cols)) for j in range(len(cols))
+                if (i < j if lower_only else True)]
+        return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, rho double")
+
+    data = materialize(data, "spearman-input")
+    vc = RK.value_counts(data, cols)
+    cum = RK.cum_counts(vc, ["variable"], ["n"])
+    ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank")),
+                        "avg-ranks")
+    sizes = {r["variable"]: r["k"] for r in ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("k")).collect()}
+    ranked = data
+    for c in cols:
+        rc = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("rank").alias(f"__r_{c}"))
+        rc = F.broadcast(rc) if sizes.get(c, 0) <= broadcast_rows else rc
+        ranked = ranked.join(rc, c, "left")
+    # centred ranks: the mean rank of every column is (N + 1) / 2, so the
+    # Pearson correlation needs only sums of products (one cheap aggregate)
+    mid = (data.select(F.count(F.lit(1))).scalar() + 1) / 2
+    cen = ranked.select(*[(F.col(f"__r_{c}") - mid).alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    sq = {c: F.col(f"ss_{c}") for c in cols}
+    sums = cen.agg(*[F.sum(F.col(c) * F.col(c)).alias(f"ss_{c}") for c in cols],
+                   *[F.sum(F.col(a) * F.col(b)).alias(f"sp_{i}") for i, (a, b) in enumerate(pairs)])
+    rho = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
+                    F.round(F.try_divide(F.col(f"sp_{i}"), F.sqrt(sq[a] * sq[b])), 6).alias("rho"))
+           for i, (a, b) in enumerate(pairs)]
+    if not lower_only:
+        rho += [F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"),
+                         F.round(F.try_divide(F.col(f"sp_{i}"), F.sqrt(sq[a] * sq[b])), 6).alias("rho"))
+                for i, (a, b) in enumerate(pairs)]
+        rho += [F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"), F.lit(1.0).alias("rho")) for c in cols]
+    long = sums.select(F.explode(F.array(*rho)).alias("p")).select("p.*")
+    return long
 
 
 def prune_correlated(df: DataFrame, cols: list[str], target: str = "default",
