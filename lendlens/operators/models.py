@@ -210,7 +210,11 @@ def weighted_metrics(cm: DataFrame) -> DataFrame:
 def evaluate(pred: DataFrame, label: str = "default", score_col: str = "p_default") -> DataFrame:
     """E1 + E2 + E3 in long form ``(metric, value)``: class-1 metrics and
     weighted metrics from one confusion aggregate, the exact AUC from value
-    counts and MLlib's binned AUC for comparison."""
+    counts and MLlib's binned AUC for comparison.  The scored rows are
+    written once (scoring is the expensive part; four metric families read
+    them)."""
+    from ..sources.tables import materialize
+    pred = materialize(pred.select(label, "prediction", score_col), "scored-rows")
     cm = confusion(pred, label, "prediction")
     m1 = metrics_from_confusion(cm)
     m2 = weighted_metrics(cm)
