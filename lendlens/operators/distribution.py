@@ -308,12 +308,12 @@ def _phi(z: Column) -> Column:
     return F.exp(-z * z / 2) / _SQRT_2PI
 
 
-def shapiro_francia(df: DataFrame, cols: list[str], buckets: int = RK.DEFAULT_BUCKETS) -> DataFrame:
+def shapiro_francia(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """T11 on a table; see :func:`shapiro_francia_vc`."""
     return shapiro_francia_vc(RK.value_counts(df, cols), buckets)
 
 
-def shapiro_francia_vc(vc: DataFrame, buckets: int = RK.DEFAULT_BUCKETS) -> DataFrame:
+def shapiro_francia_vc(vc: DataFrame, buckets: int | None = None) -> DataFrame:
     """T11 (re-aimed): Shapiro–Francia W' = corr(x_(i), m_i)^2 with normal
     scores m_i = Phi^-1((i - 3/8) / (N + 1/4)), on the full column.
 

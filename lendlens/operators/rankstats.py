@@ -35,6 +35,8 @@ from .profile import melt
 
 ROUND = 6
 DEFAULT_BUCKETS = 64
+MAX_BUCKETS = 8192
+VALUES_PER_BUCKET = 2_000_000
 
 
 def _r(c: Column) -> Column:
@@ -91,13 +93,22 @@ def totals(vc: DataFrame, keys: list[str], weights=("n", "n1")) -> DataFrame:
                                  F.count(F.lit(1)).alias("n_values"))
 
 
+def _auto_buckets(vc: DataFrame, keys: list[str]) -> int:
+    """Enough buckets that a (key, bucket) window holds about
+    ``VALUES_PER_BUCKET`` distinct values at most (64 .. 8192)."""
+    widest = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    return int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, math.ceil(widest / VALUES_PER_BUCKET))))
+
+
 def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1"),
-               order: str = "value", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               order: str = "value", buckets: int | None = None) -> DataFrame:
     """Inclusive running sums ``c<w>`` of each weight in ascending ``order``
     within each key group (``order`` must be unique within a key), plus the
     key totals ``tot_<w>``."""
     keys = list(keys)
     weights = list(weights)
+    if buckets is None:
+        buckets = _auto_buckets(vc, keys)
     if buckets <= 1:
         vcb = vc.withColumn("__b", F.lit(0))
     else:
@@ -126,7 +137,7 @@ def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1
 # ---------------------------------------------------------------------------
 
 def quantiles(vc: DataFrame, keys: list[str], probs: dict[str, float], weight: str = "n",
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """Exact quantiles per key from the value counts.
 
     For probability p with N values, h = (N-1)p; the result interpolates
@@ -157,7 +168,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float]) ->
 # class separation of numeric columns vs a binary target
 # ---------------------------------------------------------------------------
 
-def separation_sums(vc: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def separation_sums(vc: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per variable: N, N1, KS, centred rank sums and tie sums.
 
     Ranks are average ranks of tie groups: rank = cn - (n - 1) / 2.  Sums
@@ -208,7 +219,7 @@ def separation_stats(sums: DataFrame) -> DataFrame:
 
 
 def numeric_ranking(df: DataFrame, cols: list[str], target: str = "default",
-                    top: int | None = 20, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    top: int | None = 20, buckets: int | None = None) -> DataFrame:
     """Spearman rho, Kendall tau-b and two-sample KS of every numeric
     column against the target, ranked by |tau| (top ``top``)."""
     st = separation_stats(separation_sums(value_counts(df, cols, target), buckets))
@@ -219,7 +230,7 @@ def numeric_ranking(df: DataFrame, cols: list[str], target: str = "default",
 
 
 def mann_whitney(df: DataFrame, cols: list[str], target: str = "default",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """T14 + T15: U, asymptotic two-sided p (tie + continuity corrected),
     Rosenthal z and r (no corrections), AUC."""
     st = separation_stats(separation_sums(value_counts(df, cols, target), buckets))
@@ -234,7 +245,7 @@ def mann_whitney(df: DataFrame, cols: list[str], target: str = "default",
 # ---------------------------------------------------------------------------
 
 def roc_curve(df: DataFrame, score: str, label: str = "default",
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """One point per distinct score: predicting 1 for scores >= threshold
     gives (fpr, tpr).  Exact, no binning; the point (0, 0) is implicit."""
     vc = value_counts(df.select(F.col(score).cast("double").alias("score"), label), ["score"], label)
@@ -246,19 +257,19 @@ def roc_curve(df: DataFrame, score: str, label: str = "default",
                       _r(tp / F.col("tot_n1")).alias("tpr"))
 
 
-def auc(df: DataFrame, score: str, label: str = "default", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str = "default", buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC = U / (N1 N0) (trapezoid area with ties as diagonals)."""
     vc = value_counts(df.select(F.col(score).cast("double").alias("score"), label), ["score"], label)
     st = separation_stats(separation_sums(vc, buckets))
     return st.select(_r(F.col("auc")).alias("auc"), "N", "N1")
 
 
-def ks_normal(df: DataFrame, cols: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def ks_normal(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """K-S distance of the standardised column (sd with n-1) to N(0,1)."""
     return ks_normal_vc(value_counts(df, cols), buckets)
 
 
-def ks_normal_vc(vc: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def ks_normal_vc(vc: DataFrame, buckets: int | None = None) -> DataFrame:
     """T10 from value counts.  The ECDF jumps at each distinct value from
     (cn - n)/N to cn/N; Phi is evaluated in the JVM once per distinct value."""
     mom = vc.groupBy("variable").agg(
