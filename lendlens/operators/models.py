@@ -214,7 +214,9 @@ def evaluate(pred: DataFrame, label: str = "default", score_col: str = "p_defaul
     written once (scoring is the expensive part; four metric families read
     them)."""
     from ..sources.tables import materialize
-    pred = materialize(pred.select(label, "prediction", score_col), "scored-rows")
+    pred = materialize(pred.select(F.col(label).cast("double").alias(label),
+                                   F.col("prediction").cast("double").alias("prediction"), score_col),
+                       "scored-rows")
     cm = confusion(pred, label, "prediction")
     m1 = metrics_from_confusion(cm)
     m2 = weighted_metrics(cm)
@@ -228,7 +230,11 @@ def evaluate(pred: DataFrame, label: str = "default", score_col: str = "p_defaul
     long2 = m2.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
                                          for c in cols2])).alias("m")).select("m.*")
     long3 = auc.select(F.lit("auc_exact").alias("metric"), F.col("auc_exact").alias("value"))
-    long4 = pred.sparkSession.createDataFrame([("auc_binned", float(round(binned, 6)))], "metric string, value double")
+    mc = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction")
+    mllib = [("auc_binned", binned)] + [(f"mllib_{m}", mc.evaluate(pred, {mc.metricName: m}))
+                                        for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")]
+    long4 = pred.sparkSession.createDataFrame([(k, float(round(v, 6))) for k, v in mllib],
+                                              "metric string, value double")
     return long1.unionByName(long2).unionByName(long3).unionByName(long4)
 
 

@@ -265,6 +265,12 @@ def a15_confusion_scorecard(spark, sf_dir):
     return A.confusion(df, T, "prediction")
 
 
+def a15_confusion_long(spark, sf_dir):
+    df = _curated(spark, sf_dir).withColumn(
+        "prediction", (F.col("int_rate") >= SCORECARD_CUTOFF).cast("double"))
+    return A.confusion_long(df, T, "prediction")
+
+
 def a16_class_weights(spark, sf_dir):
     return A.class_weights(_curated(spark, sf_dir), T)
 

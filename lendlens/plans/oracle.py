@@ -170,6 +170,9 @@ FROM curated GROUP BY sub_grade"""),
 , p AS (SELECT "default" AS y, CASE WHEN int_rate >= 12.0 THEN 1 ELSE 0 END AS pr FROM curated)
 SELECT COUNT_IF(y = 0 AND pr = 0) AS tn, COUNT_IF(y = 0 AND pr = 1) AS fp,
        COUNT_IF(y = 1 AND pr = 0) AS fn, COUNT_IF(y = 1 AND pr = 1) AS tp FROM p"""),
+    "a15_confusion_long": with_curated("""
+SELECT "default", CASE WHEN int_rate >= 12.0 THEN 1 ELSE 0 END AS prediction, COUNT(*) AS n
+FROM curated GROUP BY ALL"""),
     "a16_class_weights": with_curated("""
 SELECT "default", COUNT(*) AS n,
   ROUND(CAST((SELECT COUNT(*) FROM curated) AS DOUBLE) / (COUNT(*) * 2.0), 6) AS weight
