@@ -53,16 +53,31 @@ PATTERN_COLUMNS = ["dti", "avg_cur_bal", "bc_open_to_buy", "emp_length", "title"
                    "mths_since_last_record"]
 
 
+_DERIVED: dict = {}
+
+
+def _derived(spark, sf_dir, name, build):
+    """Derived tables written once per session and source folder to the
+    shared checkpoint folder (the study exports its curated table the same
+    way); every report then starts from a Parquet scan of the full derived
+    table instead of re-planning and re-running the source joins."""
+    from ..sources.tables import materialize
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DERIVED:
+        _DERIVED[key] = materialize(build(), f"derived-{name}")
+    return _DERIVED[key]
+
+
 def _lt(spark, sf_dir):
-    return S.loans_with_target(spark, sf_dir)
+    return _derived(spark, sf_dir, "loans-with-target", lambda: S.loans_with_target(spark, sf_dir))
 
 
 def _cleaned(spark, sf_dir):
-    return S.cleaned_loans(spark, sf_dir)
+    return _derived(spark, sf_dir, "cleaned", lambda: S.recode_loans(_lt(spark, sf_dir)))
 
 
 def _curated(spark, sf_dir):
-    return S.curated_loans(spark, sf_dir)
+    return _cleaned(spark, sf_dir).select(*S.FINAL_FEATURES, T, "id")
 
 
 def _reduced(spark, sf_dir):
@@ -76,7 +91,9 @@ def s3_loans(spark, sf_dir):
 
 
 def s3_curated(spark, sf_dir):
-    return _curated(spark, sf_dir)
+    """The full preparation plan from the raw tables (filters pushed to the
+    orders scan, columns pruned at every scan)."""
+    return S.curated_loans(spark, sf_dir)
 
 
 def s5_preview(spark, sf_dir):
