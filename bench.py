@@ -52,9 +52,14 @@ def main() -> None:
         ckpt = tempfile.mkdtemp(prefix="lendlens-bench-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(ckpt)
 
-    _force(C.QUERIES["a12_default_rate_by_sub_grade"](spark, sf_dir))  # warm-up
+    _force(C.QUERIES["s3_loans"](spark, sf_dir))  # warm-up (JVM, codegen)
 
     times: dict[str, float] = {}
+    # the session's derived loan tables are written once; time that here so
+    # the reports below do not hide it
+    t0 = time.time()
+    C._cleaned(spark, sf_dir)
+    times["derived_tables"] = round(time.time() - t0, 3)
     for name in HEADLINE:
         t0 = time.time()
         _force(C.QUERIES[name](spark, sf_dir))
