@@ -582,7 +582,8 @@ def x1_explain_cases(spark, sf_dir):
     model = _forest(spark, sf_dir)
     picked = e5_model_cases(spark, sf_dir).select("id")
     cases = M.prepare(test, MODEL_NUMERIC).join(F.broadcast(picked), "id")
-    out = X.explain(model, M.prepare(train, MODEL_NUMERIC), cases, MODEL_NUMERIC, "id", n_samples=5000, top=8)
+    out = X.explain(model, M.prepare(train, MODEL_NUMERIC), cases, MODEL_NUMERIC, "id", n_samples=5000, top=8,
+                    categorical=S.CATEGORICAL_FEATURES)
     return out.withColumn("weight", F.round("weight", 6)).withColumn("intercept", F.round("intercept", 6))
 
 
