@@ -71,9 +71,33 @@ class ClassWeigher(Estimator, HasLabelCol, HasWeightCol):
 # model
 # ---------------------------------------------------------------------------
 
+def _parse_mb(text: str) -> float:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    text = text.strip().lower().rstrip("b")
+    return float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text)   # bare number = MiB
+
+
+def forest_memory_mb(spark=None) -> int:
+    """Split-statistics budget per task: half of the heap share of one task
+    slot (local: JVM heap / cores; cluster: executor memory / executor
+    cores), clamped to MLlib's default 256 MB .. 1 GB."""
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return 256
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        heap_mb = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1024 * 1024)
+        slots = sc.defaultParallelism
+    else:
+        heap_mb = _parse_mb(spark.conf.get("spark.executor.memory", "1g"))
+        slots = int(spark.conf.get("spark.executor.cores", "1"))
+    return int(min(1024, max(256, heap_mb / (2 * max(1, slots)))))
+
+
 def random_forest(num_trees: int = 100, max_depth: int = 15, max_bins: int = 64, min_instances: int = 1,
                   seed: int = 42, label: str = "default", weight: str | None = "weight",
-                  max_memory_mb: int = 1024) -> RandomForestClassifier:
+                  max_memory_mb: int | None = None) -> RandomForestClassifier:
     """M1/M2.  ``max_bins`` must exceed the largest number of levels of an
     indexed categorical (+1 for the unseen slot): 32 fails on a 36-level
     column, hence 64.
@@ -86,7 +110,8 @@ def random_forest(num_trees: int = 100, max_depth: int = 15, max_bins: int = 64,
     """
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                 maxBins=max_bins, minInstancesPerNode=min_instances, seed=seed,
-                                maxMemoryInMB=max_memory_mb, cacheNodeIds=True, checkpointInterval=10)
+                                maxMemoryInMB=max_memory_mb or forest_memory_mb(),
+                                cacheNodeIds=True, checkpointInterval=10)
     if weight:
         rf.setWeightCol(weight)
     return rf
