@@ -37,7 +37,7 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
                 if (i < j if lower_only else True)]
         return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, rho double")
 
-    data = materialize(data, "spearman-input")
+    data = materialize(data, "spearman-input", spread=True)
     vc = RK.value_counts(data, cols)
     cum = RK.cum_counts(vc, ["variable"], ["n"])
     ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank")),

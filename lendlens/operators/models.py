@@ -133,7 +133,7 @@ def _training_table(train: DataFrame, numeric: list[str], label: str) -> DataFra
     this table instead of re-running the scans and joins that produced it."""
     from ..sources.tables import checkpoint_dir, materialize
     checkpoint_dir(train.sparkSession)   # forest node-id checkpoints need it too
-    return materialize(prepare(train, numeric, label), "training-rows")
+    return materialize(prepare(train, numeric, label), "training-rows", spread=True)
 
 
 def fit(train: DataFrame, numeric: list[str], label: str = "default", **rf_args) -> tuple[PipelineModel, float]:

@@ -64,7 +64,7 @@ def _derived(spark, sf_dir, name, build):
     from ..sources.tables import materialize
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _DERIVED:
-        _DERIVED[key] = materialize(build(), f"derived-{name}")
+        _DERIVED[key] = materialize(build(), f"derived-{name}", spread=True)
     return _DERIVED[key]
 
 

@@ -43,21 +43,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, name: str, min_partitions: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     This cuts lineage the fault-tolerant way: the table lives on shared
     storage, so losing an executor only re-runs the tasks of the read,
     never the whole upstream plan (unlike ``cache``/``localCheckpoint``).
 
-    A table with fewer partitions than the cluster's default parallelism
-    (e.g. derived from one small input file) is spread round-robin first,
-    so later narrow stages (model fitting, scoring, perturbation) use every
-    core; large inputs already have more splits and are written as they are.
+    With ``spread``, a table with fewer partitions than the cluster's
+    default parallelism (e.g. derived from one small input file) is spread
+    round-robin first, so later narrow stages (model fitting, scoring,
+    perturbation, row-wise joins) use every core; large inputs already have
+    more splits and are written as they are.  Tables that only feed
+    shuffles (value counts) are not spread.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    want = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < want:
         df = df.repartition(want)
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
