@@ -43,11 +43,19 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
     ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank")),
                         "avg-ranks")
     sizes = {r["variable"]: r["k"] for r in ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("k")).collect()}
+    small = sum(sizes.values()) <= broadcast_rows
     ranked = data
     for c in cols:
-        rc = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("rank").alias(f"__r_{c}"))
-        rc = F.broadcast(rc) if sizes.get(c, 0) <= broadcast_rows else rc
-        ranked = ranked.join(rc, c, "left")
+        if small:
+            # one broadcast of the whole rank table, reused by every join
+            # (same plan -> the exchange is reused), keyed on (variable, value)
+            rc = F.broadcast(ranks).alias(f"__t_{c}")
+            cond = (F.col(f"__t_{c}.variable") == F.lit(c)) & (F.col(f"__t_{c}.value") == ranked[c])
+            ranked = ranked.join(rc, cond, "left").select(*ranked.columns, F.col(f"__t_{c}.rank").alias(f"__r_{c}"))
+        else:
+            rc = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("rank").alias(f"__r_{c}"))
+            rc = F.broadcast(rc) if sizes.get(c, 0) <= broadcast_rows else rc
+            ranked = ranked.join(rc, c, "left")
     # centred ranks: the mean rank of every column is (N + 1) / 2, so the
     # Pearson correlation needs only sums of products (one cheap aggregate)
     mid = (data.select(F.count(F.lit(1))).scalar() + 1) / 2
