@@ -72,3 +72,13 @@ def test_holm_matches_definition(spark):
     for i, j in enumerate(order):
         assert got[f"v{j}"] == pytest.approx(adj[i])
         assert got[f"v{j}"] >= p[j]
+
+
+def test_holm_is_monotone_in_raw_order(spark):
+    rng = np.random.default_rng(9)
+    p = rng.random(30) ** 3
+    df = spark.createDataFrame([(f"v{i:02d}", float(x)) for i, x in enumerate(p)], "variable string, p_value double")
+    rows = sorted(AS.holm(df).collect(), key=lambda r: (r["p_value"], r["variable"]))
+    adj = [r["p_holm"] for r in rows]
+    assert all(a <= b for a, b in zip(adj, adj[1:]))
+    assert all(r["p_holm"] >= r["p_value"] and r["p_holm"] <= 1.0 for r in rows)

@@ -104,3 +104,14 @@ def test_roc_points_and_auc(spark):
     tpr = np.concatenate([[0.0], roc["tpr"].to_numpy()])
     trapezoid = np.sum((fpr[1:] - fpr[:-1]) * (tpr[1:] + tpr[:-1]) / 2)
     assert RK.auc(df, "a", "y").first()["auc"] == pytest.approx(trapezoid, abs=2e-6)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_u_statistics_sum_to_n0_n1(spark, seed):
+    df, pdf = _frame(spark, n=800, seed=seed)
+    for r in RK.separation_stats(RK.separation_sums(RK.value_counts(df, ["a", "b"], "y"))).collect():
+        n1 = r["N1"]
+        n0 = r["N"] - n1
+        u1 = r["auc"] * n0 * n1
+        assert r["u_stat"] + u1 == pytest.approx(n0 * n1, rel=1e-12)
+        assert 0.0 <= r["auc"] <= 1.0 and -1.0 <= r["kendall_tau"] <= 1.0
