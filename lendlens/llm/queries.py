@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, token_counts
+from lendlens.llm import bpe_codec, decontaminate, token_counts
 from lendlens.sources.tables import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,15 @@ def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text", *more])
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    found = decontaminate.contamination(_documents(spark, sf_dir), items)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_prefixes(_documents(spark, sf_dir), VOCAB, keep_prefixes=False)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -32,6 +41,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
