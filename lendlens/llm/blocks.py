@@ -65,13 +65,15 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices whose texts together hold about ``limit`` bytes (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES,
+           rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts together hold at most
+    ``limit`` bytes (one row at least)."""
     _, offsets = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, decontaminate, token_counts
+from lendlens.llm import bpe_codec, decontaminate, neardup, token_counts
 from lendlens.sources.tables import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_documents(spark, sf_dir))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.decode(bpe_codec.encode(_documents(spark, sf_dir), VOCAB), VOCAB)
     return coded.select(
@@ -43,6 +48,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op6_minhash_neardup": op6_minhash_neardup,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
