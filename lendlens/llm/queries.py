@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, decontaminate, neardup, token_counts
+from lendlens.llm import bpe_codec, decontaminate, neardup, substrings, token_counts
 from lendlens.sources.tables import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -45,11 +45,17 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
