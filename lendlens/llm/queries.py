@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, decontaminate, neardup, substrings, token_counts
+from lendlens.llm import bpe_codec, decontaminate, langid, neardup, substrings, token_counts
 from lendlens.sources.tables import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "lang")
+    learn = langid.training_rows("doc_id")
+    found = langid.identify(docs, langid.fit(docs.where(learn)))
+    return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_prefixes(_documents(spark, sf_dir), VOCAB, keep_prefixes=False)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -52,6 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op9_bpe_codec": op9_bpe_codec,
