@@ -7,17 +7,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, decontaminate, langid, neardup, substrings, token_counts
+from lendlens.llm import bpe_codec, decontaminate, langid, neardup, quality, substrings, token_counts
 from lendlens.sources.tables import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
+QUALITY_CUT = 0.7
 
 
 def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text", *more])
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    learn = langid.training_rows("doc_id")
+    forest = quality.fit(docs, labels.where(learn), "quality")
+    return quality.score(docs, forest).select(
+        "doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     found = decontaminate.contamination(_documents(spark, sf_dir), items)
@@ -58,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
