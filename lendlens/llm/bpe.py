@@ -34,7 +34,7 @@ from lendlens.llm.blocks import LOWER, Words, cut_runs, white_words
 
 #: The word-end symbol c</w> is written as one character: chr(ord(c) + END).
 END = 0x10000
-MEMO = 400_000
+MEMO = 250_000
 
 
 @cache

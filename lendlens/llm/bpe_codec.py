@@ -15,6 +15,8 @@ empty table.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,11 +29,12 @@ from lendlens.llm.bpe import Memo, WordBpe, loaded, units, vocabulary
 _MEMOS: dict[str, tuple[WordBpe, object]] = {}
 
 
-def unit_ids(bpe: WordBpe, unit: bytes) -> list[int]:
+def unit_ids(bpe: WordBpe, unit: bytes) -> bytes:
+    """Ids of a unit, four bytes each (small to remember)."""
     out: list[int] = []
     for piece in bpe.unit_pieces(unit):
         out += [piece] if isinstance(piece, int) else bpe.encode_piece(piece)
-    return out
+    return np.array(out, np.int32).tobytes()
 
 
 def _encoder(shared) -> Memo:
@@ -41,19 +44,15 @@ def _encoder(shared) -> Memo:
     return _MEMOS["encode"][1]
 
 
-def offset_table(bpe: WordBpe) -> tuple[np.ndarray, np.ndarray]:
-    """All token strings, each followed by one space, and where each begins."""
-    tokens = [(bpe.strings.get(i, "") + " ").encode() for i in range(max(bpe.strings) + 1)]
-    offsets = np.zeros(len(tokens) + 1, np.int64)
-    np.cumsum([len(t) for t in tokens], out=offsets[1:])
-    return np.frombuffer(b"".join(tokens), np.uint8), offsets
-
-
-def _decoder(shared) -> tuple[np.ndarray, np.ndarray]:
-    bpe = loaded(shared)
-    if _MEMOS.get("decode", (None,))[0] is not bpe:
-        _MEMOS["decode"] = bpe, offset_table(bpe)
-    return _MEMOS["decode"][1]
+def offset_table(vocab_path: str) -> tuple[bytes, np.ndarray]:
+    """All token strings in order of their ids, each followed by one space,
+    and where each begins."""
+    with open(vocab_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens = dict.fromkeys(range(1 + max(spec["model"]["vocab"].values())), "")
+    tokens |= {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    parts = [(tokens.get(i, "") + " ").encode() for i in range(max(tokens) + 1)]
+    return b"".join(parts), np.cumsum([0, *map(len, parts)])
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -74,8 +73,8 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
             for part in slices(batch, "text"):
                 w = units(*text_bytes(part.column("text")))
                 lists = [ids_of(u) for u in w.dictionary.to_pylist()]
-                size = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter((i for one in lists for i in one), np.int32, int(size.sum()))
+                size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+                flat = np.frombuffer(b"".join(lists), np.int32)
                 start = np.cumsum(size) - size
                 total = np.zeros(len(w.codes) + 1, np.int64)
                 np.cumsum(size[w.codes], out=total[1:])
@@ -91,11 +90,12 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded): token strings joined by one space, as the
     vocabulary file asks (it names no decoder).  Null ids decode to ''."""
-    shared = vocabulary(encoded.sparkSession, vocab_path)
+    shared = encoded.sparkSession.sparkContext.broadcast(offset_table(vocab_path))
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        table, offsets = _decoder(shared)
+        data, offsets = shared.value
+        table = np.frombuffer(data, np.uint8)
         for batch in batches:
             step = 512
             for at in range(0, batch.num_rows, step):

@@ -7,12 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, decontaminate, langid, neardup, quality, substrings, token_counts
+from lendlens.llm import bpe_codec, decontaminate, langid, neardup, quality, quotes, substrings, token_counts, topk, urlfilter
 from lendlens.sources.tables import read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
 QUALITY_CUT = 0.7
+URL_RULES = [
+    urlfilter.Rule("net/", urlfilter.BLOCK), urlfilter.Rule("example.net/en/", urlfilter.ALLOW),
+    urlfilter.Rule("example.com/de/", urlfilter.BLOCK), urlfilter.Rule("org/fr/", urlfilter.ALLOW),
+]
 
 
 def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -37,6 +41,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]), URL_RULES, "page_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "lang")
     learn = langid.training_rows("doc_id")
@@ -54,6 +62,21 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).where(
+        topk.usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    found = topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "v")
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    found = quotes.format_conversations(chats)
+    # the path as text, so that any engine can compare it
+    return found.withColumn("path", F.array_join(F.transform(
+        "path", lambda s: F.concat_ws(":", s["at"].cast("string"), s["head"].cast("string"))), "/"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.decode(bpe_codec.encode(_documents(spark, sf_dir), VOCAB), VOCAB)
     return coded.select(
@@ -70,12 +93,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_neardup": op6_minhash_neardup,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_quote_links": op8_quote_links,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+""",
+}
