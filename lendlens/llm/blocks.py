@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 SLICE_BYTES = 4 << 20
 
 #: ASCII white space (0x20 and 0x09 to 0x0D).
@@ -48,6 +51,12 @@ def _ascii_lower() -> np.ndarray:
 LOWER = _ascii_lower()
 
 
+def kept_columns(docs: DataFrame, keep: list[str]) -> Column:
+    """A struct of columns that an operator hands through unread, so that
+    their names cannot clash with its own and no join brings them back."""
+    return F.struct(*[docs[c] for c in keep])
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import slices, text_bytes
+from lendlens.llm.blocks import kept_columns, slices, text_bytes
 from lendlens.llm.bpe import Memo, WordBpe, loaded, units, vocabulary
 
 _MEMOS: dict[str, tuple[WordBpe, object]] = {}
@@ -62,10 +62,11 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the token ids of every whole text."""
+def encode(docs: DataFrame, vocab_path: str, keep: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """(row, ids): the token ids of every whole text; ``row`` is a struct of
+    the columns ``keep``."""
     shared = vocabulary(docs.sparkSession, vocab_path)
-    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(kept_columns(docs, keep).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         ids_of = _encoder(shared)
@@ -80,18 +81,18 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
                 np.cumsum(size[w.codes], out=total[1:])
                 ids = flat[gather(start[w.codes], size[w.codes])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.ListArray.from_arrays(pa.array(total[w.first].astype(np.int32)), pa.array(ids))],
-                    names=["id", "ids"])
+                    [part.column("row"), pa.ListArray.from_arrays(pa.array(total[w.first].astype(np.int32)), pa.array(ids))],
+                    names=["row", "ids"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, decoded): token strings joined by one space, as the
-    vocabulary file asks (it names no decoder).  Null ids decode to ''."""
+def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", keep: list[str] = ("row",)) -> DataFrame:
+    """The columns ``keep``, ids and the decoded text: token strings joined by
+    one space, as the vocabulary file asks (it names no decoder).  Null ids
+    decode to ''."""
     shared = encoded.sparkSession.sparkContext.broadcast(offset_table(vocab_path))
-    kind = encoded.schema[id_col].dataType.simpleString()
+    src = encoded.select(kept_columns(encoded, keep).alias("kept"), F.col(ids_col).alias("ids"))
 
     def run(batches):
         data, offsets = shared.value
@@ -108,11 +109,11 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
                 total = np.concatenate([[0], np.cumsum(size)])
                 ends = np.cumsum(count)
                 stop = total[ends]
-                keep = np.ones(len(data), bool)
-                keep[stop[count > 0] - 1] = False  # the space behind a text's last token
+                stays = np.ones(len(data), bool)
+                stays[stop[count > 0] - 1] = False  # the space behind a text's last token
                 place = np.concatenate([[0], stop - np.cumsum(count > 0)]).astype(np.int32)
-                text = pa.StringArray.from_buffers(len(part), pa.py_buffer(place), pa.py_buffer(data[keep]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), col, text], names=["id", "ids", "decoded"])
+                text = pa.StringArray.from_buffers(len(part), pa.py_buffer(place), pa.py_buffer(data[stays]))
+                yield pa.RecordBatch.from_arrays([part.column("kept"), col, text], names=["kept", "ids", "decoded"])
 
-    src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, f"kept {src.schema['kept'].dataType.simpleString()}, ids array<int>, decoded string") \
+        .select("kept.*", "ids", "decoded")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import mix, slices, text_bytes
+from lendlens.llm.blocks import kept_columns, mix, slices, text_bytes
 
 UNKNOWN = "und"
 BINS = 1 << 16
@@ -238,13 +238,15 @@ def best_labels(score: np.ndarray, number: np.ndarray, first: np.ndarray, penalt
     return label
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str = "doc_id",
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list[str] = ("doc_id",),
              text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, spans) of every whole text; spans are character
-    places [begin, stop) with a language."""
+    """(row, lang_pred, score, spans) of every whole text; ``row`` is a struct
+    of the columns ``keep``, spans are character places [begin, stop) with a
+    language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, lang_pred string, score double, spans array<struct<begin:bigint,stop:bigint,lang:string>>"
+    src = docs.select(kept_columns(docs, keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = (f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double, "
+              "spans array<struct<begin:bigint,stop:bigint,lang:string>>")
 
     def run(batches):
         m = shared.value
@@ -270,8 +272,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: st
                      names.take(pa.array(label[begin]))], fields=fields)
                 cuts = np.searchsorted(owner[begin], np.arange(docs + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), names.take(pa.array(best)), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), spans)],
-                    names=["id", "lang_pred", "score", "spans"])
+                    [part.column("row"), names.take(pa.array(best)), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), spans)],
+                    names=["row", "lang_pred", "score", "spans"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, schema)

@@ -4,7 +4,8 @@ Two collections A and B of ``m`` band keys each are made from ``r`` minhashes
 a key.  Table (i, j) of the m * m tables has the key (A_i, B_j), so m * m
 tables of 2r rows cost 2 * m * r minhashes instead of 2 * m * m * r.  Two sets
 of similarity s miss all tables with a probability of at most
-2 * (1 - s**r)**m: with r = 3, m = 16 and s = 0.85, 5e-7.
+2 * (1 - s**r)**m; m is the smallest number for which that is below 1e-6 (r = 3:
+16 bands for s = 0.85, 21 for 0.8).
 
 From there on everything is exact:
 
@@ -19,7 +20,9 @@ From there on everything is exact:
 
 Shingles are 52-bit hashes of 3 words.  Nulls, empty texts and texts without
 words have size 0 and are linked with nothing.  Repeated rows, also under one
-id, are documents of their own.  An empty table gives an empty table.
+id, are documents of their own.  A row without id links nothing; it has the
+component of documents with the same set, else none.  An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from lendlens.llm.blocks import cut_words, mix, slices, text_bytes, white_words,
 from lendlens.llm.graph import components
 from lendlens.sources.tables import materialize
 
-ROWS, BANDS = 3, 16
+ROWS, MISS = 3, 1e-6
 DOC_BITS = 12  # texts in a slice; the other bits hold a shingle's hash
 GROUP = 512
 
@@ -85,6 +88,11 @@ def band_keys(sets: np.ndarray, first: np.ndarray, rows: int, bands: int) -> tup
     return out[0], out[1]
 
 
+def bands_for(percent: int, rows: int, miss: float = MISS) -> int:
+    """Bands that miss a pair at the limit with a probability below ``miss``."""
+    return max(1, int(np.ceil(np.log(miss / 2) / np.log(1 - (percent / 100) ** rows))))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, bands: int) -> DataFrame:
     """(id, n, s1, s2, a, b): set size, 128-bit set hash, both collections."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -205,11 +213,12 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                    percent: int = 85, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+                    percent: int = 85, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
+    bands = bands_for(percent, rows)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(signatures(src, "id", "text", width, rows, bands), "signatures")
-    full = sig.where("n > 0")
+    full = sig.where("n > 0 and id is not null")
     classes = materialize(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "classes")
     first = materialize(full.select("id", "s1", "s2", "n", "a", "b").join(classes, ["id", "s1", "s2", "n"])
                         .dropDuplicates(["id", "s1", "s2", "n"]), "class-bands")

@@ -48,7 +48,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "lang")
     learn = langid.training_rows("doc_id")
-    found = langid.identify(docs, langid.fit(docs.where(learn)))
+    found = langid.identify(docs, langid.fit(docs.where(learn))).select("row.doc_id", "lang_pred", "score")
     return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 
@@ -80,14 +80,14 @@ def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.decode(bpe_codec.encode(_documents(spark, sf_dir), VOCAB), VOCAB)
     return coded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        "row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {

@@ -19,12 +19,14 @@ never too little.  The wanted length is decided on 128 bits.
 
 Nulls, empty texts and texts shorter than the window have no windows and stay
 whole.  Repeated rows are documents of their own; rows of one id never remove
-each other's words, since neither id is smaller.  Ids are integers.  An empty
-table gives an empty table.
+each other's words, since neither id is smaller.  Ids are integers; a null id comes
+after all others.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,18 +34,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import Words, cut_words, mix, slices, text_bytes, white_words, window_hashes, word_hashes
+from lendlens.llm.blocks import Words, cut_words, kept_columns, mix, slices, text_bytes, white_words, window_hashes, word_hashes
 from lendlens.llm.decontaminate import pack, unpack
 from lendlens.sources.tables import materialize
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20  # text per hash range
 SHORT = np.uint64(24)  # bits cut off on the way up
+NO_ID = (1 << 63) - 1
 
 
-def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, sizes, data): rows of whole documents, compressed."""
-    import uuid
+def make_blocks(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(block, ids, sizes, data, rows): whole documents, texts compressed."""
+    src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
+                      F.col(text_col).cast("string").alias("text"), kept_columns(docs, keep).alias("row"))
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -54,11 +58,13 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().hex]), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                      pa.array([np.diff(offsets)], pa.list_(pa.int64())),
-                     pa.array([squeeze.compress(buf.tobytes())], pa.binary())],
-                    names=["block", "ids", "sizes", "data"])
+                     pa.array([squeeze.compress(buf.tobytes())], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("row"))],
+                    names=["block", "ids", "sizes", "data", "rows"])
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(src.mapInArrow(run, "block string, ids array<bigint>, sizes array<bigint>, data binary"), "blocks")
+    return materialize(src.mapInArrow(
+        run, "block string, ids array<bigint>, sizes array<bigint>, data binary, "
+        f"rows array<{src.schema['row'].dataType.simpleString()}>"), "blocks")
 
 
 class Block:
@@ -206,11 +212,13 @@ def _with_reply(blocks: DataFrame, reply: DataFrame, name: str) -> DataFrame:
     return blocks.join(materialize(reply.withColumnRenamed("bits", name), "replies"), "block", "left")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept_text, spans) of every document: words
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
+                   keep: list[str] = ("doc_id",)) -> DataFrame:
+    """(row, n_words, n_removed, kept_text, spans) of every document: words
     covered by a window of ``window`` words that also begins in a document
-    with a smaller id are removed; ``spans`` are their places."""
-    blocks = make_blocks(docs, id_col, text_col)
+    with a smaller id are removed; ``spans`` are their places and ``row`` is
+    a struct of the columns ``keep``."""
+    blocks = make_blocks(docs, id_col, text_col, keep)
     lengths = _levels(window, -(-window // 2))
     ranges = _ranges(blocks)
     known = blocks
@@ -232,12 +240,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 _, _, number, least = block.long(alive, window)
                 doc = block.ids[block.owner[alive]]
                 hit = alive[replies[-1][number] | (doc > least[number])]
-                yield _kept(block, hit, window, span)
+                yield _kept(block, batch.column("rows")[i].values, hit, window, span)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     return known.mapInArrow(
-        run, "id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin:bigint,stop:bigint>>"
-    ).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+        run, f"row {blocks.schema['rows'].dataType.elementType.simpleString()}, n_words bigint, n_removed bigint, "
+        "kept_text string, spans array<struct<begin:bigint,stop:bigint>>")
 
 
 def _ranges(blocks: DataFrame) -> int:
@@ -245,7 +252,7 @@ def _ranges(blocks: DataFrame) -> int:
     return max(1, -(-(total or 0) // RANGE_BYTES))
 
 
-def _kept(block: Block, hit: np.ndarray, window: int, span: pa.DataType) -> pa.RecordBatch:
+def _kept(block: Block, rows: pa.Array, hit: np.ndarray, window: int, span: pa.DataType) -> pa.RecordBatch:
     w, n = block.words, len(block.hashes)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, hit, 1)
@@ -275,15 +282,15 @@ def _kept(block: Block, hit: np.ndarray, window: int, span: pa.DataType) -> pa.R
     place = np.concatenate([[0], stop_at - np.cumsum(count > 0)]).astype(np.int32)
     text = pa.StringArray.from_buffers(docs, pa.py_buffer(place), pa.py_buffer(data[stays]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(block.ids), pa.array(w.counts), pa.array(w.counts - count), text, spans],
-        names=["id", "n_words", "n_removed", "kept_text", "spans"])
+        [rows, pa.array(w.counts), pa.array(w.counts - count), text, spans],
+        names=["row", "n_words", "n_removed", "kept_text", "spans"])
 
 
 def longest_repeats(docs: DataFrame, start: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, longest) of every document: the largest of start, 2 * start,
+    """(id, longest) of every id: the largest of start, 2 * start,
     4 * start, ... at which it has a window that occurs twice in the corpus
     (0: none), doubling until no candidates survive."""
-    blocks = make_blocks(docs, id_col, text_col)
+    blocks = make_blocks(docs, id_col, text_col, [id_col])
     ranges = _ranges(blocks)
     known, lengths = blocks, [start]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -305,5 +312,5 @@ def longest_repeats(docs: DataFrame, start: int = 13, id_col: str = "doc_id", te
         some = level.where("longest > 0").limit(1).count()
         out = level if out is None else out.union(level.where("longest > 0"))
         if not some:
-            return out.groupBy(F.col("id").cast(kind).alias(id_col)).agg(F.max("longest").alias("longest"))
+            return out.groupBy(F.nullif(F.col("id"), F.lit(NO_ID)).cast(kind).alias(id_col)).agg(F.max("longest").alias("longest"))
         lengths.append(2 * lengths[-1])
