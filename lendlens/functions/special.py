@@ -1,25 +1,20 @@
-"""Special functions for p-values and normal scores.
-
-Two kinds:
-
-* column expressions (``norm_cdf``, ``norm_ppf``) that stay inside the JVM
-  and whole-stage codegen, used where a value is needed per data row
-  (K-S against the normal, normal scores);
-* tail probabilities of the chi-square, F and normal laws, needed once per
-  *summary* row (one row per variable).  They run as small vectorised
-  pandas UDFs over those few rows.  SciPy is not available, so the series
-  and continued fractions are written out here (standard textbook forms).
+"""Special functions for p-values and normal scores, all column expressions.
+
+* ``erfc``, ``norm_cdf``, ``norm_ppf``: short rational forms for values needed
+  per data row (K-S against the normal, normal scores);
+* tails of the normal, chi-square, F(1, n) and Kolmogorov laws, needed once
+  per summary row: series, finite sums and asymptotic expansions with a fixed
+  number of terms.  None of them has an iteration that can stop early
+  unconverged, and upper tails are computed as tails, so they keep their
+  relative accuracy where ``1 - cdf`` would cancel to zero.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # --------------------------------------------------------------------------
 # Column expressions
@@ -36,7 +31,7 @@ _PPF_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
 _PPF_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
           6.680131188771972e+01, -1.328068155288572e+01]
 _PPF_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-          -2.549671010050380e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+          -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
 _PPF_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
           3.754408661907416e+00]
 _PPF_LOW = 0.02425
@@ -62,7 +57,8 @@ def norm_cdf(z: Column) -> Column:
     return F.lit(0.5) * erfc(-z / F.lit(math.sqrt(2.0)))
 
 
-def _norm_ppf_raw(p: Column) -> Column:
+def norm_ppf(p: Column) -> Column:
+    """Standard normal quantile for 0 < p < 1 (relative error below 1.2e-9)."""
     q = p - F.lit(0.5)
     r = q * q
     central = (_horner(r, list(reversed(_PPF_A))) * q) / (_horner(r, list(reversed(_PPF_B))) * r + F.lit(1.0))
@@ -82,185 +78,142 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def norm_ppf(p: Column) -> Column:
-    """Standard normal quantile as a JVM expression, for 0 < p < 1
-    (rational approximation plus one Halley refinement step)."""
-    def refine(x: Column) -> Column:
-        e = norm_cdf(x) - p
-        return _let(e * F.lit(math.sqrt(2 * math.pi)) * F.exp(x * x / 2),
-                    lambda u: x - u / (F.lit(1.0) + x * u / 2))
-    return _let(_norm_ppf_raw(p), refine)
+# --------------------------------------------------------------------------
+# Tails (summary rows)
+# --------------------------------------------------------------------------
 
+_TERMS = 60
+_FINITE_DOF = 200  # chi-square and t: finite sums up to here, expansions beyond
 
-def norm_pdf(z: Column) -> Column:
-    return F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
 
+def _fold(terms: int, start: Column, step, finish=None) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, finish)
 
-# --------------------------------------------------------------------------
-# Scalar tails (summary rows only)
-# --------------------------------------------------------------------------
 
-_EPS = 1e-15
-_ITMAX = 10000
-
-
-def _gamma_p_series(a: float, x: float) -> float:
-    term = 1.0 / a
-    total = term
-    ap = a
-    for _ in range(_ITMAX):
-        ap += 1.0
-        term *= x / ap
-        total += term
-        if abs(term) < abs(total) * _EPS:
-            break
-    return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-
-
-def _gamma_q_cf(a: float, x: float) -> float:
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c = 1.0 / tiny
-    d = 1.0 / b
-    h = d
-    for i in range(1, _ITMAX):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        if abs(d) < tiny:
-            d = tiny
-        c = b + an / c
-        if abs(c) < tiny:
-            c = tiny
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
-
-
-def gamma_q(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x)."""
-    if x <= 0:
-        return 1.0
-    if x < a + 1.0:
-        return 1.0 - _gamma_p_series(a, x)
-    return _gamma_q_cf(a, x)
-
-
-def chi2_sf(x: float, dof: float) -> float:
-    if x is None or dof is None or dof <= 0 or math.isnan(x):
-        return float("nan")
-    return gamma_q(dof / 2.0, x / 2.0)
-
-
-def chi2_ppf(q: float, dof: float) -> float:
-    """Quantile of chi-square (lower-tail probability ``q``) by bisection."""
-    if dof is None or dof <= 0:
-        return float("nan")
-    target = 1.0 - q
-    lo, hi = 0.0, max(1.0, dof)
-    while chi2_sf(hi, dof) > target:
-        hi *= 2.0
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if chi2_sf(mid, dof) > target:
-            lo = mid
-        else:
-            hi = mid
-        if hi - lo < 1e-12 * max(1.0, hi):
-            break
-    return 0.5 * (lo + hi)
-
-
-def _beta_cf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    if abs(d) < tiny:
-        d = tiny
-    d = 1.0 / d
-    h = d
-    for m in range(1, _ITMAX):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return h
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _beta_cf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _beta_cf(b, a, 1.0 - x) / b
-
-
-def f_sf(f: float, d1: float, d2: float) -> float:
-    """Upper tail of the F(d1, d2) law."""
-    if f is None or math.isnan(f) or d1 <= 0 or d2 <= 0:
-        return float("nan")
-    if f <= 0:
-        return 1.0
-    return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
-
-
-def norm_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
+def _pair(term: Column, total: Column) -> Column:
+    return F.struct(term.alias("term"), total.alias("total"))
 
 
-# --------------------------------------------------------------------------
-# pandas UDF wrappers (Arrow batches, applied to summary rows)
-# --------------------------------------------------------------------------
+def upper_erfc(x: Column) -> Column:
+    """erfc to about 1e-13: the power series of erf up to 2.5, the continued
+    fraction beyond (relative accuracy kept far into the tail)."""
+    def series(z: Column) -> Column:
+        total = _fold(_TERMS, _pair(z, z), lambda acc, k: F.struct(
+            (-acc["term"] * z * z / k).alias("term"),
+            (acc["total"] - acc["term"] * z * z / k / (2 * k + 1)).alias("total")), lambda acc: acc["total"])
+        return 1 - total * F.lit(2 / math.sqrt(math.pi))
+
+    def fraction(z: Column) -> Column:
+        below = _fold(_TERMS, z, lambda acc, k: z + (F.lit(_TERMS + 1) - k) / F.lit(2.0) / acc)
+        return F.exp(-z * z) / (below * F.lit(math.sqrt(math.pi)))
+
+    at = _let(F.abs(x.cast("double")), lambda z: F.when(z < 2.5, series(z)).otherwise(fraction(z)))
+    return F.when(x >= 0, at).otherwise(2.0 - at)
+
+
+def norm_sf(z: Column) -> Column:
+    return F.lit(0.5) * upper_erfc(z / F.lit(math.sqrt(2.0)))
+
+
+def norm_two_sided(z: Column) -> Column:
+    """P(|Z| > z), at most 1 (also for a continuity-corrected z below 0)."""
+    return F.least(F.lit(1.0), upper_erfc(z / F.lit(math.sqrt(2.0))))
+
+
+def _chi2_finite(h: Column, dof: Column) -> Column:
+    """Q(dof / 2, h) as the finite sum for whole dof (Abramowitz and Stegun 26.4.4-5)."""
+    odd = dof % 2 == 1
+    half = F.when(odd, 0.5).otherwise(0.0)
+    many = F.floor(dof / 2)
+    start = F.exp(-h) * F.when(odd, 2 * F.sqrt(h / F.lit(math.pi))).otherwise(1.0)
+    total = _fold(_FINITE_DOF // 2, _pair(start, F.lit(0.0)), lambda acc, j: F.struct(
+        (acc["term"] * h / (j + half)).alias("term"),
+        (acc["total"] + F.when(j <= many, acc["term"]).otherwise(0.0)).alias("total")), lambda acc: acc["total"])
+    return total + F.when(odd, upper_erfc(F.sqrt(h))).otherwise(0.0)
+
+
+# First coefficients of Temme's uniform expansion around x = a.
+_C0 = [-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835]
+_C1 = [-1 / 540, -1 / 288, 25 / 12096, -223 / 1088640, -89 / 1088640]
+
+
+def _chi2_large(h: Column, dof: Column) -> Column:
+    """Q(dof / 2, h) by Temme's uniform expansion, good to 1e-8 beyond 200 dof."""
+    a = dof / 2
+
+    def tail(mu: Column, eta: Column) -> Column:
+        near = F.abs(eta) < 0.1
+        c0 = F.when(near, _horner(eta, _C0)).otherwise(F.try_divide(F.lit(1.0), mu) - F.try_divide(F.lit(1.0), eta))
+        c1 = F.when(near, _horner(eta, _C1)).otherwise(
+            F.try_divide(F.lit(1.0), F.pow(eta, 3)) - F.try_divide(F.lit(1.0), F.pow(mu, 3))
+            - F.try_divide(F.lit(1.0), mu * mu) - F.try_divide(F.lit(1.0), 12 * mu))
+        rest = F.exp(-a * eta * eta / 2) / F.sqrt(2 * math.pi * a) * (c0 + c1 / a)
+        return F.lit(0.5) * upper_erfc(eta * F.sqrt(a / 2)) + rest
+
+    def with_eta(mu: Column) -> Column:
+        small = mu * mu * (1 - 2 * mu / 3 + mu * mu / 2 - 2 * F.pow(mu, 3) / 5 + F.pow(mu, 4) / 3)
+        square = F.when(F.abs(mu) < 0.003, small).otherwise(2 * (mu - F.log1p(mu)))
+        return _let(F.signum(mu) * F.sqrt(F.greatest(square, F.lit(0.0))), lambda eta: tail(mu, eta))
+
+    return _let(h / a - 1, with_eta)
+
+
+def chi2_sf(x: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square law; NULL without degrees of freedom."""
+    h, d = x.cast("double") / 2, dof.cast("double")
+    return (F.when((d < 1) | x.isNull() | d.isNull(), F.lit(None).cast("double"))
+            .when(x <= 0, 1.0)
+            .when(d <= _FINITE_DOF, _chi2_finite(h, d))
+            .otherwise(_chi2_large(h, d)))
 
-def _vec(fn, *series: pd.Series) -> pd.Series:
-    out = [fn(*[None if pd.isna(v) else float(v) for v in vals]) for vals in zip(*series)]
-    return pd.Series(np.array([np.nan if v is None else v for v in out], dtype="float64"))
 
+def chi2_critical(upper: float, dof: Column) -> Column:
+    """The value with upper tail ``upper``, by 60 halvings of an interval."""
+    d = dof.cast("double")
+    span = F.struct(F.lit(0.0).alias("low"), (d + 20 * F.sqrt(2 * d) + 40).alias("high"))
 
-def _safe(fn):
-    def inner(*args):
-        if any(a is None for a in args):
-            return None
-        return fn(*args)
-    return inner
+    def halve(acc: Column, _: Column) -> Column:
+        return _let((acc["low"] + acc["high"]) / 2, lambda mid: _let(chi2_sf(mid, d) > upper, lambda above: F.struct(
+            F.when(above, mid).otherwise(acc["low"]).alias("low"),
+            F.when(above, acc["high"]).otherwise(mid).alias("high"))))
 
+    return F.when(d >= 1, _fold(60, span, halve, lambda acc: (acc["low"] + acc["high"]) / 2))
 
-@F.pandas_udf(DoubleType())
-def chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return _vec(_safe(chi2_sf), x, dof)
 
+def _t_finite(t: Column, n: Column) -> Column:
+    """P(|T| > t) for whole n as a finite sum (Abramowitz and Stegun 26.7.3-4)."""
+    odd = n % 2 == 1
+    theta = F.atan(t / F.sqrt(n))
+    c = n / (n + t * t)
+    many = F.when(odd, (n - 1) / 2).otherwise(n / 2)
+    step = lambda acc, i: F.struct(
+        (acc["term"] * c * F.when(odd, 2 * i / (2 * i + 1)).otherwise((2 * i - 1) / (2 * i))).alias("term"),
+        (acc["total"] + F.when(i <= many, acc["term"]).otherwise(0.0)).alias("total"))
+    total = _fold(_FINITE_DOF // 2, _pair(F.lit(1.0), F.lit(0.0)), step, lambda acc: acc["total"])
+    inside = F.when(odd, F.lit(2 / math.pi) * (theta + F.sin(theta) * F.cos(theta) * total)).otherwise(F.sin(theta) * total)
+    return F.greatest(F.lit(0.0), 1 - inside)
 
-@F.pandas_udf(DoubleType())
-def chi2_ppf_udf(q: pd.Series, dof: pd.Series) -> pd.Series:
-    return _vec(_safe(chi2_ppf), q, dof)
+
+def _t_large(t: Column, n: Column) -> Column:
+    """P(|T| > t) through Hill's normalising transformation (Algorithm 395)."""
+    a = n - 0.5
+    b = 48 * a * a
+    return _let(a * F.log1p(t * t / n), lambda y: upper_erfc(
+        (((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b + 1) * F.sqrt(y / 2)))
 
 
-@F.pandas_udf(DoubleType())
-def f_sf_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _vec(_safe(f_sf), f, d1, d2)
+def f_sf(f: Column, n: Column) -> Column:
+    """Upper tail of the F(1, n) law: P(|T_n| > sqrt(f))."""
+    d, t = n.cast("double"), F.sqrt(f.cast("double"))
+    return (F.when(f.isNull() | (d < 1) | d.isNull(), F.lit(None).cast("double"))
+            .when(d <= _FINITE_DOF, _t_finite(t, d)).otherwise(_t_large(t, d)))
 
 
-@F.pandas_udf(DoubleType())
-def norm_sf_udf(z: pd.Series) -> pd.Series:
-    return _vec(_safe(norm_sf), z)
+def kolmogorov_sf(d: Column, n: Column) -> Column:
+    """Asymptotic tail of the one-sample K-S distance, with the usual
+    small-sample correction of the argument."""
+    root = F.sqrt(n.cast("double"))
+    lam = (root + 0.12 + F.try_divide(F.lit(0.11), root)) * d
+    total = _let(lam, lambda x: F.when(x < 0.2, 1.0).otherwise(_fold(
+        100, F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))))
+    return F.when(d.isNotNull() & (n > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))

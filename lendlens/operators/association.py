@@ -111,42 +111,53 @@ def categorical_association(df: DataFrame, target: str = "default", cols: list[s
     cols = cols if cols is not None else string_columns(df, exclude=(target,))
     res = chi_square_vs_target(target_counts(df, cols, target, nulls),
                                min_levels=2 if nulls == "drop" else 1)
-    res = res.withColumn("critical_value", special.chi2_ppf_udf(F.lit(1 - alpha), F.col("dof").cast("double")))
-    res = res.withColumn("p_value", special.chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double")))
+    res = res.withColumn("critical_value", special.chi2_critical(alpha, F.col("dof")))
+    res = res.withColumn("p_value", special.chi2_sf(F.col("chi2"), F.col("dof")))
     res = holm(res)
     return (res.select("variable", "n", "dof", _r(F.col("chi2")).alias("chi2"),
-                       _r(F.col("critical_value")).alias("critical_value"),
-                       "p_value", "p_holm", labels.p_text("p_holm").alias("p_text"),
+                       F.round("critical_value", 4).alias("critical_value"),
+                       _r(F.col("p_value")).alias("p_value"), _r(F.col("p_holm")).alias("p_holm"),
+                       labels.p_text("p_holm").alias("p_text"),
                        labels.stars("p_holm").alias("significance"),
                        _r(F.col("cramers_v")).alias("cramers_v"),
                        labels.effect_band("cramers_v").alias("effect"))
                .orderBy(F.col("cramers_v").desc(), "variable"))
 
 
-def pair_association(df: DataFrame, a: str, b: str, redundant_at: float = 0.86) -> DataFrame:
-    """Association of two categoricals and a nesting test.
+def pair_association(df: DataFrame, a: str, b: str, redundant_at: float = 0.86, alpha: float = 0.05) -> DataFrame:
+    """Association of two categoricals, its critical value and effect
+    band, and a nesting test.
 
     Uses chi2 = n * (sum O^2 / (R_i C_j) - 1), which needs only the observed
-    cells (unobserved cells of the r x c table contribute through the -1).
-    ``nested`` is true when every level of ``b`` occurs with one level of
-    ``a`` only (the sub-grade / grade situation).  Margins come from two
-    small grouped tables joined back on the level (no window).
+    cells (unobserved cells of the r x c table contribute through the -1).  In
+    a 2x2 table all four |O - E| are one d, so the continuity correction scales
+    chi2 by ((d - min(d, 0.5)) / d)^2.  ``nested`` is true when every level of
+    ``b`` occurs with one level of ``a`` only (the sub-grade / grade
+    situation).  The counts are one grouped job, written once; margins come
+    from them.
     """
-    pairs = df.select(a, b).dropna()
-    cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    from ..sources.tables import materialize
+    cells = materialize(df.select(a, b).dropna().groupBy(a, b).agg(F.count(F.lit(1)).alias("o")), "pair-counts")
     ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
     cb = cells.groupBy(b).agg(F.sum("o").alias("cb"), F.count(F.lit(1)).alias("a_per_b"))
     full = cells.join(ra, a).join(cb, b)
     o = F.col("o").cast("double")
     agg = full.agg(F.sum(o * o / (F.col("ra") * F.col("cb"))).alias("q"),
-                   F.sum("o").alias("n"),
+                   F.sum("o").alias("n"), F.min("ra").cast("double").alias("r_min"), F.min("cb").cast("double").alias("c_min"),
                    F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"),
                    (F.max("a_per_b") == 1).alias("nested"))
     n = F.col("n").cast("double")
-    chi2 = n * (F.col("q") - 1)
+    plain = F.greatest(F.lit(0.0), n * (F.col("q") - 1))
+    # chi2 = d^2 * n^3 /
+    scale = F.try_divide(F.pow(n, 3), F.col("r_min") * (n - F.col("r_min")) * F.col("c_min") * (n - F.col("c_min")))
+    d = F.sqrt(F.try_divide(plain, scale))
+    two = (F.col("r") == 2) & (F.col("c") == 2)
+    sums = agg.withColumn("chi2", F.when(two, F.pow(d - F.least(F.lit(0.5), d), 2) * scale).otherwise(plain))
     k = F.least("r", "c")
-    v = F.when(k > 1, F.sqrt(F.try_divide(chi2, n * (k - 1)))).otherwise(F.lit(0.0))
+    v = F.when(k > 1, F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (k - 1)))).otherwise(F.lit(0.0))
     dof = ((F.col("r") - 1) * (F.col("c") - 1)).cast("long")
-    return agg.select(F.lit(f"{a} x {b}").alias("variable"), "n", _r(chi2).alias("chi2"), dof.alias("dof"),
-                      _r(v).alias("cramers_v"), "nested",
-                      labels.yes_no(v >= redundant_at, "redundant", "distinct").alias("conclusion"))
+    out = sums.select("n", "chi2", dof.alias("dof"), v.alias("v"), "nested")
+    return out.select(F.lit(f"{a} x {b}").alias("variable"), "n", _r(F.col("chi2")).alias("chi2"), "dof",
+                      F.round(special.chi2_critical(alpha, F.col("dof")), 4).alias("critical_value"),
+                      _r(F.col("v")).alias("cramers_v"), labels.effect_band("v").alias("effect"), "nested",
+                      labels.yes_no(F.col("v") >= redundant_at, "redundant", "distinct").alias("conclusion"))

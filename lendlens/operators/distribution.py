@@ -11,9 +11,10 @@ class), so it is a broadcast of a schema-bounded table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import labels, special
 from . import rankstats as RK
@@ -57,13 +58,13 @@ def numeric_audit(df: DataFrame, cols: list[str]) -> DataFrame:
         F.sum("n").alias("n_all"))
     mom = moments(vc)
     q = RK.quantiles(vc, ["variable"], QUARTILES)
-    out = mom.join(F.broadcast(q), "variable").join(F.broadcast(missing), "variable")
+    out = missing.join(F.broadcast(mom), "variable", "left").join(F.broadcast(q), "variable", "left")
     return out.select(
         "variable", _r(F.col("mean")).alias("mean"), _r(F.col("sd")).alias("sd"),
         _r(F.col("min")).alias("min"), _r(F.col("max")).alias("max"),
         _r(F.col("q1")).alias("q1"), _r(F.col("median")).alias("median"), _r(F.col("q3")).alias("q3"),
         _r(F.col("q3") - F.col("q1")).alias("iqr"),
-        _r(F.col("n_missing") / F.col("n_all") * 100).alias("null_pct"))
+        _r(F.try_divide(F.col("n_missing"), F.col("n_all")) * 100).alias("null_pct"))
 
 
 # ---------------------------------------------------------------------------
@@ -106,16 +107,6 @@ def robust_outliers(df: DataFrame, col: str, threshold: float = 3.5, k: int | No
     return out.limit(k) if k else out
 
 
-def flag_outliers(df: DataFrame, col: str, threshold: float = 3.5) -> DataFrame:
-    """Row-level score ``<col>_mz`` and flag ``<col>_outlier``; the median
-    and MAD enter as scalar subqueries (computed once, inlined)."""
-    mm = median_mad(RK.value_counts(df, [col]))
-    med, mad = mm.select("median").scalar(), mm.select("mad").scalar()
-    z = F.lit(MAD_TO_Z) * (F.col(col) - med) / mad
-    return (df.withColumn(f"{col}_mz", F.when(mad > 0, z))
-              .withColumn(f"{col}_outlier", F.abs(F.col(f"{col}_mz")) > threshold))
-
-
 # ---------------------------------------------------------------------------
 # per-class contrasts
 # ---------------------------------------------------------------------------
@@ -128,14 +119,16 @@ def brown_forsythe(cls_vc: DataFrame, cq: DataFrame) -> DataFrame:
     """Levene test centred on the class medians; F and its dof."""
     z = (cls_vc.join(F.broadcast(cq.select("variable", "cls", "median")), ["variable", "cls"])
                .select("variable", "cls", "n", F.abs(F.col("value") - F.col("median")).alias("z")))
-    per = z.groupBy("variable", "cls").agg(F.sum("n").alias("nc"), F.sum(F.col("n") * F.col("z")).alias("sz"),
-                                          F.sum(F.col("n") * F.col("z") * F.col("z")).alias("szz"))
-    grand = per.groupBy("variable").agg(F.sum("nc").alias("N"), (F.sum("sz") / F.sum("nc")).alias("zbar"),
+    per = z.groupBy("variable", "cls").agg(F.sum("n").alias("nc"), (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("zc"))
+    # squares around the class mean, so that large spreads lose no digits
+    within = (z.join(F.broadcast(per), ["variable", "cls"]).groupBy("variable", "cls")
+               .agg(F.first("nc").alias("nc"), F.first("zc").alias("zc"),
+                    F.sum(F.col("n") * (F.col("z") - F.col("zc")) ** 2).alias("ssw")))
+    grand = per.groupBy("variable").agg(F.sum("nc").alias("N"),
+                                        (F.sum(F.col("nc") * F.col("zc")) / F.sum("nc")).alias("zbar"),
                                         F.count(F.lit(1)).alias("k"))
-    parts = per.join(F.broadcast(grand), "variable").select(
-        "variable", "N", "k",
-        (F.col("nc") * (F.col("sz") / F.col("nc") - F.col("zbar")) ** 2).alias("ssb"),
-        (F.col("szz") - F.col("sz") * F.col("sz") / F.col("nc")).alias("ssw"))
+    parts = within.join(F.broadcast(grand), "variable").select(
+        "variable", "N", "k", (F.col("nc") * (F.col("zc") - F.col("zbar")) ** 2).alias("ssb"), "ssw")
     s = parts.groupBy("variable").agg(F.first("N").alias("N"), F.first("k").alias("k"),
                                       F.sum("ssb").alias("ssb"), F.sum("ssw").alias("ssw"))
     f = F.try_divide((F.col("N") - F.col("k")) * F.col("ssb"), (F.col("k") - 1) * F.col("ssw"))
@@ -171,9 +164,9 @@ def robust_contrast(df: DataFrame, cols: list[str], target: str = "default", alp
     (homoscedastic yes/no), Mann–Whitney p with Holm adjustment and the
     effect band of Rosenthal's r, sorted by r."""
     st = contrast_stats(df, cols, target)
-    st = st.withColumn("bf_p", special.f_sf_udf(F.col("bf_f"), F.col("bf_df1").cast("double"),
-                                                F.col("bf_df2").cast("double")))
-    st = st.withColumn("p_value", F.least(F.lit(1.0), 2 * special.norm_sf_udf(F.col("z_mwu"))))
+    # two classes, so F has one numerator degree of freedom
+    st = st.withColumn("bf_p", F.when(F.col("bf_df1") == 1, special.f_sf(F.col("bf_f"), F.col("bf_df2"))))
+    st = st.withColumn("p_value", special.norm_two_sided(F.col("z_mwu")))
     st = holm(st)
 
     def summary(m: str, i: str) -> Column:
@@ -182,7 +175,7 @@ def robust_contrast(df: DataFrame, cols: list[str], target: str = "default", alp
     return (st.select("variable", summary("median_0", "iqr_0").alias("median_iqr_0"),
                       summary("median_1", "iqr_1").alias("median_iqr_1"),
                       labels.yes_no(F.col("bf_p") > alpha).alias("homoscedastic"),
-                      "p_value", "p_holm", labels.p_text("p_holm").alias("p_text"),
+                      _r(F.col("p_value")).alias("p_value"), _r(F.col("p_holm")).alias("p_holm"), labels.p_text("p_holm").alias("p_text"),
                       "rosenthal_r", labels.effect_band("rosenthal_r").alias("effect"))
               .orderBy(F.col("rosenthal_r").desc(), "variable"))
 
@@ -218,9 +211,11 @@ def shape_vc(vc: DataFrame) -> DataFrame:
     """T7 + T8 from value counts: central moments by a second pass over the
     (small) counts joined with the per-variable mean."""
     mom = vc.groupBy("variable").agg(F.sum("n").alias("n_obs"),
-                                     (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mu"))
+                                     (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mu"),
+                                     (F.min("value") < F.max("value")).alias("varies"))
+    # a constant column has no shape, whatever rounding leaves of its deviations
     d = vc.join(F.broadcast(mom), "variable").select(
-        "variable", "n", "n_obs", (F.col("value") - F.col("mu")).alias("dv"))
+        "variable", "n", "n_obs", F.when(F.col("varies"), F.col("value") - F.col("mu")).alias("dv"))
     dv, n = F.col("dv"), F.col("n")
     c = d.groupBy("variable").agg(F.first("n_obs").alias("n"),
                                   (F.sum(n * dv * dv) / F.first("n_obs")).alias("m2"),
@@ -234,13 +229,6 @@ def shape_vc(vc: DataFrame) -> DataFrame:
                     F.round(jb, 3).alias("jarque_bera"), _r(F.exp(-jb / 2)).alias("jb_p"))
 
 
-@F.pandas_udf(DoubleType())
-def _ks_p_udf(d, n):
-    import pandas as pd
-    return pd.Series([RK.ks_one_sample_pvalue(float(a), float(b)) if pd.notna(a) and pd.notna(b) else float("nan")
-                      for a, b in zip(d, n)])
-
-
 def normality_report(df: DataFrame, cols: list[str], alpha: float = 0.05, vc: DataFrame | None = None) -> DataFrame:
     """Skewness, kurtosis, Jarque–Bera, K-S against the normal and a
     verdict (normal iff every p > alpha), sorted by skewness.  Missing values
@@ -250,10 +238,10 @@ def normality_report(df: DataFrame, cols: list[str], alpha: float = 0.05, vc: Da
     sh = shape_vc(vc)
     ks = RK.ks_normal_vc(vc).select("variable", "ks_normal", F.col("N").alias("n_ks"))
     out = sh.join(F.broadcast(ks), "variable")
-    out = out.withColumn("ks_p", _ks_p_udf(F.col("ks_normal"), F.col("n_ks").cast("double")))
+    out = out.withColumn("ks_p", special.kolmogorov_sf(F.col("ks_normal"), F.col("n_ks")))
     normal = (F.col("jb_p") > alpha) & (F.col("ks_p") > alpha)
     return (out.select("variable", "n", "skewness", "kurtosis", "jarque_bera", "jb_p",
-                       _r(F.col("ks_normal")).alias("ks_normal"), "ks_p",
+                       _r(F.col("ks_normal")).alias("ks_normal"), _r(F.col("ks_p")).alias("ks_p"),
                        labels.yes_no(normal).alias("normal"))
                .orderBy(F.col("skewness").desc(), "variable"))
 
@@ -265,16 +253,19 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     mom = moments(vc)
     j = vc.join(F.broadcast(mom), "variable")
     width = (F.col("max") - F.col("min")) / bins
-    b = F.least(F.floor((F.col("value") - F.col("min")) / width).cast("int") + 1, F.lit(bins))
+    # a constant column has one bin of width 0 and no density
+    at = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("min"), width)).cast("int") + 1, F.lit(1))
+    b = F.least(at, F.lit(bins))
     h = j.groupBy("variable", b.alias("bin")).agg(
         F.sum("n").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"),
         F.first("n_obs").alias("n_obs"), F.first("mean").alias("mean"), F.first("sd").alias("sd"))
     w = (F.col("max") - F.col("min")) / bins
     lo = F.col("min") + (F.col("bin") - 1) * w
     centre = lo + w / 2
-    pdf = F.exp(-0.5 * ((centre - F.col("mean")) / F.col("sd")) ** 2) / (F.col("sd") * (2 * 3.141592653589793) ** 0.5)
+    z = F.try_divide(centre - F.col("mean"), F.col("sd"))
+    pdf = F.when(w > 0, F.try_divide(F.exp(-0.5 * z ** 2), F.col("sd") * (2 * math.pi) ** 0.5))
     return h.select("bin", _r(lo).alias("bin_lo"), _r(lo + w).alias("bin_hi"), "n",
-                    _r(F.col("n") / (F.col("n_obs") * w)).alias("density"), _r(pdf).alias("normal_density"))
+                    _r(F.try_divide(F.col("n"), F.col("n_obs") * w)).alias("density"), _r(pdf).alias("normal_density"))
 
 
 def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -301,7 +292,7 @@ def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float
 # Shapiro–Francia on full data
 # ---------------------------------------------------------------------------
 
-_SQRT_2PI = (2 * 3.141592653589793) ** 0.5
+_SQRT_2PI = (2 * math.pi) ** 0.5
 
 
 def _phi(z: Column) -> Column:
@@ -322,10 +313,16 @@ def shapiro_francia_vc(vc: DataFrame, buckets: int | None = None) -> DataFrame:
     scales: per distinct value, a tie group spanning ranks a..b contributes
     sum m_i and sum m_i^2 through the closed forms
     int Phi^-1 = -phi(Phi^-1) and int (Phi^-1)^2 = p - z phi(z) (midpoint
-    rule), so a value held by a third of the rows is still one row.  The
-    p-value uses Royston's (1993) normal approximation of ln(1 - W').
+    rule), so a value held by a third of the rows is still one row.  Values
+    are centred first, so a large mean costs no digits.  The p-value uses
+    Royston's (1993) normal approximation of ln(1 - W'), fitted for at most
+    5,000 values; reports say where it is extrapolated.
     """
-    cum = RK.cum_counts(vc, ["variable"], ["n"], buckets=buckets)
+    mean = vc.groupBy("variable").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+                                      (F.min("value") < F.max("value")).alias("varies"))
+    centred = vc.join(F.broadcast(mean), "variable").select(
+        "variable", F.when(F.col("varies"), F.col("value") - F.col("mean")).otherwise(0.0).alias("value"), "n")
+    cum = RK.cum_counts(centred, ["variable"], ["n"], buckets=buckets)
     tot = F.col("tot_n").cast("double")
     n, cn = F.col("n").cast("double"), F.col("cn").cast("double")
     denom = tot + 0.25
@@ -355,17 +352,18 @@ def shapiro_francia_vc(vc: DataFrame, buckets: int | None = None) -> DataFrame:
     u = F.log(N)
     lv = F.log(u)
     mu = -1.2725 + 1.0521 * (lv - u)
-    sigma = 1.0308 - 0.26758 * (lv + 2 / u)
-    z = (F.log(1 - w) - mu) / sigma
+    sigma = 1.0308 - 0.26758 * (lv + F.try_divide(F.lit(2.0), u))
+    z = F.try_divide(F.log(1 - w) - mu, sigma)
     return g.select("variable", "n_obs", _r(w).alias("sf_w"), z.alias("sf_z"))
 
 
 def normality_report_full(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
     """T12 with all three tests: Jarque–Bera, K-S against the normal and
-    Shapiro–Francia; normal iff every p > alpha; sorted by skewness."""
+    Shapiro–Francia, sorted by skewness.  ``normal`` is judged by the first
+    two; ``sf_p_extrapolated`` says that the column is longer than the range
+    the third one's p-value was fitted on."""
     vc = RK.value_counts(df, cols)
-    base = normality_report(df, cols, alpha, vc=vc).drop("normal")
-    sf = shapiro_francia_vc(vc).withColumn("sf_p", special.norm_sf_udf(F.col("sf_z"))).drop("sf_z", "n_obs")
-    out = base.join(F.broadcast(sf), "variable")
-    normal = (F.col("jb_p") > alpha) & (F.col("ks_p") > alpha) & (F.col("sf_p") > alpha)
-    return out.withColumn("normal", labels.yes_no(normal)).orderBy(F.col("skewness").desc(), "variable")
+    base = normality_report(df, cols, alpha, vc=vc)
+    sf = shapiro_francia_vc(vc).select("variable", "sf_w", _r(special.norm_sf(F.col("sf_z"))).alias("sf_p"),
+                                       (F.col("n_obs") > 5000).alias("sf_p_extrapolated"))
+    return base.join(F.broadcast(sf), "variable", "left").orderBy(F.col("skewness").desc(), "variable")

@@ -57,12 +57,14 @@ def class_distribution(df: DataFrame, target: str = "default") -> DataFrame:
 # A2 / A3 / A4 --------------------------------------------------------------
 def _missing_report(df: DataFrame, preds: dict[str, Column], keep_zero: bool) -> DataFrame:
     cols = list(preds)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "variable string, n_missing bigint, pct_missing double")
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(p).alias(c) for c, p in preds.items()])
     long = wide.unpivot(["__n"], cols, "variable", "n_missing")
     if not keep_zero:
         long = long.filter(F.col("n_missing") > 0)
     return long.select("variable", "n_missing",
-                       _round(F.col("n_missing") / F.col("__n") * 100).alias("pct_missing"))
+                       _round(F.try_divide(F.col("n_missing"), F.col("__n")) * 100).alias("pct_missing"))
 
 
 def null_report(df: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def cardinality(df: DataFrame, cols: list[str], approx: bool = False) -> DataFra
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *[fn(c).alias(c) for c in cols])
     long = wide.unpivot(["__n"], cols, "variable", "n_distinct")
     return long.select("variable", "n_distinct",
-                       _round(F.col("n_distinct") / F.col("__n") * 100).alias("cr_pct"))
+                       _round(F.try_divide(F.col("n_distinct"), F.col("__n")) * 100).alias("cr_pct"))
 
 
 # A7 / L1 -------------------------------------------------------------------

@@ -35,7 +35,6 @@ from .profile import melt
 
 ROUND = 6
 DEFAULT_BUCKETS = 64
-MAX_BUCKETS = 8192
 VALUES_PER_BUCKET = 2_000_000
 
 
@@ -95,9 +94,24 @@ def totals(vc: DataFrame, keys: list[str], weights=("n", "n1")) -> DataFrame:
 
 def _auto_buckets(vc: DataFrame, keys: list[str]) -> int:
     """Enough buckets that a (key, bucket) window holds about
-    ``VALUES_PER_BUCKET`` distinct values at most (64 .. 8192)."""
+    ``VALUES_PER_BUCKET`` distinct values at most (64 or more)."""
     widest = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-    return int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, math.ceil(widest / VALUES_PER_BUCKET))))
+    return max(DEFAULT_BUCKETS, math.ceil(widest / VALUES_PER_BUCKET))
+
+
+def _bucketed(vc: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
+    """Adds ``__b``: the number of cut points below the value, found in two
+    steps (among every k-th cut point, then among the k between)."""
+    if buckets <= 1:
+        return vc.withColumn("__b", F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = vc.groupBy(*keys).agg(F.percentile_approx(order, probs, max(10000, 20 * buckets)).alias("__cuts"))
+    step = max(1, math.isqrt(buckets))
+    below = lambda c: c < F.col(order)
+    coarse = cuts.withColumn("__some", F.filter("__cuts", lambda c, i: (i + 1) % step == 0))
+    found = vc.join(F.broadcast(coarse), keys).withColumn("__at", F.size(F.filter("__some", below)) * step)
+    between = F.filter(F.slice("__cuts", F.col("__at") + 1, F.lit(step)), below)
+    return found.withColumn("__b", F.col("__at") + F.size(between)).drop("__cuts", "__some", "__at")
 
 
 def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1"),
@@ -109,15 +123,7 @@ def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1
     weights = list(weights)
     if buckets is None:
         buckets = _auto_buckets(vc, keys)
-    if buckets <= 1:
-        vcb = vc.withColumn("__b", F.lit(0))
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = vc.groupBy(*keys).agg(
-            F.percentile_approx(order, probs, max(10000, 20 * buckets)).alias("__cuts"))
-        vcb = (vc.join(F.broadcast(cuts), keys)
-                 .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order))))
-                 .drop("__cuts"))
+    vcb = _bucketed(vc, keys, order, buckets)
     btot = vcb.groupBy(*keys, "__b").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weights])
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
@@ -142,17 +148,31 @@ def quantiles(vc: DataFrame, keys: list[str], probs: dict[str, float], weight: s
 
     For probability p with N values, h = (N-1)p; the result interpolates
     between the values at 0-based ranks floor(h) and ceil(h).  The value at
-    rank r is the smallest value whose running count exceeds r.
+    rank r is the smallest value whose running count exceeds r.  Bucket totals
+    say which buckets hold a wanted rank; no other bucket is sorted.
     """
     keys = list(keys)
-    cum = cum_counts(vc, keys, [weight], buckets=buckets)
-    tot, cw = F.col(f"tot_{weight}"), F.col(f"c{weight}")
+    if buckets is None:
+        buckets = _auto_buckets(vc, keys)
+    vcb = _bucketed(vc, keys, "value", buckets)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals_ = vcb.groupBy(*keys, "__b").agg(F.sum(weight).alias("__w"))
+    offsets = totals_.select(*keys, "__b", "__w", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__off"),
+                             F.sum("__w").over(Window.partitionBy(*keys)).alias("__tot"))
+    h = {name: (F.col("__tot") - 1) * p for name, p in probs.items()}
+    wanted = [f(x) for x in h.values() for f in (F.floor, F.ceil)]
+    # only the buckets that hold a wanted rank are sorted
+    holds = F.lit(False)
+    for rank in wanted:
+        holds = holds | ((rank >= F.col("__off")) & (rank < F.col("__off") + F.col("__w")))
+    rows = vcb.join(F.broadcast(offsets.where(holds).drop("__w")), [*keys, "__b"])
+    inside = Window.partitionBy(*keys, "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = rows.withColumn("__cw", F.col("__off") + F.sum(weight).over(inside))
     aggs = []
-    for name, p in probs.items():
-        h = (tot - 1) * p
-        aggs.append(F.min(F.when(cw > F.floor(h), F.col("value"))).alias(f"__lo_{name}"))
-        aggs.append(F.min(F.when(cw > F.ceil(h), F.col("value"))).alias(f"__hi_{name}"))
-        aggs.append(F.first(h - F.floor(h)).alias(f"__fr_{name}"))
+    for name, x in h.items():
+        aggs.append(F.min(F.when(F.col("__cw") > F.floor(x), F.col("value"))).alias(f"__lo_{name}"))
+        aggs.append(F.min(F.when(F.col("__cw") > F.ceil(x), F.col("value"))).alias(f"__hi_{name}"))
+        aggs.append(F.first(x - F.floor(x)).alias(f"__fr_{name}"))
     q = cum.groupBy(*keys).agg(*aggs)
     return q.select(*keys, *[
         (F.col(f"__lo_{n}") + F.col(f"__fr_{n}") * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(n)
@@ -234,10 +254,10 @@ def mann_whitney(df: DataFrame, cols: list[str], target: str = "default",
     """T14 + T15: U, asymptotic two-sided p (tie + continuity corrected),
     Rosenthal z and r (no corrections), AUC."""
     st = separation_stats(separation_sums(value_counts(df, cols, target), buckets))
-    p = F.least(F.lit(1.0), 2 * special.norm_sf_udf(F.col("z_mwu")))
+    p = special.norm_two_sided(F.col("z_mwu"))
     return st.select("variable", "N", "N1", _r(F.col("u_stat")).alias("u_stat"),
                      _r(F.col("auc")).alias("auc"), _r(F.col("z")).alias("z"),
-                     _r(F.col("rosenthal_r")).alias("rosenthal_r"), p.alias("p_value"))
+                     _r(F.col("rosenthal_r")).alias("rosenthal_r"), _r(p).alias("p_value"))
 
 
 # ---------------------------------------------------------------------------
@@ -247,14 +267,15 @@ def mann_whitney(df: DataFrame, cols: list[str], target: str = "default",
 def roc_curve(df: DataFrame, score: str, label: str = "default",
               buckets: int | None = None) -> DataFrame:
     """One point per distinct score: predicting 1 for scores >= threshold
-    gives (fpr, tpr).  Exact, no binning; the point (0, 0) is implicit."""
+    gives (fpr, tpr).  Exact, no binning; the point (0, 0) is implicit.  A
+    rate of a class without rows is NULL."""
     vc = value_counts(df.select(F.col(score).cast("double").alias("score"), label), ["score"], label)
     cum = cum_counts(vc, ["variable"], ["n", "n1"], buckets=buckets)
     tp = F.col("tot_n1") - F.col("cn1") + F.col("n1")
     fp = (F.col("tot_n") - F.col("tot_n1")) - (F.col("cn") - F.col("cn1")) + (F.col("n") - F.col("n1"))
     return cum.select(F.col("value").alias("threshold"),
-                      _r(fp / (F.col("tot_n") - F.col("tot_n1"))).alias("fpr"),
-                      _r(tp / F.col("tot_n1")).alias("tpr"))
+                      _r(F.try_divide(fp, F.col("tot_n") - F.col("tot_n1"))).alias("fpr"),
+                      _r(F.try_divide(tp, F.col("tot_n1"))).alias("tpr"))
 
 
 def auc(df: DataFrame, score: str, label: str = "default", buckets: int | None = None) -> DataFrame:
@@ -274,33 +295,17 @@ def ks_normal_vc(vc: DataFrame, buckets: int | None = None) -> DataFrame:
     (cn - n)/N to cn/N; Phi is evaluated in the JVM once per distinct value."""
     mom = vc.groupBy("variable").agg(
         F.sum("n").alias("n_obs"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    # a constant column has no spread, whatever rounding leaves of it
     sd = (vc.join(F.broadcast(mom), "variable")
             .groupBy("variable")
-            .agg(F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2)
-                        / (F.first("n_obs") - 1)).alias("sd"), F.first("mean").alias("mean"),
+            .agg(F.when(F.min("value") < F.max("value"),
+                        F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2),
+                                            F.first("n_obs") - 1))).alias("sd"), F.first("mean").alias("mean"),
                  F.first("n_obs").alias("n_obs")))
     cum = cum_counts(vc, ["variable"], ["n"], buckets=buckets).join(F.broadcast(sd), "variable")
     cum = cum.select("variable", "n", "cn", "n_obs",
-                     special.norm_cdf((F.col("value") - F.col("mean")) / F.col("sd")).alias("phi"))
+                     special.norm_cdf(F.try_divide(F.col("value") - F.col("mean"), F.col("sd"))).alias("phi"))
     phi = F.col("phi")
     total = F.col("n_obs").cast("double")
     d = F.greatest(F.col("cn") / total - phi, phi - (F.col("cn") - F.col("n")) / total)
     return cum.groupBy("variable").agg(F.first("n_obs").alias("N"), F.max(d).alias("ks_normal"))
-
-
-def ks_one_sample_pvalue(d: float, n: float) -> float:
-    """Asymptotic Kolmogorov tail with the usual small-sample correction."""
-    if d is None or n is None or n <= 0:
-        return float("nan")
-    en = math.sqrt(n)
-    lam = (en + 0.12 + 0.11 / en) * d
-    if lam < 1e-3:
-        return 1.0
-    total, sign = 0.0, 1.0
-    for k in range(1, 101):
-        term = sign * 2.0 * math.exp(-2.0 * k * k * lam * lam)
-        total += term
-        if abs(term) < 1e-12:
-            break
-        sign = -sign
-    return min(1.0, max(0.0, total))
