@@ -1,9 +1,9 @@
 """DuckDB SQL for the derived tables the oracle queries start from.
 
 ``LOANS`` mirrors :func:`lendlens.sources.loans.raw_loans`, ``CURATED``
-mirrors :func:`lendlens.plans.study.curated_loans`.  They are written
-independently of the Spark code (plain SQL), so a query that agrees with
-its oracle agrees on the data preparation as well.
+mirrors :func:`lendlens.plans.study.curated_loans`.  They are written as plain
+SQL, so a query that agrees with its oracle agrees on the data preparation as
+well.
 """
 
 LOANS = """
@@ -19,7 +19,8 @@ li AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        LEFT JOIN li ON o_orderkey = l_orderkey
 ), lg AS (
-  SELECT *, CAST((k * 7919) % 28 + 7 * bad AS INTEGER) AS g FROM lb
+  SELECT *, (k * 1103515245 + 12345) % 2147483647 AS u,
+    CAST(((k * 1103515245 + 12345) % 2147483647 * 16807) % 2147483647 % 28 + 7 * bad AS INTEGER) AS g FROM lb
 ), loans AS (
 SELECT k AS id, loan_status, n_name AS addr_state,
   SUBSTR('ABCDEFG', CAST(FLOOR(g / 5) AS INTEGER) + 1, 1) AS grade,
@@ -34,8 +35,8 @@ SELECT k AS id, loan_status, n_name AS addr_state,
   CASE WHEN k % 8 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) END AS bc_open_to_buy,
   CAST(c % 9 AS DOUBLE) AS mort_acc,
   CAST(n_items AS DOUBLE) AS num_tl_op_past_12m,
-  CAST(n_items + k % 4 + bad AS DOUBLE) AS acc_open_past_24mths,
-  CAST((k % 5) * 25 AS DOUBLE) AS percent_bc_gt_75,
+  CAST(n_items + u % 4 AS DOUBLE) AS acc_open_past_24mths,
+  CAST((u % 5) * 25 AS DOUBLE) AS percent_bc_gt_75,
   CAST((k * 97) % 60000 AS DOUBLE) AS total_bc_limit,
   CAST(k % 23 AS DOUBLE) AS num_actv_rev_tl,
   CAST(k % 23 + CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS num_rev_tl_bal_gt_0,

@@ -68,16 +68,18 @@ def recode_loans(df: DataFrame) -> DataFrame:
     return R.keep_present(df, "initial_list_status")
 
 
-def cleaned_loans(spark: SparkSession, sf_dir: str, drop_sparse: bool = False) -> DataFrame:
-    """Recoded table with ``id`` and every surviving column.
-
-    ``drop_sparse=True`` applies the > 50 % NULL rule (P3), which costs one
-    aggregate pass over the raw table before the plan is built.
-    """
+def sparse_columns(spark: SparkSession, sf_dir: str) -> list[str]:
+    """P3's decision, from one aggregate pass over the raw table."""
     df = loans_with_target(spark, sf_dir)
-    if drop_sparse:
-        df = R.drop_sparse(df, 50.0)
-    return recode_loans(df)
+    kept = set(R.drop_sparse(df, 50.0).columns)
+    return [c for c in df.columns if c not in kept]
+
+
+def cleaned_loans(spark: SparkSession, sf_dir: str, sparse: list[str] | None = None) -> DataFrame:
+    """Recoded table with ``id`` and every surviving column; columns that are
+    NULL in more than half of the rows go first (P3)."""
+    sparse = sparse_columns(spark, sf_dir) if sparse is None else sparse
+    return recode_loans(R.drop_present(loans_with_target(spark, sf_dir), sparse))
 
 
 def curated_loans(spark: SparkSession, sf_dir: str, keep_id: bool = True) -> DataFrame:

@@ -56,9 +56,13 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", "Current")
          .when(charged, "Charged Off").otherwise("Fully Paid").alias("loan_status"),
         bad.alias("bad"),
-    ).withColumn("g", ((F.col("k") * 7919) % 28 + 7 * F.col("bad")).cast("int"))
+    )
+    # two congruential steps of the key: noise that no other column reveals, so
+    # the grade carries the target's signal but does not give it away
+    b = b.withColumn("u", (F.col("k") * 1103515245 + 12345) % 2147483647)
+    b = b.withColumn("g", ((F.col("u") * 16807) % 2147483647 % 28 + 7 * F.col("bad")).cast("int"))
 
-    k, c, g, bad = F.col("k"), F.col("c"), F.col("g"), F.col("bad")
+    k, c, g, bad, u = F.col("k"), F.col("c"), F.col("g"), F.col("bad"), F.col("u")
     grade = F.element_at(F.array(*[F.lit(x) for x in GRADE_LETTERS]), F.floor(g / 5).cast("int") + 1)
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (c % 12).cast("int") + 1)
     score = (k * 31 + c) % 38
@@ -80,8 +84,8 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 8 == 0, F.lit(None).cast("double")).otherwise(_d(F.col("c_acctbal"))).alias("bc_open_to_buy"),
         _d(c % 9).alias("mort_acc"),
         _d(F.col("n_items")).alias("num_tl_op_past_12m"),
-        _d(F.col("n_items") + k % 4 + bad).alias("acc_open_past_24mths"),
-        _d((k % 5) * 25).alias("percent_bc_gt_75"),
+        _d(F.col("n_items") + u % 4).alias("acc_open_past_24mths"),
+        _d((u % 5) * 25).alias("percent_bc_gt_75"),
         _d((k * 97) % 60000).alias("total_bc_limit"),
         _d(k % 23).alias("num_actv_rev_tl"),
         _d(k % 23 + F.when(k % 29 == 0, 1).otherwise(0)).alias("num_rev_tl_bal_gt_0"),

@@ -26,10 +26,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the session names a shared file system folder and we use
-    it as is.  Only when the setting is unset (local tests) do we set one
-    ourselves, under the SQL warehouse folder, which is shared storage
-    whenever the warehouse is.
+    Without that setting, a session on one machine (tests) gets a folder under
+    the SQL warehouse; on a cluster there is no folder that would be right, so
+    the session has to name one.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -37,9 +36,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if sc_dir.isDefined():
         return sc_dir.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    chosen = warehouse.rstrip("/") + "/_lendlens_checkpoints"
-    spark.sparkContext.setCheckpointDir(chosen)
+    spark.sparkContext.setCheckpointDir(warehouse.rstrip("/") + "/_lendlens_checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -50,17 +51,28 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     storage, so losing an executor only re-runs the tasks of the read,
     never the whole upstream plan (unlike ``cache``/``localCheckpoint``).
 
-    With ``spread``, a table with fewer partitions than the cluster's
-    default parallelism (e.g. derived from one small input file) is spread
-    round-robin first, so later narrow stages (model fitting, scoring,
-    perturbation, row-wise joins) use every core; large inputs already have
-    more splits and are written as they are.  Tables that only feed
-    shuffles (value counts) are not spread.
+    With ``spread``, a table that reads as fewer splits than the cluster has
+    task slots is dealt round-robin when read, so later narrow stages (model
+    fitting, scoring, perturbation) use every core.  Counting the splits of a
+    written table runs nothing.
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return out.repartition(slots) if spread and out.rdd.getNumPartitions() < slots else out
+
+
+def source_stamp(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """Length and last change of tables, to tell whether something learned
+    from them is still about the same files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        fs = path.getFileSystem(conf)
+        files = [path] if fs.getFileStatus(path).isFile() else [f.getPath() for f in fs.listStatus(path)]
+        stats = [fs.getFileStatus(f) for f in files]
+        out.append((name, sum(x.getLen() for x in stats), max((x.getModificationTime() for x in stats), default=0)))
+    return tuple(out)
