@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,50 +10,27 @@ from . import rankstats as RK
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True,
-                    method: str = "ranks", broadcast_rows: int = 2_000_000) -> DataFrame:
+                    key: str = "id") -> DataFrame:
     """T5: Spearman rho of every pair, long form ``(var_a, var_b, rho)``.
 
     Missing values become 0 first, as in the study (P17) -- this shifts
-    ranks; ``fill_zero=False`` drops incomplete rows instead.
+    ranks; ``fill_zero=False`` drops incomplete rows instead.  ``key`` names
+    the rows.
 
-    ``method='ranks'`` (default): average ranks per distinct value come from
-    the value counts and running counts (no global sort); each column is
-    joined to its rank table -- broadcast when the column has at most
-    ``broadcast_rows`` distinct values (the count is known from the value
-    counts, so the broadcast size is checked), otherwise a shuffle join on
-    that column -- and one aggregate computes all k(k-1)/2 Pearson
-    correlations of the ranks.  ``method='mllib'`` uses MLlib's
-    ``Correlation.corr`` (distributed sort plus a regroup by row).
+    One plan for every size and number of columns: average ranks per distinct
+    value come from the running counts (no global sort), the long rows (key,
+    variable, value) meet them in one join, one regroup by key puts a row's
+    ranks together again, and one aggregate computes all k(k-1)/2 correlations.
+    The value that missing cells were filled with is the join's hot key; both
+    sides come from written tables, so adaptive execution can split it.
     """
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    data = data.fillna(0.0) if fill_zero else data.dropna()
-    if method == "mllib":
-        vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(data).select("__v")
-        mat = Correlation.corr(vec, "__v", "spearman").first()[0].toArray()
-        rows = [(cols[i], cols[j], float(round(mat[i, j], 6)))
-                for i in range(len(cols)) for j in range(len(cols))
-                if (i < j if lower_only else True)]
-        return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, rho double")
-
-    data = materialize(data, "spearman-input", spread=True)
+    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    data = materialize(data.fillna(0.0, subset=cols) if fill_zero else data.dropna(subset=cols), "spearman-input")
     vc = RK.value_counts(data, cols)
     cum = RK.cum_counts(vc, ["variable"], ["n"])
-    ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank")),
-                        "avg-ranks")
-    sizes = {r["variable"]: r["k"] for r in ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("k")).collect()}
-    small = sum(sizes.values()) <= broadcast_rows
-    ranked = data
-    for c in cols:
-        if small:
-            # one broadcast of the whole rank table, reused by every join
-            # (same plan -> the exchange is reused), keyed on (variable, value)
-            rc = F.broadcast(ranks).alias(f"__t_{c}")
-            cond = (F.col(f"__t_{c}.variable") == F.lit(c)) & (F.col(f"__t_{c}.value") == ranked[c])
-            ranked = ranked.join(rc, cond, "left").select(*ranked.columns, F.col(f"__t_{c}.rank").alias(f"__r_{c}"))
-        else:
-            rc = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("rank").alias(f"__r_{c}"))
-            rc = F.broadcast(rc) if sizes.get(c, 0) <= broadcast_rows else rc
-            ranked = ranked.join(rc, c, "left")
+    ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank")), "avg-ranks")
+    long = data.unpivot([key], cols, "variable", "value").join(ranks, ["variable", "value"])
+    ranked = long.groupBy(key).agg(*[F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(f"__r_{c}") for c in cols])
     # centred ranks: the mean rank of every column is (N + 1) / 2, so the
     # Pearson correlation needs only sums of products (one cheap aggregate)
     mid = (data.select(F.count(F.lit(1))).scalar() + 1) / 2

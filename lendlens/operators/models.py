@@ -11,20 +11,21 @@ training part, like the imputer medians.
 from __future__ import annotations
 
 import time
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, HasWeightCol, Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpoint_dir, materialize
 from . import features as FE
 from . import rankstats as RK
-from .profile import confusion
+from .profile import class_weights, confusion
 
 ROUND = 6
 
@@ -60,57 +61,34 @@ class ClassWeigher(Estimator, HasLabelCol, HasWeightCol):
         self._set(labelCol=labelCol, weightCol=weightCol)
 
     def _fit(self, df: DataFrame) -> ClassWeightModel:
-        counts = {r[0]: r[1] for r in df.groupBy(self.getLabelCol()).count().collect()}
-        total = float(sum(counts.values()))
-        w1 = total / (2.0 * counts.get(1, 1))
-        w0 = total / (2.0 * counts.get(0, 1))
-        return ClassWeightModel(self.getLabelCol(), self.getWeightCol(), w0, w1)
+        learnt = class_weights(df, self.getLabelCol(), rounded=False)
+        weight = {int(r[self.getLabelCol()]): r["weight"] for r in learnt.collect()}
+        if weight.keys() != {0, 1}:
+            raise ValueError(f"the training rows hold the classes {sorted(weight)}, not 0 and 1")
+        return ClassWeightModel(self.getLabelCol(), self.getWeightCol(), weight[0], weight[1])
 
 
 # ---------------------------------------------------------------------------
 # model
 # ---------------------------------------------------------------------------
 
-def _parse_mb(text: str) -> float:
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    text = text.strip().lower().rstrip("b")
-    return float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text)   # bare number = MiB
-
-
-def forest_memory_mb(spark=None) -> int:
-    """Split-statistics budget per task: half of the heap share of one task
-    slot (local: JVM heap / cores; cluster: executor memory / executor
-    cores), clamped to MLlib's default 256 MB .. 1 GB."""
-    from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
-    if spark is None:
-        return 256
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        heap_mb = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1024 * 1024)
-        slots = sc.defaultParallelism
-    else:
-        heap_mb = _parse_mb(spark.conf.get("spark.executor.memory", "1g"))
-        slots = int(spark.conf.get("spark.executor.cores", "1"))
-    return int(min(1024, max(256, heap_mb / (2 * max(1, slots)))))
-
-
 def random_forest(num_trees: int = 100, max_depth: int = 15, max_bins: int = 64, min_instances: int = 1,
                   seed: int = 42, label: str = "default", weight: str | None = "weight",
-                  max_memory_mb: int | None = None) -> RandomForestClassifier:
+                  max_memory_mb: int = 1024) -> RandomForestClassifier:
     """M1/M2.  ``max_bins`` must exceed the largest number of levels of an
     indexed categorical (+1 for the unseen slot): 32 fails on a 36-level
     column, hence 64.
 
     Deep forests are pass-bound: every pass over the data grows the nodes
-    whose split statistics fit in ``max_memory_mb`` per executor (default
-    256).  1 GB groups ~4x more nodes per pass; node ids are cached with
-    the training points (checkpointed every 10 iterations to the shared
-    checkpoint folder) instead of re-walking each tree per pass.
+    whose split statistics fit in ``max_memory_mb`` per task (set it to about
+    half of an executor's heap share of one task; the trees do not depend on
+    it).  Node ids are cached with the training points (checkpointed every 10
+    iterations to the shared checkpoint folder) instead of re-walking each
+    tree per pass.
     """
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                 maxBins=max_bins, minInstancesPerNode=min_instances, seed=seed,
-                                maxMemoryInMB=max_memory_mb or forest_memory_mb(),
+                                maxMemoryInMB=max_memory_mb,
                                 cacheNodeIds=True, checkpointInterval=10)
     if weight:
         rf.setWeightCol(weight)
@@ -131,7 +109,6 @@ def _training_table(train: DataFrame, numeric: list[str], label: str) -> DataFra
     """Training rows written once to the shared checkpoint folder: each
     pipeline stage fit (indexers, imputer, weights) and the forest then read
     this table instead of re-running the scans and joins that produced it."""
-    from ..sources.tables import checkpoint_dir, materialize
     checkpoint_dir(train.sparkSession)   # forest node-id checkpoints need it too
     return materialize(prepare(train, numeric, label), "training-rows", spread=True)
 
@@ -170,18 +147,32 @@ def grid_search(train: DataFrame, numeric: list[str], trees=(10, 50, 100), depth
                 max_bins: int = 64, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """k-fold CV over trees x depth; mean F1 of class 1 per configuration.
 
-    Imputation, encoding and class weights are refit inside every fold
-    (they are pipeline stages), so no statistic leaks from the held-out
-    fold.  ``fold_col`` comes from the keyed-hash fold assignment (R4).
+    Imputation, encoding and class weights depend on the fold only, so they
+    are fitted once per fold on its training part (no statistic leaks from the
+    held-out fold) and the prepared rows are written; the forests of the grid
+    read them, ``parallelism`` at a time.  ``fold_col`` comes from the
+    keyed-hash fold assignment (R4).
     """
-    rf = random_forest(min_instances=min_instances, max_bins=max_bins, seed=seed, label=label)
-    pipe = model_pipeline(numeric, rf, label)
-    grid = ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(trees)).build()
+    data = _training_table(train, numeric, label)
+    grid = [(d, t) for d in depths for t in trees]
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=k, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    cvm = cv.fit(_training_table(train, numeric, label))
-    rows = [(int(pm[rf.maxDepth]), int(pm[rf.numTrees]), float(m)) for pm, m in zip(grid, cvm.avgMetrics)]
+    total = dict.fromkeys(grid, 0.0)
+    for fold in range(k):
+        part, held = data.filter(F.col(fold_col) != fold), data.filter(F.col(fold_col) == fold)
+        ready = Pipeline(stages=[*FE.encoding_pipeline(numeric).getStages(),
+                                 ClassWeigher(labelCol=label, weightCol="weight")]).fit(part)
+        fitted = materialize(ready.transform(part).select("features", label, "weight"), "fold-train", spread=True)
+        judged = materialize(ready.transform(held).select("features", label), "fold-held", spread=True)
+
+        def one(config, fitted=fitted, judged=judged):
+            depth, n = config
+            rf = random_forest(n, depth, max_bins, min_instances, seed, label)
+            return config, float(ev.evaluate(rf.fit(fitted).transform(judged)))
+
+        with ThreadPool(parallelism) as pool:
+            for config, f1 in pool.map(inheritable_thread_target(train.sparkSession)(one), grid):
+                total[config] += f1 / k
+    rows = [(int(d), int(t), f1) for (d, t), f1 in total.items()]
     return train.sparkSession.createDataFrame(rows, "max_depth int, n_estimators int, f1_score double")
 
 
@@ -199,7 +190,7 @@ def best_config(results: DataFrame) -> DataFrame:
 # evaluation
 # ---------------------------------------------------------------------------
 
-def metrics_from_confusion(cm: DataFrame) -> DataFrame:
+def metrics_from_confusion(cm: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Accuracy, precision, recall and F1 of class 1; 0 where undefined."""
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
 
@@ -208,7 +199,7 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
 
     prec, rec = safe(tp, tp + fp), safe(tp, tp + fn)
     f1 = safe(2 * prec * rec, prec + rec)
-    return cm.select("tn", "fp", "fn", "tp", _r(safe(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
+    return cm.select(*keep, "tn", "fp", "fn", "tp", _r(safe(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
                      _r(prec).alias("precision"), _r(rec).alias("recall"), _r(f1).alias("f1_score"))
 
 
@@ -232,44 +223,63 @@ def weighted_metrics(cm: DataFrame) -> DataFrame:
                      _r(safe(s0 * f0 + s1 * f1, n)).alias("weighted_f1"))
 
 
+def _long(row: DataFrame, cols: list[str]) -> DataFrame:
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")).select("m.*")
+
+
+CLASS_METRICS = ["accuracy", "precision", "recall", "f1_score"]
+
+
 def evaluate(pred: DataFrame, label: str = "default", score_col: str = "p_default") -> DataFrame:
-    """E1 + E2 + E3 in long form ``(metric, value)``: class-1 metrics and
-    weighted metrics from one confusion aggregate, the exact AUC from value
-    counts and MLlib's binned AUC for comparison.  The scored rows are
-    written once (scoring is the expensive part; four metric families read
-    them)."""
-    from ..sources.tables import materialize
+    """E1 + E2 + E3 in long form ``(metric, value)``: class-1 and weighted
+    metrics from one confusion aggregate and the exact AUC from value counts.
+    The scored rows are written once (scoring is the expensive part)."""
     pred = materialize(pred.select(F.col(label).cast("double").alias(label),
                                    F.col("prediction").cast("double").alias("prediction"), score_col),
                        "scored-rows")
     cm = confusion(pred, label, "prediction")
-    m1 = metrics_from_confusion(cm)
-    m2 = weighted_metrics(cm)
     auc = RK.auc(pred, score_col, label).select(F.col("auc").alias("auc_exact"))
-    binned = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score_col,
-                                           metricName="areaUnderROC").evaluate(pred)
-    cols1 = ["accuracy", "precision", "recall", "f1_score"]
-    cols2 = ["weighted_precision", "weighted_recall", "weighted_f1"]
-    long1 = m1.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                                         for c in cols1])).alias("m")).select("m.*")
-    long2 = m2.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
-                                         for c in cols2])).alias("m")).select("m.*")
-    long3 = auc.select(F.lit("auc_exact").alias("metric"), F.col("auc_exact").alias("value"))
-    mc = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction")
-    mllib = [("auc_binned", binned)] + [(f"mllib_{m}", mc.evaluate(pred, {mc.metricName: m}))
-                                        for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")]
-    long4 = pred.sparkSession.createDataFrame([(k, float(round(v, 6))) for k, v in mllib],
-                                              "metric string, value double")
-    return long1.unionByName(long2).unionByName(long3).unionByName(long4)
-
-
-def compare_runs(metrics: dict[str, DataFrame]) -> DataFrame:
-    """``(metric, <run>...)`` side by side from per-run ``(metric, value)``."""
-    long = None
-    for run, m in metrics.items():
-        part = m.select("metric", F.lit(run).alias("run"), "value")
+    return _long(metrics_from_confusion(cm), CLASS_METRICS).unionByName(
+        _long(weighted_metrics(cm), ["weighted_precision", "weighted_recall", "weighted_f1"])).unionByName(
+        _long(auc, ["auc_exact"]))
+
+
+def run_metrics(df: DataFrame, label: str, runs: dict[str, Column]) -> DataFrame:
+    """``(metric, run, value)`` of several decision rules, from one aggregate."""
+    y = F.col(label).cast("int")
+    counts = df.agg(*[F.struct(
+        F.count_if((y == 0) & ~p).alias("tn"), F.count_if((y == 0) & p).alias("fp"),
+        F.count_if((y == 1) & ~p).alias("fn"), F.count_if((y == 1) & p).alias("tp")).alias(name) for name, p in runs.items()])
+    rows = counts.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("run"), F.col(n).alias("cm")) for n in runs])).alias("r")).select("r.run", "r.cm.*")
+    cells = metrics_from_confusion(rows.select("tn", "fp", "fn", "tp", "run"), keep=["run"])
+    return cells.select("run", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in CLASS_METRICS])).alias("m")) \
+        .select("m.metric", "run", "m.value")
+
+
+def compare_runs(long: DataFrame, runs: list[str]) -> DataFrame:
+    """``(metric, <run>...)`` side by side from ``(metric, run, value)``."""
+    return long.groupBy("metric").pivot("run", runs).agg(F.first("value"))
+
+
+def compare_fits(train: DataFrame, test: DataFrame, numeric: list[str], label: str, runs: dict[str, dict]) -> DataFrame:
+    """E4 for models: fit and score each run, and compare metrics, AUC, training
+    and prediction seconds; ``speed_up`` is the first run's seconds over each
+    run's, training and prediction together."""
+    test = materialize(test, "compared-rows", spread=True)
+    seconds, long = {}, None
+    for name, args in runs.items():
+        model, fit_s = fit(train, numeric, label, **args)
+        score_s = timed_scoring(model, test, numeric)
+        seconds[name] = fit_s + score_s
+        timed = train.sparkSession.createDataFrame(
+            [("train_seconds", fit_s), ("predict_seconds", score_s), ("speed_up", seconds[next(iter(runs))] / seconds[name])],
+            "metric string, value double")
+        part = evaluate(score(model, test, numeric, label=label), label).unionByName(timed).withColumn("run", F.lit(name))
         long = part if long is None else long.unionByName(part)
-    return long.groupBy("metric").pivot("run", list(metrics)).agg(F.first("value"))
+    return compare_runs(long, list(runs))
 
 
 def pick_cases(pred: DataFrame, key: str = "id", label: str = "default") -> DataFrame:

@@ -4,19 +4,20 @@ Default assignments use the keyed hash (R5): no shuffle, no window, no
 dependence on partitioning, identical in SQL.  Stratification is then "in
 expectation" (each class is cut at the same hash threshold), which is what
 the per-class ``randomSplit`` of the study gives.  The exact variant cuts
-each class at its own exact hash quantile, computed distributed from value
-counts (no per-class window, which would run each class in one task).
+each class at its own exact hash quantile, found from the totals of equal hash
+ranges (no per-class window, which would run each class in one task).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import keyed_hash, keyed_uniform
-from . import rankstats as RK
+from ..functions.hashing import HASH_BITS, keyed_hash, keyed_uniform
+from ..sources.tables import materialize as _materialize
 
 TRAIN, TEST = "train", "test"
+BUCKET_BITS = 14  # hash ranges per class; totals of this many rows are broadcast
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str | None = None) -> DataFrame:
@@ -41,21 +42,39 @@ def stratified_split(df: DataFrame, target: str = "default", train_frac: float =
 
     ``exact=False``: keyed hash below ``train_frac`` (stratified in
     expectation, no shuffle).  ``exact=True``: per class, the rows whose hash
-    is at or below the class's exact ``train_frac`` quantile of the hash
-    (distributed quantile over value counts keyed by class).
+    is at or below the class's exact ``train_frac`` quantile of the hash.
     """
     h = keyed_hash(key, seed)
     if not exact:
         return df.withColumn(out, F.when(keyed_uniform(key, seed) < train_frac, TRAIN).otherwise(TEST))
-    hv = df.select(F.col(target).cast("string").alias("variable"), h.alias("value"))
-    vc = hv.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = RK.cum_counts(vc, ["variable"], ["n"])
-    # the last hash whose running count stays within round(frac * n_class)
-    cut = (cum.filter(F.col("cn") <= F.round(F.col("tot_n") * train_frac))
-              .groupBy("variable").agg(F.max("value").alias("__cut")))
-    j = df.join(F.broadcast(cut), F.col(target).cast("string") == F.col("variable"), "left")
-    return (j.withColumn(out, F.when(h <= F.col("__cut"), TRAIN).otherwise(TEST))
-             .drop("variable", "__cut"))
+    cls = F.col(target).cast("string")
+    hashed = df.select(cls.alias("__cls"), h.alias("__h")).withColumn("__b", _hash_bucket(F.col("__h")))
+    # bucket totals show which bucket a class is cut in; only that one is sorted
+    at = _offsets(hashed.groupBy("__cls", "__b").agg(F.count(F.lit(1)).alias("__n")))
+    want = F.round(F.col("__tot") * train_frac)
+    # buckets are ordered like their hashes: the last one that begins within the wanted count
+    last = at.where(F.col("__off") < want).groupBy("__cls").agg(F.max(F.struct("__b", (want - F.col("__off")).alias("__left"))).alias("m")) \
+        .select("__cls", "m.__b", "m.__left")
+    cut = _materialize(last, "split-buckets")
+    inside = hashed.join(F.broadcast(cut), ["__cls", "__b"]).groupBy("__cls", "__b", "__left", "__h").agg(F.count(F.lit(1)).alias("__n"))
+    run = F.sum("__n").over(Window.partitionBy("__cls").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("__run", run).where(F.col("__run") <= F.col("__left")).groupBy("__cls").agg(F.max("__h").alias("__cut"))
+    cuts = cut.join(found, "__cls", "left").select("__cls", "__b", "__cut")
+    j = df.join(F.broadcast(cuts), cls == F.col("__cls"), "left")
+    before = (_hash_bucket(h) < F.col("__b")) | (h <= F.col("__cut"))
+    return j.withColumn(out, F.when(before, TRAIN).otherwise(TEST)).drop("__cls", "__b", "__cut")
+
+
+def _hash_bucket(h) -> Column:
+    """Ranges of equal width of the hash, which is uniform."""
+    return F.shiftright(h, HASH_BITS - BUCKET_BITS)
+
+
+def _offsets(totals: DataFrame) -> DataFrame:
+    """Rows before each bucket of a class (``__off``) and in the class (``__tot``)."""
+    before = Window.partitionBy("__cls").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("*", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                         F.sum("__n").over(Window.partitionBy("__cls")).alias("__tot"))
 
 
 def split_frames(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
@@ -75,10 +94,25 @@ def class_wise_union(df: DataFrame, target: str = "default", **kw) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id", out: str = "fold") -> DataFrame:
+def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id", out: str = "fold",
+                 stratify: str | None = None) -> DataFrame:
     """Fold number in [0, k) from a keyed hash (seed distinct from the
-    split's), stratified in expectation."""
-    return df.withColumn(out, F.floor(keyed_uniform(key, f"{seed}|fold") * k).cast("int"))
+    split's), stratified in expectation.
+
+    With ``stratify`` the folds of each class differ by one row at most: rows
+    are numbered by hash within their class, in two steps (rows of smaller hash
+    ranges, then inside the range), and dealt round the folds.
+    """
+    if stratify is None:
+        return df.withColumn(out, F.floor(keyed_uniform(key, f"{seed}|fold") * k).cast("int"))
+    hashed = df.withColumns({"__cls": F.col(stratify).cast("string"), "__h": keyed_hash(key, f"{seed}|fold")})
+    hashed = hashed.withColumn("__b", _hash_bucket(F.col("__h")))
+    totals = hashed.groupBy("__cls", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = _offsets(totals).select(F.col("__cls").alias("__c"), F.col("__b").alias("__k"), "__off")
+    inside = F.row_number().over(Window.partitionBy("__cls", "__b").orderBy("__h", key))
+    numbered = hashed.withColumn("__i", inside).join(
+        F.broadcast(offsets), F.col("__cls").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__k")))
+    return numbered.withColumn(out, ((F.col("__off") + F.col("__i") - 1) % k).cast("int")).select(*df.columns, out)
 
 
 def split_audit(labelled: DataFrame, target: str = "default", split: str = "split") -> DataFrame:

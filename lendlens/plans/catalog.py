@@ -22,7 +22,9 @@ from ..operators import distribution as D
 from ..operators import profile as A
 from ..operators import rankstats as RK
 from ..operators import recode as R
+from ..functions import labels, special
 from ..sources import files as FS
+from ..sources.tables import source_stamp
 
 T = S.TARGET
 
@@ -45,7 +47,8 @@ RANKED_NUMERIC = S.RANKING_FEATURES + ["inq_last_6mths", "annual_inc", "revol_ut
 SCORECARD_CUTOFF = 12.0
 HAMPEL_COLUMNS = ["int_rate", "dti", "avg_cur_bal", "tot_hi_cred_lim", "total_bc_limit"]
 BOX_COLUMNS = ["int_rate", "dti", "fico_range_high", "avg_cur_bal"]
-SHAPE_COLUMNS = ["int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths",
+# policy_code is constant: its rows show what a report says of such a column
+SHAPE_COLUMNS = ["policy_code", "int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths",
                  "avg_cur_bal", "tot_hi_cred_lim", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m",
                  "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0",
                  "inq_last_6mths"]
@@ -53,31 +56,29 @@ PATTERN_COLUMNS = ["dti", "avg_cur_bal", "bc_open_to_buy", "emp_length", "title"
                    "mths_since_last_record"]
 
 
-_DERIVED: dict = {}
+_LEARNED: dict = {}
 
 
-def _derived(spark, sf_dir, name, build):
-    """Derived tables written once per session and source folder to the
-    shared checkpoint folder (the study exports its curated table the same
-    way); every report then starts from a Parquet scan of the full derived
-    table instead of re-planning and re-running the source joins."""
-    from ..sources.tables import materialize
+def _memo(spark, sf_dir, name, build):
+    """Per-session memo of small learned things (fitted models, grid results,
+    P3's column list); it is dropped when the source files change."""
+    stamp = source_stamp(spark, sf_dir, ["orders", "customer", "nation", "lineitem"])
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _DERIVED:
-        _DERIVED[key] = materialize(build(), f"derived-{name}", spread=True)
-    return _DERIVED[key]
+    if key not in _LEARNED or _LEARNED[key][0] != stamp:
+        _LEARNED[key] = stamp, build()
+    return _LEARNED[key][1]
 
 
 def _lt(spark, sf_dir):
-    return _derived(spark, sf_dir, "loans-with-target", lambda: S.loans_with_target(spark, sf_dir))
+    return S.loans_with_target(spark, sf_dir)
 
 
 def _cleaned(spark, sf_dir):
-    return _derived(spark, sf_dir, "cleaned", lambda: S.recode_loans(_lt(spark, sf_dir)))
+    return S.cleaned_loans(spark, sf_dir, _memo(spark, sf_dir, "sparse", lambda: S.sparse_columns(spark, sf_dir)))
 
 
 def _curated(spark, sf_dir):
-    return _cleaned(spark, sf_dir).select(*S.FINAL_FEATURES, T, "id")
+    return S.curated_loans(spark, sf_dir)
 
 
 def _reduced(spark, sf_dir):
@@ -186,6 +187,19 @@ def p15_range_nulling(spark, sf_dir):
         R.null_outside("tot_hi_cred_lim", None, S.CREDIT_LIMIT_MAX).alias("tot_hi_cred_lim"))
 
 
+def p21_display_text(spark, sf_dir):
+    """Amounts with thousands separators, as the report tables show them."""
+    df = _lt(spark, sf_dir)
+    return df.select("id", labels.thousands("tot_hi_cred_lim").alias("credit_limit_text"),
+                     labels.thousands("total_bc_limit", 0).alias("bc_limit_text"))
+
+
+def t3_pair_list_status_plan(spark, sf_dir):
+    """A 2x2 pair, which takes the continuity correction."""
+    df = _lt(spark, sf_dir).select(R.normalize_code("initial_list_status").alias("initial_list_status"), "pymnt_plan")
+    return AS.pair_association(df, "initial_list_status", "pymnt_plan")
+
+
 def p16_dropna(spark, sf_dir):
     return _curated(spark, sf_dir).dropna(subset=S.NUMERIC_FEATURES).select("id", T)
 
@@ -222,10 +236,6 @@ def a4_numeric_missing(spark, sf_dir):
     return A.numeric_missing_report(_cleaned(spark, sf_dir), exclude=(T,))
 
 
-def a5_type_summary(spark, sf_dir):
-    return A.type_summary(_lt(spark, sf_dir))
-
-
 def a6_cardinality(spark, sf_dir):
     return A.cardinality(_lt(spark, sf_dir), CARDINALITY_COLUMNS)
 
@@ -328,8 +338,8 @@ def o1_outliers_dti(spark, sf_dir):
     return D.robust_outliers(_lt(spark, sf_dir), "dti", 3.5, 10)
 
 
-def o1_outliers_int_rate(spark, sf_dir):
-    return D.robust_outliers(_lt(spark, sf_dir), "int_rate", 3.5, 10)
+def o1_outliers_credit_limit(spark, sf_dir):
+    return D.robust_outliers(_lt(spark, sf_dir), "tot_hi_cred_lim", 3.5, 10)
 
 
 def o2_hampel_bands(spark, sf_dir):
@@ -345,7 +355,7 @@ def t16_robust_contrast(spark, sf_dir):
 
 
 def t14_mann_whitney(spark, sf_dir):
-    return RK.mann_whitney(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T).drop("p_value")
+    return RK.mann_whitney(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)
 
 
 def h2_box_stats(spark, sf_dir):
@@ -376,11 +386,13 @@ def t12_normality_full(spark, sf_dir):
 def t4_holm_mann_whitney(spark, sf_dir):
     """Holm over the Mann–Whitney p-values of the numeric features, with the
     significance stars, p text and effect band (T4, P20, P21)."""
-    from ..functions import labels, special
     st = RK.separation_stats(RK.separation_sums(RK.value_counts(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)))
-    p = F.least(F.lit(1.0), 2 * (1 - special.norm_cdf(F.abs("z_mwu"))))
+    p = special.norm_two_sided(F.col("z_mwu"))
     out = AS.holm(st.select("variable", "rosenthal_r", p.alias("p_value")))
+    # the tail's size where the rounded p shows only zeros
+    size = F.round(-F.log10(F.when(F.col("p_value") > 0, F.col("p_value"))), 3)
     return out.select("variable", F.round("p_value", 6).alias("p_value"), F.round("p_holm", 6).alias("p_holm"),
+                      size.alias("neg_log10_p"),
                       labels.stars("p_holm").alias("significance"), labels.p_text("p_holm").alias("p_text"),
                       F.round("rosenthal_r", 6).alias("rosenthal_r"),
                       labels.effect_band("rosenthal_r").alias("effect"))
@@ -444,6 +456,10 @@ def r4_folds(spark, sf_dir):
     return SA.assign_folds(_curated(spark, sf_dir), 5, 42).select("id", T, "fold")
 
 
+def r4_stratified_folds(spark, sf_dir):
+    return SA.assign_folds(_curated(spark, sf_dir), 5, 42, stratify=T).select("id", T, "fold")
+
+
 def u1_class_wise_union(spark, sf_dir):
     return SA.class_wise_union(_curated(spark, sf_dir), T, train_frac=0.8, seed=42).select("id", T, "split")
 
@@ -511,18 +527,6 @@ def _scorecard(spark, sf_dir):
     return df.withColumn("prediction", (F.col("int_rate") >= SCORECARD_CUTOFF).cast("int"))
 
 
-_FITTED: dict = {}
-
-
-def _memo(spark, sf_dir, name, build):
-    """Per-session memo of fitted models and grid results (small objects),
-    so queries that share a fit do not repeat it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
-
-
 def _forest(spark, sf_dir):
     def build():
         train, _ = _train_test(spark, sf_dir)
@@ -576,7 +580,7 @@ def e5_model_cases(spark, sf_dir):
 
 
 def x1_explain_cases(spark, sf_dir):
-    """LIME-style weights for the first false negative and true negative of
+    """Local weights for the first false negative and true negative of
     the forest on the test split (the study's two explained cases)."""
     train, test = _train_test(spark, sf_dir)
     model = _forest(spark, sf_dir)
@@ -588,16 +592,22 @@ def x1_explain_cases(spark, sf_dir):
 
 
 def e4_run_comparison(spark, sf_dir):
+    """Two cut-off rules side by side: metrics from one aggregate, and the AUC
+    of the score behind each rule."""
     df = _curated(spark, sf_dir)
-    runs = {}
-    for run, pred in (("rate_cutoff", F.col("int_rate") >= SCORECARD_CUTOFF),
-                      ("fico_cutoff", F.col("fico_range_high") <= 700)):
-        cm = A.confusion(df.withColumn("prediction", pred.cast("int")), T, "prediction")
-        m = M.metrics_from_confusion(cm)
-        cols = ["accuracy", "precision", "recall", "f1_score"]
-        runs[run] = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
-                                                 for c in cols])).alias("m")).select("m.*")
-    return M.compare_runs(runs)
+    runs = {"rate_cutoff": F.col("int_rate") >= SCORECARD_CUTOFF, "fico_cutoff": F.col("fico_range_high") <= 700}
+    sep = RK.separation_stats(RK.separation_sums(RK.value_counts(df, ["int_rate", "fico_range_high"], T)))
+    up = F.when(F.col("variable") == "int_rate", F.col("auc")).otherwise(1 - F.col("auc"))
+    name = F.when(F.col("variable") == "int_rate", "rate_cutoff").otherwise("fico_cutoff")
+    aucs = sep.select(F.lit("auc").alias("metric"), name.alias("run"), F.round(up, 6).alias("value"))
+    return M.compare_runs(M.run_metrics(df, T, runs).unionByName(aucs), list(runs))
+
+
+def e4_model_runs(spark, sf_dir):
+    """Two forests of different size: metrics, AUC, seconds and speed-up."""
+    train, test = _train_test(spark, sf_dir)
+    runs = {"small": {"num_trees": 5, "max_depth": 5}, "large": {"num_trees": 20, "max_depth": 8}}
+    return M.compare_fits(train, test, MODEL_NUMERIC, T, runs)
 
 
 def e5_case_selection(spark, sf_dir):

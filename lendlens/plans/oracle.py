@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .oracle_base import with_cleaned, with_curated, with_loans
+from . import sqlgen as G
 from .sqlgen import SEPARATION, numeric_vc, per_column, q, unpivot
 
 LT_COLUMNS = ["id", "addr_state", "grade", "sub_grade", "int_rate", "fico_range_low", "fico_range_high",
@@ -17,12 +18,12 @@ LT_STRINGS = ["addr_state", "grade", "sub_grade", "inq_last_6mths", "initial_lis
 CLEANED_NUMERIC = ["id", "int_rate", "fico_range_low", "fico_range_high", "dti", "tot_hi_cred_lim",
                    "avg_cur_bal", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "acc_open_past_24mths",
                    "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0",
-                   "inq_last_6mths", "annual_inc", "revol_util", "mths_since_last_record", "policy_code",
+                   "inq_last_6mths", "annual_inc", "revol_util", "policy_code",
                    "credit_age_months", "emp_length_int"]
 CLEANED_DOUBLES = {"int_rate", "fico_range_low", "fico_range_high", "dti", "tot_hi_cred_lim", "avg_cur_bal",
                    "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "acc_open_past_24mths",
                    "percent_bc_gt_75", "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0",
-                   "annual_inc", "revol_util", "mths_since_last_record"}
+                   "annual_inc", "revol_util"}
 FEATURES = ["addr_state", "sub_grade", "purpose", "home_ownership", "verification_status",
             "initial_list_status", "int_rate", "fico_range_high", "dti", "acc_open_past_24mths", "avg_cur_bal",
             "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "percent_bc_gt_75", "total_bc_limit",
@@ -107,6 +108,8 @@ SELECT id, CAST(datediff('month', try_strptime(earliest_cr_line, '%b-%Y'), try_s
     "p15_range_nulling": with_cleaned("""
 SELECT id, CASE WHEN dti < 0 OR dti > 100 THEN NULL ELSE dti END AS dti,
   CASE WHEN tot_hi_cred_lim > 4000000 THEN NULL ELSE tot_hi_cred_lim END AS tot_hi_cred_lim FROM lt"""),
+    "p21_display_text": with_cleaned("""
+SELECT id, format('{:,.2f}', tot_hi_cred_lim) AS credit_limit_text, format('{:,.0f}', total_bc_limit) AS bc_limit_text FROM lt"""),
     "p16_dropna": with_curated("SELECT id, \"default\" FROM curated WHERE "
                                + " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC_FEATURES)),
     "p17_fillna_zero": with_curated("""
@@ -193,7 +196,7 @@ FROM r ORDER BY ABS(kendall_tau) DESC, variable LIMIT 20"""),
 CATS = FEATURES[:6]
 HAMPEL = ["int_rate", "dti", "avg_cur_bal", "tot_hi_cred_lim", "total_bc_limit"]
 BOX = ["int_rate", "dti", "fico_range_high", "avg_cur_bal"]
-SHAPE = ["int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths", "avg_cur_bal",
+SHAPE = ["policy_code", "int_rate", "fico_range_high", "fico_range_low", "dti", "acc_open_past_24mths", "avg_cur_bal",
          "tot_hi_cred_lim", "bc_open_to_buy", "mort_acc", "num_tl_op_past_12m", "percent_bc_gt_75",
          "total_bc_limit", "num_actv_rev_tl", "num_rev_tl_bal_gt_0", "inq_last_6mths"]
 PATTERN = ["dti", "avg_cur_bal", "bc_open_to_buy", "emp_length", "title", "home_ownership",
@@ -201,7 +204,7 @@ PATTERN = ["dti", "avg_cur_bal", "bc_open_to_buy", "emp_length", "title", "home_
 HAMPEL_HALF = repr(3.0 * 1.4826)
 
 
-def _chi_square(table: str, cols: list[str], drop_nulls: bool, min_levels: int) -> str:
+def _chi_ctes(table: str, cols: list[str], drop_nulls: bool, min_levels: int) -> str:
     where = "WHERE value IS NOT NULL" if drop_nulls else ""
     return f""", u AS ({unpivot(table, cols, 'VARCHAR', '"default" AS y')}
 ), tc AS (SELECT variable, value, COUNT(*) AS n, SUM(y) AS n1 FROM u {where} GROUP BY variable, value
@@ -219,28 +222,39 @@ def _chi_square(table: str, cols: list[str], drop_nulls: bool, min_levels: int)
                                        ELSE ABS(n - n1 - e0) END, 2) / e0 ELSE 0 END AS t
   FROM cells
 ), s AS (SELECT variable, ANY_VALUE(tn) AS tn, ANY_VALUE(lv) AS lv, ANY_VALUE(nc) AS nc, SUM(t) AS chi2
-         FROM terms GROUP BY variable)
+         FROM terms GROUP BY variable)"""
+
+
+def _chi_square(table: str, cols: list[str], drop_nulls: bool, min_levels: int) -> str:
+    return _chi_ctes(table, cols, drop_nulls, min_levels) + """
 SELECT variable, CAST(tn AS BIGINT) AS n, CAST(lv AS BIGINT) AS n_levels, CAST((lv - 1) * (nc - 1) AS BIGINT) AS dof,
   ROUND(chi2, 6) AS chi2,
   ROUND(CASE WHEN LEAST(lv, nc) > 1 THEN SQRT(chi2 / (tn * (LEAST(lv, nc) - 1))) ELSE 0 END, 6) AS cramers_v
 FROM s"""
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _pair(table_sql: str, a: str, b: str) -> str:
+    """Cell by cell over the full table, also the cells that never occur."""
     return f""", pr AS (SELECT {a} AS a, {b} AS b FROM {table_sql} WHERE {a} IS NOT NULL AND {b} IS NOT NULL
 ), cells AS (SELECT a, b, COUNT(*) AS o FROM pr GROUP BY a, b
 ), ra AS (SELECT a, SUM(o) AS ra FROM cells GROUP BY a
 ), cb AS (SELECT b, SUM(o) AS cb, COUNT(*) AS a_per_b FROM cells GROUP BY b
-), ag AS (
-  SELECT SUM(CAST(o AS DOUBLE) * o / (ra * cb)) AS q, SUM(o) AS n, COUNT(DISTINCT a) AS r, COUNT(DISTINCT b) AS c,
-         MAX(a_per_b) = 1 AS nested
-  FROM cells JOIN ra USING (a) JOIN cb USING (b)
-), v AS (SELECT *, n * (q - 1) AS chi2,
-         CASE WHEN LEAST(r, c) > 1 THEN SQRT(n * (q - 1) / (n * (LEAST(r, c) - 1))) ELSE 0 END AS cv FROM ag)
-SELECT '{a} x {b}' AS variable, CAST(n AS BIGINT) AS n, ROUND(chi2, 6) AS chi2,
-  CAST((r - 1) * (c - 1) AS BIGINT) AS dof, ROUND(cv, 6) AS cramers_v, nested,
-  CASE WHEN cv >= 0.86 THEN 'redundant' ELSE 'distinct' END AS conclusion
-FROM v"""
+), sz AS (SELECT (SELECT COUNT(*) FROM pr) AS n, (SELECT COUNT(*) FROM ra) AS r, (SELECT COUNT(*) FROM cb) AS c
+), dev AS (SELECT ABS(COALESCE(o, 0) - CAST(ra AS DOUBLE) * cb / n) AS d, CAST(ra AS DOUBLE) * cb / n AS e, n, r, c
+           FROM ra CROSS JOIN cb CROSS JOIN sz LEFT JOIN cells ON cells.a = ra.a AND cells.b = cb.b
+), ag AS (SELECT ANY_VALUE(n) AS n, ANY_VALUE(r) AS r, ANY_VALUE(c) AS c,
+    SUM(POWER(CASE WHEN r = 2 AND c = 2 THEN GREATEST(d - 0.5, 0) ELSE d END, 2) / e) AS chi2 FROM dev
+), v AS (SELECT *, (r - 1) * (c - 1) AS dof, (SELECT MAX(a_per_b) = 1 FROM cb) AS nested,
+         CASE WHEN LEAST(r, c) > 1 THEN SQRT(chi2 / (n * (LEAST(r, c) - 1))) ELSE 0 END AS cv FROM ag
+) {G.critical_values('v')}
+SELECT '{a} x {b}' AS variable, CAST(n AS BIGINT) AS n, ROUND(chi2, 6) AS chi2, CAST(v.dof AS BIGINT) AS dof,
+  ROUND(crit.cv, 4) AS critical_value, ROUND(v.cv, 6) AS cramers_v, {G.effect('v.cv')} AS effect, nested,
+  CASE WHEN v.cv >= 0.86 THEN 'redundant' ELSE 'distinct' END AS conclusion
+FROM v LEFT JOIN crit ON crit.dof = v.dof"""
 
 
 def _outliers(col: str) -> str:
@@ -263,12 +277,75 @@ def _erfc_sql(x: str) -> str:
     return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
 
 
+SHAPE_CTES = f""", u AS ({unpivot('cleaned', SHAPE, 'DOUBLE')}
+), x AS (SELECT * FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+), m AS (SELECT variable, COUNT(*) AS n, AVG(value) AS mu, NULLIF(STDDEV_SAMP(value), 0) AS sd FROM x GROUP BY variable
+), c AS (SELECT variable, ANY_VALUE(n) AS n, NULLIF(AVG(POWER(value - mu, 2)), 0) AS m2, AVG(POWER(value - mu, 3)) AS m3,
+                AVG(POWER(value - mu, 4)) AS m4 FROM x JOIN m USING (variable) GROUP BY variable
+), k AS (SELECT variable, n, m3 / POWER(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku FROM c
+), sh AS (SELECT variable, n, ROUND(sk, 6) AS skewness, ROUND(ku, 6) AS kurtosis,
+    ROUND(n / 6.0 * (sk * sk + ku * ku / 4), 3) AS jarque_bera,
+    ROUND(EXP(-(n / 6.0 * (sk * sk + ku * ku / 4)) / 2), 6) AS jb_p FROM k
+), vc AS (SELECT variable, value, COUNT(*) AS n FROM x GROUP BY variable, value
+), cum AS (SELECT vc.*, m.n AS bn, mu, sd,
+    SUM(vc.n) OVER (PARTITION BY variable ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
+  FROM vc JOIN m USING (variable)
+), ph AS (SELECT *, -((value - mu) / sd) / SQRT(2.0) AS xx FROM cum
+), ph2 AS (SELECT *, 0.5 * {_erfc_sql('xx')} AS phi FROM ph
+), kn AS (SELECT variable, ANY_VALUE(bn) AS n,
+    MAX(CASE WHEN phi IS NOT NULL THEN GREATEST(cn / bn - phi, phi - (cn - n) / bn) END) AS ks FROM ph2 GROUP BY variable
+), kl AS (SELECT variable, ks, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * ks AS lam FROM kn
+), kp AS (SELECT variable, ks, CASE WHEN ks IS NULL THEN NULL WHEN lam < 0.2 THEN 1.0 ELSE GREATEST(0, LEAST(1,
+    list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * j * j * lam * lam))))) END
+    AS ks_p FROM kl)"""
+
+SF_CTES = f"""
+, sa AS (SELECT variable, value - mu AS v, n, bn, sd, bn + 0.25 AS den, (cn - n + 1 - 0.375) / (bn + 0.25) AS pm,
+    (cn - n + 1 - 0.875) / (bn + 0.25) AS p1, (cn + 0.125) / (bn + 0.25) AS p2 FROM cum
+), sb AS (SELECT *, {G.normal_quantile('pm')} AS q, {G.normal_quantile('p1')} AS z1, {G.normal_quantile('p2')} AS z2 FROM sa
+), sc AS (SELECT *, exp(-z1 * z1 / 2) / sqrt(2 * pi()) AS f1, exp(-z2 * z2 / 2) / sqrt(2 * pi()) AS f2 FROM sb
+), sg AS (SELECT variable, v, n, bn, CASE WHEN n = 1 THEN q ELSE den * (f1 - f2) END AS s1,
+    CASE WHEN n = 1 THEN q * q ELSE den * ((p2 - z2 * f2) - (p1 - z1 * f1)) END AS s2, sd FROM sc
+), se AS (SELECT variable, ANY_VALUE(bn) AS bn, ANY_VALUE(sd) AS sd, SUM(v * s1) - SUM(n * v) * SUM(s1) / ANY_VALUE(bn) AS cov,
+    SUM(n * v * v) - SUM(n * v) * SUM(n * v) / ANY_VALUE(bn) AS vx, SUM(s2) - SUM(s1) * SUM(s1) / ANY_VALUE(bn) AS vm
+  FROM sg GROUP BY variable
+), sf AS (SELECT variable, bn, CASE WHEN sd IS NOT NULL THEN cov * cov / (vx * vm) END AS w FROM se)"""
+
+CONTRAST = numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + """
+, cv AS (SELECT variable, y AS cls, value FROM u WHERE value IS NOT NULL AND NOT isnan(value)
+), cq AS (SELECT variable, cls, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+                 quantile_cont(value, 0.75) AS q3 FROM cv GROUP BY variable, cls
+), z AS (SELECT cv.variable, cv.cls, ABS(value - med) AS z FROM cv JOIN cq USING (variable, cls)
+), per AS (SELECT variable, cls, COUNT(*) AS nc, SUM(z) AS sz, SUM(z * z) AS szz FROM z GROUP BY variable, cls
+), gr AS (SELECT variable, SUM(nc) AS bn, SUM(sz) / SUM(nc) AS zbar, COUNT(*) AS k FROM per GROUP BY variable
+), bf AS (SELECT variable,
+    (ANY_VALUE(bn) - ANY_VALUE(k)) * SUM(nc * POWER(sz / nc - zbar, 2))
+      / ((ANY_VALUE(k) - 1) * SUM(szz - sz * sz / nc)) AS bf_f,
+    ANY_VALUE(k) - 1 AS bf_df1, ANY_VALUE(bn) - ANY_VALUE(k) AS bf_df2
+  FROM per JOIN gr USING (variable) GROUP BY variable
+), w AS (SELECT variable,
+    MAX(CASE WHEN cls = 0 THEN med END) AS med0, MAX(CASE WHEN cls = 0 THEN q3 - q1 END) AS iqr0,
+    MAX(CASE WHEN cls = 1 THEN med END) AS med1, MAX(CASE WHEN cls = 1 THEN q3 - q1 END) AS iqr1
+  FROM cq GROUP BY variable)"""
+
 SQL.update({
     "t1_chi_square": with_curated(_chi_square("curated", CATS, True, 2)),
     "t1b_chi_square_null_level": with_cleaned(_chi_square("lt", LT_STRINGS, False, 1)),
-    "t3_pair_grade_sub_grade": with_cleaned(_pair("lt", "grade", "sub_grade")),
-    "t3_pair_purpose_title": with_cleaned(_pair(f"(SELECT purpose, {TITLE_CASE} AS title_grouped FROM lt)",
-                                                "purpose", "title_grouped")),
+    "t3_pair_grade_sub_grade": _recursive(with_cleaned(_pair("lt", "grade", "sub_grade"))),
+    "t3_pair_purpose_title": _recursive(with_cleaned(_pair(
+        f"(SELECT purpose, {TITLE_CASE} AS title_grouped FROM lt)", "purpose", "title_grouped"))),
+    "t3_pair_list_status_plan": _recursive(with_cleaned(_pair(
+        "(SELECT CASE lower(trim(initial_list_status)) WHEN 'w' THEN 'Whole' WHEN 'f' THEN 'Fractional' END "
+        "AS initial_list_status, pymnt_plan FROM lt)", "initial_list_status", "pymnt_plan"))),
+    "t17_categorical_report": _recursive(with_curated(_chi_ctes("curated", CATS, True, 2) + """
+, res AS (SELECT variable, CAST(tn AS BIGINT) AS n, (lv - 1) * (nc - 1) AS dof, chi2,
+    CASE WHEN LEAST(lv, nc) > 1 THEN SQRT(chi2 / (tn * (LEAST(lv, nc) - 1))) ELSE 0 END AS v FROM s)"""
+        + G.critical_values("res") + f"""
+, pv AS (SELECT res.*, cv, {G.chi2_sf('chi2', 'res.dof')} AS p FROM res LEFT JOIN crit ON crit.dof = res.dof)"""
+        + G.holm("pv") + f"""
+SELECT variable, n, CAST(dof AS BIGINT) AS dof, ROUND(chi2, 6) AS chi2, ROUND(cv, 4) AS critical_value,
+  ROUND(p, 6) AS p_value, ROUND(ph, 6) AS p_holm, {G.P_TEXT} AS p_text, {G.STARS} AS significance,
+  ROUND(v, 6) AS cramers_v, {G.effect('v')} AS effect FROM adj""")),
     "a14_numeric_audit": with_curated(per_column(NUMERIC_FEATURES, """SELECT '{name}' AS variable,
   ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS sd, ROUND(MIN({c}), 6) AS min, ROUND(MAX({c}), 6) AS max,
   ROUND(quantile_cont({c}, 0.25), 6) AS q1, ROUND(quantile_cont({c}, 0.5), 6) AS median,
@@ -276,29 +353,14 @@ SQL.update({
   ROUND(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr,
   ROUND(COUNT_IF({c} IS NULL) / COUNT(*) * 100, 6) AS null_pct FROM curated""")),
     "o1_outliers_dti": with_cleaned(_outliers("dti")),
-    "o1_outliers_int_rate": with_cleaned(_outliers("int_rate")),
+    "o1_outliers_credit_limit": with_cleaned(_outliers("tot_hi_cred_lim")),
     "o2_hampel_bands": with_cleaned(per_column(HAMPEL, """SELECT '{name}' AS variable, ROUND(med, 6) AS median,
   ROUND(mad, 6) AS mad, ROUND(med - """ + HAMPEL_HALF + """ * mad, 6) AS lower,
   ROUND(med + """ + HAMPEL_HALF + """ * mad, 6) AS upper
 FROM (SELECT med, quantile_cont(ABS(x - med), 0.5) AS mad
       FROM (SELECT {c} AS x FROM lt WHERE {c} IS NOT NULL AND NOT isnan({c})),
            (SELECT quantile_cont({c}, 0.5) AS med FROM lt WHERE NOT isnan({c})) GROUP BY med)""")),
-    "t16_contrast_stats": with_curated(numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + """
-, cv AS (SELECT variable, y AS cls, value FROM u WHERE value IS NOT NULL AND NOT isnan(value)
-), cq AS (SELECT variable, cls, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
-                 quantile_cont(value, 0.75) AS q3 FROM cv GROUP BY variable, cls
-), z AS (SELECT cv.variable, cv.cls, ABS(value - med) AS z FROM cv JOIN cq USING (variable, cls)
-), per AS (SELECT variable, cls, COUNT(*) AS nc, SUM(z) AS sz, SUM(z * z) AS szz FROM z GROUP BY variable, cls
-), gr AS (SELECT variable, SUM(nc) AS bn, SUM(sz) / SUM(nc) AS zbar, COUNT(*) AS k FROM per GROUP BY variable
-), bf AS (SELECT variable,
-    (ANY_VALUE(bn) - ANY_VALUE(k)) * SUM(nc * POWER(sz / nc - zbar, 2))
-      / ((ANY_VALUE(k) - 1) * SUM(szz - sz * sz / nc)) AS bf_f,
-    ANY_VALUE(k) - 1 AS bf_df1, ANY_VALUE(bn) - ANY_VALUE(k) AS bf_df2
-  FROM per JOIN gr USING (variable) GROUP BY variable
-), w AS (SELECT variable,
-    MAX(CASE WHEN cls = 0 THEN med END) AS med0, MAX(CASE WHEN cls = 0 THEN q3 - q1 END) AS iqr0,
-    MAX(CASE WHEN cls = 1 THEN med END) AS med1, MAX(CASE WHEN cls = 1 THEN q3 - q1 END) AS iqr1
-  FROM cq GROUP BY variable)
+    "t16_contrast_stats": with_curated(CONTRAST + """
 SELECT variable, CAST(big_n0 AS BIGINT) AS n0, CAST(big_n1 AS BIGINT) AS n1,
   ROUND(med0, 6) AS median_0, ROUND(iqr0, 6) AS iqr_0, ROUND(med1, 6) AS median_1, ROUND(iqr1, 6) AS iqr_1,
   ROUND(bf_f, 6) AS bf_f, CAST(bf_df1 AS BIGINT) AS bf_df1, CAST(bf_df2 AS BIGINT) AS bf_df2,
@@ -306,12 +368,21 @@ SELECT variable, CAST(big_n0 AS BIGINT) AS n0, CAST(big_n1 AS BIGINT) AS n1,
   ROUND(ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n), 6)
     AS rosenthal_r
 FROM sep JOIN bf USING (variable) JOIN w USING (variable) WHERE big_n1 >= 2 AND big_n0 >= 2"""),
+    "t16_robust_contrast": with_curated(CONTRAST + f"""
+, k AS (SELECT variable, ROUND(med0, 6) AS m0, ROUND(iqr0, 6) AS i0, ROUND(med1, 6) AS m1, ROUND(iqr1, 6) AS i1,
+    ROUND(ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n), 6) AS r,
+    {G.t_two_sided('sqrt(bf_f)', 'bf_df2')} AS bf_p, {G.two_sided(G.Z_MWU)} AS p
+  FROM sep JOIN bf USING (variable) JOIN w USING (variable) WHERE big_n1 >= 2 AND big_n0 >= 2)""" + G.holm("k") + f"""
+SELECT variable, format('{{:,.2f}} ({{:,.2f}})', m0, i0) AS median_iqr_0, format('{{:,.2f}} ({{:,.2f}})', m1, i1) AS median_iqr_1,
+  CASE WHEN bf_p > 0.05 THEN 'yes' ELSE 'no' END AS homoscedastic, ROUND(p, 6) AS p_value, ROUND(ph, 6) AS p_holm,
+  {G.P_TEXT} AS p_text, r AS rosenthal_r, {G.effect('r')} AS effect FROM adj"""),
     "t14_mann_whitney": with_curated(numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + """
 SELECT variable, CAST(big_n AS BIGINT) AS "N", CAST(big_n1 AS BIGINT) AS "N1", ROUND(u0, 6) AS u_stat,
   ROUND(u1 / (big_n1 * big_n0), 6) AS auc,
   ROUND((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0), 6) AS z,
   ROUND(ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n), 6)
-    AS rosenthal_r
+    AS rosenthal_r,
+  ROUND(""" + G.two_sided(G.Z_MWU) + """, 6) AS p_value
 FROM sep"""),
     "h2_box_stats": with_curated(f""", u AS ({unpivot('curated', BOX, 'DOUBLE', '"default" AS y')}
 ), cv AS (SELECT variable, y, value FROM u WHERE value IS NOT NULL AND NOT isnan(value)
@@ -323,27 +394,23 @@ SELECT variable, y AS "default", ROUND(ANY_VALUE(q1), 6) AS q1, ROUND(ANY_VALUE(
   ROUND(MAX(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 6) AS whisker_hi,
   COUNT_IF(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outside
 FROM cv JOIN cq USING (variable, y) GROUP BY variable, y"""),
-    "t7_shape": with_cleaned(f""", u AS ({unpivot('cleaned', SHAPE, 'DOUBLE')}
-), x AS (SELECT * FROM u WHERE value IS NOT NULL AND NOT isnan(value)
-), m AS (SELECT variable, COUNT(*) AS n, AVG(value) AS mu FROM x GROUP BY variable
-), c AS (SELECT variable, ANY_VALUE(n) AS n, AVG(POWER(value - mu, 2)) AS m2, AVG(POWER(value - mu, 3)) AS m3,
-                AVG(POWER(value - mu, 4)) AS m4 FROM x JOIN m USING (variable) GROUP BY variable
-), k AS (SELECT variable, n, m3 / POWER(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku FROM c)
-SELECT variable, n, ROUND(sk, 6) AS skewness, ROUND(ku, 6) AS kurtosis,
-  ROUND(n / 6.0 * (sk * sk + ku * ku / 4), 3) AS jarque_bera,
-  ROUND(EXP(-(n / 6.0 * (sk * sk + ku * ku / 4)) / 2), 6) AS jb_p
-FROM k"""),
-    "t10_ks_normal": with_cleaned(f""", u AS ({unpivot('cleaned', SHAPE, 'DOUBLE')}
-), x AS (SELECT * FROM u WHERE value IS NOT NULL AND NOT isnan(value)
-), vc AS (SELECT variable, value, COUNT(*) AS n FROM x GROUP BY variable, value
-), mo AS (SELECT variable, COUNT(*) AS bn, AVG(value) AS mu, STDDEV_SAMP(value) AS sd FROM x GROUP BY variable
-), cum AS (SELECT vc.*, bn, mu, sd,
-    SUM(n) OVER (PARTITION BY variable ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
-  FROM vc JOIN mo USING (variable)
-), ph AS (SELECT *, -((value - mu) / sd) / SQRT(2.0) AS xx FROM cum
-), ph2 AS (SELECT *, 0.5 * {_erfc_sql('xx')} AS phi FROM ph)
-SELECT variable, bn AS "N", ROUND(MAX(GREATEST(cn / bn - phi, phi - (cn - n) / bn)), 6) AS ks_normal
-FROM ph2 GROUP BY variable, bn"""),
+    "t7_shape": with_cleaned(SHAPE_CTES + """
+SELECT variable, n, skewness, kurtosis, jarque_bera, jb_p FROM sh"""),
+    "t10_ks_normal": with_cleaned(SHAPE_CTES + """
+SELECT variable, n AS "N", ROUND(ks, 6) AS ks_normal FROM kn"""),
+    "t12_normality_report": with_cleaned(SHAPE_CTES + """
+SELECT variable, n, skewness, kurtosis, jarque_bera, jb_p, ROUND(ks, 6) AS ks_normal, ROUND(ks_p, 6) AS ks_p,
+  CASE WHEN jb_p > 0.05 AND ks_p > 0.05 THEN 'yes' ELSE 'no' END AS normal FROM sh JOIN kp USING (variable)"""),
+    "t11_shapiro_francia": with_cleaned(SHAPE_CTES + SF_CTES + """
+SELECT variable, CAST(bn AS BIGINT) AS n_obs, ROUND(w, 6) AS sf_w FROM sf"""),
+    "t12_normality_full": with_cleaned(SHAPE_CTES + SF_CTES + f"""
+, sp AS (SELECT variable, ROUND(w, 6) AS sf_w, bn > 5000 AS sf_p_extrapolated,
+    (ln(1 - w) - (-1.2725 + 1.0521 * (ln(ln(bn)) - ln(bn)))) / (1.0308 - 0.26758 * (ln(ln(bn)) + 2 / ln(bn))) AS z
+  FROM sf)
+SELECT variable, n, skewness, kurtosis, jarque_bera, jb_p, ROUND(ks, 6) AS ks_normal, ROUND(ks_p, 6) AS ks_p,
+  CASE WHEN jb_p > 0.05 AND ks_p > 0.05 THEN 'yes' ELSE 'no' END AS normal,
+  sf_w, ROUND({G.erfc('(z / sqrt(2.0))')} / 2, 6) AS sf_p, sf_p_extrapolated
+FROM sh JOIN kp USING (variable) JOIN sp USING (variable)"""),
     "h1_histogram_int_rate": with_curated(""", x AS (SELECT int_rate AS v FROM curated WHERE int_rate IS NOT NULL
 ), mo AS (SELECT COUNT(*) AS bn, AVG(v) AS mu, STDDEV_SAMP(v) AS sd, MIN(v) AS mn, MAX(v) AS mx FROM x
 ), b AS (SELECT LEAST(CAST(FLOOR((v - mn) / ((mx - mn) / 30)) AS INTEGER) + 1, 30) AS bin, bn, mu, sd, mn, mx
@@ -449,6 +516,9 @@ SELECT id, "default", CASE WHEN rn <= ROUND(cnt * 0.8) THEN 'train' ELSE 'test'
 FROM (SELECT id, "default", ROW_NUMBER() OVER (PARTITION BY "default" ORDER BY {_h(42)}) AS rn,
              COUNT(*) OVER (PARTITION BY "default") AS cnt FROM curated)"""),
     "r4_folds": with_curated(f"SELECT id, \"default\", CAST(FLOOR({_u('42|fold')} * 5) AS INTEGER) AS fold FROM curated"),
+    "r4_stratified_folds": with_curated(f"""
+SELECT id, "default", CAST((ROW_NUMBER() OVER (PARTITION BY "default" ORDER BY {_h('42|fold')}, id) - 1) % 5 AS INTEGER) AS fold
+FROM curated"""),
     "u1_class_wise_union": with_curated(f"SELECT id, \"default\", {SPLIT} AS split FROM curated"),
     "a13_split_audit": with_curated(f"""
 SELECT COALESCE(split, 'all') AS split, COUNT(*) AS n, ROUND(AVG(CAST("default" AS DOUBLE)), 6) AS default_rate
@@ -481,13 +551,15 @@ FROM curated LEFT JOIN lab_purpose USING (purpose) LEFT JOIN lab_addr_state USIN
                    CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END AS f1 FROM p)
 SELECT ROUND((tp + tn) / n, 6) AS accuracy, ROUND((s0 * p0 + s1 * p1) / n, 6) AS weighted_precision,
   ROUND((s0 * r0 + s1 * r1) / n, 6) AS weighted_recall, ROUND((s0 * f0 + s1 * f1) / n, 6) AS weighted_f1 FROM f"""),
-    "e4_run_comparison": with_curated(f"""
+    "e4_run_comparison": with_curated(numeric_vc("curated", ["int_rate", "fico_range_high"]) + SEPARATION + f"""
 , a AS (SELECT * FROM {_confusion_metrics('int_rate >= 12.0')}),
 b AS (SELECT * FROM {_confusion_metrics('fico_range_high <= 700')})
 SELECT 'accuracy' AS metric, a.accuracy AS rate_cutoff, b.accuracy AS fico_cutoff FROM a, b
 UNION ALL SELECT 'precision', a.precision, b.precision FROM a, b
 UNION ALL SELECT 'recall', a.recall, b.recall FROM a, b
-UNION ALL SELECT 'f1_score', a.f1_score, b.f1_score FROM a, b"""),
+UNION ALL SELECT 'f1_score', a.f1_score, b.f1_score FROM a, b
+UNION ALL SELECT 'auc', ROUND(MAX(CASE WHEN variable = 'int_rate' THEN u1 / (big_n1 * big_n0) END), 6),
+  ROUND(1 - MAX(CASE WHEN variable = 'fico_range_high' THEN u1 / (big_n1 * big_n0) END), 6) FROM sep"""),
     "e5_case_selection": with_curated("""
 SELECT case_type, MIN(id) AS id FROM (
   SELECT id, CASE WHEN "default" = 1 AND pr = 0 THEN 'false_negative'
@@ -504,26 +576,13 @@ FROM sp JOIN k ka ON ka.variable = var_a JOIN k kb ON kb.variable = var_b WHERE
 })
 
 
-def _phi_sql(z: str) -> str:
-    return f"(0.5 * {_erfc_sql('(-(' + z + ') / SQRT(2.0))')})"
-
-
 SQL.update({
     "t4_holm_mann_whitney": with_curated(numeric_vc("curated", NUMERIC_FEATURES) + SEPARATION + f"""
-, zz AS (SELECT variable, u0, u1, big_n, big_n0, big_n1, tie3,
-    ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n) AS r,
-    (GREATEST(u0, u1) - big_n0 * big_n1 / 2.0 - 0.5)
-      / SQRT(big_n0 * big_n1 / 12.0 * ((big_n + 1) - tie3 / (big_n * (big_n - 1)))) AS z
-  FROM sep
-), pv AS (SELECT variable, r, LEAST(1.0, 2 * (1 - {_phi_sql('ABS(z)')})) AS p FROM zz
-), ho AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p, variable) AS i, COUNT(*) OVER () AS m FROM pv
-), adj AS (SELECT *, LEAST(1.0, MAX((m - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-                 AS ph FROM ho)
+, zz AS (SELECT variable, {G.Z_MWU} AS z,
+    ABS((u0 - big_n0 * big_n1 / 2.0) / SQRT(big_n0 * big_n1 * (big_n + 1) / 12.0)) / SQRT(big_n) AS r FROM sep
+), pv AS (SELECT variable, r, {G.two_sided('z')} AS p FROM zz)""" + G.holm("pv") + f"""
 SELECT variable, ROUND(p, 6) AS p_value, ROUND(ph, 6) AS p_holm,
-  CASE WHEN ph < 0.001 THEN '***' WHEN ph < 0.01 THEN '**' WHEN ph < 0.05 THEN '*' ELSE 'ns' END AS significance,
-  CASE WHEN ph < 0.001 THEN '< 0.001***' WHEN ph < 0.01 THEN printf('%.4f', ph) || '**'
-       WHEN ph < 0.05 THEN printf('%.4f', ph) || '*' ELSE printf('%.4f', ph) || ' (ns)' END AS p_text,
-  ROUND(r, 6) AS rosenthal_r,
-  CASE WHEN r < 0.1 THEN 'Negligible' WHEN r < 0.3 THEN 'Small' WHEN r < 0.5 THEN 'Medium' ELSE 'Large' END AS effect
+  CASE WHEN p > 0 THEN ROUND(-log10(p), 3) END AS neg_log10_p,
+  {G.STARS} AS significance, {G.P_TEXT} AS p_text, ROUND(r, 6) AS rosenthal_r, {G.effect('r')} AS effect
 FROM adj"""),
 })

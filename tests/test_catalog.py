@@ -9,7 +9,9 @@ import __spark_entry__ as E
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SLOW = {"m3_grid_search", "a18_grid_pivot", "a18_grid_best"}
+EXACT_ROWS = {"e5_model_cases": 2, "x1_explain_cases": 16, "e4_model_runs": 11}
+# the llm queries have tests of their own
+SLOW = {"pipeline"} | {n for n in E.queries() if n[:2] == "op"} | {"m3_grid_search", "a18_grid_pivot", "a18_grid_best"}
 
 
 def _norm(v):
@@ -41,10 +43,10 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_model_based():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert len(sqls) >= 80
+    assert len(sqls) >= 90 and "a5_type_summary" not in qs
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if n[:2] != "op"))
 def test_query_matches_oracle(spark, con, sf_small, name):
     sdf = E.queries()[name](spark, sf_small)
     srows = [tuple(r) for r in sdf.collect()]
@@ -58,4 +60,5 @@ def test_query_matches_oracle(spark, con, sf_small, name):
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
 def test_rows_only_queries_run(spark, sf_small, name):
-    assert E.queries()[name](spark, sf_small).count() >= 0
+    n = E.queries()[name](spark, sf_small).count()
+    assert n > 0 if name not in EXACT_ROWS else n == EXACT_ROWS[name]

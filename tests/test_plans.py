@@ -33,3 +33,24 @@ def test_no_single_partition_window(spark, sf_small):
             if re.search(r"\bWindow \[", line):
                 below = next((ln for ln in lines[i + 1:] if "Exchange" in ln), "")
                 assert "SinglePartition" not in below, (name, line)
+
+
+def test_single_pass_queries_are_lazy_and_pruned(spark, sf_small):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "building plans")
+    frames = {n: E.queries()[n](spark, sf_small) for n in ("p5_title_grouped", "a1_class_distribution", "a12_default_rate_by_sub_grade")}
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("lazy") for i in tracker.getJobInfo(j).stageIds]
+    # nothing but reading the tables' schemas
+    assert all(s.name.startswith("parquet at") and s.numTasks == 1 for s in stages if s)
+    spark.sparkContext.setJobGroup("rest", "")
+    plan = frames["p5_title_grouped"]._jdf.queryExecution().executedPlan().toString()
+    orders = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) if "o_orderkey" in s]
+    assert orders and all("o_totalprice" not in s and "o_orderdate" not in s for s in orders)
+    assert "lineitem" not in plan
+
+
+def test_spearman_shuffles_the_rows_twice(spark, sf_small):
+    from lendlens.operators import correlation as CO
+    df = spark.range(200).selectExpr("id", *[f"cast((id * {k}) % 97 as double) as c{k}" for k in (3, 5, 7, 11)])
+    plan = CO.spearman_matrix(df, ["c3", "c5", "c7", "c11"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
