@@ -47,10 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id has too."""
-    found = substrings.remove_repeats(docs, PASSAGE_WORDS, keep=docs.columns)
+    found = substrings.remove_repeats(docs, PASSAGE_WORDS, keep=[c for c in docs.columns if c != "text"])
     cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))
-    out = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
+    out = {c: F.col("row")[c] for c in docs.columns if c != "text"}
+    out["text"] = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(cut, F.length("kept_text").cast("bigint")).otherwise(F.col("row.n_chars"))
     return found.select(*[out[c].alias(c) for c in docs.columns])
@@ -67,7 +67,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of what they decode to."""
-    coded = bpe_codec.decode(bpe_codec.encode(docs, VOCAB, keep=["doc_id", "lang", "source"]), VOCAB)
+    coded = bpe_codec.encode(docs, VOCAB, keep=["doc_id", "lang", "source"], decoded=True)
     return coded.select("row.*", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -10,6 +10,8 @@ bytes, so no decoding is needed.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII white space (0x20 and 0x09 to 0x0D).
 WHITE = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
@@ -51,12 +53,48 @@ def _ascii_lower() -> np.ndarray:
 LOWER = _ascii_lower()
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers wait for later tasks, and
+    what they hold meanwhile is missing to the others of their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A mapInArrow function that gives back its memory when a task ends."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def kept_columns(docs: DataFrame, keep: list[str]) -> Column:
     """A struct of columns that an operator hands through unread, so that
     their names cannot clash with its own and no join brings them back."""
     return F.struct(*[docs[c] for c in keep])
 
 
+def rows_with_text(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """(row, text): the columns ``keep`` as a struct, and the text unless it is
+    among them, so that no text travels twice."""
+    row = kept_columns(docs, keep).alias("row")
+    if text_col in keep and docs.schema[text_col].dataType.typeName() == "string":
+        return docs.select(row)
+    return docs.select(row, F.col(text_col).cast("string").alias("text"))
+
+
+def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The texts of a batch of :func:`rows_with_text`."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    return batch.column("row").field(text_col)
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -78,7 +116,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES,
            rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows whose texts together hold at most
     ``limit`` bytes (one row at least)."""
-    _, offsets = text_bytes(batch.column(column))
+    _, offsets = text_bytes(texts_of(batch, column))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1

@@ -34,7 +34,8 @@ from lendlens.llm.blocks import LOWER, Words, cut_runs, white_words
 
 #: The word-end symbol c</w> is written as one character: chr(ord(c) + END).
 END = 0x10000
-MEMO = 250_000
+MEMO = 120_000
+UNIT_BYTES = 1 << 20  # text cut into units at a time
 
 
 @cache

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import kept_columns, slices, text_bytes
-from lendlens.llm.bpe import Memo, WordBpe, loaded, units, vocabulary
+from lendlens.llm.blocks import kept_columns, lean, rows_with_text, slices, text_bytes, texts_of
+from lendlens.llm.bpe import UNIT_BYTES, Memo, WordBpe, loaded, units, vocabulary
 
 _MEMOS: dict[str, tuple[WordBpe, object]] = {}
 
@@ -62,29 +62,53 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
 
-def encode(docs: DataFrame, vocab_path: str, keep: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def _encode_part(ids_of: Memo, texts: pa.Array) -> pa.ListArray:
+    w = units(*text_bytes(texts))
+    lists = [ids_of(u) for u in w.dictionary.to_pylist()]
+    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    flat = np.frombuffer(b"".join(lists), np.int32)
+    start = np.cumsum(size) - size
+    total = np.zeros(len(w.codes) + 1, np.int64)
+    np.cumsum(size[w.codes], out=total[1:])
+    ids = flat[gather(start[w.codes], size[w.codes])]
+    return pa.ListArray.from_arrays(pa.array(total[w.first].astype(np.int32)), pa.array(ids))
+
+
+def _decode_part(table: np.ndarray, offsets: np.ndarray, lists: pa.ListArray) -> pa.StringArray:
+    count = np.asarray(lists.value_lengths().fill_null(0))
+    ids = np.asarray(lists.flatten())
+    size = offsets[ids + 1] - offsets[ids]
+    data = table[gather(offsets[ids], size)]
+    total = np.concatenate([[0], np.cumsum(size)])
+    stop = total[np.cumsum(count)]
+    stays = np.ones(len(data), bool)
+    stays[stop[count > 0] - 1] = False  # the space behind a text's last token
+    place = np.concatenate([[0], stop - np.cumsum(count > 0)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lists), pa.py_buffer(place), pa.py_buffer(data[stays]))
+
+
+def encode(docs: DataFrame, vocab_path: str, keep: list[str] = ("doc_id",), text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
     """(row, ids): the token ids of every whole text; ``row`` is a struct of
-    the columns ``keep``."""
+    the columns ``keep``.  With ``decoded``, also what :func:`decode` makes of
+    the ids, in the same pass."""
     shared = vocabulary(docs.sparkSession, vocab_path)
-    src = docs.select(kept_columns(docs, keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    back = docs.sparkSession.sparkContext.broadcast(offset_table(vocab_path)) if decoded else None
+    src = rows_with_text(docs, keep, text_col)
+    names = ["row", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches):
         ids_of = _encoder(shared)
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = units(*text_bytes(part.column("text")))
-                lists = [ids_of(u) for u in w.dictionary.to_pylist()]
-                size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-                flat = np.frombuffer(b"".join(lists), np.int32)
-                start = np.cumsum(size) - size
-                total = np.zeros(len(w.codes) + 1, np.int64)
-                np.cumsum(size[w.codes], out=total[1:])
-                ids = flat[gather(start[w.codes], size[w.codes])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.ListArray.from_arrays(pa.array(total[w.first].astype(np.int32)), pa.array(ids))],
-                    names=["row", "ids"])
-
-    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, ids array<int>")
+            for part in slices(batch, text_col, UNIT_BYTES):
+                cols = [part.column("row"), _encode_part(ids_of, texts_of(part, text_col))]
+                if back is not None:
+                    data, offsets = back.value
+                    cols.append(_decode_part(np.frombuffer(data, np.uint8), offsets, cols[1]))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    kind = src.schema["row"].dataType.simpleString()
+    return src.mapInArrow(lean(run), f"row {kind}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", keep: list[str] = ("row",)) -> DataFrame:
@@ -98,22 +122,11 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", keep: list
         data, offsets = shared.value
         table = np.frombuffer(data, np.uint8)
         for batch in batches:
-            step = 512
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                col = part.column("ids")
-                count = np.asarray(col.value_lengths().fill_null(0))
-                ids = np.asarray(col.flatten())
-                size = offsets[ids + 1] - offsets[ids]
-                data = table[gather(offsets[ids], size)]
-                total = np.concatenate([[0], np.cumsum(size)])
-                ends = np.cumsum(count)
-                stop = total[ends]
-                stays = np.ones(len(data), bool)
-                stays[stop[count > 0] - 1] = False  # the space behind a text's last token
-                place = np.concatenate([[0], stop - np.cumsum(count > 0)]).astype(np.int32)
-                text = pa.StringArray.from_buffers(len(part), pa.py_buffer(place), pa.py_buffer(data[stays]))
-                yield pa.RecordBatch.from_arrays([part.column("kept"), col, text], names=["kept", "ids", "decoded"])
-
-    return src.mapInArrow(run, f"kept {src.schema['kept'].dataType.simpleString()}, ids array<int>, decoded string") \
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column("ids")
+                yield pa.RecordBatch.from_arrays([part.column("kept"), lists, _decode_part(table, offsets, lists)],
+                                                 names=["kept", "ids", "decoded"])
+
+    return src.mapInArrow(lean(run), f"kept {src.schema['kept'].dataType.simpleString()}, ids array<int>, decoded string") \
         .select("kept.*", "ids", "decoded")

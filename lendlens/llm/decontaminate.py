@@ -34,10 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import alnum_words, cut_words, slices, text_bytes
+from lendlens.llm.blocks import alnum_words, cut_words, lean, slices, text_bytes
 from lendlens.sources.tables import materialize
 
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
 CHUNK = 200_000
 
 
@@ -94,7 +94,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     names=[c.split()[0] for c in schema.split(", ")])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(src.mapInArrow(run, schema), "positional-index")
+    return materialize(src.mapInArrow(lean(run), schema), "positional-index")
 
 
 @dataclass
@@ -124,7 +124,7 @@ def item_windows(items: DataFrame, width: int, id_col: str, text_col: str) -> Da
                                                  names=["item", "phrase"])
 
     src = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return (src.mapInArrow(run, "item string, phrase string")
+    return (src.mapInArrow(lean(run), "item string, phrase string")
             .groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items")))
 
 
@@ -241,7 +241,7 @@ def _lookup(index: DataFrame, phrases: DataFrame, find, schema: str, emit) -> Da
                     size = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.zeros(0, np.int64)
                     yield emit(row["segment"], batch.column("ids")[i].values, seg, phrase, place, size, chunk)
 
-        one = index.mapInArrow(run, schema)
+        one = index.mapInArrow(lean(run), schema)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import kept_columns, mix, slices, text_bytes
+from lendlens.llm.blocks import lean, mix, rows_with_text, slices, text_bytes, texts_of
 
 UNKNOWN = "und"
 BINS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 PER_LANG = 1000
 PENALTY = 8.0
+PIECE = 128  # words that Viterbi takes in step
 #: A language uses a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
 FAR = -60.0  # score of a language that doesn't use the word's script
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for name in grams:
             yield pa.RecordBatch.from_pydict({"lang": [name], "grams": [grams[name].tobytes()], "used": [used[name].tobytes()]})
 
-    rows = src.where(chance < limit).mapInArrow(run, "lang string, grams binary, used binary")
+    rows = src.where(chance < limit).mapInArrow(lean(run), "lang string, grams binary, used binary")
 
     def add(table: pa.Table) -> pa.Table:
         total = lambda c: sum(np.frombuffer(x, np.float64) for x in table.column(c).to_pylist()).tobytes()
@@ -206,35 +207,71 @@ def word_scores(w: LetterWords, model: Model) -> np.ndarray:
 
 
 def best_labels(score: np.ndarray, number: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """Viterbi labels of all words, all texts of a slice in step: step t
-    handles word t of every text that has one."""
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    at, n = first[:-1][order], n[order]
+    """Viterbi labels of all words of a slice.
+
+    Texts are cut into pieces of at most ``PIECE`` words that go in step, so
+    the number of numpy steps does not grow with the longest text: once for
+    the best value from each state before a piece to each state at its end,
+    then piece after piece along each text, then again inside the pieces, now
+    with both ends known.
+    """
     langs = score.shape[1]
-    back = np.zeros((len(number), langs), np.uint8 if langs <= 256 else np.int32)
+    n = np.diff(first)
+    pieces = -(-n // PIECE)
+    text = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = first[:-1][text] + nth * PIECE
+    size = np.minimum(n[text] - nth * PIECE, PIECE)
+    order = np.argsort(-size, kind="stable")
+    at, size, text, nth = at[order], size[order], text[order], nth[order]
     label = np.zeros(len(number), np.int64)
+    if not len(at):
+        return label
+    live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # pieces with more than t words
+    change = penalty * (1 - np.eye(langs))
+
+    # (pieces, state before, state at the end)
+    through = score[number[at]][:, None, :] - np.where((nth > 0)[:, None, None], change, 0.0)
+    for t in range(1, len(live)):
+        v = through[:live[t]]
+        np.maximum(v, v.max(axis=2, keepdims=True) - penalty, out=v)
+        v += score[number[at[:live[t]] + t]][:, None, :]
+
+    # along the texts: the best state before each state at a piece's end
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))  # pieces in the order of the texts
+    begin = np.cumsum(pieces) - pieces
+    before = np.zeros((len(order), langs), np.int64)
+    best = np.zeros((len(n), langs))
+    for j in range(int(pieces.max())):
+        texts = np.flatnonzero(pieces > j)
+        rows = place[begin[texts] + j]
+        value = best[texts][:, :, None] + through[rows]
+        before[rows] = value.argmax(axis=1)
+        best[texts] = value.max(axis=1)
+    entry, leave = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    state = best.argmax(axis=1)
+    for j in range(int(pieces.max()) - 1, -1, -1):
+        texts = np.flatnonzero(pieces > j)
+        rows = place[begin[texts] + j]
+        leave[rows] = state[texts]
+        state[texts] = entry[rows] = before[rows, state[texts]]
+
+    # inside the pieces
+    back = np.zeros((len(number), langs), np.uint8 if langs <= 256 else np.int32)
     own = np.arange(langs)
-    live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")  # texts with more than t words
-    v = score[number[at[:live[0]]]] if len(live) else None
-    ended = np.zeros(len(n), np.int64)
+    v = score[number[at]] - np.where((nth > 0)[:, None], change[entry], 0.0)
     for t in range(1, len(live)):
         k = live[t]
-        if k < len(v):
-            ended[k:len(v)] = v[k:].argmax(axis=1)
-            v = v[:k]
-        top = v.max(axis=1, keepdims=True) - penalty
-        back[at[:k] + t] = np.where(v >= top, own, v.argmax(axis=1)[:, None])
-        v = np.maximum(v, top) + score[number[at[:k] + t]]
-    if len(live):
-        ended[:len(v)] = v.argmax(axis=1)
-    state = ended
+        top = v[:k].max(axis=1, keepdims=True) - penalty
+        back[at[:k] + t] = np.where(v[:k] >= top, own, v[:k].argmax(axis=1)[:, None])
+        v = np.maximum(v[:k], top) + score[number[at[:k] + t]]
+    state = leave
     for t in range(len(live) - 1, -1, -1):
         k = live[t]
-        place = at[:k] + t
-        label[place] = state[:k]
+        label[at[:k] + t] = state[:k]
         if t:
-            state[:k] = back[place, state[:k]]
+            state[:k] = back[at[:k] + t, state[:k]]
     return label
 
 
@@ -244,7 +281,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
     of the columns ``keep``, spans are character places [begin, stop) with a
     language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(kept_columns(docs, keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    src = rows_with_text(docs, keep, text_col)
     schema = (f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double, "
               "spans array<struct<begin:bigint,stop:bigint,lang:string>>")
 
@@ -252,8 +289,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
         m = shared.value
         names = pa.array([*m.langs, UNKNOWN], pa.string())
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = letter_words(*text_bytes(part.column("text")))
+            for part in slices(batch, text_col):
+                w = letter_words(*text_bytes(texts_of(part, text_col)))
                 docs, langs = len(part), len(m.langs)
                 owner = np.repeat(np.arange(docs), np.diff(w.first))
                 label = best_labels(word_scores(w, m), w.number, w.first, penalty) if len(w.number) else w.number
@@ -275,4 +312,4 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
                     [part.column("row"), names.take(pa.array(best)), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), spans)],
                     names=["row", "lang_pred", "score", "spans"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

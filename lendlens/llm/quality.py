@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import cut_words, slices, text_bytes, white_words
+from lendlens.llm.blocks import cut_words, lean, slices, text_bytes, white_words
 
 SAMPLE = 20_000
 BINS = 64
@@ -177,7 +177,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.ravel()))], names=["id", "x"])
 
-    return _source(docs, id_col, text_col).mapInArrow(run, f"id {kind}, x array<double>").withColumnRenamed("id", id_col)
+    return _source(docs, id_col, text_col).mapInArrow(lean(run), f"id {kind}, x array<double>").withColumnRenamed("id", id_col)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
@@ -209,4 +209,4 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
                 x = statistics(*text_bytes(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(trees.scores(x))], names=["id", "score"])
 
-    return _source(docs, id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return _source(docs, id_col, text_col).mapInArrow(lean(run), f"id {kind}, score double").withColumnRenamed("id", id_col)

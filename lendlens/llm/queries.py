@@ -78,7 +78,7 @@ def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_codec.decode(bpe_codec.encode(_documents(spark, sf_dir), VOCAB), VOCAB)
+    coded = bpe_codec.encode(_documents(spark, sf_dir), VOCAB, decoded=True)
     return coded.select(
         "row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -29,23 +29,25 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import Words, cut_words, kept_columns, mix, slices, text_bytes, white_words, window_hashes, word_hashes
+from lendlens.llm.blocks import Words, cut_words, give_back, kept_columns, lean, mix, slices, text_bytes, white_words, window_hashes, word_hashes
 from lendlens.llm.decontaminate import pack, unpack
 from lendlens.sources.tables import materialize
 
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20  # text per hash range
+BLOCK_BYTES = 2 << 20
+RANGE_BYTES = 8 << 20  # text per hash range
 SHORT = np.uint64(24)  # bits cut off on the way up
 NO_ID = (1 << 63) - 1
 
 
 def make_blocks(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """(block, ids, sizes, data, rows): whole documents, texts compressed."""
+    """(block, ids, sizes, data, rows): whole documents; the texts end to end,
+    compressed, with their sizes (null for a null text)."""
     src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
                       F.col(text_col).cast("string").alias("text"), kept_columns(docs, keep).alias("row"))
 
@@ -55,15 +57,16 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) ->
             for part in slices(batch, "text", BLOCK_BYTES):
                 buf, offsets = text_bytes(part.column("text"))
                 # the table is written once, so the names stand
+                sizes = pc.if_else(part.column("text").is_null(), None, pa.array(np.diff(offsets)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().hex]), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
-                     pa.array([np.diff(offsets)], pa.list_(pa.int64())),
+                     pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), sizes),
                      pa.array([squeeze.compress(buf.tobytes())], pa.binary()),
                      pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("row"))],
                     names=["block", "ids", "sizes", "data", "rows"])
 
     return materialize(src.mapInArrow(
-        run, "block string, ids array<bigint>, sizes array<bigint>, data binary, "
+        lean(run), "block string, ids array<bigint>, sizes array<bigint>, data binary, "
         f"rows array<{src.schema['row'].dataType.simpleString()}>"), "blocks")
 
 
@@ -72,7 +75,8 @@ class Block:
 
     def __init__(self, ids, sizes, data: bytes):
         self.ids = np.asarray(ids, np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+        self.null = np.array([x is None for x in sizes], bool)
+        self.offsets = np.concatenate([[0], np.cumsum(np.array([x or 0 for x in sizes], np.int64))])
         self.buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if self.offsets[-1] \
             else np.zeros(0, np.uint8)
         self.words: Words = cut_words(self.buf, self.offsets, white_words(), lower=False)
@@ -163,7 +167,7 @@ def _ask(blocks: DataFrame, lengths: list[int], ranges: int, final: bool) -> Dat
                     [pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()),
                      pa.array([load[r] for r in some], pa.binary())], names=["block", "r", "payload"])
 
-    return blocks.mapInArrow(run, "block string, r bigint, payload binary")
+    return blocks.mapInArrow(lean(run), "block string, r bigint, payload binary")
 
 
 def _cuts(sorted_hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
@@ -200,6 +204,7 @@ def _answer(asked: DataFrame, final: bool) -> DataFrame:
             bits[inside] = many[at[inside]] == mine[inside]
         cut = np.cumsum([0, *size])
         out = [bits[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        give_back()
         return pa.table({"block": pa.array(names, pa.string()), "r": table.column("r"), "bits": pa.array(out, pa.binary())})
 
     said = asked.groupBy("r").applyInArrow(run, "block string, r bigint, bits binary")
@@ -214,10 +219,11 @@ def _with_reply(blocks: DataFrame, reply: DataFrame, name: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
                    keep: list[str] = ("doc_id",)) -> DataFrame:
-    """(row, n_words, n_removed, kept_text, spans) of every document: words
-    covered by a window of ``window`` words that also begins in a document
-    with a smaller id are removed; ``spans`` are their places and ``row`` is
-    a struct of the columns ``keep``."""
+    """(row, text, n_words, n_removed, kept_text, spans) of every document:
+    words covered by a window of ``window`` words that also begins in a
+    document with a smaller id are removed; ``spans`` are their places,
+    ``text`` is the whole text and ``row`` is a struct of the columns ``keep``
+    (the text need not be among them)."""
     blocks = make_blocks(docs, id_col, text_col, keep)
     lengths = _levels(window, -(-window // 2))
     ranges = _ranges(blocks)
@@ -243,12 +249,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 yield _kept(block, batch.column("rows")[i].values, hit, window, span)
 
     return known.mapInArrow(
-        run, f"row {blocks.schema['rows'].dataType.elementType.simpleString()}, n_words bigint, n_removed bigint, "
+        lean(run), f"row {blocks.schema['rows'].dataType.elementType.simpleString()}, text string, n_words bigint, n_removed bigint, "
         "kept_text string, spans array<struct<begin:bigint,stop:bigint>>")
 
 
 def _ranges(blocks: DataFrame) -> int:
-    total = blocks.select(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("s")).agg(F.sum("s")).first()[0]
+    total = blocks.select(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("s")).agg(F.sum("s")).first()[0]
     return max(1, -(-(total or 0) // RANGE_BYTES))
 
 
@@ -281,9 +287,11 @@ def _kept(block: Block, rows: pa.Array, hit: np.ndarray, window: int, span: pa.D
     stays[stop_at[count > 0] - 1] = False
     place = np.concatenate([[0], stop_at - np.cumsum(count > 0)]).astype(np.int32)
     text = pa.StringArray.from_buffers(docs, pa.py_buffer(place), pa.py_buffer(data[stays]))
+    whole = pc.if_else(pa.array(block.null), None, pa.StringArray.from_buffers(
+        docs, pa.py_buffer(block.offsets.astype(np.int32)), pa.py_buffer(block.buf)))
     return pa.RecordBatch.from_arrays(
-        [rows, pa.array(w.counts), pa.array(w.counts - count), text, spans],
-        names=["row", "n_words", "n_removed", "kept_text", "spans"])
+        [rows, whole, pa.array(w.counts), pa.array(w.counts - count), text, spans],
+        names=["row", "text", "n_words", "n_removed", "kept_text", "spans"])
 
 
 def longest_repeats(docs: DataFrame, start: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +316,7 @@ def longest_repeats(docs: DataFrame, start: int = 13, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(block.ids), pa.array(np.where(has, lengths[-1], 0))], names=["id", "longest"])
 
-        level = materialize(known.mapInArrow(run, "id bigint, longest bigint"), "level")
+        level = materialize(known.mapInArrow(lean(run), "id bigint, longest bigint"), "level")
         some = level.where("longest > 0").limit(1).count()
         out = level if out is None else out.union(level.where("longest > 0"))
         if not some:

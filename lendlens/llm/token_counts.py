@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import slices, text_bytes
-from lendlens.llm.bpe import Memo, WordBpe, loaded, units, vocabulary
+from lendlens.llm.blocks import lean, slices, text_bytes
+from lendlens.llm.bpe import UNIT_BYTES, Memo, WordBpe, loaded, units, vocabulary
 
 _MEMOS: dict[str, tuple[WordBpe, Memo]] = {}
 
@@ -56,7 +56,7 @@ def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     def run(batches):
         count = _counter(shared)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", UNIT_BYTES):
                 buf, offsets = text_bytes(part.column("text"))
                 w = units(buf, offsets)
                 each = np.fromiter(map(count, w.dictionary.to_pylist()), np.int64, len(w.dictionary))
@@ -71,7 +71,7 @@ def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return src.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def _cut_unit(bpe: WordBpe, text: str, start: int, stop: int) -> int:
@@ -105,7 +105,7 @@ def count_at(prefixes: DataFrame, docs: DataFrame, at_col: str, vocab_path: str,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("at"), pa.array(out, pa.int64())],
                                              names=["id", "at", "n_tokens"])
 
-    return src.mapInArrow(run, f"id {kind}, at bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    return src.mapInArrow(lean(run), f"id {kind}, at bigint, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
 def fit_budget(prefixes: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:

@@ -41,7 +41,9 @@ def test_no_labels_no_model(spark):
         langid.fit(spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string"))
 
 
-def test_viterbi_equals_all_paths():
+@pytest.mark.parametrize("piece", [1, 2, 3, 128])
+def test_viterbi_equals_all_paths(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
     rng = np.random.default_rng(3)
     score = rng.normal(size=(9, 3))
     first = np.array([0, 5, 5, 9, 10])
