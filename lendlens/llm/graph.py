@@ -30,7 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
     repeats and loops."""
     flat = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
     while True:
         both = flat.union(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _step(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,8 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = _step(down, "small")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         flat = materialize(hung.where("u <> v").distinct(), "small-star")
-        now = flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if _stars(flat):
             return flat.select(F.col("u").alias("node"), F.col("v").alias("component")) \
                 .union(flat.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = now
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u hangs on one v that hangs on nothing: the components."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not per.where("hangs > 1 or (hangs > 0 and holds > 0)").limit(1).count()

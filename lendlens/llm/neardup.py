@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import cut_words, mix, slices, text_bytes, white_words, window_hashes, word_hashes
+from lendlens.llm.blocks import cut_words, lean, mix, slices, text_bytes, white_words, window_hashes, word_hashes
 from lendlens.llm.graph import components
 from lendlens.sources.tables import materialize
 
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: in
                     names=["id", "n", "s1", "s2", "a", "b"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -235,9 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))],
                     names=["g", "id", "n", "sets"])
 
-    near = around.select(F.col("node").alias("id"), F.col("component").alias("g"))
+    # by shuffle at every size: the candidates grow with the corpus
+    near = around.select(F.col("node").alias("id"), F.col("component").alias("g")).hint("merge")
     members = materialize(src.join(near, "id").select("g", "id", "text")
-                          .mapInArrow(run, f"g {kind}, id {kind}, n bigint, sets array<bigint>").where("n > 0"), "members")
+                          .mapInArrow(lean(run), f"g {kind}, id {kind}, n bigint, sets array<bigint>").where("n > 0"), "members")
     linked = materialize(components(verified_links(members, percent)), "linked")
     # classes of one id are one document's; equal sets share the class's smallest id
     of_class = materialize(classes.join(linked, classes["id"] == linked["node"], "left").select(
