@@ -167,7 +167,9 @@ def robust_contrast(df: DataFrame, cols: list[str], target: str = "default", alp
     # two classes, so F has one numerator degree of freedom
     st = st.withColumn("bf_p", F.when(F.col("bf_df1") == 1, special.f_sf(F.col("bf_f"), F.col("bf_df2"))))
     st = st.withColumn("p_value", special.norm_two_sided(F.col("z_mwu")))
-    st = holm(st)
+    # one row per variable, written so that the tails are computed once and not
+    # copied into every column that the adjusted p appears in
+    st = holm(RK._materialize(st, "contrast"))
 
     def summary(m: str, i: str) -> Column:
         return F.concat(F.format_number(m, 2), F.lit(" ("), F.format_number(i, 2), F.lit(")"))
