@@ -20,7 +20,8 @@ from lendlens.llm import bpe_codec, decontaminate, langid, neardup, substrings
 from lendlens.llm.queries import VOCAB
 from lendlens.sources.tables import materialize, read_table
 
-#: A document is rejected if no language holds this share of its letters.
+#: A document is rejected if the learned languages together hold less than this
+#: share of its letters.
 LEAST_SHARE = 0.4
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 PASSAGE_WORDS = 50
@@ -34,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except ValueError:  # nothing to learn from
         return docs
     found = langid.identify(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") >= LEAST_SHARE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

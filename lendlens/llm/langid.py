@@ -5,15 +5,17 @@ were seen to use it; its score under each of those is the log probability of
 its letter n-grams (1 to 4 letters, word ends included, hashed to a fixed
 number of bins).  Viterbi over the words of a text, with a penalty for each
 switch, labels spans; the text's language is the one whose spans hold most
-letters, and the score is its share of them.
+letters of scripts that some learned language uses, and the score is their
+share of all letters.  ``known`` is the share of such letters in any language.
 
 Fitting reads a bounded sample: about ``PER_LANG`` documents of each
 language, chosen by a hash of the id; the model is one table of bins by
 languages and travels as a broadcast of that size.
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans.
-A word in a script that no language uses says nothing.  Equal shares go to
-the language first in alphabetical order.  An empty table gives an empty
+A word in a script that no language uses says nothing: it takes its span from
+its neighbours and counts for no language, so a text of such words only has
+score 0.  Equal shares go to the language first in alphabetical order.  An empty table gives an empty
 table; fitting on no labelled rows raises ``ValueError``.
 """
 
@@ -86,7 +88,8 @@ class LetterWords:
     chars: np.ndarray  # character place where each text begins
     grams: np.ndarray  # bins of the distinct words' n-grams, end to end
     gram_first: np.ndarray
-    script: np.ndarray  # of each distinct word
+    script: np.ndarray  # of each distinct word (that of its first letter)
+    each: np.ndarray  # script of each letter, word after word
 
 
 def letter_words(buf: np.ndarray, offsets: np.ndarray) -> LetterWords:
@@ -109,12 +112,13 @@ def letter_words(buf: np.ndarray, offsets: np.ndarray) -> LetterWords:
     place = np.cumsum(sizes) - sizes
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return LetterWords(empty, starts, sizes, np.zeros(len(offsets), np.int64), chars, empty, np.zeros(1, np.int64), empty)
+        return LetterWords(empty, starts, sizes, np.zeros(len(offsets), np.int64), chars, empty, np.zeros(1, np.int64), empty, empty)
     at = np.arange(len(letters)) - np.repeat(place, sizes)
     h = np.add.reduceat(mix((at.astype(np.uint64) << np.uint64(21)) + letters + np.uint64(1)), place)
     _, one, number = np.unique(h, return_index=True, return_inverse=True)
     grams, gram_first = _grams(letters, place[one], sizes[one])
-    return LetterWords(number, starts, sizes, np.searchsorted(starts, chars), chars, grams, gram_first, kind[starts[one]] - 1)
+    return LetterWords(number, starts, sizes, np.searchsorted(starts, chars), chars, grams, gram_first, kind[starts[one]] - 1,
+                       kind[inside] - 1)
 
 
 def _grams(letters: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,12 +281,12 @@ def best_labels(score: np.ndarray, number: np.ndarray, first: np.ndarray, penalt
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list[str] = ("doc_id",),
              text_col: str = "text") -> DataFrame:
-    """(row, lang_pred, score, spans) of every whole text; ``row`` is a struct
-    of the columns ``keep``, spans are character places [begin, stop) with a
-    language."""
+    """(row, lang_pred, score, known, spans) of every whole text; ``row`` is a
+    struct of the columns ``keep``, spans are character places [begin, stop)
+    with a language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = rows_with_text(docs, keep, text_col)
-    schema = (f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double, "
+    schema = (f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double, known double, "
               "spans array<struct<begin:bigint,stop:bigint,lang:string>>")
 
     def run(batches):
@@ -294,10 +298,14 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
                 docs, langs = len(part), len(m.langs)
                 owner = np.repeat(np.arange(docs), np.diff(w.first))
                 label = best_labels(word_scores(w, m), w.number, w.first, penalty) if len(w.number) else w.number
-                letters = np.bincount(owner * langs + label, w.sizes, docs * langs).reshape(docs, langs)
-                total = letters.sum(axis=1)
+                said = np.concatenate([[0], np.cumsum(m.uses.any(axis=1)[w.each])])  # letters that say something
+                place = np.cumsum(w.sizes)
+                read = said[place] - said[place - w.sizes]
+                letters = np.bincount(owner * langs + label, read, docs * langs).reshape(docs, langs)
+                total = np.bincount(owner, w.sizes, docs)
                 best = np.where(total > 0, letters.argmax(axis=1), langs)
-                score = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
+                score = letters.max(axis=1) / np.maximum(total, 1)
+                known = letters.sum(axis=1) / np.maximum(total, 1)
                 new = np.ones(len(label), bool)
                 new[1:] = (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])
                 begin = np.flatnonzero(new)
@@ -309,7 +317,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
                      names.take(pa.array(label[begin]))], fields=fields)
                 cuts = np.searchsorted(owner[begin], np.arange(docs + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), names.take(pa.array(best)), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), spans)],
-                    names=["row", "lang_pred", "score", "spans"])
+                    [part.column("row"), names.take(pa.array(best)), pa.array(score), pa.array(known),
+                     pa.ListArray.from_arrays(pa.array(cuts), spans)],
+                    names=["row", "lang_pred", "score", "known", "spans"])
 
     return src.mapInArrow(lean(run), schema)

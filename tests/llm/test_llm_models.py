@@ -36,6 +36,19 @@ def test_languages_and_spans(spark, model):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_letters_of_unknown_scripts_are_no_evidence(spark, model):
+    rng = random.Random(8)
+    a, b, c = (speak(x, 30, rng) for x in SYLLABLES)
+    letters = lambda t: sum(x.isalpha() for x in t)
+    alien = "日本語" * 200
+    texts = {0: alien, 1: a + " " + alien, 2: f"{a} {b} {c}", 3: "ελληνικά κείμενα"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    got = {r["row"]["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert all(got[i]["score"] == got[i]["known"] == 0 and got[i]["lang_pred"] in SYLLABLES for i in (0, 3))
+    assert got[1]["lang_pred"] == "aa" and got[1]["score"] == got[1]["known"] == pytest.approx(letters(a) / (letters(a) + 600))
+    assert got[2]["known"] == 1 and got[2]["score"] < 0.7
+
+
 def test_no_labels_no_model(spark):
     with pytest.raises(ValueError, match="no labelled texts"):
         langid.fit(spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string"))

@@ -1,5 +1,6 @@
 """Every registered query and every pipeline stage over whole small tables."""
 import hashlib
+import random
 import re
 import zlib
 
@@ -147,6 +148,18 @@ def test_each_stage(spark, sf_small, documents):
         (str(i), len(e), tuple(e)) for i, t in every for e in [LIB.encode(t or "", add_special_tokens=False).ids])
 
 
+def test_language_stage_drops_unknown_scripts_and_keeps_mixtures(spark, sf_small):
+    rng = random.Random(6)
+    speak = lambda x, n: " ".join("".join(rng.choice(x) for _ in range(3)) for _ in range(n))
+    kinds = {"aa": ["ba", "be", "do"], "bb": ["kro", "pst", "sta"], "cc": ["щу", "ме", "ли"]}
+    told = [(i, speak(x, 40), lang) for i, (lang, x) in enumerate([*kinds.items()] * 60)]
+    three = " ".join(speak(x, 40) for x in kinds.values())
+    new = [(900, "日本語の文章", None), (901, "ελληνικά κείμενα", None), (902, three, None), (903, told[0][1] + "日本語" * 300, None)]
+    docs = spark.createDataFrame(told + new, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in P.language_id(spark, docs, sf_small).collect()}
+    assert kept == {i for i, _, _ in told} | {902}
+
+
 def test_stages_of_an_empty_table(spark, sf_small):
     none = spark.read.parquet(f"{sf_small}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
