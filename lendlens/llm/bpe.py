@@ -83,6 +83,7 @@ class WordBpe:
         # the file's own pattern; \s as the Unicode property
         self.pretoken = regex.compile(_split_pattern(spec["pre_tokenizer"]).replace(r"\s", r"\p{White_Space}"))
         self.spaces = regex.compile(r"\p{White_Space}+")
+        self._closers = None
         self._joins: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
 
@@ -221,6 +222,125 @@ class WordBpe:
             return self.prefix_counts(s)[0][-1]
         return self.prefix_counts(s[:j - 1] + chr(ord(s[j - 1]) + END))[0][-1] if j else 0
 
+    def closers(self) -> ahocorasick.Automaton:
+        """All tokens with a word end, by their strings without its mark."""
+        if self._closers is None:
+            self._closers = ahocorasick.Automaton()
+            for t, i in self.ids.items():
+                if ord(t[-1]) >= END:
+                    self._closers.add_word(t[:-1] + chr(ord(t[-1]) - END), (len(t) - 1, i))
+            self._closers.make_automaton()
+        return self._closers
+
+    def cut_counts(self, s: str) -> list[int]:
+        """:meth:`cut_count` at 0..len(s), in one pass: a cut ends in the one
+        token with a word end that stands next to the last token before it."""
+        count, last = self.prefix_counts(s)
+        out, known = [0] * (len(s) + 1), self._joins
+        for end, (before, token) in self.closers().iter(s[:-1] + chr(ord(s[-1]) - END)):
+            start, end = end - before, end + 1
+            if out[end]:
+                continue
+            if start:
+                left = last[start]
+                if left < 0:
+                    continue
+                good = known.get(left << 20 | token)
+                if not (good if good is not None else self.joins(left, token)):
+                    continue
+            out[end] = count[start] + 1
+        return out
+
+    def text_counts(self, text: str) -> list[int]:
+        """Tokens of text[:j] for each j in 0..len(text), each as
+        :meth:`pieces` of that prefix would give them."""
+        out, done = [0], 0
+        parts = self.special_cut.split(text) if self.special_cut and "<|" in text else [text]
+        for k in range(0, len(parts), 2):
+            # a special token is text until its last character is there
+            special = parts[k + 1] if k + 1 < len(parts) else ""
+            each = self._part_counts(parts[k] + special[:-1])
+            out += [done + n for n in each[1:]]
+            done += each[len(parts[k])]
+            if special:
+                done += 1
+                out.append(done)
+        return out
+
+    def _part_counts(self, part: str) -> list[int]:
+        """:meth:`text_counts` of a text without special tokens.
+
+        Nothing composes across the start of a cluster, so the normalised
+        prefix that ends there is a prefix of the normalised text.  A cut
+        pre-token is one pre-token, unless it is a contraction."""
+        size = len(part)
+        if part.isascii():
+            low, ends = part.lower(), range(size + 1)
+        else:
+            heads = [j for j in range(size) if not j or not composes(part[j])]
+            bits, ends, total = [], [0] * (size + 1), 0
+            for a, b in zip(heads, [*heads[1:], size], strict=True):
+                bits.append(self._normal(part[a:b]))
+                total += len(bits[-1])
+                ends[b] = total
+                for j in range(a + 1, b):
+                    ends[j] = -1  # inside a cluster
+            low = "".join(bits)
+        done, at = [0] * (len(low) + 1), 0  # tokens of each prefix of the normalised text
+        begin = [*range(len(low) + 1)]  # where the pre-token that reaches a place begins
+        total = 0
+        for m in self.pretoken.finditer(low):
+            a, b = m.span()
+            done[at:a] = [total] * (a - at)
+            s = m[0]
+            if s[0] == "'" and len(s) <= 3:  # a contraction, perhaps: its cuts are others
+                each = [self._tokens(s[:j]) for j in range(len(s) + 1)]
+            else:
+                each, place = self.cut_counts(self.symbols(s)), 0
+                if not s.isascii():
+                    each = [each[0], *(each[place := place + len(c.encode())] for c in s)]
+            done[a:b + 1] = [total + n for n in each]
+            begin[a + 1:b + 1] = [a] * (b - a)
+            total, at = done[b], b
+        done[at:] = [total] * (len(low) + 1 - at)
+        out = [done[e] if e >= 0 else -1 for e in ends]
+        head = 0
+        for j in range(1, size + 1):
+            if out[j] >= 0:
+                head = j
+                continue
+            # the cluster cut here may compose otherwise: its pre-token anew,
+            # and the one before, which may begin a contraction
+            a = begin[begin[ends[head]]]
+            out[j] = done[a] + self._tokens(low[a:ends[head]] + self._normal(part[head:j]))
+        return out
+
+    def _tokens(self, low: str) -> int:
+        return sum(self.prefix_counts(self.symbols(p))[0][-1] for p in self.pretoken.findall(low))
+
+    def _normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        return self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+
+
+@cache
+def _seconds() -> frozenset[str]:
+    """Characters that compose with one before them."""
+    out = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}  # Hangul vowels and finals
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+@cache
+def composes(char: str) -> bool:
+    """Whether a character may change or be put before what precedes it in NFC."""
+    first = unicodedata.normalize("NFD", char)[0]
+    return unicodedata.combining(first) > 0 or first in _seconds()
+
 
 #: Kinds of byte: white space, letter (C3 begins a Latin-1 letter), digit, sign, odd.
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)

@@ -5,7 +5,8 @@ fills in one pass: the last token of a prefix is the token that ends there
 and may stand next to the last token of what lies before it
 (:meth:`WordBpe.prefix_counts`).  Units of a text are encoded apart, so a
 text's table is the running sum over its units plus the table of the unit
-that the prefix cuts.
+that the prefix cuts.  It holds the places inside units too, as runs of equal
+counts.
 
 Null or empty text has no tokens and empty lists.  Other columns of the
 input are kept as they are; equal names are no problem because the added
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.llm.blocks import lean, slices, text_bytes
@@ -27,11 +28,14 @@ from lendlens.llm.bpe import UNIT_BYTES, Memo, WordBpe, loaded, units, vocabular
 _MEMOS: dict[str, tuple[WordBpe, Memo]] = {}
 
 
-def _counter(shared) -> Memo:
+TABLE_BYTES = 64  # longer units are seldom met again: their tables are not kept
+
+
+def _memo(shared, name: str, answer) -> Memo:
     bpe = loaded(shared)
-    if _MEMOS.get("count", (None,))[0] is not bpe:
-        _MEMOS["count"] = bpe, Memo(lambda unit: unit_tokens(bpe, unit))
-    return _MEMOS["count"][1]
+    if _MEMOS.get(name, (None,))[0] is not bpe:
+        _MEMOS[name] = bpe, Memo(lambda unit: answer(bpe, unit))
+    return _MEMOS[name][1]
 
 
 def unit_tokens(bpe: WordBpe, unit: bytes) -> int:
@@ -39,69 +43,121 @@ def unit_tokens(bpe: WordBpe, unit: bytes) -> int:
     return sum(1 if isinstance(p, int) else bpe.prefix_counts(p)[0][-1] for p in bpe.unit_pieces(unit))
 
 
+def unit_runs(bpe: WordBpe, unit: bytes) -> np.ndarray:
+    """Runs of equal counts over a unit's prefixes: (end bytes, tokens)."""
+    text = unit.decode()
+    counts = np.array(bpe.text_counts(text))
+    wide = np.array([len(c.encode()) for c in text])
+    last = np.append(np.flatnonzero(counts[1:-1] != counts[2:]), len(text) - 1)
+    return np.array([np.cumsum(wide)[last], counts[last + 1]], np.int32)
+
+
+def text_runs(w, offsets: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all texts: (first run of each, end bytes, tokens); ``tables``
+    are those of the distinct units.  White space goes on with the count before it."""
+    size = np.array([t.shape[1] for t in tables], np.int64)
+    flat = np.concatenate([np.zeros((2, 0), np.int64), *tables], axis=1).astype(np.int64)
+    n = size[w.codes]
+    stop = np.cumsum(n)
+    at = np.arange(int(n.sum())) - np.repeat(stop - n, n) + np.repeat((np.cumsum(size) - size)[w.codes], n)
+    whole = flat[1, np.cumsum(size) - 1][w.codes]
+    owner, total = w.owner(), np.concatenate([[0], np.cumsum(whole)])
+    before = total[:-1] - total[w.first[:-1]][owner]
+    ends = flat[0, at] + np.repeat(w.starts - offsets[:-1][owner], n)
+    counts = flat[1, at] + np.repeat(before, n)
+    # a unit's last run reaches to the next unit of its text, or the text's end
+    after = np.append(w.starts[1:], 0)
+    after[w.first[1:][w.counts > 0] - 1] = offsets[1:][w.counts > 0]
+    ends[stop - 1] = after - offsets[:-1][owner]
+    # what lies before the first unit has no tokens
+    starts = np.append(w.starts, 0)[w.first[:-1]]
+    head = np.where(w.counts > 0, starts, offsets[1:]) - offsets[:-1]
+    run = np.concatenate([[0], stop])[w.first]
+    lead = np.flatnonzero(head > 0)
+    ends, counts = np.insert(ends, run[lead], head[lead]), np.insert(counts, run[lead], 0)
+    return run + np.concatenate([[0], np.cumsum(head > 0)]), ends, counts
+
+
 def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
                    keep_prefixes: bool = True) -> DataFrame:
-    """(id, n_bytes, n_tokens, ends, counts) of every whole text.
+    """(id, n_bytes, n_tokens, ends, counts, text_md5) of every whole text.
 
-    ``counts[i]`` is the token count of the prefix that ends at byte
-    ``ends[i]``, the end of unit i; :func:`count_at` and :func:`fit_budget`
-    answer for any other place.  Without ``keep_prefixes`` the two lists are
-    left out (the counts still come from the prefix tables).
+    ``counts[i]`` is the token count of every prefix that ends after byte
+    ``ends[i - 1]`` up to byte ``ends[i]``; the last run ends with the text.
+    Without ``keep_prefixes`` the lists and the digest are left out (the
+    counts still come from the prefix tables).
     """
     shared = vocabulary(docs.sparkSession, vocab_path)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes bigint, n_tokens bigint" + (
-        ", ends array<bigint>, counts array<bigint>" if keep_prefixes else "")
+        ", ends array<bigint>, counts array<bigint>, text_md5 string" if keep_prefixes else "")
 
     def run(batches):
-        count = _counter(shared)
+        bpe = loaded(shared)
+        count, table = _memo(shared, "count", unit_tokens), _memo(shared, "runs", unit_runs)
         for batch in batches:
             for part in slices(batch, "text", UNIT_BYTES):
                 buf, offsets = text_bytes(part.column("text"))
                 w = units(buf, offsets)
-                each = np.fromiter(map(count, w.dictionary.to_pylist()), np.int64, len(w.dictionary))
+                distinct = w.dictionary.to_pylist()
+                if keep_prefixes:
+                    tables = [table(u) if len(u) <= TABLE_BYTES else unit_runs(bpe, u) for u in distinct]
+                    each = np.fromiter((t[1, -1] for t in tables), np.int64, len(tables))
+                else:
+                    each = np.fromiter(map(count, distinct), np.int64, len(distinct))
                 total = np.zeros(len(w.codes) + 1, np.int64)
                 np.cumsum(each[w.codes], out=total[1:])
                 cols = [part.column("id"), pa.array(np.diff(offsets)), pa.array(total[w.first[1:]] - total[w.first[:-1]])]
                 if keep_prefixes:
-                    owner = w.owner()
-                    begins = pa.array(w.first.astype(np.int32))
-                    cols += [pa.ListArray.from_arrays(begins, pa.array(w.ends - offsets[:-1][owner])),
-                             pa.ListArray.from_arrays(begins, pa.array(total[1:] - total[w.first[:-1]][owner]))]
+                    first, ends, counts = text_runs(w, offsets, tables)
+                    begins = pa.array(first.astype(np.int32))
+                    cols += [pa.ListArray.from_arrays(begins, pa.array(ends)), pa.ListArray.from_arrays(begins, pa.array(counts)),
+                             part.column("md5")]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if keep_prefixes:
+        src = src.withColumn("md5", _digest(F.col("text")))
     return src.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
-def _cut_unit(bpe: WordBpe, text: str, start: int, stop: int) -> int:
-    """Tokens of the bytes start..stop of a text, which lie in one unit."""
-    part = text.encode()[start:stop].decode(errors="ignore")
-    return sum(1 if isinstance(p, int) else bpe.prefix_counts(p)[0][-1] for p in bpe.pieces(part))
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _whole(text: bytes, at: int) -> int:
+    """The place ``at``, or the start of the character that it cuts."""
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
 
 
 def count_at(prefixes: DataFrame, docs: DataFrame, at_col: str, vocab_path: str, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """(id, at, n_tokens) for a byte place per document: the stored count of
-    the last unit that ends there or before, and the prefix table of the one
-    unit that the place cuts; nothing before it is encoded again."""
-    shared = vocabulary(docs.sparkSession, vocab_path)
+    """(id, at, n_tokens) for a byte place per document, read off the stored
+    table; nothing is encoded.  A table fits a document by id and text, so
+    rows without an id and ids with several texts find theirs; a document
+    without a table has null."""
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(at_col).cast("bigint").alias("at")) \
-        .join(prefixes.select(F.col(id_col).alias("id"), "ends", "counts"), "id")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(at_col).cast("bigint").alias("at"), _digest(text).alias("md5"))
+    tables = prefixes.select(F.col(id_col).alias("of"), F.col("text_md5").alias("of_md5"), "ends", "counts") \
+        .dropDuplicates(["of", "of_md5"])
+    src = src.join(tables, src["id"].eqNullSafe(tables["of"]) & (src["md5"] == tables["of_md5"]), "left") \
+        .select("id", "text", "at", "ends", "counts")
 
     def run(batches):
-        bpe = loaded(shared)
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                ends, at = row["ends"] or [], row["at"]
-                if at is None:
+            for text, at, ends, counts in zip(*(batch.column(c) for c in ("text", "at", "ends", "counts")), strict=True):
+                at = at.as_py()
+                if at is None or not ends.is_valid:
                     out.append(None)
                     continue
-                i = int(np.searchsorted(ends, at, side="right"))
-                done = ends[i - 1] if i else 0
-                out.append((row["counts"][i - 1] if i else 0) + _cut_unit(bpe, row["text"] or "", done, at))
+                at = _whole((text.as_py() or "").encode(), at)
+                ends = ends.values.to_numpy()
+                i = min(int(np.searchsorted(ends, at)), len(ends) - 1)
+                out.append(counts.values[i].as_py() if at > 0 and len(ends) else 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("at"), pa.array(out, pa.int64())],
                                              names=["id", "at", "n_tokens"])
 
@@ -109,8 +165,8 @@ def count_at(prefixes: DataFrame, docs: DataFrame, at_col: str, vocab_path: str,
 
 
 def fit_budget(prefixes: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, keep_bytes, keep_tokens): the longest prefix of whole units with
-    at most ``budget`` tokens, read off the stored table."""
+    """(id, keep_bytes, keep_tokens): the longest prefix of whole characters
+    with at most ``budget`` tokens, read off the stored table."""
     fits = F.filter(F.arrays_zip("ends", "counts"), lambda p: p["counts"] <= budget)
     last = F.try_element_at(fits, F.lit(-1))
     return prefixes.select(id_col, F.coalesce(last["ends"], F.lit(0)).alias("keep_bytes"),

@@ -77,6 +77,48 @@ def test_any_prefix_and_budget(spark):
     assert cut["keep_tokens"] == len(LIB.encode(text[:cut["keep_bytes"]], add_special_tokens=False).ids)
 
 
+def counts_of(text):
+    return [len(LIB.encode(text[:j], add_special_tokens=False).ids) for j in range(len(text) + 1)]
+
+
+def test_counts_of_all_prefixes(bpe):
+    rng = random.Random(9)
+    signs = list("abcdeABC'.,!<|>019éñüßÉςΣİ中日本ですがタイ") + ["\u0301", "\u3099", "\u1112", "\u1161", "\u11ab", "\u00a0", "🙂", "e\u0301",
+                                                                 "<|endoftext|>", "'ll", "'re", "ที่"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    for text in [*texts, "it's'", "a<|startoftext|>B", "中文" * 40]:
+        assert bpe.text_counts(text) == counts_of(text), text
+
+
+def test_longest_prefix_inside_long_units(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("天地玄黄宇宙洪荒日月") for _ in range(120)), "ภาษาไทยไม่มีช่องว่าง" * 5, "  日本語テキスト \n\n ab internationally  ",
+             "x" * 200, "", None, "   ", "thereupon" * 9, "caf\u00e9s don't<|endoftext|>go"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    table = token_counts.token_prefixes(docs, PATH).cache()
+    for budget in (0, 1, 3, 10, 57, 10000):
+        got = {r["doc_id"]: (r["keep_bytes"], r["keep_tokens"]) for r in token_counts.fit_budget(table, budget).collect()}
+        for i, text in enumerate(t or "" for t in texts):
+            n = counts_of(text)
+            j = max(j for j in range(len(n)) if n[j] <= budget)
+            assert got[i] == (len(text[:j].encode()), n[j]), (text, budget)
+    places = [(i, t, at) for i, t in enumerate(texts) for at in range(0, len((t or "").encode()) + 2, 3)]
+    cuts = spark.createDataFrame(places, "doc_id bigint, text string, at bigint")
+    got = token_counts.count_at(table, cuts, "at", PATH).collect()
+    assert len(got) == len(places)
+    for r in got:
+        cut = (texts[r["doc_id"]] or "").encode()[:r["at"]].decode(errors="ignore")
+        assert r["n_tokens"] == len(LIB.encode(cut, add_special_tokens=False).ids)
+
+
+def test_counts_of_rows_that_share_an_id(spark):
+    rows = [(None, "one two", 3), (None, "日本語", 6), (7, "a b c", 5), (7, "thereupon", 9), (8, "no place", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, at bigint")
+    got = token_counts.count_at(token_counts.token_prefixes(docs, PATH), docs, "at", PATH).collect()
+    want = [(i, at, None if at is None else len(LIB.encode(t.encode()[:at].decode(), add_special_tokens=False).ids)) for i, t, at in rows]
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, want))
+
+
 def test_empty_table(spark):
     none = frame(spark, ["x"]).limit(0)
     assert bpe_codec.encode(none, PATH).count() == 0
