@@ -2,7 +2,8 @@
 expressions only.
 
 A message's lines are parsed into nested quote levels (the number of ``>``
-before the text).  Runs of lines of one level are passages.  Normalised
+before the text).  Runs of lines of one level are passages.  Lines stay as
+they are written; what is hashed is a normalised copy.  Normalised
 passages and their lines are hashed and joined to the own (level 0) lines,
 paragraphs and whole texts of earlier messages of the conversation; each
 meets the latest earlier message that has it.  A message replies to the
@@ -37,11 +38,10 @@ TURNS = 1024  # turns in a block
 
 
 def parsed_lines(text: Column) -> Column:
-    """Lines of a text as (level, body); body without marks and outer blanks."""
+    """Lines of a text as (level, line); the line as it is written."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    mark = lambda s: F.regexp_extract(s, MARKS, 0)
     return F.transform(lines, lambda s: F.struct(
-        F.regexp_count(mark(s), F.lit(">")).cast("int").alias("level"), F.trim(F.regexp_replace(s, MARKS, "")).alias("body")))
+        F.regexp_count(F.regexp_extract(s, MARKS, 0), F.lit(">")).cast("int").alias("level"), s.alias("line")))
 
 
 def normalised(text: Column) -> Column:
@@ -50,22 +50,35 @@ def normalised(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of lines of one level: (level, bodies)."""
-    kind = "array<struct<level:int,bodies:array<string>>>"
+    """Runs of lines of one level: (level, place of the first line, lines)."""
+    kind = "array<struct<level:int,at:int,lines:array<string>>>"
     head = lambda acc: F.slice(acc, 1, F.size(acc) - 1)
     last = lambda acc: F.element_at(acc, -1)
-    one = lambda x: F.struct(x["level"].alias("level"), F.array(x["body"]).alias("bodies"))
-    return F.aggregate(lines, F.array().cast(kind), lambda acc, x: F.when(
+    one = lambda x: F.struct(x["level"].alias("level"), x["at"].alias("at"), F.array(x["line"]).alias("lines"))
+    placed = F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), i.alias("at"), x["line"].alias("line")))
+    return F.aggregate(placed, F.array().cast(kind), lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"]),
         F.concat(head(acc), F.array(F.struct(
-            last(acc)["level"].alias("level"), F.concat(last(acc)["bodies"], F.array(x["body"])).alias("bodies")))))
+            last(acc)["level"].alias("level"), last(acc)["at"].alias("at"),
+            F.concat(last(acc)["lines"], F.array(x["line"])).alias("lines")))))
         .otherwise(F.concat(acc, F.array(one(x)))))
 
 
+def own_lines(lines: Column) -> Column:
+    """The level-0 lines as they are written, without blank lines at either end."""
+    kept = F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"])
+    full = F.filter(F.transform(kept, lambda s, i: F.when(s.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    first, last = F.array_min(full), F.array_max(full)
+    return F.coalesce(F.slice(kept, first + 1, last - first + 1), F.array().cast("array<string>"))
+
+
 def own_text(lines: Column) -> Column:
-    """The level-0 lines, without blank lines at either end."""
-    kept = F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"])
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")
+    return F.array_join(own_lines(lines), "\n")
+
+
+def unmarked(line: Column) -> Column:
+    """A quoted line as its units have it."""
+    return normalised(F.regexp_replace(line, MARKS, ""))
 
 
 def _units(bodies: Column) -> Column:
@@ -74,6 +87,19 @@ def _units(bodies: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(whole, F.transform(bodies, normalised)), lambda x: x != ""))
 
 
+def unlinked_lines(lines: Column, found: Column) -> Column:
+    """(line, text) of the quoted lines that no earlier message has, neither
+    alone nor with their whole passage; ``found`` are the linked units."""
+    has = lambda unit: F.coalesce(F.array_contains(found, F.md5(unit)), F.lit(False))
+    whole = lambda p: normalised(F.array_join(F.transform(p["lines"], unmarked), " "))
+    lost = F.filter(passages(lines), lambda p: (p["level"] > 0) & ~has(whole(p)))
+    each = F.flatten(F.transform(lost, lambda p: F.transform(
+        p["lines"], lambda s, i: F.struct((p["at"] + i).alias("line"), s.alias("text")))))
+    none = F.array().cast("array<struct<line:int,text:string>>")
+    return F.when(F.exists(lines, lambda x: x["level"] > 0), F.filter(
+        each, lambda x: (unmarked(x["text"]) != "") & ~has(unmarked(x["text"])))).otherwise(none)
+
+
 def last_before(rows: DataFrame, keys: list[str], turn: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the last non-null ``value`` of the rows with the same keys
     and a smaller turn."""
@@ -92,17 +118,18 @@ def last_before(rows: DataFrame, keys: list[str], turn: str, value: str, out: st
 
 
 def link_replies(messages: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to, quotes, linked) per distinct (conv, turn);
-    ``messages`` has (conv, turn, lines)."""
+    """(conv, turn, reply_to, quotes, linked, found) per distinct (conv, turn);
+    ``messages`` has (conv, turn, lines), ``found`` are the hashes of the
+    quoted units that an earlier message has."""
     known = messages.where("conv is not null and turn is not null")
-    own = F.split(own_text(F.col("lines")), "\n")
+    own = own_lines(F.col("lines"))
     paragraphs = F.transform(F.split(own_text(F.col("lines")), r"\n\s*\n"), normalised)
     originals = known.select("conv", "turn", F.explode(F.array_distinct(F.filter(
         F.concat(_units(own), paragraphs), lambda x: x != ""))).alias("unit")).select(
         "conv", F.md5("unit").alias("unit"), "turn", F.col("turn").alias("has"), F.lit(None).cast("int").alias("level"),
         F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("int").alias("passage"))
     quoted = known.select("conv", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p")).where("p.level > 0") \
-        .select("conv", "turn", "passage", "p.level", F.explode(_units(F.col("p.bodies"))).alias("unit")).select(
+        .select("conv", "turn", "passage", "p.level", F.explode(_units(F.transform("p.lines", unmarked))).alias("unit")).select(
         "conv", F.md5("unit").alias("unit"), "turn", F.lit(None).cast("bigint").alias("has"), "level",
         F.length("unit").cast("bigint").alias("size"), "passage")
     # units that nobody quotes need not be searched
@@ -114,13 +141,14 @@ def link_replies(messages: DataFrame) -> DataFrame:
         F.max(F.struct(-F.col("level"), "size", "original"))["original"].alias("quoted"))
     counts = met.groupBy("conv", "turn").agg(
         F.countDistinct("passage").alias("quotes"),
-        F.countDistinct(F.when(F.col("original").isNotNull(), F.col("passage"))).alias("linked"))
+        F.countDistinct(F.when(F.col("original").isNotNull(), F.col("passage"))).alias("linked"),
+        F.collect_set(F.when(F.col("original").isNotNull(), F.col("unit"))).alias("found"))
     turns = known.select("conv", "turn").distinct()
     before = turns.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     return turns.join(before, ["conv", "turn"], "left").join(best, ["conv", "turn"], "left") \
         .join(counts, ["conv", "turn"], "left").select(
         "conv", "turn", F.coalesce("quoted", "previous").alias("reply_to"),
-        F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"))
+        F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"), "found")
 
 
 def reply_paths(links: DataFrame) -> DataFrame:
@@ -147,7 +175,9 @@ def reply_paths(links: DataFrame) -> DataFrame:
 def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                          text_col: str = "text") -> DataFrame:
     """One row per message: (conv, turn, role, text without quotes, reply_to,
-    quotes, linked, path); sort by (conv, path, turn) to read in reply order."""
+    quotes, linked, unlinked, path); sort by (conv, path, turn) to read in
+    reply order.  ``unlinked`` has the lines that begin with ``>`` and quote
+    nothing known, as (line, text), so that none is lost."""
     src = materialize(messages.select(
         F.col(conv_col).cast("bigint").alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), parsed_lines(F.col(text_col).cast("string")).alias("lines")), "messages")
@@ -156,4 +186,5 @@ def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
     return src.join(placed, ["conv", "turn"], "left").select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col),
         own_text(F.col("lines")).alias(text_col), "reply_to",
-        F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"), "path")
+        F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"),
+        unlinked_lines(F.col("lines"), F.col("found")).alias("unlinked"), "path")

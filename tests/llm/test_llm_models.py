@@ -145,6 +145,18 @@ def test_replies_follow_quotes(spark):
     assert quotes.format_conversations(df.limit(0)).count() == 0
 
 
+def test_no_line_is_lost(spark):
+    code = "def f():\n    return 1\n\n\t- a:  b "
+    rows = [(1, 0, code), (1, 1, f" \n{code}\n\n> def f():\n>   RETURN 1\n>>> print(2)\n>\nas said"),
+            (1, 2, ">>> x = 1\n> def f():\n> not known\nso"), (1, 2, "> other row"), (None, 3, "> a\n  b"), (1, 4, "  \n\t"), (1, 5, None)]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = sorted((r["turn"], r["text"], [tuple(u) for u in r["unlinked"]]) for r in quotes.format_conversations(df).collect())
+    assert got == sorted([
+        (0, code, []), (1, code + "\n\nas said", [(8, ">>> print(2)")]),
+        (2, "so", [(0, ">>> x = 1"), (2, "> not known")]), (2, "", [(0, "> other row")]),
+        (3, "  b", [(0, "> a")]), (4, "", []), (5, "", [])])
+
+
 def test_last_before_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(quotes, "TURNS", 3)
     rng = random.Random(4)
