@@ -26,6 +26,9 @@ LEAST_SHARE = 0.4
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 PASSAGE_WORDS = 50
 ITEM_WORDS = 10
+#: A benchmark item of fewer words condemns a document only if hits hold this
+#: share of its words, or if another item is hit too.
+SHORT_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +61,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of a benchmark item."""
-    items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    """Drop documents that hold a passage of a benchmark item: a full window,
+    or shorter items that make up much of the document or are several."""
+    items = read_table(spark, sf_dir, "benchmark", ["text"])
+    # items of the same words are one item
+    plain = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    items = items.select(F.md5(plain).alias("item_id"), "text")
     key = F.md5(F.to_json(F.struct("doc_id", "text")))  # tells rows without id apart too
     found = decontaminate.contamination(docs.select(key.alias("key"), "text"), items, ITEM_WORDS, id_col="key")
-    bad = found.where("n_hit > 0").select(F.col("key").alias("_key")).distinct()
+    full = F.exists("spans", lambda s: s["stop"] - s["begin"] >= ITEM_WORDS)
+    short = (F.col("n_hit") >= SHORT_SHARE * F.col("n_words")) | (F.size("items") > 1)
+    bad = found.where((F.col("n_hit") > 0) & (full | short)).select(F.col("key").alias("_key")).distinct()
     return docs.join(bad, key == F.col("_key"), "left_anti").select(*docs.columns)
 
 

@@ -160,6 +160,17 @@ def test_language_stage_drops_unknown_scripts_and_keeps_mixtures(spark, sf_small
     assert kept == {i for i, _, _ in told} | {902}
 
 
+def test_short_items_alone_do_not_condemn_a_document(spark, tmp_path):
+    rest = " ".join(f"w{i}" for i in range(30))
+    long = " ".join(f"q{i}" for i in range(12))
+    items = [(1, "Paris"), (2, "paris!"), (3, long), (None, "blue whale"), (4, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"{rest} Paris {rest} paris", "to Paris", f"{rest} paris {rest} Blue Whale", f"{rest} {long}", rest, f"{rest} blue whale", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in P.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert kept == {0, 4, 5, 6}
+
+
 def test_stages_of_an_empty_table(spark, sf_small):
     none = spark.read.parquet(f"{sf_small}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
