@@ -9,13 +9,12 @@ from ..sources.tables import materialize
 from . import rankstats as RK
 
 
-def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True,
-                    key: str = "id") -> DataFrame:
+def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True) -> DataFrame:
     """T5: Spearman rho of every pair, long form ``(var_a, var_b, rho)``.
 
     Missing values become 0 first, as in the study (P17) -- this shifts
-    ranks; ``fill_zero=False`` drops incomplete rows instead.  ``key`` names
-    the rows.
+    ranks; ``fill_zero=False`` drops incomplete rows instead.  Each row
+    gets a number of its own, so no column need be a key.
 
     One plan for every size and number of columns: average ranks per distinct
     value come from the running counts (no global sort), the long rows (key,
@@ -24,7 +23,9 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
     The value that missing cells were filled with is the join's hot key; both
     sides come from written tables, so adaptive execution can split it.
     """
-    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    key = "__row"
+    # written with the table, so the numbers stand
+    data = df.select(F.monotonically_increasing_id().alias(key), *[F.col(c).cast("double").alias(c) for c in cols])
     data = materialize(data.fillna(0.0, subset=cols) if fill_zero else data.dropna(subset=cols), "spearman-input")
     vc = RK.value_counts(data, cols)
     cum = RK.cum_counts(vc, ["variable"], ["n"])

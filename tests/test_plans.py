@@ -54,3 +54,16 @@ def test_spearman_shuffles_the_rows_twice(spark, sf_small):
     df = spark.range(200).selectExpr("id", *[f"cast((id * {k}) % 97 as double) as c{k}" for k in (3, 5, 7, 11)])
     plan = CO.spearman_matrix(df, ["c3", "c5", "c7", "c11"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_spearman_counts_rows_that_share_an_id(spark):
+    from lendlens.operators import correlation as CO
+    rows = [(None if i % 3 else i % 6, float(i * 7 % 20), float(i * 11 % 23)) for i in range(40)]
+    shared = spark.createDataFrame(rows, "id bigint, a double, b double")
+    own = spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(rows)], "id bigint, a double, b double")
+    got, want = ([tuple(r) for r in CO.spearman_matrix(df, ["a", "b"]).collect()] for df in (shared, own))
+    rank = lambda v: [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+    ra, rb = rank([a for _, a, _ in rows]), rank([b for _, _, b in rows])
+    mid = (len(rows) + 1) / 2
+    dot = lambda u, v: sum((x - mid) * (y - mid) for x, y in zip(u, v, strict=True))
+    assert got == want == [("a", "b", round(dot(ra, rb) / (dot(ra, ra) * dot(rb, rb)) ** 0.5, 6))]
