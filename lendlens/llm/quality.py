@@ -18,6 +18,7 @@ is near that class.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,12 +183,18 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
         sample: int = SAMPLE) -> Forest:
-    """Learn 0/1 labels from about ``sample`` labelled documents."""
+    """Learn 0/1 labels from about ``sample`` labelled documents; a label that
+    is repeated for one id counts once.  If a label is not among them: from at
+    most ``sample`` documents of each label, those whose hashes come first."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
-    n = known.count()
-    if not n:
+    found = {r["y"]: r["count"] for r in known.distinct().groupBy("y").count().collect()}
+    if not found:
         raise ValueError("no labelled rows to learn from")
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < -(-sample * (1 << 20) // n))
+    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    chosen = known.where(chance < -(-sample * (1 << 20) // sum(found.values()))).distinct()
+    if {r["y"] for r in chosen.select("y").distinct().collect()} != set(found):
+        each = [known.where(F.col("y") == y).distinct().orderBy(chance, "id").limit(sample) for y in sorted(found)]
+        chosen = reduce(DataFrame.union, each)
     # the sample's size is bounded, so it may be broadcast
     texts = _source(docs, id_col, text_col).join(F.broadcast(chosen.select("id").distinct()), "id")
     rows = document_statistics(texts, "id", "text").join(F.broadcast(chosen), "id").select("id", "x", "y").collect()

@@ -14,6 +14,7 @@ one class only, that class is the verdict.  Repeated rows are judged each.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -73,17 +74,26 @@ def with_features(urls: DataFrame, host: str = "host", path: str = "path") -> Da
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LogisticRegressionModel | None:
-    """Model of P(block) from (host, path, verdict) rows; None without rows."""
-    n = labelled.count()
-    if not n:
+    """Model of P(block) from (host, path, verdict) rows; None without rows.
+
+    Learned from about ``sample`` distinct URLs, each with its number of rows
+    as its weight.  If a verdict is not among them: from at most ``sample`` of
+    each verdict, those whose hashes come first."""
+    keys = ["host", "path", "verdict"]
+    found = {r["verdict"]: r["count"] for r in labelled.select(*keys).distinct().groupBy("verdict").count().collect()}
+    if not found:
         return None
     chance = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20))
-    rows = labelled.where(chance < -(-sample * (1 << 20) // n)).select(
-        "host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label"))
-    train = materialize(with_features(rows).select("_features", "label"), "labelled-urls")
-    if not train.take(1):
-        return None
-    return LogisticRegression(featuresCol="_features", labelCol="label", maxIter=50, regParam=1e-3).fit(train)
+    rows = labelled.where(chance < -(-sample * (1 << 20) // sum(found.values()))).groupBy(*keys).count()
+    drawn = {r["verdict"] for r in rows.select("verdict").distinct().collect()}
+    if drawn != set(found):
+        every = labelled.groupBy(*keys).count()
+        each = [every.where(F.col("verdict") == v).orderBy(chance, *keys).limit(sample) for v in sorted(found)]
+        rows = reduce(DataFrame.union, each)
+    rows = rows.select("host", "path", (F.col("verdict") == BLOCK).cast("double").alias("label"),
+                       F.col("count").cast("double").alias("weight"))
+    train = materialize(with_features(rows).select("_features", "label", "weight"), "labelled-urls")
+    return LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=50, regParam=1e-3).fit(train)
 
 
 def judge(urls: DataFrame, rules: list[Rule], id_col: str, url_col: str = "url", sample: int = SAMPLE) -> DataFrame:

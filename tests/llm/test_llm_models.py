@@ -107,6 +107,17 @@ def test_quality_of_texts(spark):
     assert quality.score(docs.limit(0), forest).count() == 0
 
 
+def test_repeated_labels_do_not_swell_the_sample(spark, monkeypatch):
+    grown = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: grown.append(sorted(y)))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(7, 1)] * 900 + [(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    quality.fit(docs, labels, "quality")
+    assert grown[-1] == [0.0] * 20 + [1.0] * 20
+    quality.fit(docs, labels, "quality", sample=1)
+    assert set(grown[-1]) == {0.0, 1.0} and len(grown[-1]) <= 20
+
+
 def test_statistics_do_not_mix_texts():
     import pyarrow as pa
     texts = ["One two.\nThree two two", "", "AB!!", None, "a" * 300, "One two.\nThree two two"]

@@ -137,3 +137,16 @@ def test_model_learns_from_host_and_path(spark):
     model = urlfilter.fit(parts.where("page_id < 100"))
     said = model.transform(urlfilter.with_features(parts.where("page_id >= 100"))).select("verdict", "prediction").collect()
     assert np.mean([(r["verdict"] == "block") == bool(r["prediction"]) for r in said]) > 0.95
+
+
+def test_repeated_urls_are_one_labelled_url(spark, monkeypatch):
+    seen = []
+    real = urlfilter.materialize
+    monkeypatch.setattr(urlfilter, "materialize", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    often = [("a.net", "/x", "block")] * 600
+    few = [(f"h{i}.org", f"/p{i}", "allow" if i % 2 else "block") for i in range(30)]
+    model = urlfilter.fit(spark.createDataFrame(often + few, "host string, path string, verdict string"), 1000)
+    assert model.numClasses == 2 and sorted(r["weight"] for r in seen[-1].collect()) == [1.0] * 30 + [600.0]
+    # a sample of about one URL lacks a class
+    model = urlfilter.fit(spark.createDataFrame(often + few, "host string, path string, verdict string"), 1)
+    assert model.numClasses == 2 and seen[-1].count() == 2
