@@ -8,34 +8,25 @@ Everything starts from a *value-count table*
 built by one unpivot + one grouped job (map-side partial aggregation merges
 equal values before the shuffle, so a value held by a third of all rows is
 one row here).  Running counts through each value (``cn``, ``cn1``) come
-from :func:`cum_counts`, a two-level prefix sum:
-
-1. per key, cut points from an ``approx_percentile`` sketch of the distinct
-   values (fixed memory) split the values into ``buckets`` ranges;
-2. bucket totals (``keys x buckets`` rows) get an exclusive running sum;
-3. a window partitioned by ``(keys, bucket)`` adds the running count inside
-   the bucket to the bucket's offset.
-
-No window is ever partitioned by a constant or by the variable alone, so
-the sort work is spread over ``keys x buckets`` tasks; equal values are
-already merged, so no tie straddles two buckets.  The small tables (cut
-points, offsets, totals) are bounded by ``keys x buckets`` and are
-broadcast.
+from :func:`cum_counts`: the table is dealt by ranges of (keys, value),
+every task adds up its own sorted range, and the totals of earlier ranges
+are put on (:mod:`.running`).
+
+No window is ever partitioned by a constant or by the variable alone, and
+no row carries cut points; equal values are already merged, so no tie
+straddles two ranges.  What is broadcast is one row per range or per key.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
 from .profile import melt
+from .running import running_sums
 
 ROUND = 6
-DEFAULT_BUCKETS = 64
-VALUES_PER_BUCKET = 2_000_000
 
 
 def _r(c: Column) -> Column:
@@ -92,26 +83,12 @@ def totals(vc: DataFrame, keys: list[str], weights=("n", "n1")) -> DataFrame:
                                  F.count(F.lit(1)).alias("n_values"))
 
 
-def _auto_buckets(vc: DataFrame, keys: list[str]) -> int:
-    """Enough buckets that a (key, bucket) window holds about
-    ``VALUES_PER_BUCKET`` distinct values at most (64 or more)."""
-    widest = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-    return max(DEFAULT_BUCKETS, math.ceil(widest / VALUES_PER_BUCKET))
-
-
-def _bucketed(vc: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
-    """Adds ``__b``: the number of cut points below the value, found in two
-    steps (among every k-th cut point, then among the k between)."""
-    if buckets <= 1:
-        return vc.withColumn("__b", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = vc.groupBy(*keys).agg(F.percentile_approx(order, probs, max(10000, 20 * buckets)).alias("__cuts"))
-    step = max(1, math.isqrt(buckets))
-    below = lambda c: c < F.col(order)
-    coarse = cuts.withColumn("__some", F.filter("__cuts", lambda c, i: (i + 1) % step == 0))
-    found = vc.join(F.broadcast(coarse), keys).withColumn("__at", F.size(F.filter("__some", below)) * step)
-    between = F.filter(F.slice("__cuts", F.col("__at") + 1, F.lit(step)), below)
-    return found.withColumn("__b", F.col("__at") + F.size(between)).drop("__cuts", "__some", "__at")
+def _ranges(vc: DataFrame, keys: list[str], order: str, buckets: int | None) -> DataFrame:
+    """Writes the table by ranges of (keys, order); ``__b`` is the range's
+    number.  Without ``buckets``, as many as the session shuffles into."""
+    deal = [buckets] if buckets else []
+    ranged = vc.repartitionByRange(*deal, *keys, order).withColumn("__b", F.spark_partition_id())
+    return _materialize(ranged, "value-ranges")
 
 
 def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1"),
@@ -119,23 +96,12 @@ def cum_counts(vc: DataFrame, keys: list[str] = ("variable",), weights=("n", "n1
     """Inclusive running sums ``c<w>`` of each weight in ascending ``order``
     within each key group (``order`` must be unique within a key), plus the
     key totals ``tot_<w>``."""
-    keys = list(keys)
-    weights = list(weights)
-    if buckets is None:
-        buckets = _auto_buckets(vc, keys)
-    vcb = _bucketed(vc, keys, order, buckets)
-    btot = vcb.groupBy(*keys, "__b").agg(*[F.sum(w).alias(f"__bt_{w}") for w in weights])
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*keys)
-    offsets = btot.select(*keys, "__b", *[
-        F.coalesce(F.sum(f"__bt_{w}").over(before), F.lit(0)).alias(f"__off_{w}") for w in weights
-    ], *[F.sum(f"__bt_{w}").over(everything).alias(f"tot_{w}") for w in weights])
-    inside = (Window.partitionBy(*keys, "__b").orderBy(order)
-                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = vcb.join(F.broadcast(offsets), keys + ["__b"])
-    return out.select(*vc.columns, *[
-        (F.col(f"__off_{w}") + F.sum(w).over(inside)).alias(f"c{w}") for w in weights],
-        *[F.col(f"tot_{w}") for w in weights])
+    keys, weights = list(keys), list(weights)
+    run = running_sums(vc, keys, [order], {f"c{w}": F.col(w) for w in weights}, "running-counts", partitions=buckets)
+    tot = run.groupBy(*keys).agg(*[F.sum(w).alias(f"tot_{w}") for w in weights])
+    # one row per key, and a key is a column of the source
+    return run.join(F.broadcast(tot), keys).select(
+        *vc.columns, *[f"c{w}" for w in weights], *[f"tot_{w}" for w in weights])
 
 
 # ---------------------------------------------------------------------------
@@ -152,9 +118,7 @@ def quantiles(vc: DataFrame, keys: list[str], probs: dict[str, float], weight: s
     say which buckets hold a wanted rank; no other bucket is sorted.
     """
     keys = list(keys)
-    if buckets is None:
-        buckets = _auto_buckets(vc, keys)
-    vcb = _bucketed(vc, keys, "value", buckets)
+    vcb = _ranges(vc, keys, "value", buckets)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals_ = vcb.groupBy(*keys, "__b").agg(F.sum(weight).alias("__w"))
     offsets = totals_.select(*keys, "__b", "__w", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__off"),
