@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm import bpe_codec, decontaminate, langid, neardup, quality, quotes, substrings, token_counts, topk, urlfilter
-from lendlens.sources.tables import read_table
+from lendlens.llm import (
+    bpe_codec, decontaminate, divergence, langid, licenses, neardup, prefix_trie, quality, quotes, substrings, token_counts, topk, urlfilter)
+from lendlens.sources.tables import materialize, read_table
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -90,6 +91,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation c with the first crc32(c) % 4 turns of conversation
+    c - c % 20 in place of its own; also (conv), every conversation once.  A
+    conversation's rows meet its shift in blocks of their places."""
+    block = 4096
+    heads = turns.where("depth <= 3").groupBy(F.col("conv").alias("base")).agg(
+        F.array_sort(F.collect_list(F.struct("depth", "code", "words"))).alias("head"))
+    h = (F.crc32(F.col("conv").cast("string")) % 4).cast("int")
+    convs = turns.groupBy("conv").agg(F.max("depth").alias("n")).select("conv", "n", h.alias("h"), (F.col("conv") - F.col("conv") % 20).alias("base"))
+    lead = materialize(convs.join(heads, "base", "left").select(
+        "conv", "n", "h", F.when(F.col("head").isNotNull(), F.slice("head", F.lit(1), F.col("h"))).otherwise(
+            F.array().cast(heads.schema["head"].dataType)).alias("head")), "openings")
+    shift = lead.select("conv", "h", (F.size("head") - F.col("h")).alias("shift"),
+                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("block"))
+    rest = turns.withColumn("block", F.floor((F.col("depth") - 1) / block)).join(shift, ["conv", "block"]).where("depth > h") \
+        .select("conv", (F.col("depth") + F.col("shift")).alias("depth"), "code", "words")
+    opening = lead.select("conv", F.explode("head").alias("t")).select("conv", "t.depth", "t.code", "t.words")
+    return materialize(opening.union(rest), "rebuilt"), lead.select("conv")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    nodes = prefix_trie.trie(*rebuilt_turns(prefix_trie.ordered_turns(chats)))
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children",
+                        "n_leaves", F.col("saved_words").alias("saved_tokens"), "ends_sha256")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents", ["text", "lang", "source"]))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", *[
+        F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")], "score")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -101,6 +138,9 @@ QUERIES = {
     "op8_quote_links": op8_quote_links,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
