@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
 from . import rankstats as RK
 
 
+HOT_SHARE = 64
+
+
+def _cold_cells(data: DataFrame, hot: dict[str, dict[float, float]], key: str) -> DataFrame:
+    """(row, variable, value) of the cells whose value is not hot in its column."""
+    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"), _rank(c, hot[c]).isNull().alias("cold"))
+                               for c in hot]), lambda x: x["cold"])
+    return data.select(key, F.explode(cells).alias("x")).select(key, "x.variable", "x.value")
+
+
+def _rank(col: str, known: dict[float, float]) -> Column:
+    """The rank of a hot value, null for other values."""
+    if not known:
+        return F.lit(None).cast("double")
+    return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.col(col)]
+
+
+def _row_ranks(data: DataFrame, ranks: DataFrame, hot: dict[str, dict[float, float]], key: str) -> DataFrame:
+    """(row, __r_<column>...)"""
+    cold = _cold_cells(data, hot, key).join(ranks, ["variable", "value"])
+    beside = data.select(key, *[_rank(c, hot[c]).alias(f"__r_{c}") for c in hot])
+    apart = cold.select(key, *[F.when(F.col("variable") == c, F.col("rank")).alias(f"__r_{c}") for c in hot])
+    return beside.union(apart).groupBy(key).agg(*[F.max(f"__r_{c}").alias(f"__r_{c}") for c in hot])
+
+
 def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True) -> DataFrame:
     """T5: Spearman rho of every pair, long form ``(var_a, var_b, rho)``.
 
@@ -17,11 +42,13 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
     gets a number of its own, so no column need be a key.
 
     One plan for every size and number of columns: average ranks per distinct
-    value come from the running counts (no global sort), the long rows (key,
-    variable, value) meet them in one join, one regroup by key puts a row's
-    ranks together again, and one aggregate computes all k(k-1)/2 correlations.
-    The value that missing cells were filled with is the join's hot key; both
-    sides come from written tables, so adaptive execution can split it.
+    value come from the running counts (no global sort).  A value that holds
+    one in ``HOT_SHARE`` of the rows of its column (such as the one that missing
+    cells were filled with; ``HOT_SHARE`` values a column at most) keeps its
+    rank beside it in the plan and is not shuffled; only the other cells, as
+    (row, variable, value), meet their ranks in one join.  One regroup by row
+    puts a row's ranks together again, and one aggregate computes all
+    k(k-1)/2 correlations from centred sums.
     """
     key = "__row"
     # written with the table, so the numbers stand
@@ -29,9 +56,12 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
     data = materialize(data.fillna(0.0, subset=cols) if fill_zero else data.dropna(subset=cols), "spearman-input")
     vc = RK.value_counts(data, cols)
     cum = RK.cum_counts(vc, ["variable"], ["n"])
-    ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank")), "avg-ranks")
-    long = data.unpivot([key], cols, "variable", "value").join(ranks, ["variable", "value"])
-    ranked = long.groupBy(key).agg(*[F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(f"__r_{c}") for c in cols])
+    ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank"),
+                                   (F.col("n") * HOT_SHARE > F.col("tot_n")).alias("hot")), "avg-ranks")
+    hot: dict[str, dict[float, float]] = {c: {} for c in cols}
+    for r in ranks.where("hot").collect():
+        hot[r["variable"]][r["value"]] = r["rank"]
+    ranked = _row_ranks(data, ranks.where(~F.col("hot")).drop("hot"), hot, key)
     # centred ranks: the mean rank of every column is (N + 1) / 2, so the
     # Pearson correlation needs only sums of products (one cheap aggregate)
     mid = (data.select(F.count(F.lit(1))).scalar() + 1) / 2

@@ -4,8 +4,9 @@ Default assignments use the keyed hash (R5): no shuffle, no window, no
 dependence on partitioning, identical in SQL.  Stratification is then "in
 expectation" (each class is cut at the same hash threshold), which is what
 the per-class ``randomSplit`` of the study gives.  The exact variant cuts
-each class at its own exact hash quantile, found from the totals of equal hash
-ranges (no per-class window, which would run each class in one task).
+each class at its own exact hash quantile: totals of equal hash ranges say
+which range holds the cut, that range is cut into ranges again, and so on
+until what is left of it can be sorted within ``SORT_BYTES``.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_BITS, keyed_hash, keyed_uniform
 from ..sources.tables import materialize as _materialize
+from .running import running_sums
 
 TRAIN, TEST = "train", "test"
-BUCKET_BITS = 14  # hash ranges per class; totals of this many rows are broadcast
+LEVEL_BITS = 14  # hash ranges that one step of the descent tells apart, per class
+#: Hashes of one class that one task sorts; a row of the sort is about 24 bytes.
+SORT_BYTES, SORT_ROW = 96 << 20, 24
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str | None = None) -> DataFrame:
@@ -48,33 +52,38 @@ def stratified_split(df: DataFrame, target: str = "default", train_frac: float =
     if not exact:
         return df.withColumn(out, F.when(keyed_uniform(key, seed) < train_frac, TRAIN).otherwise(TEST))
     cls = F.col(target).cast("string")
-    hashed = df.select(cls.alias("__cls"), h.alias("__h")).withColumn("__b", _hash_bucket(F.col("__h")))
-    # bucket totals show which bucket a class is cut in; only that one is sorted
-    at = _offsets(hashed.groupBy("__cls", "__b").agg(F.count(F.lit(1)).alias("__n")))
-    want = F.round(F.col("__tot") * train_frac)
-    # buckets are ordered like their hashes: the last one that begins within the wanted count
-    last = at.where(F.col("__off") < want).groupBy("__cls").agg(F.max(F.struct("__b", (want - F.col("__off")).alias("__left"))).alias("m")) \
-        .select("__cls", "m.__b", "m.__left")
-    cut = _materialize(last, "split-buckets")
-    inside = hashed.join(F.broadcast(cut), ["__cls", "__b"]).groupBy("__cls", "__b", "__left", "__h").agg(F.count(F.lit(1)).alias("__n"))
-    run = F.sum("__n").over(Window.partitionBy("__cls").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0))
-    found = inside.withColumn("__run", run).where(F.col("__run") <= F.col("__left")).groupBy("__cls").agg(F.max("__h").alias("__cut"))
-    cuts = cut.join(found, "__cls", "left").select("__cls", "__b", "__cut")
+    cuts = _cuts(df.where(cls.isNotNull()).select(cls.alias("__cls"), h.alias("__h")), train_frac)
     j = df.join(F.broadcast(cuts), cls == F.col("__cls"), "left")
-    before = (_hash_bucket(h) < F.col("__b")) | (h <= F.col("__cut"))
-    return j.withColumn(out, F.when(before, TRAIN).otherwise(TEST)).drop("__cls", "__b", "__cut")
-
-
-def _hash_bucket(h) -> Column:
-    """Ranges of equal width of the hash, which is uniform."""
-    return F.shiftright(h, HASH_BITS - BUCKET_BITS)
-
-
-def _offsets(totals: DataFrame) -> DataFrame:
-    """Rows before each bucket of a class (``__off``) and in the class (``__tot``)."""
-    before = Window.partitionBy("__cls").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("*", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-                         F.sum("__n").over(Window.partitionBy("__cls")).alias("__tot"))
+    part = F.when(cls.isNull(), None).when(h <= F.col("__cut"), TRAIN).otherwise(TEST)
+    return j.withColumn(out, part).drop("__cls", "__cut")
+
+
+def _cuts(hashed: DataFrame, train_frac: float, sort_bytes: int = SORT_BYTES) -> DataFrame:
+    """``(__cls, __cut)``: the largest hash of each class's first ``train_frac``
+    rows in hash order, null if there is none.  Every step reads the hashes and
+    keeps, per class, totals of 2^LEVEL_BITS ranges at most."""
+    classes = hashed.groupBy("__cls").agg(F.count(F.lit(1)).alias("__n"))
+    at = _materialize(classes.select("__cls", F.lit(0).cast("bigint").alias("__at"), "__n",
+                                     F.round(F.col("__n") * train_frac).cast("bigint").alias("__want")), "split-cut")
+    shift = HASH_BITS
+    while shift > 0 and (at.agg(F.max("__n")).first()[0] or 0) * SORT_ROW > sort_bytes:
+        up, shift = shift, max(0, shift - LEVEL_BITS)
+        near = hashed.join(F.broadcast(at), "__cls").where(F.shiftright("__h", up) == F.col("__at"))
+        totals = near.groupBy("__cls", "__want", F.shiftright("__h", shift).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy("__cls", "__want").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = totals.select("*", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+        # ranges are ordered like their hashes: the last one that begins within the wanted count
+        found = ranges.where((F.col("__off") < F.col("__want")) | (F.col("__off") == 0)).groupBy("__cls").agg(F.max(F.struct(
+            "__b", "__n", (F.col("__want") - F.col("__off")).alias("__want"))).alias("m"))
+        at = _materialize(found.select("__cls", F.col("m.__b").alias("__at"), "m.__n", "m.__want"), "split-cut")
+    near = hashed.join(F.broadcast(at), "__cls").where(F.shiftright("__h", shift) == F.col("__at"))
+    counts = near.groupBy("__cls", "__at", "__want", "__h").agg(F.count(F.lit(1)).alias("__n"))
+    over = Window.partitionBy("__cls", "__at").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    kept = counts.withColumn("__run", F.sum("__n").over(over)).where(F.col("__run") <= F.col("__want"))
+    cut = kept.groupBy("__cls").agg(F.max("__h").alias("__cut"))
+    # no hash of the last range belongs to it: all that came before does
+    below = F.shiftleft(F.col("__at"), shift) - 1
+    return at.join(cut, "__cls", "left").select("__cls", F.coalesce("__cut", below).alias("__cut"))
 
 
 def split_frames(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
@@ -100,19 +109,15 @@ def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id", out
     split's), stratified in expectation.
 
     With ``stratify`` the folds of each class differ by one row at most: rows
-    are numbered by hash within their class, in two steps (rows of smaller hash
-    ranges, then inside the range), and dealt round the folds.
+    are numbered by hash within their class, over range partitions, and dealt
+    round the folds; rows without a class are a class of their own.
     """
     if stratify is None:
         return df.withColumn(out, F.floor(keyed_uniform(key, f"{seed}|fold") * k).cast("int"))
-    hashed = df.withColumns({"__cls": F.col(stratify).cast("string"), "__h": keyed_hash(key, f"{seed}|fold")})
-    hashed = hashed.withColumn("__b", _hash_bucket(F.col("__h")))
-    totals = hashed.groupBy("__cls", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _offsets(totals).select(F.col("__cls").alias("__c"), F.col("__b").alias("__k"), "__off")
-    inside = F.row_number().over(Window.partitionBy("__cls", "__b").orderBy("__h", key))
-    numbered = hashed.withColumn("__i", inside).join(
-        F.broadcast(offsets), F.col("__cls").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__k")))
-    return numbered.withColumn(out, ((F.col("__off") + F.col("__i") - 1) % k).cast("int")).select(*df.columns, out)
+    named = F.coalesce(F.concat(F.lit("="), F.col(stratify).cast("string")), F.lit(""))
+    hashed = df.withColumns({"__cls": named, "__h": keyed_hash(key, f"{seed}|fold")})
+    numbered = running_sums(hashed, ["__cls"], ["__h", key], {"__i": F.lit(1)}, "folds")
+    return numbered.withColumn(out, ((F.col("__i") - 1) % k).cast("int")).select(*df.columns, out)
 
 
 def split_audit(labelled: DataFrame, target: str = "default", split: str = "split") -> DataFrame:

@@ -62,7 +62,7 @@ _LEARNED: dict = {}
 def _memo(spark, sf_dir, name, build):
     """Per-session memo of small learned things (fitted models, grid results,
     P3's column list); it is dropped when the source files change."""
-    stamp = source_stamp(spark, sf_dir, ["orders", "customer", "nation", "lineitem"])
+    stamp = source_stamp(spark, sf_dir, S.SOURCES)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _LEARNED or _LEARNED[key][0] != stamp:
         _LEARNED[key] = stamp, build()
@@ -70,15 +70,31 @@ def _memo(spark, sf_dir, name, build):
 
 
 def _lt(spark, sf_dir):
+    """Lazy, from the driver tables (queries of one row-wise pass)."""
     return S.loans_with_target(spark, sf_dir)
 
 
+def _any_lt(spark, sf_dir):
+    """For reports of one pass: the shared table if there is one, else lazy."""
+    return S.shared_loans(spark, sf_dir, write=False)
+
+
+def _shared_lt(spark, sf_dir):
+    """For reports of several passes."""
+    return S.shared_loans(spark, sf_dir)
+
+
 def _cleaned(spark, sf_dir):
     return S.cleaned_loans(spark, sf_dir, _memo(spark, sf_dir, "sparse", lambda: S.sparse_columns(spark, sf_dir)))
 
 
 def _curated(spark, sf_dir):
-    return S.curated_loans(spark, sf_dir)
+    """For reports of one pass; see :func:`_any_lt`."""
+    return S.curated(S.shared_recoded(spark, sf_dir, write=False))
+
+
+def _shared_curated(spark, sf_dir):
+    return S.curated(S.shared_recoded(spark, sf_dir))
 
 
 def _reduced(spark, sf_dir):
@@ -99,7 +115,7 @@ def s3_curated(spark, sf_dir):
 
 def s5_preview(spark, sf_dir):
     cols = ["id", "int_rate", "annual_inc", "revol_util", "inq_last_6mths"]
-    return FS.preview(_lt(spark, sf_dir), cols, 12, "id")
+    return FS.preview(_any_lt(spark, sf_dir), cols, 12, "id")
 
 
 def s2_csv_roundtrip(spark, sf_dir):
@@ -221,15 +237,15 @@ def p19_level_share(spark, sf_dir):
 
 # --- A: aggregations -------------------------------------------------------
 def a1_class_distribution(spark, sf_dir):
-    return A.class_distribution(_lt(spark, sf_dir), T)
+    return A.class_distribution(_any_lt(spark, sf_dir), T)
 
 
 def a2_null_report(spark, sf_dir):
-    return A.null_report(_lt(spark, sf_dir))
+    return A.null_report(_any_lt(spark, sf_dir))
 
 
 def a3_string_missing(spark, sf_dir):
-    return A.string_missing_report(_lt(spark, sf_dir))
+    return A.string_missing_report(_any_lt(spark, sf_dir))
 
 
 def a4_numeric_missing(spark, sf_dir):
@@ -237,23 +253,23 @@ def a4_numeric_missing(spark, sf_dir):
 
 
 def a6_cardinality(spark, sf_dir):
-    return A.cardinality(_lt(spark, sf_dir), CARDINALITY_COLUMNS)
+    return A.cardinality(_any_lt(spark, sf_dir), CARDINALITY_COLUMNS)
 
 
 def a7_top_emp_title(spark, sf_dir):
-    return A.top_levels(_lt(spark, sf_dir), "emp_title", 20)
+    return A.top_levels(_any_lt(spark, sf_dir), "emp_title", 20)
 
 
 def a7_top_inq_last_6mths(spark, sf_dir):
-    return A.top_levels(_lt(spark, sf_dir), "inq_last_6mths", 20)
+    return A.top_levels(_any_lt(spark, sf_dir), "inq_last_6mths", 20)
 
 
 def a7_top_initial_list_status(spark, sf_dir):
-    return A.top_levels(_lt(spark, sf_dir), "initial_list_status", 5)
+    return A.top_levels(_any_lt(spark, sf_dir), "initial_list_status", 5)
 
 
 def a7_top_emp_length(spark, sf_dir):
-    return A.top_levels(_lt(spark, sf_dir), "emp_length", 12)
+    return A.top_levels(_any_lt(spark, sf_dir), "emp_length", 12)
 
 
 def a7_home_ownership_levels(spark, sf_dir):
@@ -261,7 +277,7 @@ def a7_home_ownership_levels(spark, sf_dir):
 
 
 def a8_modal_concentration(spark, sf_dir):
-    df = _lt(spark, sf_dir).withColumn("title_grouped", R.group_text("title"))
+    df = _any_lt(spark, sf_dir).withColumn("title_grouped", R.group_text("title"))
     return A.modal_concentration(df, CONCENTRATION_COLUMNS)
 
 
@@ -270,7 +286,7 @@ def a9_categorical_audit(spark, sf_dir):
 
 
 def a10_crosstab_grade_sub_grade(spark, sf_dir):
-    return A.crosstab_long(_lt(spark, sf_dir), "grade", "sub_grade")
+    return A.crosstab_long(_any_lt(spark, sf_dir), "grade", "sub_grade")
 
 
 def a10_crosstab_verification_wide(spark, sf_dir):
@@ -278,7 +294,7 @@ def a10_crosstab_verification_wide(spark, sf_dir):
 
 
 def a11_row_percent_verification(spark, sf_dir):
-    return A.row_percent(A.crosstab_long(_curated(spark, sf_dir), "verification_status", T),
+    return A.row_percent(A.crosstab_long(_shared_curated(spark, sf_dir), "verification_status", T),
                          "verification_status")
 
 
@@ -310,36 +326,36 @@ def t9_numeric_ranking(spark, sf_dir):
 
 
 def t1_chi_square(spark, sf_dir):
-    return AS.chi_square_table(_curated(spark, sf_dir), S.CATEGORICAL_FEATURES, T)
+    return AS.chi_square_table(_shared_curated(spark, sf_dir), S.CATEGORICAL_FEATURES, T)
 
 
 def t1b_chi_square_null_level(spark, sf_dir):
-    return AS.chi_square_table(_lt(spark, sf_dir), None, T, nulls="level")
+    return AS.chi_square_table(_shared_lt(spark, sf_dir), None, T, nulls="level")
 
 
 def t3_pair_grade_sub_grade(spark, sf_dir):
-    return AS.pair_association(_lt(spark, sf_dir), "grade", "sub_grade")
+    return AS.pair_association(_shared_lt(spark, sf_dir), "grade", "sub_grade")
 
 
 def t3_pair_purpose_title(spark, sf_dir):
-    df = _lt(spark, sf_dir).withColumn("title_grouped", R.group_text("title"))
+    df = _shared_lt(spark, sf_dir).withColumn("title_grouped", R.group_text("title"))
     return AS.pair_association(df, "purpose", "title_grouped")
 
 
 def t17_categorical_report(spark, sf_dir):
-    return AS.categorical_association(_curated(spark, sf_dir), T, S.CATEGORICAL_FEATURES)
+    return AS.categorical_association(_shared_curated(spark, sf_dir), T, S.CATEGORICAL_FEATURES)
 
 
 def a14_numeric_audit(spark, sf_dir):
-    return D.numeric_audit(_curated(spark, sf_dir), S.NUMERIC_FEATURES)
+    return D.numeric_audit(_shared_curated(spark, sf_dir), S.NUMERIC_FEATURES)
 
 
 def o1_outliers_dti(spark, sf_dir):
-    return D.robust_outliers(_lt(spark, sf_dir), "dti", 3.5, 10)
+    return D.robust_outliers(_shared_lt(spark, sf_dir), "dti", 3.5, 10)
 
 
 def o1_outliers_credit_limit(spark, sf_dir):
-    return D.robust_outliers(_lt(spark, sf_dir), "tot_hi_cred_lim", 3.5, 10)
+    return D.robust_outliers(_shared_lt(spark, sf_dir), "tot_hi_cred_lim", 3.5, 10)
 
 
 def o2_hampel_bands(spark, sf_dir):
@@ -347,19 +363,19 @@ def o2_hampel_bands(spark, sf_dir):
 
 
 def t16_contrast_stats(spark, sf_dir):
-    return D.contrast_stats(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T).drop("z_mwu")
+    return D.contrast_stats(_shared_curated(spark, sf_dir), S.NUMERIC_FEATURES, T).drop("z_mwu")
 
 
 def t16_robust_contrast(spark, sf_dir):
-    return D.robust_contrast(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)
+    return D.robust_contrast(_shared_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)
 
 
 def t14_mann_whitney(spark, sf_dir):
-    return RK.mann_whitney(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)
+    return RK.mann_whitney(_shared_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)
 
 
 def h2_box_stats(spark, sf_dir):
-    return D.box_stats(_curated(spark, sf_dir), BOX_COLUMNS, T)
+    return D.box_stats(_shared_curated(spark, sf_dir), BOX_COLUMNS, T)
 
 
 def t7_shape(spark, sf_dir):
@@ -386,7 +402,7 @@ def t12_normality_full(spark, sf_dir):
 def t4_holm_mann_whitney(spark, sf_dir):
     """Holm over the Mann–Whitney p-values of the numeric features, with the
     significance stars, p text and effect band (T4, P20, P21)."""
-    st = RK.separation_stats(RK.separation_sums(RK.value_counts(_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)))
+    st = RK.separation_stats(RK.separation_sums(RK.value_counts(_shared_curated(spark, sf_dir), S.NUMERIC_FEATURES, T)))
     p = special.norm_two_sided(F.col("z_mwu"))
     out = AS.holm(st.select("variable", "rosenthal_r", p.alias("p_value")))
     # the tail's size where the rounded p shows only zeros
@@ -399,11 +415,11 @@ def t4_holm_mann_whitney(spark, sf_dir):
 
 
 def h1_histogram_int_rate(spark, sf_dir):
-    return D.histogram(_curated(spark, sf_dir), "int_rate", 30)
+    return D.histogram(_shared_curated(spark, sf_dir), "int_rate", 30)
 
 
 def h3_missing_patterns(spark, sf_dir):
-    return D.missing_patterns(_lt(spark, sf_dir), PATTERN_COLUMNS)
+    return D.missing_patterns(_any_lt(spark, sf_dir), PATTERN_COLUMNS)
 
 
 def h4_ols_fico(spark, sf_dir):
@@ -419,11 +435,11 @@ def h4_binned_scatter(spark, sf_dir):
 
 
 def t18_roc_int_rate(spark, sf_dir):
-    return RK.roc_curve(_curated(spark, sf_dir), "int_rate", T)
+    return RK.roc_curve(_shared_curated(spark, sf_dir), "int_rate", T)
 
 
 def e3_auc_int_rate(spark, sf_dir):
-    return RK.auc(_curated(spark, sf_dir), "int_rate", T)
+    return RK.auc(_shared_curated(spark, sf_dir), "int_rate", T)
 
 
 # --- correlation -----------------------------------------------------------
@@ -449,7 +465,7 @@ def r3_stratified_split(spark, sf_dir):
 
 
 def r3_exact_split(spark, sf_dir):
-    return SA.stratified_split(_curated(spark, sf_dir), T, 0.8, 42, exact=True).select("id", T, "split")
+    return SA.stratified_split(_shared_curated(spark, sf_dir), T, 0.8, 42, exact=True).select("id", T, "split")
 
 
 def r4_folds(spark, sf_dir):
@@ -457,7 +473,7 @@ def r4_folds(spark, sf_dir):
 
 
 def r4_stratified_folds(spark, sf_dir):
-    return SA.assign_folds(_curated(spark, sf_dir), 5, 42, stratify=T).select("id", T, "fold")
+    return SA.assign_folds(_shared_curated(spark, sf_dir), 5, 42, stratify=T).select("id", T, "fold")
 
 
 def u1_class_wise_union(spark, sf_dir):
@@ -470,26 +486,26 @@ def a13_split_audit(spark, sf_dir):
 
 # --- features ---------------------------------------------------------------
 def _train_test(spark, sf_dir):
-    return SA.split_frames(_curated(spark, sf_dir), target=T, train_frac=0.8, seed=42)
+    return SA.split_frames(_shared_curated(spark, sf_dir), target=T, train_frac=0.8, seed=42)
 
 
 def f1_ordinal_index(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
-    out = FE.ordinal_index(train, _curated(spark, sf_dir), "sub_grade")
+    out = FE.ordinal_index(train, _shared_curated(spark, sf_dir), "sub_grade")
     return out.select("id", "sub_grade", "sub_grade_idx")
 
 
 def f1b_ordinal_unseen_minus_one(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
     train = train.filter(F.col("sub_grade") != "A1")
-    out = FE.ordinal_index(train, _curated(spark, sf_dir), "sub_grade", unseen_as_minus_one=True)
+    out = FE.ordinal_index(train, _shared_curated(spark, sf_dir), "sub_grade", unseen_as_minus_one=True)
     return out.select("id", "sub_grade", "sub_grade_idx")
 
 
 def f2_nominal_index(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
     model = FE.nominal_indexer(["purpose", "addr_state"]).fit(train)
-    return model.transform(_curated(spark, sf_dir)).select("id", "purpose_idx", "addr_state_idx")
+    return model.transform(_shared_curated(spark, sf_dir)).select("id", "purpose_idx", "addr_state_idx")
 
 
 def f3_one_hot(spark, sf_dir):
@@ -497,7 +513,7 @@ def f3_one_hot(spark, sf_dir):
     cols = ["home_ownership", "verification_status"]
     idx = FE.nominal_indexer(cols).fit(train)
     ohe = FE.one_hot(cols).fit(idx.transform(train))
-    out = ohe.transform(idx.transform(_curated(spark, sf_dir)))
+    out = ohe.transform(idx.transform(_shared_curated(spark, sf_dir)))
     return out.select("id", *[F.col(f"{c}_ohe").cast("string").alias(f"{c}_ohe") for c in cols])
 
 
@@ -513,7 +529,7 @@ def f6_median_impute(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
     cols = ["dti", "avg_cur_bal", "bc_open_to_buy", "inq_last_6mths"]
     med = FE.fit_medians(train, cols)
-    return FE.impute(_curated(spark, sf_dir).select("id", *cols), med).select(
+    return FE.impute(_shared_curated(spark, sf_dir).select("id", *cols), med).select(
         "id", *[F.round(c, 6).alias(c) for c in cols])
 
 
@@ -594,7 +610,7 @@ def x1_explain_cases(spark, sf_dir):
 def e4_run_comparison(spark, sf_dir):
     """Two cut-off rules side by side: metrics from one aggregate, and the AUC
     of the score behind each rule."""
-    df = _curated(spark, sf_dir)
+    df = _shared_curated(spark, sf_dir)
     runs = {"rate_cutoff": F.col("int_rate") >= SCORECARD_CUTOFF, "fico_cutoff": F.col("fico_range_high") <= 700}
     sep = RK.separation_stats(RK.separation_sums(RK.value_counts(df, ["int_rate", "fico_range_high"], T)))
     up = F.when(F.col("variable") == "int_rate", F.col("auc")).otherwise(1 - F.col("auc"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recode as R
 from ..sources.loans import raw_loans
+from ..sources.shared import SHARED
 
 TARGET = "default"
 
@@ -43,12 +44,38 @@ CREDIT_LIMIT_MAX = 4000000
 REDUNDANT_COLUMNS = ["fico_range_low", "tot_hi_cred_lim", "num_rev_tl_bal_gt_0"]
 
 
+#: Driver tables that the loans are derived from.
+SOURCES = ["orders", "customer", "nation", "lineitem"]
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_loans(spark, sf_dir)
 
 
+def shared_loans(spark: SparkSession, sf_dir: str, write: bool = True) -> DataFrame:
+    """The loans with target, from the table that reports share.  Without
+    ``write``: from it if it is there, else as a lazy plan."""
+    if write:
+        return SHARED.get(spark, sf_dir, "loans", SOURCES, lambda: _with_target(raw_loans(spark, sf_dir, salted=True)))
+    have = SHARED.peek(spark, sf_dir, "loans", SOURCES)
+    return loans_with_target(spark, sf_dir) if have is None else have
+
+
+def shared_recoded(spark: SparkSession, sf_dir: str, write: bool = True) -> DataFrame:
+    """Every recoded column, from the shared table of that name (or lazily, as
+    :func:`shared_loans`); the cleaned and the curated table are subsets."""
+    if write:
+        return SHARED.get(spark, sf_dir, "recoded", SOURCES, lambda: recode_loans(shared_loans(spark, sf_dir)))
+    have = SHARED.peek(spark, sf_dir, "recoded", SOURCES)
+    return recode_loans(shared_loans(spark, sf_dir, write=False)) if have is None else have
+
+
 def loans_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.create_target(loans(spark, sf_dir)).drop("loan_status")
+    return _with_target(loans(spark, sf_dir))
+
+
+def _with_target(raw: DataFrame) -> DataFrame:
+    return R.create_target(raw).drop("loan_status")
 
 
 def recode_loans(df: DataFrame) -> DataFrame:
@@ -70,20 +97,23 @@ def recode_loans(df: DataFrame) -> DataFrame:
 
 def sparse_columns(spark: SparkSession, sf_dir: str) -> list[str]:
     """P3's decision, from one aggregate pass over the raw table."""
-    df = loans_with_target(spark, sf_dir)
+    df = shared_loans(spark, sf_dir)
     kept = set(R.drop_sparse(df, 50.0).columns)
     return [c for c in df.columns if c not in kept]
 
 
 def cleaned_loans(spark: SparkSession, sf_dir: str, sparse: list[str] | None = None) -> DataFrame:
     """Recoded table with ``id`` and every surviving column; columns that are
-    NULL in more than half of the rows go first (P3)."""
+    NULL in more than half of the rows go (P3).  Reads the shared table."""
     sparse = sparse_columns(spark, sf_dir) if sparse is None else sparse
-    return recode_loans(R.drop_present(loans_with_target(spark, sf_dir), sparse))
+    return R.drop_present(shared_recoded(spark, sf_dir), sparse)
 
 
 def curated_loans(spark: SparkSession, sf_dir: str, keep_id: bool = True) -> DataFrame:
-    """P4/S4 projection: final features + target (+ ``id`` as the row key)."""
-    df = recode_loans(loans_with_target(spark, sf_dir))
-    cols = FINAL_FEATURES + [TARGET] + (["id"] if keep_id else [])
-    return df.select(*cols)
+    """P4/S4 projection: final features + target (+ ``id`` as the row key), as
+    one lazy plan from the driver tables."""
+    return curated(recode_loans(loans_with_target(spark, sf_dir)), keep_id)
+
+
+def curated(recoded: DataFrame, keep_id: bool = True) -> DataFrame:
+    return recoded.select(*FINAL_FEATURES, TARGET, *(["id"] if keep_id else []))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,12 +60,37 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    for made in _MADE[-1:]:
+        made.append(path)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     slots = spark.sparkContext.defaultParallelism
     return out.repartition(slots) if spread and out.rdd.getNumPartitions() < slots else out
 
 
+#: Paths written inside the open :func:`intermediates` blocks, innermost last.
+_MADE: list[list[str]] = []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at the end of the block, every table that :func:`materialize`
+    wrote inside it.  The block has to write its result elsewhere: a frame that
+    reads such a table can't be run afterwards."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        for path in _MADE.pop():
+            remove_path(spark, path)
+
+
 def source_stamp(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
     """Length and last change of tables, to tell whether something learned
     from them is still about the same files."""

@@ -95,3 +95,42 @@ def test_explanation_solver_matches_numpy_ridge(spark, fitted):
     ref = dict(zip(bins, coef))
     for _, r in got.iterrows():
         assert r["weight"] == pytest.approx(ref[r["feature"]], abs=1e-8)
+
+
+def test_alias_table_keeps_the_shares_exactly(spark):
+    from lendlens.operators import explain as X
+    levels = [("a", 500), ("b", 300), ("c", 90), ("d", 90), (None, 15), ("e", 4), ("f", 1)]
+    train = spark.createDataFrame([(v, v if v in ("a", None) else "same", "one") for v, n in levels for _ in range(n)], "x string, y string, z string")
+    table = X.level_shares(train, ["x", "y", "z"]).collect()
+    for var, want in (("x", dict(levels)), ("y", {"a": 500, "same": 485, None: 15}), ("z", {"one": 1000})):
+        rows = [r for r in table if r["variable"] == var]
+        assert sorted(r["slot"] for r in rows) == list(range(len(want))) and {r["k"] for r in rows} == {len(want)}
+        got = dict.fromkeys(want, 0.0)
+        for r in rows:
+            got[r["level"]] += r["keep"] / len(want)
+            if r["keep"] < 1:
+                got[r["other"]] += (1 - r["keep"]) / len(want)
+            assert -1e-12 <= r["keep"] <= 1
+        assert all(abs(got[k] - n / 1000) < 1e-12 for k, n in want.items())
+
+
+def test_draws_of_many_levels_cost_one_match(spark):
+    from lendlens.operators import explain as X
+    train = spark.range(1_000_000).select(F.when(F.col("id") < 200_000, 0).otherwise(F.col("id")).cast("string").alias("c"))
+    table = X.level_shares(train, ["c"])
+    assert table.count() == table.select("slot").distinct().count() == 800_001
+    rows = spark.range(1).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(4999))))
+    drawn = X._draw_levels(rows, table, ["c"], 0, "id", 3)
+    assert drawn.count() == 5000 and 900 < drawn.where("__l_c = '0'").count() < 1100
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in plan and ">=" not in [ln for ln in plan.splitlines() if "Join Inner" in ln and "slot" in ln][0]
+
+
+def test_samples_of_few_cases_lie_in_many_partitions(spark):
+    from lendlens.operators import explain as X
+    train = spark.range(400).select("id", (F.col("id") % 40).cast("double").alias("v"), (F.col("id") % 4).cast("string").alias("c"))
+    bins, levels = X.fit_bins(train, ["v"]), X.level_shares(train, ["c"])
+    out = X.perturb(train.where("id < 2"), bins, "id", 1000, 1, levels, ["c"])
+    slots = spark.sparkContext.defaultParallelism
+    assert out.rdd.getNumPartitions() >= slots
+    assert out.select(F.spark_partition_id()).distinct().count() >= slots and out.count() == 2000

@@ -67,3 +67,23 @@ def test_spearman_counts_rows_that_share_an_id(spark):
     mid = (len(rows) + 1) / 2
     dot = lambda u, v: sum((x - mid) * (y - mid) for x, y in zip(u, v, strict=True))
     assert got == want == [("a", "b", round(dot(ra, rb) / (dot(ra, ra) * dot(rb, rb)) ** 0.5, 6))]
+
+
+def test_spearman_does_not_shuffle_hot_values(spark):
+    from pyspark.sql import functions as F
+
+    from lendlens.operators import correlation as CO
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("a").cast("double"),
+                                  (F.col("id") * 7 % 1000).cast("double").alias("b"))
+    data = df.fillna(0.0)
+    cold = CO._cold_cells(data, {"a": {0.0: 1350.0}, "b": {}}, "id")
+    assert cold.where("variable = 'a'").count() == 299 and cold.where("variable = 'b'").count() == 3000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in cold.repartition("variable", "value").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = CO.spearman_matrix(df, ["a", "b"]).first()["rho"]
+    pdf = data.toPandas()
+    assert abs(got - pdf["a"].rank().corr(pdf["b"].rank())) < 1e-6
