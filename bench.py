@@ -3,7 +3,10 @@
 Runs on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and prints one JSON line.  Every query is forced
 with a ``noop`` write (full computation, nothing collected); the forest
-fit is timed around ``Pipeline.fit``.  One warm-up query runs first.
+fit is timed around ``Pipeline.fit``.  One warm-up query runs first.  The
+first report of several passes also writes the tables that the later ones
+share.  ``m3_grid_search`` (5 folds x 9 configurations) is in ``queries`` but
+not in the total, which stays comparable with earlier rounds.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from lendlens.operators import models as M  # noqa: E402
 from lendlens.operators import sampling as SA  # noqa: E402
 from lendlens.plans import catalog as C  # noqa: E402
 from lendlens.plans import study as S  # noqa: E402
+from lendlens.sources.shared import SHARED  # noqa: E402
 from lendlens.sources.tables import materialize  # noqa: E402
 
 HEADLINE = [
@@ -77,11 +81,15 @@ def main() -> None:
     t0 = time.time()
     _force(C.QUERIES["x1_explain_cases"](spark, sf_dir))
     times["x1_explain_cases"] = round(time.time() - t0, 3)
+    total = round(sum(times.values()), 3)
+    t0 = time.time()
+    M.grid_search(SA.assign_folds(train, 5, 42), S.NUMERIC_FEATURES, k=5).collect()
+    times["m3_grid_search"] = round(time.time() - t0, 3)
 
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "total_sec_headline_queries",
-        "value": round(sum(times.values()), 3),
+        "value": total,
         "unit": "sec",
         "queries": times,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
@@ -89,6 +97,7 @@ def main() -> None:
         "rows_train": train.count(), "rows_test": test.count(),
         "auc_exact": ev.get("auc_exact"),
     }))
+    SHARED.release(spark)
     spark.stop()
 
 

@@ -26,6 +26,7 @@ from ..sources.tables import checkpoint_dir, materialize
 from . import features as FE
 from . import rankstats as RK
 from .profile import class_weights, confusion
+from .trees import cut_confusions
 
 ROUND = 6
 
@@ -142,28 +143,53 @@ def timed_scoring(model: PipelineModel, df: DataFrame, numeric: list[str]) -> fl
 # grid search
 # ---------------------------------------------------------------------------
 
-def grid_search(train: DataFrame, numeric: list[str], trees=(10, 50, 100), depths=(5, 10, 15),
-                fold_col: str = "fold", k: int = 5, label: str = "default", min_instances: int = 10,
-                max_bins: int = 64, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """k-fold CV over trees x depth; mean F1 of class 1 per configuration.
+def _prepared_folds(train: DataFrame, numeric: list[str], fold_col: str, k: int, label: str):
+    """Per fold: prepared training rows and held-out rows, written.
 
     Imputation, encoding and class weights depend on the fold only, so they
     are fitted once per fold on its training part (no statistic leaks from the
-    held-out fold) and the prepared rows are written; the forests of the grid
-    read them, ``parallelism`` at a time.  ``fold_col`` comes from the
-    keyed-hash fold assignment (R4).
-    """
+    held-out fold)."""
     data = _training_table(train, numeric, label)
-    grid = [(d, t) for d in depths for t in trees]
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-    total = dict.fromkeys(grid, 0.0)
     for fold in range(k):
         part, held = data.filter(F.col(fold_col) != fold), data.filter(F.col(fold_col) == fold)
         ready = Pipeline(stages=[*FE.encoding_pipeline(numeric).getStages(),
                                  ClassWeigher(labelCol=label, weightCol="weight")]).fit(part)
         fitted = materialize(ready.transform(part).select("features", label, "weight"), "fold-train", spread=True)
         judged = materialize(ready.transform(held).select("features", label), "fold-held", spread=True)
+        yield fitted, judged
+
+
+GRID_SCHEMA = "max_depth int, n_estimators int, f1_score double"
+
+
+def grid_search(train: DataFrame, numeric: list[str], trees=(10, 50, 100), depths=(5, 10, 15),
+                fold_col: str = "fold", k: int = 5, label: str = "default", min_instances: int = 10,
+                max_bins: int = 64, seed: int = 42) -> DataFrame:
+    """k-fold CV over trees x depth; mean F1 of class 1 per configuration.
 
+    One forest per fold is fitted, the largest of the grid; the others are its
+    first trees cut at their depth (see :mod:`.trees` for how that differs from
+    :func:`independent_grid_search`, which fits every configuration).
+    ``fold_col`` comes from the keyed-hash fold assignment (R4).
+    """
+    total = {(d, t): 0.0 for d in depths for t in trees}
+    for fitted, judged in _prepared_folds(train, numeric, fold_col, k, label):
+        model = random_forest(max(trees), max(depths), max_bins, min_instances, seed, label).fit(fitted)
+        cells = metrics_from_confusion(cut_confusions(model, judged, trees, depths, label), keep=["max_depth", "n_estimators"])
+        for r in cells.collect():  # one row per configuration
+            total[r["max_depth"], r["n_estimators"]] += r["f1_score"] / k
+    return train.sparkSession.createDataFrame([(int(d), int(t), f1) for (d, t), f1 in total.items()], GRID_SCHEMA)
+
+
+def independent_grid_search(train: DataFrame, numeric: list[str], trees=(10, 50, 100), depths=(5, 10, 15),
+                            fold_col: str = "fold", k: int = 5, label: str = "default", min_instances: int = 10,
+                            max_bins: int = 64, seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """As :func:`grid_search`, with a forest of its own for every configuration
+    and fold, ``parallelism`` at a time."""
+    grid = [(d, t) for d in depths for t in trees]
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+    total = dict.fromkeys(grid, 0.0)
+    for fitted, judged in _prepared_folds(train, numeric, fold_col, k, label):
         def one(config, fitted=fitted, judged=judged):
             depth, n = config
             rf = random_forest(n, depth, max_bins, min_instances, seed, label)
@@ -172,18 +198,36 @@ def grid_search(train: DataFrame, numeric: list[str], trees=(10, 50, 100), depth
         with ThreadPool(parallelism) as pool:
             for config, f1 in pool.map(inheritable_thread_target(train.sparkSession)(one), grid):
                 total[config] += f1 / k
-    rows = [(int(d), int(t), f1) for (d, t), f1 in total.items()]
-    return train.sparkSession.createDataFrame(rows, "max_depth int, n_estimators int, f1_score double")
+    return train.sparkSession.createDataFrame([(int(d), int(t), f1) for (d, t), f1 in total.items()], GRID_SCHEMA)
+
+
+def cutoff_grid(df: DataFrame, label: str, rows: tuple[str, list[float]], cols: tuple[str, list[float]]) -> DataFrame:
+    """``(<row name>, <column name>, f1_score)``: F1 of class 1 of the rule "row
+    score at least r, or column score at most c" for every pair of cut-offs,
+    all from one aggregate (four counts per cell); a null score never fires."""
+    y = F.coalesce(F.col(label).cast("int"), F.lit(-1))
+    over, under = F.col(rows[0]), F.col(cols[0])
+    cells = [(r, c) for r in rows[1] for c in cols[1]]
+
+    def counts(r: float, c: float) -> Column:
+        yes = F.coalesce(over >= r, F.lit(False)) | F.coalesce(under <= c, F.lit(False))
+        return F.struct(F.lit(float(r)).alias(rows[0]), F.lit(float(c)).alias(cols[0]),
+                        F.count_if((y == 0) & ~yes).alias("tn"), F.count_if((y == 0) & yes).alias("fp"),
+                        F.count_if((y == 1) & ~yes).alias("fn"), F.count_if((y == 1) & yes).alias("tp"))
+
+    long = df.agg(F.array(*[counts(r, c) for r, c in cells]).alias("cells")).select(F.explode("cells").alias("x")).select("x.*")
+    return metrics_from_confusion(long, keep=[rows[0], cols[0]]).select(rows[0], cols[0], "f1_score")
 
 
-def grid_pivot(results: DataFrame) -> DataFrame:
-    """Depth x trees table of F1."""
-    return results.groupBy("max_depth").pivot("n_estimators").agg(F.first("f1_score")).orderBy("max_depth")
+def grid_pivot(results: DataFrame, row: str = "max_depth", col: str = "n_estimators", names: list | None = None) -> DataFrame:
+    """A table of F1 with one column per value of ``col``."""
+    return results.groupBy(row).pivot(col, names).agg(F.first("f1_score")).orderBy(row)
 
 
-def best_config(results: DataFrame) -> DataFrame:
-    return results.agg(F.max_by(F.struct("max_depth", "n_estimators", "f1_score"), "f1_score").alias("b")) \
-                  .select("b.*")
+def best_config(results: DataFrame, row: str = "max_depth", col: str = "n_estimators") -> DataFrame:
+    """The configuration with the best F1; of equal ones the smallest."""
+    best = F.max_by(F.struct(row, col, "f1_score"), F.struct("f1_score", -F.col(row), -F.col(col)))
+    return results.agg(best.alias("b")).select("b.*")
 
 
 # ---------------------------------------------------------------------------

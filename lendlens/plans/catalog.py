@@ -496,6 +496,8 @@ def f1_ordinal_index(spark, sf_dir):
 
 
 def f1b_ordinal_unseen_minus_one(spark, sf_dir):
+    """Level A1 is left out of the training rows, so that the table has a level
+    the encoder has not seen."""
     train, _ = _train_test(spark, sf_dir)
     train = train.filter(F.col("sub_grade") != "A1")
     out = FE.ordinal_index(train, _shared_curated(spark, sf_dir), "sub_grade", unseen_as_minus_one=True)
@@ -525,6 +527,15 @@ def f5_feature_pipeline(spark, sf_dir):
     return out.select("id", T, F.col("features").cast("string").alias("features"))
 
 
+def f5_feature_rows(spark, sf_dir):
+    """The vectors of :func:`f5_feature_pipeline` as (id, slot, value) rows
+    (F4, F5, J2)."""
+    train, test = _train_test(spark, sf_dir)
+    numeric = S.NUMERIC_FEATURES
+    model = FE.encoding_pipeline(numeric).fit(M.prepare(train, numeric))
+    return FE.vector_rows(model.transform(M.prepare(test, numeric))).withColumn("value", F.round("value", 6))
+
+
 def f6_median_impute(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
     cols = ["dti", "avg_cur_bal", "bc_open_to_buy", "inq_last_6mths"]
@@ -577,6 +588,22 @@ def a18_grid_best(spark, sf_dir):
     return M.best_config(_grid(spark, sf_dir))
 
 
+RATE_CUTS, FICO_CUTS = [8.0, 10.0, 12.0, 14.0, 16.0], [665.0, 700.0, 735.0]
+
+
+def _cutoffs(spark, sf_dir):
+    return M.cutoff_grid(_curated(spark, sf_dir), T, ("int_rate", RATE_CUTS), ("fico_range_high", FICO_CUTS))
+
+
+def a18_cutoff_pivot(spark, sf_dir):
+    """F1 of a two-score rule over a grid of cut-offs, one column per FICO cut-off."""
+    return M.grid_pivot(_cutoffs(spark, sf_dir), "int_rate", "fico_range_high", FICO_CUTS)
+
+
+def a18_cutoff_best(spark, sf_dir):
+    return M.best_config(_cutoffs(spark, sf_dir), "int_rate", "fico_range_high")
+
+
 def e1_metrics_scorecard(spark, sf_dir):
     return M.metrics_from_confusion(A.confusion(_scorecard(spark, sf_dir), T, "prediction"))
 

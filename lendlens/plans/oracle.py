@@ -586,3 +586,57 @@ SELECT variable, ROUND(p, 6) AS p_value, ROUND(ph, 6) AS p_holm,
   {G.STARS} AS significance, {G.P_TEXT} AS p_text, ROUND(r, 6) AS rosenthal_r, {G.effect('r')} AS effect
 FROM adj"""),
 })
+
+
+def _levels(col: str) -> str:
+    """Number of training levels of a nominal column."""
+    return f"(SELECT COUNT(*) FROM lab_{col})"
+
+
+def _one_hot_text(col: str) -> str:
+    slot = f"COALESCE(lab_{col}.idx, {_levels(col)})"
+    return (f"CONCAT('(', CAST({_levels(col)} + 2 AS VARCHAR), ',[', CAST(CAST({slot} AS BIGINT) AS VARCHAR), '],[1.0])')"
+            f" AS {col}_ohe")
+
+
+NOMINAL = ["addr_state", "purpose", "home_ownership", "verification_status"]
+
+
+def _feature_rows() -> str:
+    """Slots in the order of the assembler: numeric columns, ordinal indices,
+    then a block of levels + 2 per nominal column."""
+    parts, offset = [], str(len(NUMERIC_FEATURES) + 2)
+    for i, c in enumerate(NUMERIC_FEATURES):
+        parts.append(f"SELECT id, {i} AS slot, COALESCE(CAST({c} AS DOUBLE), m_{c}) AS value FROM te, med")
+    for i, (c, lab) in enumerate([("sub_grade", "lab"), ("initial_list_status", "lst")]):
+        parts.append(f"SELECT id, {len(NUMERIC_FEATURES) + i}, COALESCE(idx, (SELECT COUNT(*) FROM {lab})) FROM te LEFT JOIN {lab} USING ({c})")
+    for c in NOMINAL:
+        parts.append(f"SELECT id, {offset} + COALESCE(CAST(idx AS BIGINT), {_levels(c)}), 1.0 FROM te LEFT JOIN lab_{c} USING ({c})")
+        offset += f" + {_levels(c)} + 2"
+    return "\n  UNION ALL ".join(parts)
+
+
+_F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN ROUND(2.0 * tp / (2 * tp + fp + fn), 6) ELSE 0 END"
+_CELLS = f""", cells AS (SELECT r, c, {_F1} AS f1 FROM (
+  SELECT r, c, COUNT_IF(y = 1 AND p) AS tp, COUNT_IF(y = 0 AND p) AS fp, COUNT_IF(y = 1 AND NOT p) AS fn
+  FROM (SELECT r, c, "default" AS y, int_rate >= r OR fico_range_high <= c AS p
+        FROM curated, (SELECT UNNEST([8.0, 10.0, 12.0, 14.0, 16.0])::DOUBLE AS r), (SELECT UNNEST([665.0, 700.0, 735.0])::DOUBLE AS c))
+  GROUP BY r, c))"""
+
+SQL.update({
+    "f3_one_hot": with_curated(f""", {_freq_index('home_ownership')}, {_freq_index('verification_status')}
+SELECT id, {_one_hot_text('home_ownership')}, {_one_hot_text('verification_status')}
+FROM curated LEFT JOIN lab_home_ownership USING (home_ownership) LEFT JOIN lab_verification_status USING (verification_status)"""),
+    "f5_feature_rows": with_curated(_ordinal(TRAIN) + f""", {', '.join(_freq_index(c) for c in NOMINAL)},
+lst AS (SELECT initial_list_status, CAST(ROW_NUMBER() OVER (ORDER BY initial_list_status) - 1 AS DOUBLE) AS idx
+        FROM (SELECT DISTINCT initial_list_status FROM {TRAIN} WHERE initial_list_status IS NOT NULL)),
+med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in NUMERIC_FEATURES)} FROM {TRAIN}),
+te AS (SELECT * FROM (SELECT *, {SPLIT} AS split FROM curated) WHERE split = 'test'),
+v AS ({_feature_rows()})
+SELECT id, CAST(slot AS INTEGER) AS slot, ROUND(CAST(value AS DOUBLE), 6) AS value FROM v WHERE value <> 0"""),
+    "a18_cutoff_pivot": with_curated(_CELLS + """
+SELECT r AS int_rate, MAX(CASE WHEN c = 665 THEN f1 END) AS "665.0", MAX(CASE WHEN c = 700 THEN f1 END) AS "700.0",
+  MAX(CASE WHEN c = 735 THEN f1 END) AS "735.0" FROM cells GROUP BY r"""),
+    "a18_cutoff_best": with_curated(_CELLS + """
+SELECT r AS int_rate, c AS fico_range_high, f1 AS f1_score FROM cells ORDER BY f1 DESC, r, c LIMIT 1"""),
+})

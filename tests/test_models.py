@@ -134,3 +134,79 @@ def test_samples_of_few_cases_lie_in_many_partitions(spark):
     slots = spark.sparkContext.defaultParallelism
     assert out.rdd.getNumPartitions() >= slots
     assert out.select(F.spark_partition_id()).distinct().count() >= slots and out.count() == 2000
+
+
+@pytest.fixture(scope="module")
+def small_forest(spark, fitted):
+    model, _, test = fitted
+    ready = model.transform(M.prepare(test, S.NUMERIC_FEATURES)).select("id", "default", "features", "probability", "prediction")
+    return model.stages[-1], M.materialize(ready, "small-forest-rows")
+
+
+def _walk(nodes, tree, x, steps):
+    node = nodes[tree, 0]
+    while node["left"] >= 0 and steps:
+        v = x[node["feature"]]
+        left = v in node["left_levels"] if node["levels"] >= 0 else v <= node["threshold"]
+        node, steps = nodes[tree, node["left"] if left else node["right"]], steps - 1
+    return node["share"]
+
+
+def test_cut_forest_is_what_its_inner_nodes_say(small_forest):
+    from lendlens.operators import trees as TR
+    rf, rows = small_forest
+    nodes = {(r["tree"], r["node"]): r for r in TR.tree_table(rf).collect()}
+    forest = TR.Forest.of(TR.tree_table(rf))
+    assert forest.depth == 4 and len(forest.roots) == 5
+    some = rows.limit(120).collect()
+    x = np.array([r["features"].toArray() for r in some])
+    shares = forest.shares(x, [0, 2, 4])
+    for d in (0, 2, 4):
+        want = np.array([[_walk(nodes, t, v, d) for v in x] for t in range(5)])
+        assert np.allclose(shares[d], want, atol=1e-12)
+    # uncut, it is the fitted forest
+    assert np.allclose(shares[4].mean(axis=0), [r["probability"][1] for r in some], atol=1e-9)
+    got = {(r["max_depth"], r["n_estimators"]): r for r in TR.cut_confusions(rf, rows, [2, 5], [1, 4]).collect()}
+    whole = A.confusion(rows, "default", "prediction").first()
+    assert len(got) == 4 and all(got[4, 5][c] == whole[c] for c in ("tn", "fp", "fn", "tp"))
+
+
+def test_sql_scores_the_exported_trees(small_forest):
+    import duckdb
+
+    from lendlens.operators import features as FE
+    from lendlens.operators import trees as TR
+    rf, rows = small_forest
+    con = duckdb.connect()
+    nodes, values = TR.tree_table(rf).toArrow(), FE.vector_rows(rows).toArrow()
+    con.register("nodes", nodes)
+    con.register("vals", values)
+    con.register("ids", rows.select("id").toArrow())
+    got = dict(con.execute("""
+WITH RECURSIVE walk AS (
+  SELECT id, tree, node, "left" AS l, "right" AS r, feature, threshold, levels, left_levels, share FROM ids, nodes WHERE node = 0
+  UNION ALL
+  SELECT w.id, w.tree, n.node, n."left", n."right", n.feature, n.threshold, n.levels, n.left_levels, n.share
+  FROM walk w LEFT JOIN vals v ON v.id = w.id AND v.slot = w.feature
+  JOIN nodes n ON n.tree = w.tree AND n.node = CASE WHEN
+    CASE WHEN w.levels >= 0 THEN list_contains(w.left_levels, CAST(COALESCE(v.value, 0) AS INTEGER)) ELSE COALESCE(v.value, 0) <= w.threshold END
+    THEN w.l ELSE w.r END
+  WHERE w.l >= 0)
+SELECT id, SUM(share) / 5 FROM walk WHERE l < 0 GROUP BY id""").fetchall())
+    want = {r["id"]: float(r["probability"][1]) for r in rows.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_slots_have_names(small_forest):
+    from lendlens.operators import features as FE
+    names = FE.slot_names(small_forest[1])
+    assert names[0] == "int_rate_imp" and len(names) == small_forest[1].first()["features"].size
+
+
+def test_nested_grid_is_near_the_independent_one(spark, fitted):
+    _, train, _ = fitted
+    folds = SA.assign_folds(train, 2, 42)
+    grid = {"trees": (5, 20), "depths": (3, 6), "k": 2}
+    a, b = ({(r["max_depth"], r["n_estimators"]): r["f1_score"] for r in f(folds, S.NUMERIC_FEATURES, **grid).collect()}
+            for f in (M.grid_search, M.independent_grid_search))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.08 for k in a), (a, b)
