@@ -21,7 +21,8 @@ block totals, so a conversation or a line that a third of all rows share is
 not one task's work.
 
 Nulls: a null text has no lines; rows with a null conversation or turn are
-kept, linked with nothing.  Rows repeated under one turn are parsed each; they
+kept, linked with nothing.  A conversation's id keeps its type; a turn that is
+no whole number counts as null.  Turns need not be numbered without gaps.  Rows repeated under one turn are parsed each; they
 are one node of the forest.  An empty table gives an empty table.
 """
 
@@ -118,7 +119,7 @@ def last_before(rows: DataFrame, keys: list[str], turn: str, value: str, out: st
 
 
 def link_replies(messages: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to, quotes, linked, found) per distinct (conv, turn);
+    """(conv, turn, previous, reply_to, quotes, linked, found) per distinct (conv, turn);
     ``messages`` has (conv, turn, lines), ``found`` are the hashes of the
     quoted units that an earlier message has."""
     known = messages.where("conv is not null and turn is not null")
@@ -143,18 +144,17 @@ def link_replies(messages: DataFrame) -> DataFrame:
         F.countDistinct("passage").alias("quotes"),
         F.countDistinct(F.when(F.col("original").isNotNull(), F.col("passage"))).alias("linked"),
         F.collect_set(F.when(F.col("original").isNotNull(), F.col("unit"))).alias("found"))
-    turns = known.select("conv", "turn").distinct()
-    before = turns.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    return turns.join(before, ["conv", "turn"], "left").join(best, ["conv", "turn"], "left") \
-        .join(counts, ["conv", "turn"], "left").select(
-        "conv", "turn", F.coalesce("quoted", "previous").alias("reply_to"),
+    # the turn before, whatever the gap in their numbers
+    turns = last_before(known.select("conv", "turn").distinct().withColumn("own", F.col("turn")), ["conv"], "turn", "own", "previous")
+    return turns.join(best, ["conv", "turn"], "left").join(counts, ["conv", "turn"], "left").select(
+        "conv", "turn", "previous", F.coalesce("quoted", "previous").alias("reply_to"),
         F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"), "found")
 
 
 def reply_paths(links: DataFrame) -> DataFrame:
     """(conv, turn, path): for each message the branchings that lead to its
     run, as (-place of the branching, first turn of the run)."""
-    follows = F.coalesce(F.col("reply_to") == F.col("turn") - 1, F.lit(False))
+    follows = F.coalesce(F.col("reply_to") == F.col("previous"), F.lit(False))
     marked = links.select("conv", "turn", "reply_to", F.when(~follows, F.col("turn")).alias("head"))
     headed = last_before(marked, ["conv"], "turn", "head", "run_before") \
         .select("conv", "turn", "reply_to", "head", F.coalesce("head", "run_before").alias("run"))
@@ -179,10 +179,10 @@ def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
     reply order.  ``unlinked`` has the lines that begin with ``>`` and quote
     nothing known, as (line, text), so that none is lost."""
     src = materialize(messages.select(
-        F.col(conv_col).cast("bigint").alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
+        F.col(conv_col).alias("conv"), F.col(turn_col).try_cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), parsed_lines(F.col(text_col).cast("string")).alias("lines")), "messages")
     links = materialize(link_replies(src), "replies")
-    placed = links.join(reply_paths(links), ["conv", "turn"])
+    placed = links.drop("previous").join(reply_paths(links), ["conv", "turn"])
     return src.join(placed, ["conv", "turn"], "left").select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col),
         own_text(F.col("lines")).alias(text_col), "reply_to",
