@@ -7,8 +7,9 @@ its halves if the wanted length asks for it), until the wanted length is
 reached or no candidates survive.
 
 One level is one exchange.  Documents lie in blocks, one row each, written
-once.  A block sends every distinct candidate hash once, cut to as many
-ranges of the hash space as the corpus needs; a range's task sees which
+once.  A block sends every distinct candidate hash once, one row for each
+range of the hash space that it has hashes in (the corpus needs as many ranges
+as its size, and a block has no more rows than hashes); a range's task sees which
 hashes more than one block has and sends each block one bit per hash.  So a
 window that a third of all documents hold costs one entry per block, and
 what moves per level are a few bytes per distinct window and the blocks
@@ -155,24 +156,27 @@ def _ask(blocks: DataFrame, lengths: list[int], ranges: int, final: bool) -> Dat
                     alive = block.whole(lengths[-1])
                 if final:
                     h1, h2, _, least = block.long(alive, lengths[-1])
-                    cut = _cuts(h1, ranges, 64)
+                    some, cut = _cuts(h1, ranges, 64)
                     load = [np.concatenate([h1[a:b], h2[a:b], least[a:b].view(np.uint64)]).tobytes()
                             for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 else:
                     h, _ = block.short(alive, lengths[-1])
-                    cut = _cuts(h, ranges, 64 - int(SHORT))
+                    some, cut = _cuts(h, ranges, 64 - int(SHORT))
                     load = [pack(np.diff(h[a:b], prepend=np.uint64(0)))[0].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                some = [r for r in range(ranges) if load[r]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(some), pa.string()), pa.array(some, pa.int64()),
-                     pa.array([load[r] for r in some], pa.binary())], names=["block", "r", "payload"])
+                    [pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(load, pa.binary())],
+                    names=["block", "r", "payload"])
 
     return blocks.mapInArrow(lean(run), "block string, r bigint, payload binary")
 
 
-def _cuts(sorted_hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    edge = [(r << bits) // ranges for r in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(edge, np.uint64)), [len(sorted_hashes)]])
+def _cuts(sorted_hashes: np.ndarray, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges that a block has hashes in, and where each one's begin:
+    as many as the block has hashes at most, however many ranges there are."""
+    top = sorted_hashes >> np.uint64(bits - 32)
+    r = ((top * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(r, prepend=-1))
+    return r[begin], np.append(begin, len(r))
 
 
 def _answer(asked: DataFrame, final: bool) -> DataFrame:
@@ -255,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
 def _ranges(blocks: DataFrame) -> int:
     total = blocks.select(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("s")).agg(F.sum("s")).first()[0]
-    return max(1, -(-(total or 0) // RANGE_BYTES))
+    return min(max(1, -(-(total or 0) // RANGE_BYTES)), (1 << 32) - 1)
 
 
 def _kept(block: Block, rows: pa.Array, hit: np.ndarray, window: int, span: pa.DataType) -> pa.RecordBatch:
