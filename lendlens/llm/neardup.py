@@ -4,8 +4,9 @@ Two collections A and B of ``m`` band keys each are made from ``r`` minhashes
 a key.  Table (i, j) of the m * m tables has the key (A_i, B_j), so m * m
 tables of 2r rows cost 2 * m * r minhashes instead of 2 * m * m * r.  Two sets
 of similarity s miss all tables with a probability of at most
-2 * (1 - s**r)**m; m is the smallest number for which that is below 1e-6 (r = 3:
-16 bands for s = 0.85, 21 for 0.8).
+2 * (1 - s**r)**m; m is the smallest number for which that is below 1e-6 (r = 4:
+20 bands for s = 0.85, 28 for 0.8).  Documents that only share a template
+(s = 0.3) meet by chance in 2 to 4 % of cases.
 
 From there on everything is exact:
 
@@ -37,9 +38,9 @@ from lendlens.llm.blocks import cut_words, lean, mix, slices, text_bytes, white_
 from lendlens.llm.graph import components
 from lendlens.sources.tables import materialize
 
-ROWS, MISS = 3, 1e-6
+ROWS, MISS = 4, 1e-6
 DOC_BITS = 12  # texts in a slice; the other bits hold a shingle's hash
-GROUP = 512
+GROUP, GROUP_SHINGLES = 512, 1 << 20  # documents, and their shingles, that one group compares
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +176,13 @@ def _links(ids, sets, first, sides, needed):
 def verified_links(members: DataFrame, percent: int) -> DataFrame:
     """(u, v) links with 100 * intersection >= percent * union among documents
     (g, id, n, sets) of one group g; only as many as join the parts."""
-    sizes = materialize(members.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES))
+    sizes = materialize(members.groupBy("g").agg(parts.alias("parts")), "group-sizes")
     step = F.lit(float(np.log(100 / percent)))
     # sizes that can be linked lie in one class or in two that follow each other
     classed = materialize(members.join(sizes, "g").withColumn(
-        "k", F.when(F.col("size") > GROUP, F.floor(F.log("n") / step + 1e-9)).otherwise(F.lit(0)).cast("bigint")), "sets")
-    blocks = materialize(classed.groupBy("g", "k").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("nb")), "blocks")
+        "k", F.when(F.col("parts") > 1, F.floor(F.log("n") / step + 1e-9)).otherwise(F.lit(0)).cast("bigint")), "sets")
+    blocks = materialize(classed.groupBy("g", "k").agg(parts.alias("nb")), "blocks")
     up = blocks.select("g", (F.col("k") - 1).alias("k"), F.col("nb").alias("nb_up"))
     down = blocks.select("g", (F.col("k") + 1).alias("k"), F.col("nb").alias("nb_down"))
     deal = materialize(blocks.join(up, ["g", "k"], "left").join(down, ["g", "k"], "left"), "deal")
