@@ -51,8 +51,47 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+#: Kinds of character that the pattern tells apart, each with a character of
+#: that kind in every version of Unicode.
+STAND_INS = {"letter": "\u03b1", "number": "\u0663", "sign": "\u00a4", "space": " "}
+
+
+def _kinds_by(tokens: list[tuple[int, int]], pieces: int) -> np.ndarray:
+    """For pieces ``a c c b`` of 5 places each, joined by spaces: the number of
+    tokens that begin in each (1: c is a letter, 2: space, 3: sign, 4: number)."""
+    return np.bincount(np.array([a for a, _ in tokens], np.int64) // 5, minlength=pieces)
+
+
+@cache
+def other_versions(path: str) -> dict[str, tuple[str, str]]:
+    """Characters that Python's tables don't know but the library's may: per
+    character whose normal form or kind differs, the library's normal form and
+    a stand-in of the kind that it cuts by.  One pass over the code points
+    that have no category here, on the driver."""
+    import tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = WordBpe(f.read())
+    unknown = [chr(c) for c in [*range(0x40000), *range(0xE0000, 0xE1000)] if unicodedata.category(chr(c)) == "Cn"]
+    normal = lib.normalizer.normalize_str("\n".join(unknown)) if lib.normalizer else "\n".join(unknown)
+    each = normal.split(" ")
+    if len(each) != len(unknown):  # white space among them: one at a time
+        each = [lib.normalizer.normalize_str(c) for c in unknown]
+    forms = [x if len(x) == 1 else c for c, x in zip(unknown, each, strict=True)]
+    probe = " ".join(f"a{c}{c}b" for c in forms)
+    theirs = _kinds_by([span for _, span in lib.pre_tokenizer.pre_tokenize_str(probe)], len(forms))
+    ours = _kinds_by([m.span() for m in own.pretoken.finditer(probe)], len(forms))
+    kind = {1: "letter", 2: "space", 3: "sign", 4: "number"}
+    return {c: (x, STAND_INS[kind[int(t)]]) for c, x, t, o in zip(unknown, forms, theirs, ours, strict=True)
+            if t != o or own._normal(c) != x}
+
+
 class WordBpe:
-    def __init__(self, text: str):
+    def __init__(self, text: str, other: dict[str, tuple[str, str]] | None = None):
+        """``other``: see :func:`other_versions`."""
+        self.other_forms = str.maketrans({c: x for c, (x, _) in (other or {}).items()})
+        self.stand_ins = str.maketrans({x: k for x, k in (other or {}).values()})
         spec = json.loads(text)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -101,12 +140,16 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
-                part = self.spaces.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ")
-            for m in self.pretoken.findall(part.lower()):
-                out.append(self.symbols(m))
+            low = self._normal(part)
+            out += [self.symbols(low[a:b]) for a, b in self.cuts(low)]
         return out
 
+    def cuts(self, low: str) -> list[tuple[int, int]]:
+        """Where the pre-tokens of a normalised text lie."""
+        if self.stand_ins and not low.isascii():
+            low = low.translate(self.stand_ins)  # one character for one
+        return [m.span() for m in self.pretoken.finditer(low)]
+
     def symbols(self, pretoken: str) -> str:
         if not (pretoken.isascii() and pretoken.isalnum()):
             pretoken = "".join([self.alphabet[b] for b in pretoken.encode()])
@@ -289,10 +332,9 @@ class WordBpe:
         done, at = [0] * (len(low) + 1), 0  # tokens of each prefix of the normalised text
         begin = [*range(len(low) + 1)]  # where the pre-token that reaches a place begins
         total = 0
-        for m in self.pretoken.finditer(low):
-            a, b = m.span()
+        for a, b in self.cuts(low):
             done[at:a] = [total] * (a - at)
-            s = m[0]
+            s = low[a:b]
             if s[0] == "'" and len(s) <= 3:  # a contraction, perhaps: its cuts are others
                 each = [self._tokens(s[:j]) for j in range(len(s) + 1)]
             else:
@@ -316,11 +358,13 @@ class WordBpe:
         return out
 
     def _tokens(self, low: str) -> int:
-        return sum(self.prefix_counts(self.symbols(p))[0][-1] for p in self.pretoken.findall(low))
+        return sum(self.prefix_counts(self.symbols(low[a:b]))[0][-1] for a, b in self.cuts(low))
 
     def _normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
+        if self.other_forms:
+            text = text.translate(self.other_forms)
         return self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
 
@@ -407,18 +451,19 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def vocabulary(spark: SparkSession, path: str):
-    """Broadcast of a vocabulary file (its size is that of the file)."""
+    """Broadcast of a vocabulary file (its size is that of the file) and of the
+    characters that its library sees with other tables."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast((f.read(), other_versions(path)))
 
 
 def loaded(shared) -> WordBpe:
     """The worker's model of a broadcast vocabulary, built once per worker."""
-    text = shared.value
+    text, other = shared.value
     key = f"{len(text)}:{hash(text)}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordBpe(text)
+        _LOADED[key] = WordBpe(text, other)
     return _LOADED[key]
 
 
