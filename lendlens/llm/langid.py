@@ -9,8 +9,10 @@ letters of scripts that some learned language uses, and the score is their
 share of all letters.  ``known`` is the share of such letters in any language.
 
 Fitting reads a bounded sample: about ``PER_LANG`` documents of each
-language, chosen by a hash of the id; the model is one table of bins by
-languages and travels as a broadcast of that size.
+language, chosen by a hash of id and text (rows that repeat both count once;
+a null id is an id like others), so each language that a labelled row names is
+learned.  The model is one table of bins by languages and travels as a
+broadcast of that size.
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans.
 A word in a script that no language uses says nothing: it takes its span from
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.blocks import lean, mix, rows_with_text, slices, text_bytes, texts_of
+from lendlens.llm.blocks import kept_columns, lean, mix, rows_with_text, slices, text_bytes, texts_of
 
 UNKNOWN = "und"
 BINS = 1 << 16
@@ -160,15 +162,19 @@ def training_rows(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_lang: int = PER_LANG) -> Model:
     """Count n-grams over about ``per_lang`` documents of each language."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        "lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
+    src = docs.select(F.xxhash64(id_col, text_col).alias("r"), F.col(text_col).cast("string").alias("text"),
+                      F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["count"] for r in src.select("lang", "r").distinct().groupBy("lang").count().collect()}
     if not sizes:
         raise ValueError("no labelled texts to learn from")
-    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    chance = F.pmod(F.xxhash64("r"), F.lit(1 << 20))
     limit = F.lit(0)
     for lang, n in sizes.items():
         limit = F.when(F.col("lang") == lang, F.lit(-(-per_lang * (1 << 20) // max(n, 1)))).otherwise(limit)
+    chosen = src.where(chance < limit).dropDuplicates(["lang", "r"])
+    lost = sizes.keys() - {r["lang"] for r in chosen.select("lang").distinct().collect()}
+    for lang in sorted(lost):  # the hashes took none of a language's rows: the first ones then
+        chosen = chosen.union(src.where(F.col("lang") == lang).dropDuplicates(["lang", "r"]).orderBy("r").limit(per_lang))
 
     def run(batches):
         grams, used = {}, {}
@@ -185,19 +191,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     letters = np.bincount(w.script[w.number[mine]], w.sizes[mine], len(script_names()))
                     used[name] = used.get(name, 0) + letters
         for name in grams:
-            yield pa.RecordBatch.from_pydict({"lang": [name], "grams": [grams[name].tobytes()], "used": [used[name].tobytes()]})
-
-    rows = src.where(chance < limit).mapInArrow(lean(run), "lang string, grams binary, used binary")
-
-    def add(table: pa.Table) -> pa.Table:
-        total = lambda c: sum(np.frombuffer(x, np.float64) for x in table.column(c).to_pylist()).tobytes()
-        return pa.table({"lang": [table.column("lang")[0].as_py()], "grams": [total("grams")], "used": [total("used")]})
-
-    # one row of fixed size per language
-    counts = sorted(rows.groupBy("lang").applyInArrow(add, "lang string, grams binary, used binary").collect())
-    langs = [r["lang"] for r in counts]
-    grams = np.array([np.frombuffer(r["grams"], np.float64) for r in counts]) + 0.1
-    used = np.array([np.frombuffer(r["used"], np.float64) for r in counts])
+            both = np.concatenate([grams[name], used[name]])
+            some = np.flatnonzero(both)
+            yield pa.RecordBatch.from_pydict({"lang": [name] * len(some), "bin": some, "n": both[some].astype(np.int64)})
+
+    # what tasks counted is added up by bin: one number per bin and language comes back
+    rows = chosen.mapInArrow(lean(run), "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(sizes)
+    counts = np.zeros((len(langs), BINS + len(script_names())))
+    place = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], np.int64)
+    counts[place, rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
+    grams, used = counts[:, :BINS] + 0.1, counts[:, BINS:]
     share = used / np.maximum(used.sum(axis=1, keepdims=True), 1)
     return Model(langs, np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32), (share >= SCRIPT_SHARE).T)
 
@@ -279,6 +283,12 @@ def best_labels(score: np.ndarray, number: np.ndarray, first: np.ndarray, penalt
     return label
 
 
+def unlearned(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """What :func:`identify` says where no labelled text was there to learn
+    from: (row, lang_pred, score), every text ``und`` with score 0."""
+    return docs.select(kept_columns(docs, keep).alias("row"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+
+
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list[str] = ("doc_id",),
              text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score, known, spans) of every whole text; ``row`` is a

@@ -184,7 +184,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
         sample: int = SAMPLE) -> Forest:
     """Learn 0/1 labels from about ``sample`` labelled documents; a label that
-    is repeated for one id counts once.  If a label is not among them: from at
+    is repeated for one id counts once, and so does an id with several texts.
+    If a label is not among them: from at
     most ``sample`` documents of each label, those whose hashes come first."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
     found = {r["y"]: r["count"] for r in known.distinct().groupBy("y").count().collect()}
@@ -197,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         chosen = reduce(DataFrame.union, each)
     # the sample's size is bounded, so it may be broadcast
     texts = _source(docs, id_col, text_col).join(F.broadcast(chosen.select("id").distinct()), "id")
-    rows = document_statistics(texts, "id", "text").join(F.broadcast(chosen), "id").select("id", "x", "y").collect()
+    # one row per label: of several texts under one id the one with the smallest statistics
+    rows = document_statistics(texts, "id", "text").groupBy("id").agg(F.min("x").alias("x")) \
+        .join(F.broadcast(chosen), "id").select("id", "x", "y").collect()
     if not rows:
         raise ValueError("no labelled rows to learn from")
     rows.sort(key=lambda r: (r["id"], r["y"], r["x"]))

@@ -25,11 +25,15 @@ def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a label to learn from, every score is 0.5."""
     docs = _documents(spark, sf_dir)
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
     learn = langid.training_rows("doc_id")
-    forest = quality.fit(docs, labels.where(learn), "quality")
-    return quality.score(docs, forest).select(
+    try:
+        scored = quality.score(docs, quality.fit(docs, labels.where(learn), "quality"))
+    except ValueError:  # nothing to learn from
+        scored = docs.select("doc_id", F.lit(0.5).alias("score"))
+    return scored.select(
         "doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
@@ -47,9 +51,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a label to learn from, every text is ``und``."""
     docs = _documents(spark, sf_dir, "lang")
     learn = langid.training_rows("doc_id")
-    found = langid.identify(docs, langid.fit(docs.where(learn))).select("row.doc_id", "lang_pred", "score")
+    try:
+        found = langid.identify(docs, langid.fit(docs.where(learn)))
+    except ValueError:  # nothing to learn from
+        found = langid.unlearned(docs)
+    found = found.select("row.doc_id", "lang_pred", "score")
     return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 
