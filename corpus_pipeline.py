@@ -7,7 +7,8 @@ All but the last return the columns they got.
 Extra columns are handed through.  A null or empty text is no language and
 goes in the first stage; each stage on its own treats it as its operator does.
 Documents without an id stay in the near-duplicate stage, and rows repeated
-under one id count as copies there.  An empty table stays empty; the first
+under one id count as copies there: the one with the smallest text stays (of
+equal texts the one with the smallest hash of its row).  An empty table stays empty; the first
 stage needs at least one labelled text, else it lets all documents pass.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lendlens.llm import bpe_codec, decontaminate, langid, neardup, substrings
 from lendlens.llm.queries import VOCAB
-from lendlens.sources.tables import materialize, read_table
+from lendlens.sources.tables import intermediates, materialize, read_table, remove_path
 
 #: A document is rejected if the learned languages together hold less than this
 #: share of its letters.
@@ -43,10 +44,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest id, of each group."""
+    hashed = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
     found = neardup.near_duplicates(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null")).select(*docs.columns)
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*hashed)))
+    one = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return one.union(docs.where("doc_id is null").select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,7 +100,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """Every stage in turn; a stage's own tables, and the output of the stage
+    before, go when its output is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with intermediates(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            before, done = made.pop(), before  # the output stays
+        if done:
+            remove_path(spark, done)
     return docs
