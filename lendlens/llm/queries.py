@@ -152,7 +152,7 @@ QUERIES = {
     "op13_license_scan": op13_license_scan,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
+#: DuckDB SQL of the queries that SQL can express (op11 takes crc32 bit by bit).
 SQL: dict[str, str] = {
     "op7_exact_topk": """
 WITH v AS (
@@ -168,5 +168,79 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(
+    flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END,
+    CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), turns AS (
+  SELECT ids.c, t.i, 0 AS part, role, text FROM ids JOIN t ON t.c = ids.base AND t.i <= h
+  UNION ALL SELECT ids.c, t.i, 1, role, text FROM ids JOIN t ON t.c = ids.c AND t.i > h
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS depth,
+         concat(length(role), ':', role, text) AS told,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns
+), keyed AS (
+  SELECT c, depth, words, md5(string_agg(md5(told), ',') OVER (PARTITION BY c ORDER BY depth)) AS k FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM ids
+), below AS (
+  SELECT k.*, coalesce(lag(k) OVER (PARTITION BY c ORDER BY depth), '') AS up, depth = max(depth) OVER (PARTITION BY c) AS ends FROM keyed k
+), nodes AS (
+  SELECT k, any_value(depth) AS depth, any_value(up) AS up, any_value(words) AS words, min(c) AS c, count(*) AS n,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ended
+  FROM below GROUP BY k
+), kids AS (SELECT up AS k, count(*) AS kids FROM nodes WHERE depth > 0 GROUP BY up
+), spans AS (  -- a node and a node of its subtree, met in the smallest conversation of the lower one
+  SELECT a.k, n.k AS low FROM nodes n JOIN below a ON a.c = n.c AND a.depth <= n.depth
+), sums AS (
+  SELECT s.k, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (kids.kids IS NULL) AS leaves
+  FROM spans s JOIN nodes n ON n.k = s.low LEFT JOIN kids ON kids.k = n.k GROUP BY s.k
+)
+SELECT nodes.c AS conv_id, depth, CASE WHEN depth > 0 THEN (SELECT p.c FROM nodes p WHERE p.k = nodes.up) END AS parent_conv_id,
+  n AS n_convs, coalesce(kids.kids, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ended) AS ends_sha256
+FROM nodes JOIN sums USING (k) LEFT JOIN kids USING (k)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(terms) AS term FROM d)
+  GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30
+), groups AS (SELECT DISTINCT lang, source FROM d
+), size AS (
+  SELECT g.lang, g.source, coalesce(any_value(k.v), 0) AS v, coalesce(any_value(k.total), 0) AS lang_total, coalesce(sum(c.n), 0) AS total
+  FROM groups g LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang) k USING (lang)
+    LEFT JOIN (SELECT c.* FROM c JOIN kept USING (lang, term)) c ON c.lang = g.lang AND c.source = g.source
+  GROUP BY g.lang, g.source
+), share AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (s.total + 5 * s.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (s.lang_total + 5 * s.v) AS q
+  FROM size s JOIN kept k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN share x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN share y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), every AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM share WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 50
 """,
 }

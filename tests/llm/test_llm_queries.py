@@ -104,6 +104,17 @@ def test_top_k_query_equals_sql(spark, sf_small):
     assert sorted(map(tuple, got)) == sorted(con.execute(SQL["op7_exact_topk"]).fetchall())
 
 
+@pytest.mark.parametrize("name, tables", [("op11_prefix_trie", ["conversations"]), ("op12_source_divergence", ["documents"])])
+def test_queries_equal_sql(spark, sf_small, name, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
+    cur = con.execute(SQL[name])
+    cols = [c[0] for c in cur.description]
+    got = QUERIES[name](spark, sf_small).select(*cols).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cur.fetchall()))
+
+
 def test_row_queries_keep_all_rows(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet").count()
     assert len(rows(spark, sf_small, "op3_url_filter")) == pages
