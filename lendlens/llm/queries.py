@@ -81,7 +81,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    found = quotes.format_conversations(chats)
+    found = quotes.format_conversations(chats, across_gaps=True)
     # lists as text, so that any engine can compare them
     return found.withColumn("unlinked", F.to_json("unlinked")).withColumn("path", F.array_join(F.transform(
         "path", lambda s: F.concat_ws(":", s["at"].cast("string"), s["head"].cast("string"))), "/"))

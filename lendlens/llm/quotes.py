@@ -22,7 +22,7 @@ not one task's work.
 
 Nulls: a null text has no lines; rows with a null conversation or turn are
 kept, linked with nothing.  A conversation's id keeps its type; a turn that is
-no whole number counts as null.  Turns need not be numbered without gaps.  Rows repeated under one turn are parsed each; they
+no whole number counts as null.  Rows repeated under one turn are parsed each; they
 are one node of the forest.  An empty table gives an empty table.
 """
 
@@ -118,7 +118,7 @@ def last_before(rows: DataFrame, keys: list[str], turn: str, value: str, out: st
         *[inside[c] for c in rows.columns], F.coalesce("_near", "_carry").alias(out))
 
 
-def link_replies(messages: DataFrame) -> DataFrame:
+def link_replies(messages: DataFrame, across_gaps: bool = False) -> DataFrame:
     """(conv, turn, previous, reply_to, quotes, linked, found) per distinct (conv, turn);
     ``messages`` has (conv, turn, lines), ``found`` are the hashes of the
     quoted units that an earlier message has."""
@@ -144,8 +144,10 @@ def link_replies(messages: DataFrame) -> DataFrame:
         F.countDistinct("passage").alias("quotes"),
         F.countDistinct(F.when(F.col("original").isNotNull(), F.col("passage"))).alias("linked"),
         F.collect_set(F.when(F.col("original").isNotNull(), F.col("unit"))).alias("found"))
-    # the turn before, whatever the gap in their numbers
+    # the turn before; across gaps, whatever the numbers between
     turns = last_before(known.select("conv", "turn").distinct().withColumn("own", F.col("turn")), ["conv"], "turn", "own", "previous")
+    if not across_gaps:
+        turns = turns.withColumn("previous", F.when(F.col("previous") == F.col("turn") - 1, F.col("previous")))
     return turns.join(best, ["conv", "turn"], "left").join(counts, ["conv", "turn"], "left").select(
         "conv", "turn", "previous", F.coalesce("quoted", "previous").alias("reply_to"),
         F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"), "found")
@@ -173,15 +175,16 @@ def reply_paths(links: DataFrame) -> DataFrame:
 
 
 def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", across_gaps: bool = False) -> DataFrame:
     """One row per message: (conv, turn, role, text without quotes, reply_to,
     quotes, linked, unlinked, path); sort by (conv, path, turn) to read in
     reply order.  ``unlinked`` has the lines that begin with ``>`` and quote
-    nothing known, as (line, text), so that none is lost."""
+    nothing known, as (line, text), so that none is lost.  With ``across_gaps``
+    the turn before is the last one there is, else only the one numbered one less."""
     src = materialize(messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).try_cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), parsed_lines(F.col(text_col).cast("string")).alias("lines")), "messages")
-    links = materialize(link_replies(src), "replies")
+    links = materialize(link_replies(src, across_gaps), "replies")
     placed = links.drop("previous").join(reply_paths(links), ["conv", "turn"])
     return src.join(placed, ["conv", "turn"], "left").select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col),

@@ -141,27 +141,27 @@ def test_reply_links_equal_brute_force(spark):
             rows.append((c, at, "\n".join(quoted + own)))
             said += own
     df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id int, turn int, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.format_conversations(df).collect()}
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.format_conversations(df, across_gaps=True).collect()}
     assert got == brute_links(rows)
 
 
 def test_gaps_in_turns_and_text_ids(spark):
     rows = [("c-1", 0, "u", "hello"), ("c-1", 2, "v", "hi"), ("c-1", 4, "u", "> hello\nback"), ("c-1", 9, "v", "end"), ("c-2", 5, "u", "x")]
     df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.format_conversations(df).collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.format_conversations(df, across_gaps=True).collect()}
     assert {k: r["reply_to"] for k, r in got.items()} == {
         ("c-1", 0): None, ("c-1", 2): 0, ("c-1", 4): 0, ("c-1", 9): 4, ("c-2", 5): None}
     # 2 follows 0 in its run, 4 branches off 0, 9 follows 4
     assert len(got["c-1", 2]["path"]) == 1 and got["c-1", 4]["path"] == got["c-1", 9]["path"] and len(got["c-1", 9]["path"]) == 2
     odd = df.withColumn("turn", F.when(F.col("turn") == 9, "last").otherwise(F.col("turn").cast("string")))
-    assert quotes.format_conversations(odd).where("reply_to is not null").count() == 2
+    assert quotes.format_conversations(odd, across_gaps=True).where("reply_to is not null").count() == 2
 
 
 def test_a_very_long_message_is_parsed_whole(spark):
     text = "\n".join(f"> line {i}" for i in range(1500)) + "\nmine"
     df = spark.createDataFrame([(1, 0, "u", "\n".join(f"line {i}" for i in range(1500))), (1, 1, "v", "no"), (1, 2, "u", text)],
                                "conv_id int, turn int, role string, text string")
-    r = quotes.format_conversations(df).where("turn = 2").first()
+    r = quotes.format_conversations(df, across_gaps=True).where("turn = 2").first()
     assert (r["reply_to"], r["text"], r["quotes"], r["linked"], r["unlinked"]) == (0, "mine", 1, 1, [])
 
 
