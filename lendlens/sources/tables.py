@@ -46,7 +46,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     This cuts lineage the fault-tolerant way: the table lives on shared
@@ -56,13 +56,13 @@ def materialize(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     With ``spread``, a table that reads as fewer splits than the cluster has
     task slots is dealt round-robin when read, so later narrow stages (model
     fitting, scoring, perturbation) use every core.  Counting the splits of a
-    written table runs nothing.
+    written table runs nothing.  ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     for made in _MADE[-1:]:
         made.append(path)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     slots = spark.sparkContext.defaultParallelism
     return out.repartition(slots) if spread and out.rdd.getNumPartitions() < slots else out
