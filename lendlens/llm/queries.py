@@ -63,8 +63,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.token_prefixes(_documents(spark, sf_dir), VOCAB, keep_prefixes=False)
-    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    """Counts and the cut at the limit are read off the stored prefix table."""
+    table = token_counts.token_prefixes(_documents(spark, sf_dir), VOCAB)
+    table = materialize(table, "prefix-counts", options=token_counts.PACKED)
+    found = token_counts.fit_budget(table, TOKEN_LIMIT, keep=["n_bytes", "n_tokens"])
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

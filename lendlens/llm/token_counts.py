@@ -16,6 +16,9 @@ an empty table.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,11 +33,36 @@ _MEMOS: dict[str, tuple[WordBpe, Memo]] = {}
 
 TABLE_BYTES = 64  # longer units are seldom met again: their tables are not kept
 
+TABLES = 200_000  # of one generation of kept tables
+
+#: Writer options for a stored table: places and counts as packed differences.
+PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+
+
+class Generations(Memo):
+    """A memo in two generations: when the younger one is full it becomes the
+    older one, so that what is met again and again stays."""
+
+    def __init__(self, answer, limit: int = TABLES):
+        super().__init__(answer, limit)
+        self.older: dict = {}
 
-def _memo(shared, name: str, answer) -> Memo:
+    def __call__(self, word):
+        got = self.known.get(word)
+        if got is None:
+            got = self.older.get(word)
+            if got is None:
+                got = self.answer(word)
+            if len(self.known) >= self.limit:
+                self.older, self.known = self.known, {}
+            self.known[word] = got
+        return got
+
+
+def _memo(shared, name: str, answer, kind: type[Memo] = Memo) -> Memo:
     bpe = loaded(shared)
     if _MEMOS.get(name, (None,))[0] is not bpe:
-        _MEMOS[name] = bpe, Memo(lambda unit: answer(bpe, unit))
+        _MEMOS[name] = bpe, kind(lambda unit: answer(bpe, unit))
     return _MEMOS[name][1]
 
 
@@ -43,28 +71,47 @@ def unit_tokens(bpe: WordBpe, unit: bytes) -> int:
     return sum(1 if isinstance(p, int) else bpe.prefix_counts(p)[0][-1] for p in bpe.unit_pieces(unit))
 
 
-def unit_runs(bpe: WordBpe, unit: bytes) -> np.ndarray:
-    """Runs of equal counts over a unit's prefixes: (end bytes, tokens)."""
+def unit_counts(bpe: WordBpe, unit: bytes) -> bytes:
+    """Tokens of a unit's prefixes, one 32-bit number per byte; the bytes of a
+    character all have the count of the prefix that ends with it."""
     text = unit.decode()
-    counts = np.array(bpe.text_counts(text))
-    wide = np.array([len(c.encode()) for c in text])
-    last = np.append(np.flatnonzero(counts[1:-1] != counts[2:]), len(text) - 1)
-    return np.array([np.cumsum(wide)[last], counts[last + 1]], np.int32)
-
-
-def text_runs(w, offsets: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of all texts: (first run of each, end bytes, tokens); ``tables``
-    are those of the distinct units.  White space goes on with the count before it."""
-    size = np.array([t.shape[1] for t in tables], np.int64)
-    flat = np.concatenate([np.zeros((2, 0), np.int64), *tables], axis=1).astype(np.int64)
+    if text.isalpha() and max(text) < "\u0100" and text == text.lower():
+        each = bpe.cut_counts(bpe.symbols(text))
+        if len(unit) > len(text):
+            for i in range(len(unit) - 1, 0, -1):
+                if unit[i] & 0xC0 == 0x80:
+                    each[i] = each[i + 1]
+    else:
+        each = bpe.text_counts(text)
+        if len(unit) > len(text):
+            each = [0, *(n for c, n in zip(text, each[1:], strict=True) for _ in c.encode())]
+    return array("i", each).tobytes()[4:]
+
+
+def text_runs(w, offsets: np.ndarray, tables: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all texts: (first run of each, end bytes, tokens), and the
+    tokens of each distinct unit; ``tables`` are those of :func:`unit_counts`
+    in the order of the distinct units.  White space goes on with the count
+    before it."""
+    dense = np.frombuffer(b"".join(tables), np.int32)
+    bytes_of = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
+    stop = np.cumsum(bytes_of)
+    last = np.ones(len(dense), bool)  # a run of equal counts ends here
+    last[:-1] = dense[1:] != dense[:-1]
+    last[stop - 1] = True
+    place = np.flatnonzero(last)
+    tokens = dense[stop - 1].astype(np.int64)
+    until = np.searchsorted(place, stop)
+    size = np.diff(np.concatenate([[0], until]))
+    within = place + 1 - np.repeat(stop - bytes_of, size)
+    value = dense[place]
     n = size[w.codes]
     stop = np.cumsum(n)
-    at = np.arange(int(n.sum())) - np.repeat(stop - n, n) + np.repeat((np.cumsum(size) - size)[w.codes], n)
-    whole = flat[1, np.cumsum(size) - 1][w.codes]
-    owner, total = w.owner(), np.concatenate([[0], np.cumsum(whole)])
+    at = np.arange(int(n.sum())) - np.repeat(stop - n, n) + np.repeat((until - size)[w.codes], n)
+    owner, total = w.owner(), np.concatenate([[0], np.cumsum(tokens[w.codes])])
     before = total[:-1] - total[w.first[:-1]][owner]
-    ends = flat[0, at] + np.repeat(w.starts - offsets[:-1][owner], n)
-    counts = flat[1, at] + np.repeat(before, n)
+    ends = within[at] + np.repeat(w.starts - offsets[:-1][owner], n)
+    counts = value[at] + np.repeat(before, n)
     # a unit's last run reaches to the next unit of its text, or the text's end
     after = np.append(w.starts[1:], 0)
     after[w.first[1:][w.counts > 0] - 1] = offsets[1:][w.counts > 0]
@@ -75,7 +122,7 @@ def text_runs(w, offsets: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndar
     run = np.concatenate([[0], stop])[w.first]
     lead = np.flatnonzero(head > 0)
     ends, counts = np.insert(ends, run[lead], head[lead]), np.insert(counts, run[lead], 0)
-    return run + np.concatenate([[0], np.cumsum(head > 0)]), ends, counts
+    return run + np.concatenate([[0], np.cumsum(head > 0)]), ends.astype(np.int32), counts.astype(np.int32), tokens
 
 
 def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -90,26 +137,25 @@ def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     shared = vocabulary(docs.sparkSession, vocab_path)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes bigint, n_tokens bigint" + (
-        ", ends array<bigint>, counts array<bigint>, text_md5 string" if keep_prefixes else "")
+        ", ends array<int>, counts array<int>, text_md5 string" if keep_prefixes else "")
 
     def run(batches):
         bpe = loaded(shared)
-        count, table = _memo(shared, "count", unit_tokens), _memo(shared, "runs", unit_runs)
+        count, table = _memo(shared, "count", unit_tokens), _memo(shared, "prefixes", unit_counts, Generations)
         for batch in batches:
             for part in slices(batch, "text", UNIT_BYTES):
                 buf, offsets = text_bytes(part.column("text"))
                 w = units(buf, offsets)
                 distinct = w.dictionary.to_pylist()
                 if keep_prefixes:
-                    tables = [table(u) if len(u) <= TABLE_BYTES else unit_runs(bpe, u) for u in distinct]
-                    each = np.fromiter((t[1, -1] for t in tables), np.int64, len(tables))
+                    tables = [table(u) if len(u) <= TABLE_BYTES else unit_counts(bpe, u) for u in distinct]
+                    first, ends, counts, each = text_runs(w, offsets, tables)
                 else:
                     each = np.fromiter(map(count, distinct), np.int64, len(distinct))
                 total = np.zeros(len(w.codes) + 1, np.int64)
                 np.cumsum(each[w.codes], out=total[1:])
                 cols = [part.column("id"), pa.array(np.diff(offsets)), pa.array(total[w.first[1:]] - total[w.first[:-1]])]
                 if keep_prefixes:
-                    first, ends, counts = text_runs(w, offsets, tables)
                     begins = pa.array(first.astype(np.int32))
                     cols += [pa.ListArray.from_arrays(begins, pa.array(ends)), pa.ListArray.from_arrays(begins, pa.array(counts)),
                              part.column("md5")]
@@ -164,10 +210,12 @@ def count_at(prefixes: DataFrame, docs: DataFrame, at_col: str, vocab_path: str,
     return src.mapInArrow(lean(run), f"id {kind}, at bigint, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
-def fit_budget(prefixes: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
+def fit_budget(prefixes: DataFrame, budget: int, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """(id, keep_bytes, keep_tokens): the longest prefix of whole characters
-    with at most ``budget`` tokens, read off the stored table."""
+    with at most ``budget`` tokens, read off the stored table; and the
+    columns ``keep`` of the table."""
     fits = F.filter(F.arrays_zip("ends", "counts"), lambda p: p["counts"] <= budget)
     last = F.try_element_at(fits, F.lit(-1))
-    return prefixes.select(id_col, F.coalesce(last["ends"], F.lit(0)).alias("keep_bytes"),
-                           F.coalesce(last["counts"], F.lit(0)).alias("keep_tokens"))
+    whole = F.col("n_tokens") <= budget  # no run has to be looked at
+    part = lambda all_of, of: F.when(whole, F.col(all_of)).otherwise(F.coalesce(last[of].cast("bigint"), F.lit(0)))
+    return prefixes.select(id_col, *keep, part("n_bytes", "ends").alias("keep_bytes"), part("n_tokens", "counts").alias("keep_tokens"))
