@@ -58,12 +58,16 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return pick(lambda r: r.text), pick(lambda r: r.verdict)
 
 
+def _runs(text: Column, n: int, mark: str) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    # one argument: a second one would get the place in the array
+    cut = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substr(text, i, F.lit(n))))
+    return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(text: Column, mark: str) -> Column:
     text = F.concat(F.lit("^"), text, F.lit("$"))
-    each = [F.when(F.length(text) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(text) - (n - 1)),
-        lambda i, n=n: F.concat(F.lit(mark), F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in GRAMS]
-    return F.concat(*each)
+    return F.concat(*[_runs(text, n, mark) for n in GRAMS])
 
 
 def with_features(urls: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
