@@ -1,5 +1,6 @@
 """Empty tables, repeated ids, gaps in turns, all code points, exchange size;
 brute-force twins of the quality forest and the quotation links."""
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,11 +8,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from lendlens.llm import langid, neardup, quality, quotes, substrings
+from lendlens.llm import langid, neardup, quality, queries, quotes, substrings, token_counts, urlfilter
 from lendlens.llm.bpe import WordBpe, other_versions
 from lendlens.llm.queries import QUERIES
 
@@ -225,3 +227,48 @@ def test_near_stage_keeps_the_smallest_text_of_an_id(spark, sf_small):
     for n in (1, 5):
         got = sorted(map(tuple, P.near_dedup(spark, docs.repartition(n), sf_small).collect()))
         assert got == [(1, "a a a", 2), (2, "c c c", 3)]
+
+
+def test_verdicts_equal_plain_logistic_scoring(spark, sf_small, monkeypatch):
+    models, real = [], urlfilter.fit
+    monkeypatch.setattr(urlfilter, "fit", lambda *a: models.append(real(*a)) or models[-1])
+    got = QUERIES["op3_url_filter"](spark, sf_small).collect()
+    weights, base = models[0].coefficients.toArray(), models[0].intercept
+    tf, slot = HashingTF(numFeatures=urlfilter.BINS), {}
+    modelled = 0
+    for r in got:
+        grams = [mark + t[i:i + n] for mark, part in (("h", r["host"]), ("p", r["path"])) for t in [f"^{part}$"]
+                 for n in urlfilter.GRAMS for i in range(len(t) - n + 1)]
+        z = base + sum(weights[slot[g] if g in slot else slot.setdefault(g, tf.indexOf(g))] for g in grams)
+        p = 1 / (1 + math.exp(-z))
+        assert r["score"] == pytest.approx(p, abs=1e-9)
+        if r["rule"] is None:
+            modelled += 1
+            assert r["verdict"] == ("block" if p > 0.5 else "allow")
+    assert modelled and len(got) == spark.read.parquet(f"{sf_small}/pages.parquet").count()
+
+
+def test_the_cut_at_the_limit_is_the_longest_prefix(spark, tmp_path, monkeypatch):
+    texts = [None, "", " \n ", "Plain words, then more of them; and 12345 digits!", "été à la façade où naïve çédille über straße",
+             "they're we'll 'tis ''s'", "日本語の長い文には空白がありません", "x" * 90, "  led  by   spaces  " * 4, "<|endoftext|> a <|startoftext|> b c d e f",
+             "é́ ö комбинация ՘՘", "unbelievablyinternationalisation " * 3, "ok"]
+    rows = [(i, t, i) for i, t in enumerate(texts + texts[3:5])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, counts int").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "TOKEN_LIMIT", 6)
+    got = {r["doc_id"]: r for r in QUERIES["op5_token_counts"](spark, str(tmp_path)).collect()}
+    lib = Tokenizer.from_file(VOCAB)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        t, r = t or "", got[i]
+        keep = max(j for j in range(len(t) + 1) if n(t[:j]) <= 6)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n(t), n(t) > 6), t
+        assert (r["keep_bytes"], r["keep_tokens"]) == (len(t[:keep].encode()), n(t[:keep])), t
+
+
+def test_a_memo_of_two_generations_keeps_what_is_met_again():
+    asked = []
+    memo = token_counts.Generations(lambda k: asked.append(k) or k * 2, limit=2)
+    for k in [1, 2, 1, 3, 1, 4, 5, 1, 6, 1]:
+        assert memo(k) == 2 * k
+    assert asked.count(1) == 1 and len(memo.known) <= 2 and len(memo.older) <= 2
