@@ -16,7 +16,10 @@ With ``salted``, customers that hold more than one in ``HOT_SHARE`` of the
 orders are found first (one pass over one column; at most ``HOT_SHARE`` of
 them, whatever the data), their orders are dealt over ``SALTS`` keys and only
 their customer rows are repeated, so one customer's orders are not one task's
-work even where adaptive execution does not split the join.
+work even where adaptive execution does not split the join.  The joined rows
+are then dealt over so many tasks that each holds ``TASK_ORDERS`` orders at
+most, whatever the session's shuffle width, so the sorts of one task do not grow
+with the table.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 
 HOT_SHARE, SALTS = 1000, 32
+TASK_ORDERS = 200_000
 
 
 def _s(c: Column) -> Column:
@@ -62,6 +66,12 @@ def with_customers(orders: DataFrame, customer: DataFrame) -> DataFrame:
         .drop("__salt", "__slot")
 
 
+def dealt(spark: SparkSession, rows: int) -> int:
+    """Tasks of ``TASK_ORDERS`` rows at most, in full rounds of the cluster."""
+    slots = spark.sparkContext.defaultParallelism
+    return slots * max(1, -(-rows // (TASK_ORDERS * slots)))
+
+
 def raw_loans(spark: SparkSession, sf_dir: str, salted: bool = False) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", [
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
@@ -70,7 +80,11 @@ def raw_loans(spark: SparkSession, sf_dir: str, salted: bool = False) -> DataFra
     items = (read_table(spark, sf_dir, "lineitem", ["l_orderkey"])
              .groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items")))
 
-    held = with_customers(orders, customer) if salted else orders.join(customer, orders.o_custkey == customer.c_custkey)
+    if salted:
+        n = dealt(spark, orders.count())
+        held, items = with_customers(orders, customer).repartition(n, "o_orderkey"), items.repartition(n, "l_orderkey")
+    else:
+        held = orders.join(customer, orders.o_custkey == customer.c_custkey)
     base = (held.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
 

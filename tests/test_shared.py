@@ -95,3 +95,10 @@ def test_intermediates_are_removed(spark):
         assert len(made) == 1 and not os.path.exists(_local(inner[0])) and os.path.exists(_local(made[0]))
         assert a.count() == 5
     assert not os.path.exists(_local(made[0]))
+
+
+def test_shared_loans_are_dealt_by_rows(spark, copied, monkeypatch):
+    monkeypatch.setattr(L, "TASK_ORDERS", 25)
+    orders = spark.read.parquet(f"{copied}/orders.parquet").count()
+    sizes = [r["count"] for r in L.raw_loans(spark, copied, salted=True).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == orders and max(sizes) <= 3 * 25
