@@ -102,3 +102,15 @@ def test_shared_loans_are_dealt_by_rows(spark, copied, monkeypatch):
     orders = spark.read.parquet(f"{copied}/orders.parquet").count()
     sizes = [r["count"] for r in L.raw_loans(spark, copied, salted=True).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == orders and max(sizes) <= 3 * 25
+
+
+def test_encoders_write_their_columns_alone(spark, copied):
+    SHARED.release(spark, copied)
+    before = set(SHARED.paths(spark))
+    names = ("f1b_ordinal_unseen_minus_one", "f1_ordinal_index", "f2_nominal_index", "f3_one_hot")
+    alone = {n: sorted(map(tuple, E.queries()[n](spark, copied).collect())) for n in names}
+    made = set(SHARED.paths(spark)) - before
+    assert made and not [p for p in made if "shared-loans" in p or "shared-recoded" in p]
+    S.shared_recoded(spark, copied)
+    assert alone == {n: sorted(map(tuple, E.queries()[n](spark, copied).collect())) for n in names}
+    SHARED.release(spark, copied)
