@@ -210,3 +210,15 @@ def test_nested_grid_is_near_the_independent_one(spark, fitted):
     a, b = ({(r["max_depth"], r["n_estimators"]): r["f1_score"] for r in f(folds, S.NUMERIC_FEATURES, **grid).collect()}
             for f in (M.grid_search, M.independent_grid_search))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.08 for k in a), (a, b)
+
+
+def test_training_rows_are_dealt_by_what_a_pass_reads(spark, sf_small, monkeypatch):
+    train, _ = SA.split_frames(S.curated_loans(spark, sf_small))
+    n = train.count()
+    # more than the task slots ask for
+    monkeypatch.setattr(M, "TASK_BYTES", n * M.pass_bytes(60, 5) // 20)
+    parts = []
+    plain = M.RandomForestClassifier.fit
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or plain(self, df))
+    model, _ = M.fit(train, S.NUMERIC_FEATURES, num_trees=5, max_depth=2, seed=1)
+    assert parts[0] >= 20 and model.stages[-1].getNumTrees == 5
