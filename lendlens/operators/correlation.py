@@ -34,7 +34,8 @@ def _row_ranks(data: DataFrame, ranks: DataFrame, hot: dict[str, dict[float, flo
     return beside.union(apart).groupBy(key).agg(*[F.max(f"__r_{c}").alias(f"__r_{c}") for c in hot])
 
 
-def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True) -> DataFrame:
+def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lower_only: bool = True,
+                    vc: DataFrame | None = None) -> DataFrame:
     """T5: Spearman rho of every pair, long form ``(var_a, var_b, rho)``.
 
     Missing values become 0 first, as in the study (P17) -- this shifts
@@ -49,12 +50,18 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
     (row, variable, value), meet their ranks in one join.  One regroup by row
     puts a row's ranks together again, and one aggregate computes all
     k(k-1)/2 correlations from centred sums.
+
+    With ``fill_zero``, a caller that has the columns' value counts with their
+    missing level hands them in as ``vc``, and the cells are not counted again.
     """
     key = "__row"
     # written with the table, so the numbers stand
     data = df.select(F.monotonically_increasing_id().alias(key), *[F.col(c).cast("double").alias(c) for c in cols])
     data = materialize(data.fillna(0.0, subset=cols) if fill_zero else data.dropna(subset=cols), "spearman-input")
-    vc = RK.value_counts(data, cols)
+    if vc is None or not fill_zero:
+        vc = RK.value_counts(data, cols)
+    else:
+        vc = vc.groupBy("variable", F.coalesce("value", F.lit(0.0)).alias("value")).agg(F.sum("n").alias("n"))
     cum = RK.cum_counts(vc, ["variable"], ["n"])
     ranks = materialize(cum.select("variable", "value", (F.col("cn") - (F.col("n") - 1) / 2).alias("rank"),
                                    (F.col("n") * HOT_SHARE > F.col("tot_n")).alias("hot")), "avg-ranks")
@@ -85,9 +92,11 @@ def spearman_matrix(df: DataFrame, cols: list[str], fill_zero: bool = True, lowe
 def prune_correlated(df: DataFrame, cols: list[str], target: str = "default",
                      threshold: float = 0.85) -> DataFrame:
     """For each pair with |rho| > threshold, drop the member with the
-    smaller two-sample KS against the target."""
-    pairs = spearman_matrix(df, cols).filter(F.abs("rho") > threshold)
-    ks = RK.separation_stats(RK.separation_sums(RK.value_counts(df, cols, target))) \
+    smaller two-sample KS against the target.  Both start from one table of
+    value counts."""
+    vc = RK.value_counts(df, cols, target, keep_missing=True)
+    pairs = spearman_matrix(df, cols, vc=vc).filter(F.abs("rho") > threshold)
+    ks = RK.separation_stats(RK.separation_sums(vc.where(F.col("value").isNotNull()))) \
         .select("variable", F.round("ks", 6).alias("ks"))
     ka = ks.select(F.col("variable").alias("var_a"), F.col("ks").alias("ks_a"))
     kb = ks.select(F.col("variable").alias("var_b"), F.col("ks").alias("ks_b"))

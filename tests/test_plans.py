@@ -87,3 +87,16 @@ def test_spearman_does_not_shuffle_hot_values(spark):
     got = CO.spearman_matrix(df, ["a", "b"]).first()["rho"]
     pdf = data.toPandas()
     assert abs(got - pdf["a"].rank().corr(pdf["b"].rank())) < 1e-6
+
+
+def test_pruning_counts_the_cells_once(spark, monkeypatch):
+    from lendlens.operators import correlation as CO
+    rows = [(i % 4 // 3, None if i % 5 == 0 else float(i % 9), float("nan") if i % 7 == 0 else float(i % 9 - 4), float(i * 7 % 20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double")
+    plain, calls = CO.RK.value_counts, []
+    monkeypatch.setattr(CO.RK, "value_counts", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = sorted(map(tuple, CO.prune_correlated(df, ["a", "b", "c"], "y", 0.0).collect()))
+    assert len(calls) == 1
+    rho = {(r["var_a"], r["var_b"]): r["rho"] for r in CO.spearman_matrix(df, ["a", "b", "c"]).collect()}
+    ks = {r["variable"]: round(r["ks"], 6) for r in CO.RK.separation_stats(CO.RK.separation_sums(plain(df, ["a", "b", "c"], "y"))).collect()}
+    assert [r[:5] for r in got] == sorted((a, b, v, ks[a], ks[b]) for (a, b), v in rho.items())
