@@ -222,3 +222,21 @@ def test_training_rows_are_dealt_by_what_a_pass_reads(spark, sf_small, monkeypat
     monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or plain(self, df))
     model, _ = M.fit(train, S.NUMERIC_FEATURES, num_trees=5, max_depth=2, seed=1)
     assert parts[0] >= 20 and model.stages[-1].getNumTrees == 5
+
+
+def test_folds_are_prepared_and_judged_beside_the_fits(spark, fitted, monkeypatch):
+    import threading
+    _, train, _ = fitted
+    where = {"prepare": [], "fit": [], "judge": []}
+
+    def noted(owner, name, step):
+        plain = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, **k: where[step].append(threading.get_ident()) or plain(*a, **k))
+    noted(M.ClassWeigher, "_fit", "prepare")
+    noted(M.RandomForestClassifier, "fit", "fit")
+    noted(M, "cut_confusions", "judge")
+    got = M.grid_search(SA.assign_folds(train, 3, 42), S.NUMERIC_FEATURES, trees=(3, 6), depths=(2, 4), k=3).collect()
+    assert len(got) == 4 and {len(x) for x in where.values()} == {3}
+    # one thread per fold, the caller's, and one that is neither
+    assert len(set(where["prepare"])) == 3 and set(where["fit"]) == {threading.get_ident()}
+    assert len(set(where["judge"])) == 1 and not set(where["judge"]) & set(where["fit"])
