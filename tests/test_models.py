@@ -240,3 +240,51 @@ def test_folds_are_prepared_and_judged_beside_the_fits(spark, fitted, monkeypatc
     # one thread per fold, the caller's, and one that is neither
     assert len(set(where["prepare"])) == 3 and set(where["fit"]) == {threading.get_ident()}
     assert len(set(where["judge"])) == 1 and not set(where["judge"]) & set(where["fit"])
+
+
+def _made_forest(spark, trees, depth, seed):
+    """Full trees over feature 0 (150 thresholds) and feature 1 (150 levels)."""
+    rng = np.random.default_rng(seed)
+    rows, inner = [], 2 ** depth - 1
+    for t in range(trees):
+        for n in range(2 * inner + 1):
+            by_level, leaf = bool(rng.integers(2)), n >= inner
+            some = sorted(rng.choice(150, 60, replace=False).tolist())
+            rows.append((t, n, -1 if leaf else int(by_level), None if leaf or by_level else float(rng.integers(150)),
+                         150 if by_level and not leaf else -1, some if by_level and not leaf else [],
+                         -1 if leaf else 2 * n + 1, -1 if leaf else 2 * n + 2, float(rng.random())))
+    return spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, levels int, left_levels array<int>, "
+                                       "left int, right int, share double")
+
+
+def test_walk_agrees_with_every_node_beyond_64_bins(spark):
+    from lendlens.operators import trees as TR
+    table = _made_forest(spark, 8, 7, 5)
+    nodes, forest = {(r["tree"], r["node"]): r for r in table.collect()}, TR.Forest.of(table)
+    assert forest.depth == 7 and any(len(c) > 64 for c in forest.cuts.values())
+    values = np.arange(-1, 151)
+    x = np.column_stack([np.repeat(values, 3) + np.tile([0.0, 0.5, 0.0], len(values)), np.resize(np.arange(150.0), 3 * len(values))])
+    x[2::9, 0] = np.nan  # a column without values: on no threshold's left
+    shares = forest.shares(x, [3, 7])
+    for d in (3, 7):
+        assert np.array_equal(shares[d], [[_walk(nodes, t, v, d) for v in x] for t in range(8)])
+
+
+def test_levels_beyond_those_that_go_left_go_right(spark):
+    from lendlens.operators import trees as TR
+    rows = [(0, 0, 0, None, 80, [63], 1, 2, 0.5), (0, 1, -1, None, -1, [], -1, -1, 1.0), (0, 2, -1, None, -1, [], -1, -1, 0.0)]
+    forest = TR.Forest.of(spark.createDataFrame(rows, _made_forest(spark, 1, 1, 0).schema))
+    assert forest.shares(np.array([[62.0], [63.0], [64.0], [79.0]]), [1])[1].tolist() == [[0.0, 1.0, 0.0, 0.0]]
+
+
+def test_walk_holds_little_beside_its_result(spark):
+    import tracemalloc
+
+    from lendlens.operators import trees as TR
+    forest = TR.Forest.of(_made_forest(spark, 30, 6, 1))
+    x = np.random.default_rng(2).integers(0, 150, (20_000, 2)).astype(float)
+    tracemalloc.start()
+    shares = forest.shares(x, [6])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shares[6].shape == (30, 20_000) and peak < 2 * shares[6].nbytes, peak
